@@ -239,6 +239,21 @@ def _block_pairs(df: DataFrame, node: str, blocks: str) -> DataFrame:
     return df.withColumn("own", own).withColumn("other", other).withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other")).drop("own", "other")
 
 
+def verified_components(work: Workspace, docs: DataFrame, clusters: DataFrame, p: NearDedup) -> DataFrame:
+    """(node, component): links by full shingle sets within clusters, and their components.
+
+    `docs`: doc_id, text; `clusters`: node (a doc_id), cluster, n_shingles (a guess will do:
+    it only says into how many blocks a cluster is dealt). Nodes that link to nothing
+    are left out.
+    """
+    blocks = clusters.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / p.set_block)).cast("long").alias("blocks"))
+    placed = clusters.join(blocks, "cluster").select("node", "cluster", "blocks").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(placed, "node")
+    dealt = _block_pairs(texts, "node", "blocks").repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
+    found = work.keep(dealt.select("cluster", "left", "right", "node", "text").mapInArrow(_confirm(p), "a long, b long"), "found")
+    return connected_components(work, found, "joined")
+
+
 def near_components(spark: SparkSession, docs: DataFrame, params: NearDedup | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs`, which needs doc_id and text.
 
@@ -256,13 +271,9 @@ def near_components(spark: SparkSession, docs: DataFrame, params: NearDedup | No
     classes = work.keep(sets.withColumn("class", F.xxhash64("set_key")), "classes")
     links = candidate_links(classes.select(F.col("class").alias("node"), "n_shingles", "signature"), p)
     clusters = work.keep(connected_components(work, links, "cluster"), "clusters")
-    near = clusters.join(classes.select(F.col("class").alias("id"), F.col("node").alias("doc"), "n_shingles"), F.col("node") == F.col("id"))
-    blocks = near.groupBy("component").agg(F.ceil(F.sum("n_shingles") / p.set_block).cast("long").alias("blocks"))
-    placed = near.join(blocks, "component").select(F.col("doc").alias("node"), F.col("component").alias("cluster"), "blocks").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(placed, "node")
-    dealt = _block_pairs(texts, "node", "blocks").repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
-    found = work.keep(dealt.select("cluster", "left", "right", "node", "text").mapInArrow(_confirm(p), "a long, b long"), "found")
-    component = connected_components(work, found, "joined")
+    members = classes.select(F.col("class").alias("id"), F.col("node").alias("doc"), "n_shingles")
+    near = clusters.join(members, F.col("node") == F.col("id")).select(F.col("doc").alias("node"), F.col("component").alias("cluster"), "n_shingles")
+    component = verified_components(work, docs, near, p)
     named = classes.select("set_key", "node").join(component, "node", "left").select(F.col("set_key").alias("key"), F.coalesce("component", "node").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.col("component"))
     out = rows.join(named, rows["set_key"] == named["key"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id")).alias("component_id"))

@@ -4,22 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lodegraph.llm import bpe, chat, fingerprints, quality_rules, token_files
 from lodegraph.llm.near_dedup import NearDedup, near_components
+from lodegraph.llm.workspace import Workspace
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "tokens").path
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_documents(spark, path)
+
+
+def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
+
+
+def fingerprint_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.near_components(spark, table(spark, sf_dir, "documents"))
+
+
+def op3_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_certified_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_maximal_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark, table(spark, sf_dir, "conversations"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(spark, table(spark, sf_dir, "documents"), NearDedup(words=3, percent=85, matches=16))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_minhash_near_dedup,)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_bit_plane_tokens,
+            op2_minhash_fingerprints,
+            op3_speculative_bpe,
+            op7_certified_quality_rules,
+            op9_maximal_chats,
+            op10_minhash_near_dedup,
+            fingerprint_components,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_certified_quality_rules": quality_rules.oracle(), "op9_maximal_chats": chat.ORACLE}
