@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import bpe, chat, fingerprints, quality_rules, token_files
+from lodegraph.llm import bpe, chat, fingerprints, importance, mixing, pii, quality_rules, token_files, toxicity
 from lodegraph.llm.near_dedup import NearDedup, near_components
 from lodegraph.llm.workspace import Workspace
 
@@ -34,6 +34,22 @@ def op3_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_certified_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +69,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op1_bit_plane_tokens,
             op2_minhash_fingerprints,
             op3_speculative_bpe,
+            op4_pii_spans,
+            op5_importance_resampling,
+            op6_ordinal_toxicity,
             op7_certified_quality_rules,
+            op8_soft_mixing,
             op9_maximal_chats,
             op10_minhash_near_dedup,
             fingerprint_components,

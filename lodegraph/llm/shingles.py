@@ -80,9 +80,22 @@ def _cuts(data: np.ndarray, separator: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and for each document where its words start (one more entry than documents)."""
-    values, separator = _TABLES[lower]
+def letters_only() -> np.ndarray:
+    """For `word_hashes`: all ASCII but letters separates."""
+    out = np.ones(256, dtype=bool)
+    out[128:] = False
+    out[ord("A") : ord("Z") + 1] = False
+    out[ord("a") : ord("z") + 1] = False
+    return out
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, separator: np.ndarray | None = None, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and for each document where its words start (one more entry than documents).
+
+    `separator` tells for each byte whether it parts words; `prefix` hashes that many first bytes only.
+    """
+    values, usual = _TABLES[lower]
+    separator = usual if separator is None else separator
     hashes, starts_at = [], []
     edges = np.asarray(offsets, dtype=np.int64)
     for lo, hi in _cuts(data, separator):
@@ -103,6 +116,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
         within[~inside] = 0
         product = values[piece] * powers(_MUL, int(within.max()) + 1)[within]
         product[~inside] = 0
+        if prefix:
+            product[within >= prefix] = 0
         hashes.append(mix(np.add.reduceat(product, starts)))
         starts_at.append(starts + lo)
     if not hashes:
