@@ -324,7 +324,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as entities, their words in camel case; every third with a comment."""
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("ord"),
-        F.regexp_replace(F.initcap("p_name"), " ", "").alias("name"),
+        F.concat(F.regexp_replace(F.initcap("p_name"), " ", ""), F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("Q"), F.col("p_partkey"))).otherwise(F.lit(""))).alias("name"),
         F.concat(F.lit("kind"), F.col("p_size") % 3).alias("kind"),
         F.when(F.col("p_size") % 5 == 0, F.lit("")).otherwise(F.lower(F.regexp_replace("p_brand", "#", ""))).alias("package"),
         F.concat(F.lit("src"), F.col("p_partkey") % 7, F.lit("/f.go")).alias("file"),
@@ -349,7 +349,7 @@ def doc_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("c_custkey").alias("ord"), F.coalesce(said, "c_name").alias("text"), F.lit("code_span").alias("kind"), F.concat(F.lit("doc"), F.col("c_nationkey"), F.lit(".md")).alias("file"), F.col("c_custkey").cast("int").alias("line"))
 
 
-_INITCAP = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '')"
+_INITCAP = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') || CASE WHEN p_size % 7 = 0 THEN 'Q' || p_partkey ELSE '' END"
 _COVERAGE = f"""
 ent AS MATERIALIZED (SELECT p_partkey AS ord, {_INITCAP} AS name, 'kind' || (p_size % 3) AS kind, CASE WHEN p_size % 5 = 0 THEN '' ELSE lower(replace(p_brand, '#', '')) END AS package,
         'src' || (p_partkey % 7) || '/f.go' AS file, CASE WHEN p_partkey % 3 = 0 THEN concat_ws(' ', p_type, p_brand, p_partkey % 50) ELSE '' END AS doc FROM part),
@@ -414,7 +414,7 @@ def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"""WITH {_COVERAGE}, q AS (SELECT CASE WHEN package <> '' THEN package || '.' || name ELSE name END AS q FROM ent WHERE name NOT IN (SELECT name FROM m)), f AS (SELECT q FROM q ORDER BY q LIMIT 10)
-SELECT (SELECT count(*) FROM q) AS n, (SELECT string_agg(q, ', ' ORDER BY q) FROM f) || CASE WHEN (SELECT count(*) FROM q) > 10 THEN ' (+' || ((SELECT count(*) FROM q) - 10) || ' more)' ELSE '' END AS names"""
+SELECT (SELECT count(*) FROM q) AS n, coalesce((SELECT string_agg(q, ', ' ORDER BY q) FROM f), '') || CASE WHEN (SELECT count(*) FROM q) > 10 THEN ' (+' || ((SELECT count(*) FROM q) - 10) || ' more)' ELSE '' END AS names"""
 )
 def gate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.gate_names(_coverage(spark, sf_dir).uncovered)
