@@ -86,7 +86,6 @@ def fit_cumulative(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades:
     The likelihood is that of all thresholds' binary outcomes with shared weights; thresholds are a first one
     plus nonnegative gaps, so they stay ordered.
     """
-    x = x.astype(np.float32)
     above = (grade[:, None] > np.arange(grades - 1)[None, :]).astype(np.float32)
     share = (weight / weight.sum()).astype(np.float32)
     w, gaps = np.zeros(x.shape[1], np.float32), np.full(grades - 1, 0.5, np.float32)
@@ -123,7 +122,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Severity) ->
     sizes = {r["label"]: r["n"] for r in some.groupBy("label").agg(F.countDistinct("doc_id").alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    counts = rows.groupBy("feature").agg(F.countDistinct(F.when(F.col("label") == 1, F.col("doc_id"))).alias("a"), F.countDistinct(F.when(F.col("label") == 0, F.col("doc_id"))).alias("b"))
+    counts = rows.groupBy("feature").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (sizes[1] + 1)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1))
     tested = counts.filter(F.col("a") + F.col("b") >= p.least_docs).withColumn("odds", odds).withColumn("z", F.abs("odds") / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5)))
     best = tested.orderBy(F.col("z").desc(), "feature").limit(p.features).toPandas()
@@ -131,14 +130,17 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Severity) ->
         return None
     features = np.sort(best["feature"].to_numpy(dtype=np.int64).view(np.uint64))
     typical = set(best.loc[(best["odds"] > 2) & (best["a"] >= p.least_docs), "feature"].tolist())
-    wanted = spark.createDataFrame(best[["feature"]])
-    held = rows.join(F.broadcast(wanted), "feature").select("doc_id", "label", "feature").toPandas()
-    labels_of = chosen.join(some.select(F.col("id").alias("has")).distinct(), F.col("doc_id") == F.col("has"), "left_semi").toPandas()
-    ids = np.sort(labels_of["doc_id"].to_numpy())
-    label = labels_of.set_index("doc_id")["label"].reindex(ids).to_numpy()
-    x = np.zeros((len(ids), len(features)), dtype=np.uint8)
-    x[np.searchsorted(ids, held["doc_id"].to_numpy()), np.searchsorted(features, held["feature"].to_numpy(dtype=np.int64).view(np.uint64))] = 1
-    severe = np.bincount(np.searchsorted(ids, held["doc_id"].to_numpy()), weights=held["feature"].isin(typical), minlength=len(ids))
+    order = {int(f): k for k, f in enumerate(features.view(np.int64).tolist())}
+    wanted = spark.createDataFrame([(f, k) for f, k in order.items()], "feature long, at int")
+    # for each sampled document the places of its features, at most as many as `features`
+    held = rows.join(F.broadcast(wanted), "feature").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+    known = some.select(F.col("id").alias("doc_id"), "label").distinct().join(held, "doc_id", "left").toPandas()
+    label = known["label"].to_numpy()
+    x = np.zeros((len(known), len(features)), dtype=np.float32)
+    for k, at in enumerate(known["at"]):
+        if at is not None:
+            x[k, np.asarray(at, dtype=np.int64)] = 1
+    severe = x[:, [order[f] for f in typical]].sum(axis=1)
     grade = np.where(label == 1, 1, 0)
     cuts = np.quantile(severe[label == 1], np.arange(1, p.grades - 1) / (p.grades - 1)) if p.grades > 2 else []
     for c in cuts:
