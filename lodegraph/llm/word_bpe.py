@@ -16,10 +16,13 @@ import unicodedata
 
 import numpy as np
 import regex
+from tokenizers import Tokenizer
 
 #: What str.split() takes for blank but Unicode's White_Space does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: Letters below this are letters in every version of Unicode's tables.
+_PLAIN = "\u0250"
 _FAR = 1 << 40
 _BIG = np.int64(_FAR)
 
@@ -48,6 +51,8 @@ class WordBPE:
         split, bytes_ = spec["pre_tokenizer"]["pretokenizers"]
         if steps != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or bytes_["type"] != "ByteLevel" or not model["end_of_word_suffix"] or spec["decoder"]:
             raise ValueError("not a lower-casing word-end BPE file")
+        whole = Tokenizer.from_file(path)
+        self.normalize, self.split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -205,8 +210,11 @@ class WordBPE:
                 return [chunk.lower()]
             if chunk[:-1].isalpha() and chunk[-1] in ".,!?;:":
                 return [chunk[:-1].lower(), chunk[-1]]
+        elif max(chunk) >= _PLAIN:
+            # which characters are letters, and their lower case, is up to the library's version of Unicode
+            return [w for w, _ in self.split(self.normalize(chunk))]
         else:
-            chunk = unicodedata.normalize("NFC", chunk).replace("\u03a3", "\u03c3")
+            chunk = unicodedata.normalize("NFC", chunk)
         return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for w in self.pattern.findall(chunk.lower())]
 
     def _learn(self, chunks: list[str]) -> None:
