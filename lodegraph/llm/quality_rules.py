@@ -86,8 +86,9 @@ def _shares(table: DataFrame, rules: QualityRules) -> DataFrame:
     return table.withColumns({k: F.when(F.col(of[k][1]) > 0, F.col(of[k][0]) / F.col(of[k][1])).otherwise(F.lit(0.0)) for k in rules.cutoffs})
 
 
-def binomial_tail(n: str, x: str, rate: float) -> str:
+def binomial_tail(n: str, x: str, rate: float | str) -> str:
     """SQL for P(X <= x), X binomial of n trials at `rate`; 1 where x is not below the mean. Terms by recursion on their logarithms."""
+    rate = f"{rate!r}D"
     step = f"a.l + ln({n} - k + 1) - ln(k) + ln({rate} / (1 - {rate}))"
     start = f"named_struct('l', {n} * ln(1 - {rate}), 't', exp({n} * ln(1 - {rate})))"
     ks = f"if({x} < 1, cast(array() as array<bigint>), sequence(1L, {x}))"
