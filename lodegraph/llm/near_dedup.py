@@ -239,8 +239,8 @@ def _block_pairs(df: DataFrame, node: str, blocks: str) -> DataFrame:
     return df.withColumn("own", own).withColumn("other", other).withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other")).drop("own", "other")
 
 
-def verified_components(work: Workspace, docs: DataFrame, clusters: DataFrame, p: NearDedup) -> DataFrame:
-    """(node, component): links by full shingle sets within clusters, and their components.
+def verified_components(work: Workspace, docs: DataFrame, clusters: DataFrame, p: NearDedup, same: DataFrame | None = None) -> DataFrame:
+    """(node, component): links by full shingle sets within clusters, and `same` (a, b) beside them, and their components.
 
     `docs`: doc_id, text; `clusters`: node (a doc_id), cluster, n_shingles (a guess will do:
     it only says into how many blocks a cluster is dealt). Nodes that link to nothing
@@ -251,7 +251,7 @@ def verified_components(work: Workspace, docs: DataFrame, clusters: DataFrame, p
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(placed, "node")
     dealt = _block_pairs(texts, "node", "blocks").repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
     found = work.keep(dealt.select("cluster", "left", "right", "node", "text").mapInArrow(_confirm(p), "a long, b long"), "found")
-    return connected_components(work, found, "joined")
+    return connected_components(work, found if same is None else found.unionByName(same), "joined")
 
 
 def near_components(spark: SparkSession, docs: DataFrame, params: NearDedup | None = None) -> DataFrame:
@@ -273,7 +273,10 @@ def near_components(spark: SparkSession, docs: DataFrame, params: NearDedup | No
     clusters = work.keep(connected_components(work, links, "cluster"), "clusters")
     members = classes.select(F.col("class").alias("id"), F.col("node").alias("doc"), "n_shingles")
     near = clusters.join(members, F.col("node") == F.col("id")).select(F.col("doc").alias("node"), F.col("component").alias("cluster"), "n_shingles")
-    component = verified_components(work, docs, near, p)
+    # a doc_id with several texts belongs to all their classes
+    several = full.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y")
+    same = full.join(several, "doc_id", "left_semi").join(classes.select("set_key", "node"), "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    component = verified_components(work, docs, near, p, same)
     named = classes.select("set_key", "node").join(component, "node", "left").select(F.col("set_key").alias("key"), F.coalesce("component", "node").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.col("component"))
     out = rows.join(named, rows["set_key"] == named["key"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id")).alias("component_id"))
