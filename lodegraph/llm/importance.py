@@ -32,14 +32,15 @@ class Importance:
     `sample` bounds the labelled rows of each class that the target model and k are fitted on.
     `bits`: n-grams go to 2**bits buckets. `keep` fixes k as a share of all rows; None
     takes as k the number of documents whose weight passes the cut that best parts the
-    labelled classes. `temperature` scales the Gumbel noise.
+    labelled classes. `temperature` scales the Gumbel noise; it is low, as
+    noise may cost a good document its place.
     """
 
     sample: int = 20_000
     bits: int = 16
     smoothing: float = 5.0
     keep: float | None = None
-    temperature: float = 1.0
+    temperature: float = 0.1
     seed: int = 17
     batch_rows: int = 256
 
