@@ -26,16 +26,17 @@ class Severity:
 
     `sample` bounds the labelled rows of each class that the model is fitted on, `features`
     the words and beginnings (of `prefix` bytes) it uses, those that part the classes best
-    and occur in `least_docs` sampled documents. Labels say toxic or not; toxic rows are
+    (by likelihood ratio, which must reach `evidence`) and occur in `least_docs` sampled documents. Labels say toxic or not; toxic rows are
     graded 1 to `grades` - 1 by how many of the words typical of toxic rows they hold.
     """
 
     sample: int = 6000
     features: int = 2048
     least_docs: int = 3
+    evidence: float = 15.0
     prefix: int = 5
     grades: int = 4
-    l2: float = 1e-3
+    l2: float = 1e-4
     steps: int = 400
     batch_rows: int = 256
 
@@ -124,8 +125,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Severity) ->
         return None
     counts = rows.groupBy("feature").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (sizes[1] + 1)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1))
-    tested = counts.filter(F.col("a") + F.col("b") >= p.least_docs).withColumn("odds", odds).withColumn("z", F.abs("odds") / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5)))
-    best = tested.orderBy(F.col("z").desc(), "feature").limit(p.features).toPandas()
+    both, share = F.col("a") + F.col("b"), sizes[1] / (sizes[0] + sizes[1])
+    surprise = lambda n, s: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / (both * s))).otherwise(F.lit(0.0))
+    tested = counts.filter(both >= p.least_docs).withColumn("odds", odds).withColumn("g", 2 * (surprise("a", share) + surprise("b", 1 - share)))
+    best = tested.filter(F.col("g") >= p.evidence).orderBy(F.col("g").desc(), "feature").limit(p.features).toPandas()
     if not len(best):
         return None
     features = np.sort(best["feature"].to_numpy(dtype=np.int64).view(np.uint64))
