@@ -26,7 +26,7 @@ class ByteTokens:
     pieces are remembered; then the memory starts anew.
     """
 
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 1_800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,20 +47,26 @@ class ByteTokens:
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.as_bytes = {b: chr(b if b in printable else next(spare)) for b in range(256)}
         assert all(self.as_bytes[i] == alphabet[i] for i in range(128))
-        self.stops = {c: self._ids_of(c) for c in ".,"} | {"": b""}
+        self.stops = {c: self._ids_of(c) for c in ".,"}
 
     def _ids_of(self, pre_token: str) -> bytes:
         raw = pre_token.encode().decode("latin-1").translate(self.as_bytes)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(raw)]).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        other = []
+        other, known, stops, tokenize = [], self.known, self.stops, self.tokenizer.model.tokenize
+        blank = self.as_bytes[32]
         for piece in pieces:
-            core, stop = (piece[:-1], piece[-1]) if piece[-1:] in (".", ",") else (piece, "")
-            if core.isalpha() and (core.isascii() or max(core) < _PLAIN):
-                self.known[piece] = self._ids_of(" " + core) + self.stops[stop]
-            else:
+            stop = stops.get(piece[-1:])
+            core = piece[:-1] if stop else piece
+            if not core.isalpha() or not (core.isascii() or max(core) < _PLAIN):
                 other.append(piece)
+                continue
+            ids = known.get(core) if stop else None
+            if ids is None:
+                raw = core if core.isascii() else core.encode().decode("latin-1").translate(self.as_bytes)
+                ids = array("I", [t.id for t in tokenize(blank + raw)]).tobytes()
+            known[piece] = ids + stop if stop else ids
         pieces, at = other, 0
         while at < len(pieces):
             some = pieces[at : at + 4096]
