@@ -17,6 +17,7 @@ from lodegraph.functions import identity
 from lodegraph.plans import resolve
 from lodegraph.plans.coverage import Coverage
 from lodegraph.plans.extract import Facts
+from lodegraph.plans.lineage import cut
 
 
 @dataclass
@@ -33,8 +34,9 @@ class Graph:
 
     @classmethod
     def of(cls, facts: Facts, roots: list[str]) -> Graph:
-        f = facts.facts
-        return cls(resolve.resolved_edges(f), resolve.external(f), resolve.dangling(f), facts.failed, roots, facts.skipped)
+        # extraction is costly, and every report reads its facts several times
+        f = cut(facts.facts)
+        return cls(resolve.resolved_edges(f), resolve.external(f), resolve.dangling(f), cut(facts.failed), roots, facts.skipped)
 
     def ordered_edges(self) -> DataFrame:
         return self.edges.orderBy(*resolve.EDGE_ORDER)
