@@ -28,6 +28,16 @@ def _query(sql: str) -> Callable[[Query], Query]:
     return register
 
 
+def _also_whole(rows: object) -> Callable[[Query], Query]:
+    """Registers NAME_whole too, the query with `rows` as third argument: all rows of its tables, without SQL."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir: f(spark, sf_dir, rows)
+        return f
+
+    return register
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,6 +71,28 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.unionByName(used)
 
 
+def whole_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image facts of all rows: every part produces, those of odd size under a name that no line item uses, and every line item consumes."""
+    part, item = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    image = F.lit("reg.example.com/part/")
+    made = part.select(
+        F.lit("producer").alias("role"),
+        F.lit("container_image").alias("kind"),
+        F.concat(F.when(F.col("p_size") % 2 == 0, image).otherwise(F.lit("reg.example.com/spare/")), F.col("p_partkey"), F.lit(":v"), F.col("p_size") % 3).alias("ref"),
+        F.concat(F.lit("root"), F.col("p_partkey") % 5, F.lit("/Dockerfile")).alias("file"),
+        F.col("p_size").cast("int").alias("line"),
+    )
+    tag = F.when(F.col("l_linenumber") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(":v"), F.col("l_linenumber") % 3))
+    used = item.select(
+        F.lit("consumer").alias("role"),
+        F.lit("container_image").alias("kind"),
+        F.concat(image, F.col("l_partkey"), tag).alias("ref"),
+        F.concat(F.lit("root"), F.col("l_suppkey") % 5, F.lit("/Dockerfile")).alias("file"),
+        F.col("l_linenumber").cast("int").alias("line"),
+    )
+    return made.unionByName(used)
+
+
 _FACTS = """
 p AS (SELECT 'container_image' AS kind, 'reg.example.com/part/' || p_partkey || ':v' || (p_size % 3) AS ref, 'root' || (p_partkey % 5) || '/Dockerfile' AS file, p_size AS line,
              'reg.example.com/part/' || p_partkey AS ikey, 'v' || (p_size % 3) AS version FROM part WHERE p_size % 2 = 0),
@@ -75,26 +107,30 @@ d AS (SELECT * FROM p WHERE ikey NOT IN (SELECT ikey FROM c))"""
 
 
 @_query(f"WITH {_FACTS} SELECT kind, p_ref, p_file, CAST(p_line AS BIGINT) AS p_line, c_ref, c_file, CAST(c_line AS BIGINT) AS c_line, version_match FROM e")
-def resolve_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolved_edges(facts(spark, sf_dir)).withColumns({"p_line": _long("p_line"), "c_line": _long("c_line")})
+@_also_whole(whole_facts)
+def resolve_edges(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
+    return resolve.resolved_edges(made(spark, sf_dir)).withColumns({"p_line": _long("p_line"), "c_line": _long("c_line")})
 
 
 @_query(f"WITH {_FACTS} SELECT kind, ref, file, CAST(line AS BIGINT) AS line FROM x")
-def resolve_external(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.external(facts(spark, sf_dir)).withColumn("line", _long("line"))
+@_also_whole(whole_facts)
+def resolve_external(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
+    return resolve.external(made(spark, sf_dir)).withColumn("line", _long("line"))
 
 
 @_query(f"WITH {_FACTS} SELECT kind, ref, file, CAST(line AS BIGINT) AS line FROM d")
-def resolve_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.dangling(facts(spark, sf_dir)).withColumn("line", _long("line"))
+@_also_whole(whole_facts)
+def resolve_dangling(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
+    return resolve.dangling(made(spark, sf_dir)).withColumn("line", _long("line"))
 
 
 @_query(
     f"""WITH {_FACTS} SELECT 'resolved' AS bucket, version_match, count(*) AS n FROM e GROUP BY ALL
 UNION ALL SELECT 'external', '', count(*) FROM x UNION ALL SELECT 'dangling', '', count(*) FROM d"""
 )
-def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.bucket_counts(facts(spark, sf_dir))
+@_also_whole(whole_facts)
+def bucket_counts(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
+    return resolve.bucket_counts(made(spark, sf_dir))
 
 
 _ROOTS = ("root0", "root1", "root2", "root3", "x/root4", "root4/")
@@ -104,9 +140,10 @@ _ROOTS = ("root0", "root1", "root2", "root3", "x/root4", "root4/")
     f"""WITH {_FACTS} SELECT split_part(c_file, '/', 1) AS from_label, split_part(p_file, '/', 1) AS to_label, count(*) AS n
 FROM e WHERE c_file NOT LIKE 'root4%' AND p_file NOT LIKE 'root4%' GROUP BY ALL"""
 )
-def repo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_also_whole(whole_facts)
+def repo_edges(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
     roots = spark.createDataFrame([(r,) for r in _ROOTS], "root string")
-    return resolve.repo_edges(resolve.resolved_edges(facts(spark, sf_dir)), roots)
+    return resolve.repo_edges(resolve.resolved_edges(made(spark, sf_dir)), roots)
 
 
 _SITES = ("https:", "https://site0.example.com", "https://site1.example.com", "https://site1.example.com/p", "https://www.example.com")
@@ -125,8 +162,9 @@ def root_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_FACTS}, a AS (SELECT kind, p_ref AS ref, 'resolved' AS bucket FROM e UNION SELECT kind, c_ref, 'resolved' FROM e
 UNION SELECT kind, ref, 'external' FROM x UNION SELECT kind, ref, 'dangling' FROM d) SELECT * FROM a"""
 )
-def artifact_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir)
+@_also_whole(whole_facts)
+def artifact_distinct(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
+    f = made(spark, sf_dir)
     return resolve.artifacts(resolve.resolved_edges(f), resolve.external(f), resolve.dangling(f))
 
 
@@ -134,8 +172,9 @@ def artifact_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_FACTS}, a AS (SELECT kind, p_ref AS ref, 0 AS r FROM e UNION ALL SELECT kind, c_ref, 0 FROM e UNION ALL SELECT kind, ref, 1 FROM x UNION ALL SELECT kind, ref, 2 FROM d)
 SELECT kind, ref, CASE min(r) WHEN 0 THEN 'resolved' WHEN 1 THEN 'external' ELSE 'dangling' END AS bucket FROM a GROUP BY kind, ref"""
 )
-def node_bucket_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir)
+@_also_whole(whole_facts)
+def node_bucket_promotion(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
+    f = made(spark, sf_dir)
     return resolve.nodes(resolve.resolved_edges(f), resolve.external(f), resolve.dangling(f))
 
 
@@ -143,14 +182,16 @@ def node_bucket_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_FACTS}, a AS (SELECT kind, ref FROM p UNION SELECT kind, ref FROM c)
 SELECT ref, 'n' || substr(sha1(kind || chr(0) || ref), 1, 12) AS node_id, 'k' || substr(sha1('kind:' || kind), 1, 8) AS kind_id FROM a"""
 )
-def mermaid_node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = facts(spark, sf_dir).select("kind", "ref").distinct()
+@_also_whole(whole_facts)
+def mermaid_node_ids(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
+    ids = made(spark, sf_dir).select("kind", "ref").distinct()
     return ids.select("ref", identity.node_id(F.col("kind"), F.col("ref")).alias("node_id"), identity.kind_node_id(F.col("kind")).alias("kind_id"))
 
 
 @_query(f"WITH {_FACTS} SELECT p.version AS p_version, c.version AS c_version, CASE WHEN p.version = c.version THEN 'exact' WHEN p.version = '' OR c.version = '' THEN 'unknown' ELSE 'mismatch' END AS version_match, count(*) AS n FROM p JOIN c ON p.ikey = c.ikey GROUP BY ALL")
-def version_match_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = resolve.canonical(facts(spark, sf_dir)).groupBy("role", "kind", "identity_key", "version").agg(F.count("*").alias("n"))
+@_also_whole(whole_facts)
+def version_match_matrix(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
+    known = resolve.canonical(made(spark, sf_dir)).groupBy("role", "kind", "identity_key", "version").agg(F.count("*").alias("n"))
     p = known.filter("role = 'producer'").select("kind", "identity_key", F.col("version").alias("p_version"), F.col("n").alias("np"))
     c = known.filter("role = 'consumer'").select("kind", "identity_key", F.col("version").alias("c_version"), F.col("n").alias("nc"))
     match = identity.version_match(F.col("p_version"), F.col("c_version"))
@@ -425,9 +466,10 @@ def gate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 1, conv_id * 1000 + turn, text, role, 'c' || (conv_id % 9), turn FROM conversations WHERE turn % 2 = 0)
 SELECT source, ord, text, kind, file, line FROM (SELECT *, row_number() OVER (PARTITION BY text, file, line ORDER BY source, ord) AS n FROM r) WHERE n = 1"""
 )
-def merge_refs_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_also_whole("true")
+def merge_refs_dedup(spark: SparkSession, sf_dir: str, second: str = "line % 2 = 0") -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text", F.col("role").alias("kind"), F.concat(F.lit("c"), F.col("conv_id") % 9).alias("file"), F.col("turn").alias("line"))
-    return coverage.merge_refs(rows, rows.filter("line % 2 = 0"))
+    return coverage.merge_refs(rows, rows.filter(second))
 
 
 # --- scans and predicates --------------------------------------------------------
@@ -475,12 +517,13 @@ def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT o_orderkey AS token, c_custkey AS node_id, c_name AS source_file, CAST(CASE WHEN n_nationkey IS NULL THEN 0 ELSE n_regionkey + 1 END AS BIGINT) AS line
 FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) n ON c_nationkey = n_nationkey"""
 )
-def symbol_db_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_also_whole("true")
+def symbol_db_provenance(spark: SparkSession, sf_dir: str, parsed: str = "n_nationkey % 2 = 0") -> DataFrame:
     from lodegraph.operators.symbol_db import provenance
 
     defs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("token"), F.col("o_custkey").alias("node_id"))
     nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("source_file"), F.col("c_nationkey").alias("ast_id"))
-    ast = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("ast"), F.col("n_regionkey").alias("start_row"))
+    ast = table(spark, sf_dir, "nation").filter(parsed).select(F.col("n_nationkey").alias("ast"), F.col("n_regionkey").alias("start_row"))
     placed = nodes.join(ast, F.col("ast_id") == F.col("ast"), "left").select("id", "source_file", "start_row")
     return provenance(defs, placed.select("id", "source_file"), placed.select(F.col("id").alias("node_id"), "start_row")).select("token", "node_id", F.col("file").alias("source_file"), _long("line").alias("line"))
 
