@@ -44,8 +44,8 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rates say."""
-    return mixing.mixed_documents(spark, docs, _labels(spark, sf_dir))
+    """Documents as often as their fitted rates say; none that is mainly of a wanted domain is left out."""
+    return mixing.mixed_documents(spark, docs, _labels(spark, sf_dir), mixing.Mixing(least=1.0))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

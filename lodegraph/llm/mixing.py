@@ -33,7 +33,8 @@ class Mixing:
     no domain with a target is thinned out. A labelled row's domain is its `domain` column where
     its quality is 1, and `low` elsewhere. `sample` bounds the labelled rows of each
     quality that the classifier is fitted on; `bits`: byte n-grams go to 2**bits features.
-    `rounds` and `tolerance` (relative residual) end the fit.
+    `rounds` and `tolerance` (relative residual) end the fit. `least`: no rate falls below it where a
+    domain with a target is at least as probable as any without one.
     """
 
     targets: dict[str, float] = field(default_factory=lambda: {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15, "low": 0.0})
@@ -46,6 +47,7 @@ class Mixing:
     l2: float = 1e-4
     rounds: int = 20
     tolerance: float = 1e-6
+    least: float = 0.0
     seed: int = 29
     batch_rows: int = 256
 
@@ -98,8 +100,12 @@ def fit_classifier(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: M
     """The domain classifier, fitted on the driver on a bounded labelled sample; None without labelled texts."""
     domains = list(p.targets)
     work = Workspace(spark, "domains")
-    chosen = work.keep(labelled(labels, "quality", p.sample), "sample")
-    totals = {r["label"]: r["count"] for r in labels.filter("quality in (0, 1)").groupBy(F.col("quality").cast("int").alias("label")).count().collect()}
+    # labels of rows that an earlier stage took out say nothing about these documents
+    here = docs.select(F.col("doc_id").cast("long").alias("id")).distinct()
+    present = work.keep(labels.join(here, F.col("doc_id").cast("long") == F.col("id"), "left_semi"), "present")
+    chosen = work.keep(labelled(present, "quality", p.sample), "sample")
+    counted = present.filter("quality in (0, 1)").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("label"))
+    totals = {r["label"]: r["count"] for r in counted.groupBy("label").count().collect()}
     own = F.coalesce(F.col(p.domain).cast("string"), F.lit("")) if p.domain in docs.columns else F.lit("")
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own.alias("domain"))
     # a bounded number of ids
@@ -146,11 +152,21 @@ def _dot(y: np.ndarray) -> Column:
     return out
 
 
-def rate(steps: list[np.ndarray]) -> Column:
-    """The rate after the given steps: from 1, each adds posterior . y and is cut off at 0."""
-    out = F.lit(1.0)
+def lower_bound(p: Mixing) -> Column:
+    """What a rate is cut off at: `least` where a domain with a target is at least as probable as any without one, else 0."""
+    best = lambda ks: F.array_max(F.array(*(F.col("posterior")[k] for k in ks)))
+    shares = list(p.targets.values())
+    wanted, others = [k for k, s in enumerate(shares) if s > 0], [k for k, s in enumerate(shares) if s <= 0]
+    if p.least <= 0 or not wanted:
+        return F.lit(0.0)
+    return F.when(best(wanted) >= best(others), F.lit(p.least)).otherwise(F.lit(0.0)) if others else F.lit(p.least)
+
+
+def rate(steps: list[np.ndarray], bound: Column | None = None) -> Column:
+    """The rate after the given steps: from 1, each adds posterior . y and is cut off at `bound`, or 0."""
+    out, bound = F.lit(1.0), F.lit(0.0) if bound is None else bound
     for y in steps:
-        out = F.greatest(F.lit(0.0), out + _dot(y))
+        out = F.greatest(bound, out + _dot(y))
     return out
 
 
@@ -175,7 +191,7 @@ def fit_rates(table: DataFrame, p: Mixing) -> tuple[list[np.ndarray], np.ndarray
     steps: list[np.ndarray] = []
     while len(steps) < p.rounds and np.abs(now - wanted).sum() > p.tolerance * max(1.0, wanted.sum()):
         steps.append(inverse @ (wanted - now))
-        sums = table.select((rate(steps) * tokens).alias("t"), "posterior").agg(*(F.sum(F.col("t") * F.col("posterior")[k]).alias(f"s{k}") for k in range(d))).first()
+        sums = table.select((rate(steps, lower_bound(p)) * tokens).alias("t"), "posterior").agg(*(F.sum(F.col("t") * F.col("posterior")[k]).alias(f"s{k}") for k in range(d))).first()
         now = np.array([sums[f"s{k}"] for k in range(d)])
     return steps, now, wanted
 
@@ -200,7 +216,7 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Mixing
     if table is None:
         nothing = [F.lit(None).cast("double").alias(f"p_{name}") for name in p.targets]
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("tokens"), F.lit(1.0).alias("rate"), *nothing)
-    return table.select("doc_id", "tokens", rate(steps).alias("rate"), *(F.col("posterior")[k].alias(f"p_{name}") for k, name in enumerate(p.targets)))
+    return table.select("doc_id", "tokens", rate(steps, lower_bound(p)).alias("rate"), *(F.col("posterior")[k].alias(f"p_{name}") for k, name in enumerate(p.targets)))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Mixing | None = None) -> DataFrame:
@@ -215,7 +231,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, par
         return docs
     chance = F.pmod(F.xxhash64(F.col("id"), F.lit(p.seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     # a rate just below a whole number is that number
-    times = F.floor(rate(steps) + F.lit(1e-6) + chance).cast("int")
+    times = F.floor(rate(steps, lower_bound(p)) + F.lit(1e-6) + chance).cast("int")
     counts = table.withColumnRenamed("doc_id", "id").select("id", times.alias("times_")).groupBy("id").agg(F.round(F.avg("times_")).cast("int").alias("times_"))
     joined = docs.join(counts, docs["doc_id"].cast("long").eqNullSafe(counts["id"])).filter("times_ > 0")
     return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*[docs[c] for c in docs.columns])

@@ -41,3 +41,21 @@ def test_stages(spark, sf_dir):
     assert not any("@" in (r.text or "") for r in seen[2])
     got = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in got.collect()} == tokens and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_mixture_keeps_wanted_documents(spark, make_docs, tmp_path):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    word = lambda a: "".join(rng.choice(a) for _ in range(5))
+    alphabets = {"en": "abcdef", "de": "cdefgh", "fr": "efghij", "es": "ghijkl"}
+    lang = [list(alphabets)[k % 4] for k in range(200)]
+    docs = make_docs([" ".join(word(alphabets[x]) for _ in range(20)) for x in lang] + [(200 + k, " ".join(word("abcdef") for _ in range(20))) for k in range(2)])
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") >= 200, "en").otherwise(F.element_at(F.array(*map(F.lit, alphabets)), (F.col("doc_id") % 4 + 1).cast("int"))))
+    # of many low rows an earlier stage has left two, which read like the good ones
+    labels = [(k, 1) for k in range(0, 200, 2)] + [(k, 0) for k in range(200, 1200)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.mixture(spark, docs, str(tmp_path)).collect()}
+    assert kept >= {*range(200)}
