@@ -76,6 +76,26 @@ def mod97(iban: str) -> bool:
 
 Span = tuple[str, int, int, float]
 
+_WORD = re.compile(r"[A-Z0-9]+")
+#: after a word that is no IBAN the next one may start one
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of IBANs: of each proposal the longest end at a word's border that mod 97 confirms."""
+    at = 0
+    while start := _IBAN_START.search(text, at):
+        at = start.end()
+        m = _IBAN.match(text, start.start())
+        if not m:
+            continue
+        for end in sorted((w.end() for w in _WORD.finditer(text, m.start(), m.end())), reverse=True):
+            iban = text[m.start() : end].replace(" ", "")
+            if 15 <= len(iban) <= 34 and mod97(iban):
+                yield m.start(), end
+                at = end
+                break
+
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     done, at = 0, text.find("@")
@@ -128,11 +148,15 @@ def _random_looking(word: str) -> bool:
     return sum(kinds) >= 3 and len(word) - sum(kinds) >= 3 and sum(x != y for x, y in zip(kinds, kinds[1:], strict=False)) >= 3
 
 
-_MORE: dict[str, tuple[re.Pattern, Callable[[str], bool]]] = {
-    "iban": (_IBAN, lambda m: 15 <= len(x := m.replace(" ", "")) <= 34 and mod97(x)),
-    "short_card": (_DIGITS, lambda m: 13 <= len(d := _digits(m)) <= 15 and luhn(d)),
-    "local_phone": (_LOCAL_PHONE, lambda m: True),
-    "secret": (_SECRET, _random_looking),
+def _confirmed(pattern: re.Pattern, confirms: Callable[[str], bool]) -> Callable[[str], Iterator[tuple[int, int]]]:
+    return lambda text: (m.span() for m in pattern.finditer(text) if confirms(m.group()))
+
+
+_MORE: dict[str, Callable[[str], Iterator[tuple[int, int]]]] = {
+    "iban": _ibans,
+    "short_card": _confirmed(_DIGITS, lambda m: 13 <= len(d := _digits(m)) <= 15 and luhn(d)),
+    "local_phone": _confirmed(_LOCAL_PHONE, lambda m: True),
+    "secret": _confirmed(_SECRET, _random_looking),
 }
 
 
@@ -143,12 +167,11 @@ def find(text: str, rules: PiiRules) -> list[Span]:
     if not any(c in text for c in "0123456789"):
         return out
     taken = sorted((a, b) for _, a, b, _ in out)
-    for kind, (pattern, confirms) in _MORE.items():
+    for kind, proposals in _MORE.items():
         starts, ends = np.array([a for a, _ in taken]), np.array([b for _, b in taken])
         fresh = []
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if not confirms(m.group()) or (len(taken) and ((starts < b) & (ends > a)).any()):
+        for a, b in proposals(text):
+            if len(taken) and ((starts < b) & (ends > a)).any():
                 continue
             if (score := _score(kind, text, a, b, rules)) >= rules.threshold:
                 fresh.append((a, b))

@@ -73,3 +73,19 @@ def test_query(spark, make_docs):
         counts = [len(v) for v in plain(t or "").values()]
         want.append((i, *counts, hashlib.sha256(",".join(spans).encode()).hexdigest(), ",".join(spans)))
     assert got == sorted(want, key=str)
+
+
+@pytest.mark.parametrize(
+    ("text", "iban"),
+    [
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00"),
+        ("DE89370400440532013000 2024 paid", "DE89370400440532013000"),
+        ("GB82WEST12345698765432 I paid", "GB82WEST12345698765432"),
+        ("AB12 DE89370400440532013000 OK", "DE89370400440532013000"),
+        ("pay GB82WEST12345698765432 OR DE89370400440532013000 NOW", None),
+        ("GB82WEST12345698765433 I paid", ""),
+    ],
+)
+def test_iban_before_upper_case_words(text, iban):
+    got = [text[a:b] for k, a, b, _ in pii.find(text, pii.PiiRules()) if k == "iban"]
+    assert got == (["GB82WEST12345698765432", "DE89370400440532013000"] if iban is None else [iban] if iban else [])
