@@ -27,7 +27,9 @@ class Severity:
     `sample` bounds the labelled rows of each class that the model is fitted on, `features`
     the words and beginnings (of `prefix` bytes) it uses, those that part the classes best
     (by likelihood ratio, which must reach `evidence`) and occur in `least_docs` sampled documents. Labels say toxic or not; toxic rows are
-    graded 1 to `grades` - 1 by how many of the words typical of toxic rows they hold.
+    graded 1 to `grades` - 1 by how many of the words typical of toxic rows they hold. The cut that makes
+    a row toxic is the largest, a half at most, that catches `recall` of the toxic rows left out in `folds`-fold
+    cross-validation, or where that takes more than `false_positives` of the clean rows, the least that doesn't.
     """
 
     sample: int = 6000
@@ -38,6 +40,9 @@ class Severity:
     grades: int = 4
     l2: float = 1e-4
     steps: int = 400
+    recall: float = 0.97
+    false_positives: float = 0.01
+    folds: int = 4
     batch_rows: int = 256
 
 
@@ -70,11 +75,12 @@ def _features(docs: DataFrame, p: Severity) -> DataFrame:
 
 @dataclass
 class Model:
-    """Sorted feature hashes with weights, and the thresholds."""
+    """Sorted feature hashes with weights, the thresholds, and the cut of P(grade > 0)."""
 
     features: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = 0.5
 
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > g) for each score and threshold."""
@@ -108,6 +114,39 @@ def fit_cumulative(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades:
     return w.astype(np.float64), np.cumsum(gaps).astype(np.float64)
 
 
+def decision_cut(probability: np.ndarray, toxic: np.ndarray, recall: float, false_positives: float) -> float:
+    """The largest cut up to a half that catches `recall` of the toxic rows, or the least within `false_positives` of the clean ones."""
+    hits, misses = np.sort(probability[toxic])[::-1], np.sort(probability[~toxic])[::-1]
+    if not len(hits) or not len(misses):
+        return 0.5
+    wanted = hits[max(0, int(np.ceil(recall * len(hits))) - 1)]
+    # rows may score like the first clean one that is too many only if they are above it
+    allowed = int(false_positives * len(misses))
+    least = np.nextafter(misses[allowed], 1.0) if allowed < len(misses) else 0.0
+    return float(min(0.5, max(wanted, least)))
+
+
+def _surprise(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Likelihood ratio of features held by `a` toxic and `b` clean rows, where `share` of the rows are toxic."""
+    part = lambda n, s: np.where(n > 0, n * np.log(np.maximum(n, 1) / np.maximum((a + b) * s, 1e-300)), 0.0)
+    return 2 * (part(a, share) + part(b, 1 - share))
+
+
+def cross_validated(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, fold: np.ndarray, p: Severity) -> tuple[np.ndarray, np.ndarray]:
+    """P(grade > 0) of each row by a model whose features and weights come from the other folds, and which rows have one."""
+    probability, known, toxic = np.zeros(len(x)), np.zeros(len(x), dtype=bool), grade > 0
+    for k in range(p.folds):
+        own, rest = fold == k, fold != k
+        if not own.any() or not toxic[rest].any() or toxic[rest].all():
+            continue
+        a, b = x[rest & toxic].sum(axis=0, dtype=np.float64), x[rest & ~toxic].sum(axis=0, dtype=np.float64)
+        used = (a + b >= p.least_docs) & (_surprise(a, b, toxic[rest].mean()) >= p.evidence)
+        w, thresholds = fit_cumulative(x[np.ix_(rest, used)], grade[rest], weight[rest], p.grades, p.l2, p.steps)
+        probability[own] = Model(np.empty(0), w, thresholds).probabilities(x[np.ix_(own, used)] @ w)[:, 0]
+        known |= own
+    return probability, known
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Severity) -> Model | None:
     """The model, from a bounded labelled sample; None where the labels or texts leave nothing to fit.
 
@@ -137,7 +176,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Severity) ->
     wanted = spark.createDataFrame([(f, k) for f, k in order.items()], "feature long, at int")
     # for each sampled document the places of its features, at most as many as `features`
     held = rows.join(F.broadcast(wanted), "feature").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-    known = some.select(F.col("id").alias("doc_id"), "label").distinct().join(held, "doc_id", "left").toPandas()
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(p.folds)).cast("int")
+    known = some.select(F.col("id").alias("doc_id"), "label").distinct().join(held, "doc_id", "left").withColumn("fold", fold).toPandas()
     label = known["label"].to_numpy()
     x = np.zeros((len(known), len(features)), dtype=np.float32)
     for k, at in enumerate(known["at"]):
@@ -150,14 +190,15 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Severity) ->
         grade += (label == 1) & (severe > c)
     weight = np.where(label == 1, totals[1] / max(1, (label == 1).sum()), totals[0] / max(1, (label == 0).sum()))
     w, thresholds = fit_cumulative(x, grade, weight, p.grades, p.l2, p.steps)
-    return Model(features, w, thresholds)
+    probability, seen = cross_validated(x, grade, weight, known["fold"].to_numpy(), p)
+    return Model(features, w, thresholds, decision_cut(probability[seen], label[seen] == 1, p.recall, p.false_positives))
 
 
 def severity(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Severity | None = None) -> DataFrame:
     """(doc_id, p_toxic, expected_severity, grade, toxic) for each row of `docs` (doc_id, text).
 
-    p_toxic is P(grade > 0), toxic whether it is at least a half, grade how many thresholds are passed
-    with at least a half. `labels`: doc_id, toxic. Null text has no features. Where there
+    p_toxic is P(grade > 0), toxic whether it reaches the cut chosen by cross-validation, grade how many thresholds
+    are passed with at least a half, and 1 at least for toxic rows. `labels`: doc_id, toxic. Null text has no features. Where there
     is nothing to fit on, all four are null.
     """
     p = params or Severity()
@@ -183,8 +224,10 @@ def severity(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Se
                 pairs = np.unique(owner[hit] * len(known.features) + where[hit])
                 scores = np.bincount(pairs // len(known.features), weights=known.weights[pairs % len(known.features)], minlength=part.num_rows)
                 above = known.probabilities(scores)
+                toxic = above[:, 0] >= known.cut
+                grade = np.maximum((above >= 0.5).sum(axis=1), toxic)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(above[:, 0]), pa.array(above.sum(axis=1)), pa.array((above >= 0.5).sum(axis=1).astype(np.int32)), pa.array(above[:, 0] >= 0.5)],
+                    [part.column(0), pa.array(above[:, 0]), pa.array(above.sum(axis=1)), pa.array(grade.astype(np.int32)), pa.array(toxic)],
                     names=["doc_id", "p_toxic", "expected_severity", "grade", "toxic"],
                 )
 

@@ -156,3 +156,18 @@ def test_copies_follow_rates(spark, make_docs):
     assert out.columns == docs.columns
     n = {r["lang"]: r["n"] for r in out.filter("text <> ''").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     assert 0.8 < n["de"] / n["en"] < 1.25 and n["en"] >= 145
+
+
+def test_decision_cut():
+    cut = lambda hits, misses, recall, fp: toxicity.decision_cut(np.array(hits + misses), np.arange(len(hits) + len(misses)) < len(hits), recall, fp)
+    assert cut([0.9, 0.8, 0.3, 0.2], [0.1, 0.05], 0.75, 0.0) == 0.3 and cut([0.9, 0.8], [0.1], 1.0, 0.0) == 0.5
+    assert 0.25 < cut([0.9, 0.3, 0.2], [0.25, 0.1], 1.0, 0.0) < 0.3 and cut([0.9, 0.3, 0.2], [0.25, 0.1], 1.0, 0.5) == 0.2
+    assert cut([], [0.3], 1.0, 0.0) == cut([0.3], [], 1.0, 0.0) == 0.5
+
+
+def test_cut_catches_held_out_toxic_rows(spark):
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    held = read("labels").filter("doc_id % 2 = 1").select("doc_id", F.col("toxic").alias("said")).distinct()
+    got = toxicity.severity(spark, read("documents"), read("labels").filter("doc_id % 2 = 0")).join(held, "doc_id").toPandas()
+    assert got["toxic"][got["said"] == 1].mean() > 0.9 and got["toxic"][got["said"] == 0].mean() < 0.015
+    assert ((got["grade"] > 0) == got["toxic"]).all()
