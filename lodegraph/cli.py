@@ -5,18 +5,22 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import traceback
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from lodegraph.plans import coverage, extract, report
+from lodegraph.plans.lineage import cut
 from lodegraph.sources import files
 
-VERSION = "0.1.0"
+#: Set where a release is built.
+VERSION, COMMIT, DATE = "0.2.0", os.environ.get("LODEGRAPH_COMMIT", "none"), os.environ.get("LODEGRAPH_DATE", "unknown")
 
 
 def _map(args: argparse.Namespace, spark: SparkSession) -> int:
     scan = files.scan_shared if args.shared else files.scan_local
-    g = report.Graph.of(extract.Registry(owner=args.owner).gather(scan(spark, args.roots)), args.roots)
+    registry = extract.Registry(owner=args.owner, symbol_db=args.symbol_db, root_qualified=args.root_qualified)
+    g = report.Graph.of(registry.gather(scan(spark, args.roots, files.MAP)), args.roots)
     if args.format == "json":
         text = report.map_json(g)
     elif args.format == "md":
@@ -32,21 +36,28 @@ def docs_folder(source: str) -> str | None:
     return next((os.path.join(source, d) for d in ("docs", "doc") if os.path.isdir(os.path.join(source, d))), None)
 
 
-def verify(spark: SparkSession, source: str, docs: str | None = None, html_docs: str | None = None, fuzzy: float = coverage.DEFAULT_THRESHOLD, exported_only: bool = True) -> coverage.Coverage:
-    """Coverage of the Go code in `source` by Markdown in its docs folder and in itself, and by HTML pages if given."""
-    tree = files.scan_local(spark, [source])
-    docs = docs or docs_folder(source)
-    claims = [extract.doc_refs(files.scan_local(spark, [docs]))] if docs else []
-    claims.append(extract.doc_refs(tree))
+def verify(spark: SparkSession, source: str, docs: str | None = None, html_docs: str | None = None, fuzzy: float = coverage.DEFAULT_THRESHOLD, exported_only: bool = True, shared: bool = False) -> coverage.Coverage:
+    """Coverage of the Go code in `source` by Markdown in its docs folder and in itself, and by HTML pages if given.
+
+    `shared`: the folders are on storage that executors read; then `docs` has to be named.
+    """
+
+    def tree(folder: str) -> DataFrame:
+        return cut((files.scan_shared if shared else files.scan_local)(spark, [folder if shared else os.path.abspath(folder)], files.VERIFY))
+
+    code = tree(source)
+    docs = docs or (None if shared else docs_folder(source))
+    claims = [extract.doc_refs(tree(docs))] if docs else []
+    claims.append(extract.doc_refs(code))
     if html_docs:
-        claims.append(extract.doc_refs(files.scan_local(spark, [html_docs]), html_pages=True))
-    return coverage.compute(extract.entities(tree, exported_only), coverage.merge_refs(*claims), fuzzy)
+        claims.append(extract.doc_refs(tree(html_docs), html_pages=True))
+    return coverage.compute(extract.entities(code, exported_only), coverage.merge_refs(*claims), fuzzy)
 
 
 def _verify(args: argparse.Namespace, spark: SparkSession) -> int:
     if args.verifier != "source":
         raise ValueError("entities of a symbol database are not available; use --verifier source")
-    c = verify(spark, args.source, args.docs, args.html_docs, args.fuzzy, args.exported_only)
+    c = verify(spark, args.source, args.docs, args.html_docs, args.fuzzy, args.exported_only, args.shared)
     sys.stdout.write(report.coverage_json(c) if args.format == "json" else report.coverage_text(c, args.verbose))
     coverage.gate(c, args.max_uncovered if args.max_uncovered >= 0 else None, args.threshold)
     return 0
@@ -65,6 +76,9 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--group", choices=("repo", "artifact"), default="repo")
     m.add_argument("--owner", default=None, help="what github.repository_owner stands for")
     m.add_argument("--shared", action="store_true", help="the roots are on storage that executors read")
+    m.add_argument("--symbol-db", default=None, help="a symbol database to take symbols from instead of Go sources")
+    m.add_argument("--root-qualified", action="store_true", help="name every file with its root")
+    m.add_argument("-v", "--verbose", action="store_true", help="show where an error came from")
     v = sub.add_parser("verify", help="exported code that documentation mentions")
     v.add_argument("--source", default=".")
     v.add_argument("--docs", default=None)
@@ -74,6 +88,7 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--format", default="text")
     v.add_argument("--exported-only", type=_flag, default=True)
     v.add_argument("-v", "--verbose", action="store_true")
+    v.add_argument("--shared", action="store_true", help="the folders are on storage that executors read")
     v.add_argument("--max-uncovered", type=int, default=-1)
     v.add_argument("--verifier", choices=("source", "symbol-db"), default="source")
     sub.add_parser("version")
@@ -84,12 +99,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     """Runs a command; 2 on any error, the gate's too."""
     args = parser().parse_args(argv)
     if args.command == "version":
-        print(f"lodegraph {VERSION}")
+        print(f"lodegraph {VERSION} ({COMMIT}) built {DATE}")
         return 0
     session = spark or SparkSession.builder.appName("lodegraph").getOrCreate()
     try:
         return (_map if args.command == "map" else _verify)(args, session)
     except Exception as e:
+        if args.verbose:
+            traceback.print_exc()
         print(f"error: {e}", file=sys.stderr)
         return 2
 

@@ -6,21 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodegraph import schema
+from lodegraph.functions.text import stripped
 
 #: Hosts whose first three path segments name a repository.
 REPO_HOSTS = ("github.com", "gitlab.com", "bitbucket.org")
 DEFAULT_REGISTRY, OFFICIAL = "docker.io", "library"
 
 
-def trimmed(c: Column) -> Column:
-    """Without white space of any script at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
-def valid_kind(kind: Column) -> Column:
-    return kind.isin(*schema.KINDS)
-
-
 def _after(c: Column, mark: str) -> Column:
     """What follows the first `mark`; empty without."""
     return F.regexp_extract(c, f"(?s)^[^{mark}]*{mark}(.*)$", 1)
@@ -50,19 +42,19 @@ def _is_host(first: Column) -> Column:
 
 def normalized_image(raw: Column) -> Column:
     """registry/repository of an image reference without tag and digest, with the default registry and namespace filled in."""
-    ref = without_tag(F.substring_index(trimmed(raw), "@", 1))
+    ref = without_tag(F.substring_index(stripped(raw), "@", 1))
     first = F.substring_index(ref, "/", 1)
     hosted = F.contains(ref, F.lit("/")) & _is_host(first)
     registry = F.lower(F.when(hosted, first).otherwise(F.lit(DEFAULT_REGISTRY)))
     repository = F.when(hosted, _after(ref, "/")).otherwise(ref)
     official = (registry == DEFAULT_REGISTRY) & ~F.contains(repository, F.lit("/"))
     full = F.concat(registry, F.lit("/"), F.when(official, F.concat(F.lit(f"{OFFICIAL}/"), repository)).otherwise(repository))
-    return F.when(trimmed(raw) == "", F.lit("")).otherwise(full)
+    return F.when(stripped(raw) == "", F.lit("")).otherwise(full)
 
 
 def workflow_image(raw: Column) -> Column:
     """An image reference of a workflow, host in lower case, without tag and digest; null where it isn't one with a host."""
-    ref = trimmed(raw)
+    ref = stripped(raw)
     repo = without_tag(F.substring_index(ref, "@", 1))
     host = F.substring_index(repo, "/", 1)
     fits = (ref != "") & ~ref.rlike("[ \\t]") & F.contains(repo, F.lit("/")) & _is_host(host)
@@ -77,7 +69,7 @@ def owning_repo(path: Column) -> Column:
 
 def module_refs(path: Column) -> Column:
     """A module path and, where it differs, its owning repository; none for an empty path."""
-    p = trimmed(path)
+    p = stripped(path)
     return F.when(p == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(p, owning_repo(p)))))
 
 
@@ -93,9 +85,5 @@ def kind_node_id(kind: Column) -> Column:
     return F.concat(F.lit("k"), F.substring(F.sha1(F.concat(F.lit("kind:"), kind)), 1, 8))
 
 
-def repo_node_id(label: Column) -> Column:
-    return F.concat(F.lit("r"), F.substring(F.sha1(F.concat(F.lit("repo:"), label)), 1, 12))
-
-
 def provenance(file: Column, line: Column) -> Column:
     return F.when(line > 0, F.concat_ws(":", file, line.cast("string"))).otherwise(file)

@@ -10,6 +10,15 @@ DELIMITERS = r"[._\- /:()]+"
 BORDERS = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{L})(?=\p{Nd})|(?<=\p{Nd})(?=\p{L})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
 
 
+#: White space of any script.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(c: Column | str) -> Column:
+    """Without white space, tabs too, at either end."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def tokens(c: Column) -> Column:
     """Lower-case tokens in order."""
     return F.transform(F.filter(F.split(c, f"{DELIMITERS}|{BORDERS}"), lambda t: t != ""), F.lower)
@@ -29,7 +38,7 @@ def trigrams(c: Column) -> Column:
 
 def normalized_ref(c: Column) -> Column:
     """Trimmed, without one trailing pair of parentheses."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), r"\(\)$", "")
+    return F.regexp_replace(stripped(c), r"\(\)\z", "")
 
 
 def looks_like_identifier(c: Column) -> Column:
@@ -53,7 +62,3 @@ def jaccard(common: Column, a: Column, b: Column) -> Column:
 
 def dice(common: Column, a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), 2.0 * common / (a + b)).otherwise(F.lit(0.0))
-
-
-def plural(n: Column, one: str, many: str) -> Column:
-    return F.when(n == 1, F.lit(one)).otherwise(F.lit(many))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph import schema
+from lodegraph.functions.text import stripped
+from lodegraph.operators.parsing import earliest
 
 #: a quoted string, or a comment
 _COMMENT = r'^((?:[^"#]|"[^"]*")*+)#.*$'
@@ -18,7 +20,7 @@ def fields(lines: DataFrame) -> DataFrame:
     Files without a line that begins a const are left out.
     """
     bare = lines.withColumn("bare", F.regexp_replace("text", _COMMENT, "$1"))
-    has = bare.filter(F.trim(F.col("bare")).rlike("^const( |$)")).select("root", "file").distinct()
+    has = bare.filter(stripped("bare").rlike("^const( |$)")).select("root", "file").distinct()
     kept = bare.join(has, ["root", "file"], "left_semi")
     found = F.arrays_zip(F.regexp_extract_all("bare", F.lit(_FIELD), 1).alias("key"), F.regexp_extract_all("bare", F.lit(_FIELD), 2).alias("value"))
     return kept.select("root", "file", "line", F.posexplode(found).alias("pos", "f")).select("root", "file", "line", "pos", F.col("f.key").alias("key"), F.col("f.value").alias("value")).filter("key <> ''")
@@ -42,5 +44,4 @@ def facts(lines: DataFrame) -> DataFrame:
     kind = F.when(F.col("key") == "image", F.lit(schema.IMAGE)).otherwise(F.lit(schema.SERVICE))
     used = found.filter(F.col("key").isin("service", "to", "image")).select(F.lit(schema.CONSUMER).alias("role"), "root", kind.alias("kind"), F.col("value").alias("ref"), "file", "line")
     made = pending_names(found, ["root", "file"]).select(F.lit(schema.PRODUCER).alias("role"), "root", F.lit(schema.SERVICE).alias("kind"), F.col("value").alias("ref"), "file", "line")
-    both = used.unionByName(made).withColumn("ref", F.trim("ref")).filter("ref <> ''")
-    return both.groupBy("role", "root", "kind", "ref", "file").agg(F.min("line").alias("line"))
+    return earliest(used.unionByName(made))

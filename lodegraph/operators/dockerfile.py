@@ -1,75 +1,172 @@
-"""Dockerfile facts: continued lines are joined and stages numbered by running windows."""
+"""Dockerfile facts: a small helper reads a file's instructions, stages and references are told apart by joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph import schema
 from lodegraph.functions.identity import normalized_image
+from lodegraph.operators.parsing import fact, failures, per_file
+from lodegraph.plans.lineage import cut
 
 #: Build arguments that are there without being declared, empty here.
 PLATFORM_ARGS = ("TARGETPLATFORM", "TARGETOS", "TARGETARCH", "TARGETVARIANT", "BUILDPLATFORM", "BUILDOS", "BUILDARCH", "BUILDVARIANT")
+#: The instructions that there are, and those that here-documents may follow.
+VERBS = ("ADD", "ARG", "CMD", "COPY", "ENTRYPOINT", "ENV", "EXPOSE", "FROM", "HEALTHCHECK", "LABEL", "MAINTAINER", "ONBUILD", "RUN", "SHELL", "STOPSIGNAL", "USER", "VOLUME", "WORKDIR")
+HERE_DOCUMENTS = ("ADD", "COPY", "RUN")
 FILE_NAME = r"^(Dockerfile|Containerfile|Dockerfile\..*|.*\.Dockerfile)$"
 
+_DIRECTIVE = re.compile(r"^#\s*([A-Za-z][A-Za-z0-9]*)\s*=\s*(.+?)\s*$")
+_HERE = re.compile(r"""(?:^|\s)\d*<<(-?)(["']?)([A-Za-z0-9_.]+)\2(?=\s|$)""")
+_ARG = re.compile(r"""([A-Za-z_][A-Za-z0-9_]*)(=("[^"]*"|'[^']*'|[^\s"']*))?""")
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*|[0-9@*#?]")
+
+
+def instructions(content: str) -> list[tuple[int, str, str]]:
+    """(line, verb in upper case, rest) of each instruction, its continued lines joined, here-documents left out."""
+    lines = [x.rstrip("\r") for x in content.split("\n")]
+    escape = "\\"
+    for text in lines:
+        found = _DIRECTIVE.match(text)
+        if not found:
+            break
+        if found[1].lower() == "escape":
+            if found[2] not in ("\\", "`"):
+                raise ValueError(f"escape is neither \\ nor `: {found[2]}")
+            escape = found[2]
+    more = re.compile(rf"(?<!{re.escape(escape)}){re.escape(escape)}[ \t]*$")
+    out: list[tuple[int, str, str]] = []
+    held, start, at = "", 0, 0
+    while at < len(lines):
+        text = lines[at]
+        at += 1
+        last = not any(x.strip() for x in lines[at:]) if more.search(text) else False
+        if re.match(r"\s*(#|$)", text):
+            continue
+        start = start or at
+        held += more.sub("", text)
+        if more.search(text) and not last:
+            continue
+        verb, rest = re.match(r"(\S*)\s*(.*)$", held.strip(), re.S).groups()
+        out.append((start, verb.upper(), rest))
+        held, start = "", 0
+        for dash, _, name in _HERE.findall(rest) if verb.upper() in HERE_DOCUMENTS else ():
+            while at < len(lines) and (lines[at].lstrip("\t") if dash else lines[at]) != name:
+                at += 1
+            if at == len(lines):
+                raise ValueError(f"unterminated here-document {name}")
+            at += 1
+    return out
+
+
+class _Unreadable(ValueError):
+    pass
+
+
+def expand(word: str, args: dict[str, str]) -> str:
+    """`word` with $NAME, ${NAME} and the forms :-, -, :+, +, :? and ? filled in from `args`, nested ones too, and quotes removed.
+
+    What no argument names is empty. A word that can't be read, or whose ? form fails, stays as it is.
+    """
+    if "$" not in word:
+        return word
+    try:
+        return _filled(word, 0, "", args)[0]
+    except _Unreadable:
+        return word
+
 
-def instructions(lines: DataFrame) -> DataFrame:
-    """(root, file, line, verb, rest): instructions with their continued lines, comment and empty lines left out; verb in upper case."""
-    text = lines.filter("not text rlike '^\\\\s*(#|$)'")
-    more = F.col("text").rlike(r"\\\s*$")
-    w = Window.partitionBy("root", "file").orderBy("line")
-    # a line after one that is not continued starts an instruction
-    start = F.when(F.coalesce(F.lag(more).over(w), F.lit(False)), F.lit(None)).otherwise(F.col("line"))
-    begun = text.withColumn("more", more).withColumn("own", start)
-    begun = begun.withColumn("start", F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    part = F.struct("line", F.regexp_replace("text", r"\\\s*$", " ").alias("t"))
-    whole = begun.groupBy("root", "file", F.col("start").alias("line")).agg(F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["t"]), "")).alias("all"))
-    return whole.select("root", "file", "line", F.upper(F.regexp_extract("all", r"^(\S+)", 1)).alias("verb"), F.trim(F.regexp_replace("all", r"^\S+", "")).alias("rest"))
+def _filled(word: str, at: int, end: str, args: dict[str, str]) -> tuple[str, int]:
+    """What stands from `at` up to `end`, filled in, and the place after it."""
+    out, quoted = "", False
+    while at < len(word):
+        c = word[at]
+        if c == end and not quoted:
+            return out, at + 1
+        at += 1
+        if c == '"':
+            quoted = not quoted
+        elif c == "'" and not quoted:
+            close = word.find("'", at)
+            if close < 0:
+                raise _Unreadable
+            out, at = out + word[at:close], close + 1
+        elif c == "\\" and at < len(word):
+            out, at = out + ("\\" if quoted and word[at] not in '"$\\' else "") + word[at], at + 1
+        elif c == "$":
+            value, at = _variable(word, at, args)
+            out += value
+        else:
+            out += c
+    if end or quoted:
+        raise _Unreadable
+    return out, at
 
 
-def expand(word: Column, args: Column) -> Column:
-    """`word` with $NAME, ${NAME}, ${NAME:-default} and ${NAME:+other} filled in from `args`, an array of (name, value)."""
+def _variable(word: str, at: int, args: dict[str, str]) -> tuple[str, int]:
+    """The value of what follows a dollar sign, and the place after it."""
+    braced = word[at : at + 1] == "{"
+    name = _NAME.match(word, at + braced)
+    if not name:
+        if braced:
+            raise _Unreadable
+        return "$", at
+    value, at = args.get(name[0]), name.end()
+    if not braced:
+        return value or "", at
+    if word[at : at + 1] == "}":
+        return value or "", at + 1
+    colon = word[at : at + 1] == ":"
+    mark = word[at + colon : at + colon + 1]
+    if not mark or mark not in "-+?":
+        raise _Unreadable
+    other, at = _filled(word, at + colon + 1, "}", args)
+    there = bool(value) if colon else value is not None
+    if mark == "?" and not there:
+        raise _Unreadable
+    return (other if there else "") if mark == "+" else value or "" if there else other, at
 
-    def one(done: Column, arg: Column) -> Column:
-        name, value = arg["name"], F.regexp_replace(arg["value"], r"([\\$])", r"\\$1")
-        braced = F.concat(F.lit(r"\$\{"), name)
-        out = F.regexp_replace(done, F.concat(braced, F.lit(r"\}")), value)
-        out = F.regexp_replace(out, F.concat(braced, F.lit(r":?-([^}]*)\}")), F.when(arg["value"] == "", F.lit("$1")).otherwise(value))
-        out = F.regexp_replace(out, F.concat(braced, F.lit(r":?\+([^}]*)\}")), F.when(arg["value"] == "", F.lit("")).otherwise(F.lit("$1")))
-        return F.regexp_replace(out, F.concat(F.lit(r"\$"), name, F.lit(r"(?![A-Za-z0-9_])")), value)
 
-    known = F.aggregate(args, word, one)
-    # what no argument names is empty, but for its default
-    rest = F.regexp_replace(known, r"\$\{[A-Za-z_][A-Za-z0-9_]*:?-([^}]*)\}", "$1")
-    rest = F.regexp_replace(rest, r"\$\{[A-Za-z_][A-Za-z0-9_]*(:?\+[^}]*)?\}|\$[A-Za-z_][A-Za-z0-9_]*", "")
-    return F.when(F.contains(word, F.lit("$")), F.regexp_replace(rest, "[\"']", "")).otherwise(word)
+def references(content: str) -> list[tuple[int, str, str, str]]:
+    """(line, what, image, alias) in order: `from` with the stage's name in lower case or empty, `copy` with what it copies from."""
+    said = instructions(content)
+    if not said:
+        raise ValueError("no instructions")
+    args = dict.fromkeys(PLATFORM_ARGS, "")
+    out: list[tuple[int, str, str, str]] = []
+    for line, verb, rest in said:
+        if verb not in VERBS:
+            raise ValueError(f"line {line}: unknown instruction {verb}")
+        if verb == "ARG" and not out:
+            for name, given, value in _ARG.findall(rest):
+                args[name] = value.strip("\"'") if given else args.get(name, "")
+        elif verb == "FROM":
+            words = re.sub(r"^(--\S+\s+)+", "", rest).split()
+            if not (len(words) == 1 or (len(words) == 3 and words[1].lower() == "as")):
+                raise ValueError(f"line {line}: FROM needs an image, or an image AS a name")
+            out.append((line, "from", expand(words[0], args), words[2].lower() if len(words) == 3 else ""))
+        elif not out and verb != "ARG":
+            raise ValueError(f"line {line}: {verb} before FROM")
+        elif verb == "COPY":
+            flag = re.match(r"(?:--\S+\s+)*?--from=(\S+)", rest)
+            if flag:
+                out.append((line, "copy", expand(flag[1], args), ""))
+    return out
 
 
-def facts(lines: DataFrame) -> DataFrame:
-    """Facts of `lines` (root, file, line, text): `file` is the path below the root and names the targets.
+def facts(files: DataFrame) -> DataFrame:
+    """Facts of Dockerfiles (root, rel, content), which name the targets, and failures of those that can't be read.
 
     External base images and copy sources are consumed, named stages and the last one produced.
     """
-    said = instructions(lines)
-    w = Window.partitionBy("root", "file").orderBy("line")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    staged = said.withColumn("stage", F.count_if(F.col("verb") == "FROM").over(upto))
-    pairs = F.regexp_extract_all("rest", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)(?:=(\"[^\"]*\"|'[^']*'|[^\s\"']*))?"), 1)
-    values = F.regexp_extract_all("rest", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)(?:=(\"[^\"]*\"|'[^']*'|[^\s\"']*))?"), 2)
-    given = staged.filter("verb = 'ARG' and stage = 0").select("root", "file", "line", F.explode(F.arrays_zip(pairs.alias("name"), values.alias("value"))).alias("a"))
-    plain = given.select("root", "file", "line", "a.name", F.regexp_replace("a.value", "^[\"']|[\"']$", "").alias("value"))
-    last = plain.groupBy("root", "file", "name").agg(F.max_by("value", F.struct(F.col("value") != "", "line")).alias("value"))
-    args = last.groupBy("root", "file").agg(F.collect_list(F.struct("name", "value")).alias("args"))
-    none = F.array(*(F.struct(F.lit(a).alias("name"), F.lit("").alias("value")) for a in PLATFORM_ARGS))
-    known = staged.join(args, ["root", "file"], "left").withColumn("args", F.concat(F.coalesce("args", F.array_except(none, none)), none))
-    bare = F.regexp_replace("rest", r"^(--\S+\s+)+", "")
-    froms = known.filter("verb = 'FROM'").select(
-        "root", "file", "line", "stage", expand(F.regexp_extract(bare, r"^(\S+)", 1), F.col("args")).alias("image"), F.lower(F.regexp_extract(bare, r"(?i)^\S+\s+as\s+(\S+)", 1)).alias("alias")
-    )
-    copies = known.filter("verb = 'COPY' and stage > 0").select("root", "file", "line", expand(F.regexp_extract("rest", r"(?:^|\s)--from=(\S+)", 1), F.col("args")).alias("image"))
-    aliases = froms.filter("alias <> ''").select("root", "file", F.col("alias").alias("local")).distinct()
-    refs = froms.select("root", "file", "line", "image").unionByName(copies).filter("image <> '' and not image rlike '^[0-9]+$'").withColumn("local", F.lower("image"))
-    used = refs.join(aliases, ["root", "file", "local"], "left_anti").select(F.lit(schema.CONSUMER).alias("role"), "root", F.lit(schema.IMAGE).alias("kind"), normalized_image(F.col("image")).alias("ref"), "file", "line")
-    named = froms.filter("alias <> ''").select(F.lit(schema.PRODUCER).alias("role"), "root", F.lit(schema.IMAGE).alias("kind"), F.concat_ws("#", "file", "alias").alias("ref"), "file", "line")
-    final = froms.groupBy("root", "file").agg(F.max_by("line", "stage").alias("line")).select(F.lit(schema.PRODUCER).alias("role"), "root", F.lit(schema.IMAGE).alias("kind"), F.col("file").alias("ref"), "file", "line")
-    return used.unionByName(named).unionByName(final)
+    rows = cut(per_file(files, references, "line int, what string, image string, alias string"))
+    stages = rows.filter("what = 'from'")
+    aliases = stages.filter("alias <> ''").select("root", "file", F.col("alias").alias("local")).distinct()
+    refs = rows.filter("image <> '' and not image rlike '^[0-9]+$'").withColumn("local", F.lower("image"))
+    used = refs.join(aliases, ["root", "file", "local"], "left_anti").select(*fact(schema.CONSUMER, schema.IMAGE, normalized_image(F.col("image"))))
+    named = stages.filter("alias <> ''").select(*fact(schema.PRODUCER, schema.IMAGE, F.concat_ws("#", "file", "alias")))
+    final = stages.groupBy("root", "file").agg(F.max("line").alias("line")).select(*fact(schema.PRODUCER, schema.IMAGE, "file"))
+    return used.unionByName(named).unionByName(final).unionByName(failures(rows, "dockerfile"))

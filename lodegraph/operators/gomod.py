@@ -7,31 +7,58 @@ from pyspark.sql import functions as F
 
 from lodegraph import schema
 from lodegraph.functions.identity import module_refs
+from lodegraph.functions.text import stripped
+from lodegraph.operators.parsing import failures
 
 _WORD = r'(?:"[^"]*"|`[^`]*`|[^\s"`()]+)'
+#: The statements that there are.
+STATEMENTS = ("module", "go", "toolchain", "godebug", "require", "exclude", "replace", "retract", "tool", "ignore")
 
 
 def _unquoted(c):
     return F.regexp_replace(c, '^["`]|["`]$', "")
 
 
+def statements(lines: DataFrame) -> DataFrame:
+    """`lines` (root, file, line, text) with code, comment, block (the statement whose block a line stands in), verb and rest."""
+    code = stripped(F.regexp_replace("text", "//.*$", ""))
+    comment = stripped(F.regexp_replace(F.regexp_extract("text", "(//.*)$", 1), "^/+", ""))
+    marked = lines.withColumn("code", code).withColumn("comment", comment)
+    opens, closes = F.regexp_extract("code", r"^(\w+)\s*\($", 1), F.col("code") == ")"
+    w = Window.partitionBy("root", "file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    block = F.last(F.when(opens != "", opens).when(closes, F.lit("")), ignorenulls=True).over(w)
+    stated = marked.withColumn("block", F.coalesce(block, F.lit("")))
+    verb = F.when(F.col("block") != "", F.col("block")).otherwise(F.regexp_extract("code", r"^(\w+)(?:\s|$)", 1))
+    rest = F.when(F.col("block") != "", F.col("code")).otherwise(stripped(F.regexp_replace("code", r"^\w+", "")))
+    return stated.withColumn("verb", verb).withColumn("rest", rest)
+
+
+def errors(said: DataFrame) -> DataFrame:
+    """(root, file, error): the first line of each file that can't be read: an unknown statement, one without what it needs, or a block that stays open."""
+    code, rest = F.col("code"), F.col("rest")
+    plain = (code != "") & (code != ")") & ~rest.rlike(r"^\($")
+    wrong = (
+        F.when((F.col("block") == "") & (code == ")"), F.lit("unexpected )"))
+        .when((F.col("block") != "") & rest.rlike(r"^\w*\s*\($"), F.lit("block in a block"))
+        .when(plain & ~F.col("verb").isin(*STATEMENTS), F.concat(F.lit("unknown statement: "), F.substring_index("code", " ", 1)))
+        .when(plain & F.col("verb").isin("require", "exclude") & ~rest.rlike(rf"^{_WORD}\s+{_WORD}$"), F.lit("needs a module and a version"))
+        .when(plain & (F.col("verb") == "replace") & ~rest.rlike(rf"^{_WORD}(\s+{_WORD})?\s+=>\s+{_WORD}(\s+{_WORD})?$"), F.lit("needs old => new"))
+        .when(plain & (F.col("verb") == "module") & ~rest.rlike(rf"^{_WORD}$"), F.lit("needs a module path"))
+    )
+    last = F.max_by(F.when(code == ")", F.lit("")).when(rest.rlike(r"^\($"), F.col("verb")).otherwise(F.col("block")), "line")
+    found = said.withColumn("wrong", wrong).groupBy("root", "file").agg(F.min(F.when(F.col("wrong").isNotNull(), F.struct("line", "wrong"))).alias("at"), last.alias("open"), F.max("line").alias("end"))
+    said_ = F.when(F.col("at").isNotNull(), F.concat_ws(":", "file", F.col("at.line").cast("string"), F.concat(F.lit(" "), "at.wrong"))).when(F.col("open") != "", F.concat_ws(":", "file", F.col("end").cast("string"), F.lit(" block stays open")))
+    return found.select("root", "file", said_.alias("error"))
+
+
 def facts(lines: DataFrame) -> DataFrame:
-    """Facts of `lines` (root, file, line, text) of go.mod files, every mention, indirect ones too.
+    """Facts of `lines` (root, file, line, text) of go.mod files, every mention, indirect ones too, and failures of those that can't be read.
 
     The module path is produced; required modules and the left sides of replacements are
     consumed, commented replacements too unless they stand inside a block's line. Each path also
     counts for its owning repository.
     """
-    code = F.trim(F.regexp_replace("text", "//.*$", ""))
-    comment = F.trim(F.regexp_replace(F.regexp_extract("text", "(//.*)$", 1), "^/+", ""))
-    marked = lines.withColumn("code", code).withColumn("comment", comment)
-    opens, closes = F.regexp_extract("code", r"^(\w+)\s*\($", 1), F.col("code") == ")"
-    w = Window.partitionBy("root", "file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    block = F.last(F.when(opens != "", opens).when(closes, F.lit("")), ignorenulls=True).over(w)
-    stated = marked.withColumn("block", F.coalesce(block, F.lit("")))
-    verb = F.when(F.col("block") != "", F.col("block")).otherwise(F.regexp_extract("code", r"^(\w+)\s", 1))
-    rest = F.when(F.col("block") != "", F.col("code")).otherwise(F.regexp_replace("code", r"^\w+\s+", ""))
-    said = stated.withColumn("verb", verb).withColumn("rest", rest)
+    said = statements(lines)
     path = _unquoted(F.regexp_extract("rest", f"^({_WORD})", 1))
     plain = said.filter("verb in ('module', 'require', 'replace') and code <> ')' and not rest rlike '^[(]$'").select("root", "file", "line", F.when(F.col("verb") == "module", F.lit(schema.PRODUCER)).otherwise(F.lit(schema.CONSUMER)).alias("role"), path.alias("path"))
     # a comment before or after a statement counts, one beside a line in a block doesn't
@@ -39,4 +66,4 @@ def facts(lines: DataFrame) -> DataFrame:
     old = F.regexp_extract("comment", r"^replace\s+(\S+).*?=>", 1)
     commented = outside.select("root", "file", "line", F.lit(schema.CONSUMER).alias("role"), old.alias("path"))
     every = plain.unionByName(commented).filter("path <> '' and path <> '=>'")
-    return every.select("role", "root", F.lit(schema.GO_MODULE).alias("kind"), F.explode(module_refs(F.col("path"))).alias("ref"), "file", "line")
+    return every.select("role", "root", F.lit(schema.GO_MODULE).alias("kind"), F.explode(module_refs(F.col("path"))).alias("ref"), "file", "line").unionByName(failures(errors(said), "gomod"))

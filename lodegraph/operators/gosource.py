@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph import schema
-from lodegraph.functions.text import exported
+from lodegraph.functions.text import exported, stripped
+from lodegraph.operators.parsing import fact
+from lodegraph.plans.lineage import cut
 
 _LITERAL = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"?|`[^`]*`?|'(?:[^'\\\n]|\\.)*'?""", re.S)
 LINES = "root string, file string, line int, text string, code string, comment boolean"
@@ -94,25 +96,26 @@ def entities(lines: DataFrame, exported_only: bool = True) -> DataFrame:
     last_open = F.last(F.when(F.col("opens") != "", F.col("line")), ignorenulls=True).over(_before())
     placed = placed.withColumn("in_group", inside & (F.coalesce(last_close, F.lit(0)) < last_open))
     word = F.when(F.col("in_group"), F.col("group.word")).otherwise(F.regexp_extract("code", r"^\s*(type|const|var)\s+[\pL_]", 1))
-    rest = F.when(F.col("in_group"), F.trim("code")).otherwise(F.regexp_replace("code", r"^\s*(type|const|var)\s+", ""))
+    rest = F.when(F.col("in_group"), stripped("code")).otherwise(F.regexp_replace("code", r"^\s*(type|const|var)\s+", ""))
     told = placed.withColumn("word", F.coalesce(word, F.lit(""))).withColumn("rest", rest)
-    previous = F.last(F.when(~F.col("comment") & (F.trim("code") != ""), F.col("line")), ignorenulls=True).over(_before())
+    previous = F.last(F.when(~F.col("comment") & (stripped("code") != ""), F.col("line")), ignorenulls=True).over(_before())
     told = told.withColumn("previous", F.coalesce(previous, F.lit(0)))
     function = F.regexp_extract("code", r"^func\s+([\pL_][\pL\pN_]*)\s*[\[(]", 1)
     receiver = F.regexp_extract("code", r"^func\s*\(\s*(?:[\pL_][\pL\pN_]*\s+)?\*?\s*([\pL_][\pL\pN_]*)\s*\)\s*[\pL_]", 1)
     method = F.regexp_extract("code", r"^func\s*\([^)]*\)\s*([\pL_][\pL\pN_]*)\s*\(", 1)
-    keep = ("root", "file", "line", "previous")
-    parts = [
-        told.filter(function != "").select(*keep, F.lit(0).alias("pos"), F.lit("function").alias("kind"), function.alias("own"), F.lit("").alias("receiver")),
-        told.filter((receiver != "") & (method != "")).select(*keep, F.lit(0).alias("pos"), F.lit("method").alias("kind"), method.alias("own"), receiver.alias("receiver")),
-        told.filter(F.col("word") == "type").select(*keep, F.lit(0).alias("pos"), F.lit("type").alias("kind"), F.regexp_extract("rest", r"^([\pL_][\pL\pN_]*)(?!\s*=)\s*[^=\s]", 1).alias("own"), F.lit("").alias("receiver")),
-    ]
-    for go, kind in (("const", "constant"), ("var", "variable")):
-        names = F.split(F.regexp_replace(F.regexp_extract("rest", rf"^{_NAMES}", 1), r"\s", ""), ",")
-        parts.append(told.filter(F.col("word") == go).select(*keep, F.posexplode(names).alias("pos", "own"), F.lit(kind).alias("kind"), F.lit("").alias("receiver")).select(*keep, "pos", "kind", "own", "receiver"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    new_type = F.regexp_extract("rest", r"^([\pL_][\pL\pN_]*+)(?!\s*=)\s*[^=\s]", 1)
+    names = F.split(F.regexp_replace(F.regexp_extract("rest", rf"^{_NAMES}", 1), r"\s", ""), ",")
+    declared = lambda kind, own, of="", pos=0: F.struct(F.lit(kind).alias("kind"), own.alias("own"), (of if isinstance(of, Column) else F.lit(of)).alias("receiver"), (pos if isinstance(pos, Column) else F.lit(pos)).alias("pos"))
+    each = lambda kind: F.transform(names, lambda n, k: declared(kind, n, pos=k))
+    # a line declares one thing, or some names
+    decls = (
+        F.when(function != "", F.array(declared("function", function)))
+        .when((receiver != "") & (method != ""), F.array(declared("method", method, receiver)))
+        .when(F.col("word") == "type", F.array(declared("type", new_type)))
+        .when(F.col("word") == "const", each("constant"))
+        .when(F.col("word") == "var", each("variable"))
+    )
+    found = told.select("root", "file", "line", "previous", F.explode(decls).alias("d")).select("root", "file", "line", "previous", "d.*")
     found = found.filter("own <> ''").withColumn("exported", exported(F.col("own")))
     if exported_only:
         found = found.filter("exported")
@@ -132,16 +135,19 @@ def entities(lines: DataFrame, exported_only: bool = True) -> DataFrame:
 def module_paths(files: DataFrame) -> DataFrame:
     """(root, module) from each root's own go.mod."""
     own = files.filter("rel = 'go.mod'").select("root", F.explode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("text"))
-    return own.select("root", F.trim(F.regexp_extract("text", r"^\s*module (.*)$", 1)).alias("module")).filter("module <> ''").groupBy("root").agg(F.first("module").alias("module"))
+    return own.select("root", stripped(F.regexp_extract("text", r"^\s*module (.*)$", 1)).alias("module")).filter("module <> ''").groupBy("root").agg(F.first("module").alias("module"))
 
 
-def facts(files: DataFrame, exported_only: bool = True) -> DataFrame:
-    """Produced symbols and consumed imports of Go files (root, rel, name, content); tests are left out, files are named below their root."""
+def facts(files: DataFrame, exported_only: bool = True, of_dot: bool = False) -> DataFrame:
+    """Produced symbols and consumed imports of Go files (root, rel, name, content); tests are left out, files are named below their root.
+
+    A root named `.` gives imports only, unless `of_dot`.
+    """
     go = files.filter("name like '%.go' and not name like '%\\\\_test.go'")
-    lines = code_lines(go)
+    lines = cut(code_lines(go))
     folder = F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
-    owned = entities(lines, exported_only).join(module_paths(files), "root", "left")
+    owned = entities(lines if of_dot else lines.filter("root <> '.'"), exported_only).join(module_paths(files), "root", "left")
     path = F.when(F.col("module").isNull(), F.lit(None)).when(folder == "", F.col("module")).otherwise(F.concat_ws("/", "module", folder))
-    made = owned.select(F.lit(schema.PRODUCER).alias("role"), "root", F.lit(schema.GO_SYMBOL).alias("kind"), F.concat_ws(".", path, "name").alias("ref"), "file", F.lit(0).alias("line"))
-    used = imports(lines).select(F.lit(schema.CONSUMER).alias("role"), "root", F.lit(schema.GO_MODULE).alias("kind"), F.col("path").alias("ref"), "file", "line")
+    made = owned.withColumn("line", F.lit(0)).select(*fact(schema.PRODUCER, schema.GO_SYMBOL, F.concat_ws(".", path, "name")))
+    used = imports(lines).select(*fact(schema.CONSUMER, schema.GO_MODULE, "path"))
     return made.unionByName(used)

@@ -2,34 +2,72 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text
+from lodegraph.operators.parsing import per_file
 
 FILE_NAME = r"(?i)\.(html|htm)$"
-_ELEMENT = r"(?is)(<(code|tt|h[1-6])(?:\s[^>]*)?>)(.*?)</\2\s*>"
-#: Entities of which text is made.
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Elements that make a claim.
+SPANS, HEADINGS = ("code", "tt"), ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
+class _Claims(HTMLParser):
+    """Collects the text of claiming elements. Any start tag inside one goes a level down, any end tag a level up."""
+
+    def __init__(self, content: str):
+        super().__init__(convert_charrefs=True)
+        self.content, self.found, self.lines = content, [], {}
+        self.kind, self.line, self.depth, self.parts = "", 0, 0, []
+        self.feed(content)
+        self.close()
+        self.flush()
+
+    def flush(self) -> None:
+        if self.kind:
+            self.found.append((self.line, len(self.found), "".join(self.parts), self.kind))
+        self.kind, self.depth, self.parts = "", 0, []
+
+    def _claim(self, tag: str) -> None:
+        if tag in SPANS or tag in HEADINGS:
+            raw = self.get_starttag_text() or ""
+            if raw not in self.lines:
+                self.lines[raw] = self.content.count("\n", 0, max(0, self.content.find(raw))) + 1
+            self.kind, self.line = "code_span" if tag in SPANS else "heading", self.lines[raw]
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.kind:
+            self.depth += 1
+        else:
+            self._claim(tag)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        if not self.kind:
+            self._claim(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.kind and self.depth:
+            self.depth -= 1
+        else:
+            self.flush()
+
+    def handle_data(self, data: str) -> None:
+        if self.kind:
+            self.parts.append(data)
 
 
 def refs(pages: DataFrame) -> DataFrame:
-    """(root, file, line, pos, text, kind) of `pages` (root, file, html), in order by pos.
+    """(root, file, line, pos, text, kind) of `pages` (root, rel, content), in order by pos.
 
     code and tt give code spans unless they are flags, paths or have blanks; h1 to h6 give
-    headings if their text looks like an identifier. An outer element claims what is
-    in it. The line is that of the first equal start tag of the file. Comments, scripts and
-    styles don't count.
+    headings if their text looks like an identifier. An outer element claims what is in it, up to as
+    many end tags as there were start tags, so a tag without an end, such as br, makes it run on.
+    The line is that of the first equal start tag of the file.
     """
-    bare = F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    parts = [F.regexp_extract_all(bare, F.lit(_ELEMENT), k).alias(n) for k, n in ((1, "tag"), (2, "name"), (3, "inner"))]
-    each = pages.select("root", "file", "html", F.posexplode(F.arrays_zip(*parts)).alias("pos", "e"))
-    plain = F.regexp_replace("e.inner", r"(?s)<[^>]*>", "")
-    for entity, character in _ENTITIES:
-        plain = F.replace(plain, F.lit(entity), F.lit(character))
-    before = F.expr("substring(html, 1, locate(e.tag, html) - 1)")
-    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    heading = F.lower("e.name").startswith("h")
-    found = each.select("root", "file", line.alias("line"), "pos", F.regexp_replace(plain, r"(?U)^\s+|\s+$", "").alias("text"), F.when(heading, F.lit("heading")).otherwise(F.lit("code_span")).alias("kind"))
+    raw = per_file(pages, lambda content: _Claims(content).found, "line int, pos int, raw string, kind string")
+    found = raw.select("root", "file", "line", "pos", text.stripped("raw").alias("text"), "kind")
     t = F.col("text")
     return found.filter(F.when(F.col("kind") == "heading", text.looks_like_identifier(t)).otherwise((t != "") & ~text.common_non_identifier(t)))

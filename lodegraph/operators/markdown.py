@@ -1,41 +1,128 @@
-"""References in Markdown: identifier-shaped headings and code spans."""
+"""References in Markdown: identifier-shaped headings and code spans.
+
+A small helper tells a file's blocks apart and finds spans in them; what counts as a
+reference is decided on columns.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text
+from lodegraph.operators.parsing import per_file
 
 FILE_NAME = r"(?i)\.(md|markdown)$"
-_FENCE = r"^ {0,3}(```+|~~~+)"
-#: a run of backticks, and the text up to a run of the same length
-_SPAN = r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)"
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
+_HEADING = re.compile(r" {0,3}#{1,6}(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$")
+_ITEM = re.compile(r"( {0,3}(?:[-*+]|\d{1,9}[.)]))(?:( {1,4})(?=\S)| *$|\t)")
+_RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,}|=+[ \t]*)$")
+_DELIMITERS = re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+_RUN = re.compile(r"\\[\s\S]|`+")
+
+
+def spans(block: str) -> list[tuple[int, str]]:
+    """(place, content) of the code spans of a block: text between two runs of as many backticks."""
+    out, at = [], 0
+    runs = [(m.start(), m.end()) for m in re.finditer("`+", block)]
+    while found := _RUN.search(block, at):
+        at = found.end()
+        if found[0][0] == "`":
+            close = next(((a, b) for a, b in runs if a >= at and b - a == len(found[0])), None)
+            if close:
+                out.append((found.start(), block[at : close[0]]))
+                at = close[1]
+    return out
+
+
+def cells(row: str) -> list[str]:
+    """The cells of a table's row; a pipe after a backslash is part of its cell."""
+    return [c.strip() for c in re.split(r"(?<!\\)\|", row.strip().strip("|"))]
+
+
+def references(content: str) -> list[tuple[int, int, str, str]]:
+    """(line, pos, text, kind) of headings marked by # and of code spans elsewhere, in order by line and pos.
+
+    Lines in fenced and indented code blocks and in comments don't count. A span may go over lines
+    within its paragraph or item; in a table it lies in one cell.
+    """
+    out: list[tuple[int, int, str, str]] = []
+    lines = [x.rstrip("\r") for x in content.split("\n")]
+    held: list[str] = []
+    begun, fence, comment, table, indent, blank = 0, "", False, False, 0, True
+
+    def flush() -> None:
+        block = "\n".join(held)
+        if "`" in block:
+            out.extend((begun + block.count("\n", 0, at), k, code, "code_span") for k, (at, code) in enumerate(spans(block)))
+        held.clear()
+
+    for number, raw in enumerate(lines, 1):
+        line = re.sub(r"^(?: {0,3}> ?)+", "", raw)
+        if comment:
+            comment = "-->" not in line
+            continue
+        own = line[indent:] if not line[:indent].strip() else line
+        mark = _FENCE.match(own)
+        if fence:
+            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not mark[2].strip():
+                fence = ""
+            continue
+        if not line.strip():
+            flush()
+            blank, table = True, False
+            continue
+        if line[:indent].strip():  # back out of the item
+            indent, own, mark = 0, line, _FENCE.match(line)
+        if mark and not (mark[1][0] == "`" and "`" in mark[2]):
+            flush()
+            fence, table, blank = mark[1], False, True
+            continue
+        if not held and blank and re.match(r"(?: {4}| {0,3}\t)", own):
+            continue
+        if re.match(r" {0,3}<!--", own) and not held:
+            comment = "-->" not in own
+            continue
+        heading = _HEADING.match(own)
+        if heading:
+            flush()
+            out.append((number, 0, (heading[1] or "").strip(), "heading"))
+            blank, table = True, False
+            continue
+        if held and not table and "|" in own and "-" in own and _DELIMITERS.match(own) and len(cells(own)) == len(cells(held[-1])):
+            top = held.pop()
+            flush()
+            out.extend((number - 1, k, code, "code_span") for k, code in enumerate(c for cell in cells(top) for _, c in spans(cell)))
+            table = True
+            continue
+        if table:
+            out.extend((number, k, code, "code_span") for k, code in enumerate(c for cell in cells(own) for _, c in spans(cell)))
+            continue
+        if _RULE.match(own):
+            flush()
+            blank = True
+            continue
+        item = _ITEM.match(own)
+        if item:
+            flush()
+            indent += len(item[1]) + len(item[2] or " ")
+            own = line[indent:] if not line[:indent].strip() else own[item.end() :]
+        if not held:
+            begun = number
+        held.append(own)
+        blank = False
+    flush()
+    return out
 
 
-def refs(lines: DataFrame) -> DataFrame:
-    """(root, file, line, pos, text, kind) of `lines` (root, file, line, text), in order by line and pos.
+def refs(files: DataFrame) -> DataFrame:
+    """(root, file, line, pos, text, kind) of Markdown `files` (root, rel, content), in order by line and pos.
 
-    A heading marked by # whose whole text looks like an identifier is one; code
-    spans in headings are not looked at. Elsewhere, also in table cells, code spans count unless they
-    are flags, paths or have blanks. Lines in fenced and indented code blocks don't count. A span
-    lies within one line.
+    A heading counts if its whole text looks like an identifier; code spans in headings are
+    not looked at. Other code spans count unless they are flags, paths or have blanks.
     """
-    w = Window.partitionBy("root", "file").orderBy("line")
-    fence = F.regexp_extract("text", _FENCE, 1)
-    # an opening fence's kind closes it; between two of a kind, others are text
-    marked = lines.withColumn("fence", F.substring(fence, 1, 1))
-    state = F.aggregate(
-        F.collect_list(F.when(F.col("fence") != "", F.col("fence"))).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(""),
-        lambda open_, f: F.when(open_ == "", f).when(open_ == f, F.lit("")).otherwise(open_),
-    )
-    blank = F.coalesce(F.lag(F.trim("text")).over(w), F.lit("")) == ""
-    shown = marked.withColumn("inside", state).withColumn("after_blank", blank).filter("inside = '' and fence = '' and not (after_blank and text rlike '^(    |\\t)')")
-    heading = F.regexp_extract("text", r"^ {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$", 1)
-    is_heading = F.col("text").rlike(r"^ {0,3}#{1,6}([ \t]|$)")
-    titles = shown.filter(is_heading).select("root", "file", "line", F.lit(0).alias("pos"), F.trim(heading).alias("text"), F.lit("heading").alias("kind")).filter(text.looks_like_identifier(F.col("text")))
-    bodies = shown.filter(~is_heading).filter(F.contains(F.col("text"), F.lit("`")))
-    spans = bodies.select("root", "file", "line", F.posexplode(F.regexp_extract_all("text", F.lit(_SPAN), 2)).alias("pos", "text"))
-    codes = spans.select("root", "file", "line", "pos", F.trim("text").alias("text"), F.lit("code_span").alias("kind")).filter((F.col("text") != "") & ~text.common_non_identifier(F.col("text")))
-    return titles.unionByName(codes)
+    found = per_file(files, references, "line int, pos int, raw string, kind string").select("root", "file", "line", "pos", text.stripped("raw").alias("text"), "kind")
+    t = F.col("text")
+    return found.filter(F.when(F.col("kind") == "heading", text.looks_like_identifier(t)).otherwise((t != "") & ~text.common_non_identifier(t)))

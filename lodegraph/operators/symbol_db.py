@@ -2,11 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sqlite3
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph import schema
 
+#: What is read, and the columns of each; older files lack the views.
+TABLES = {
+    "defs": (("select token, node_id from v_defs", "select token, node_id from node_defs"), "token string, node_id string"),
+    "refs": (("select token, referrer_node_id from v_refs", "select token, node_id from node_refs"), "token string, node_id string"),
+    "nodes": (("select id, source_file from nodes",), "id string, source_file string"),
+    "ast": (("select node_id, start_row from _ast",), "node_id string, start_row int"),
+}
+BATCH = 20_000
+
+
+def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """defs, refs, nodes and ast of the SQLite file at `path`, on any file system that Spark reads.
+
+    A task opens the file's bytes and sends each table on in batches; nothing goes through the driver.
+    """
+    file = spark.read.format("binaryFile").load(path).select("content")
+
+    def table(queries: tuple[str, ...], fields: str) -> DataFrame:
+        names = [f.split()[0] for f in fields.split(", ")]
+
+        def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for content in frame["content"]:
+                    db = sqlite3.connect(":memory:")
+                    db.deserialize(bytes(content))
+                    for k, query in enumerate(queries):
+                        try:
+                            rows = db.execute(query)
+                            break
+                        except sqlite3.OperationalError:
+                            if k + 1 == len(queries):
+                                raise
+                    while some := rows.fetchmany(BATCH):
+                        yield pd.DataFrame(some, columns=names)
+                    db.close()
+
+        return file.mapInPandas(each, fields)
+
+    return {name: table(*what) for name, what in TABLES.items()}
+
+
+def missing(spark: SparkSession, path: str) -> str | None:
+    """Why the database at `path` can't be read; None if it can."""
+    if not path:
+        return "symbol database: no path configured"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return None if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else f"symbol database: not readable at {path}"
+
 
 def provenance(tokens: DataFrame, nodes: DataFrame, ast: DataFrame) -> DataFrame:
     """(token, node_id, file, line): `tokens` (token, node_id) at their nodes' files; line 0 where no syntax row is known.

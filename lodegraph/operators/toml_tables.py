@@ -6,10 +6,15 @@ array, inline table or string are joined to the line they start on.
 
 from __future__ import annotations
 
+import re
+import tomllib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph import schema
+from lodegraph.functions.text import stripped
+from lodegraph.operators.parsing import earliest, per_file
 
 _STRINGS = r'"(?:[^"\\]|\\.)*"|\'[^\']*\''
 _KEY = r"""(?:[A-Za-z0-9_-]+|"[^"]*"|'[^']*')"""
@@ -27,7 +32,7 @@ def _segments(dotted: Column) -> Column:
 
 def key_values(lines: DataFrame) -> DataFrame:
     """(root, file, line, table_line, table, key, value) of `lines` (root, file, line, text); table and key are arrays, value is raw text."""
-    bare = F.trim(F.regexp_replace("text", rf"^((?:[^\"'#]|{_STRINGS})*+)#.*$", "$1"))
+    bare = stripped(F.regexp_replace("text", rf"^((?:[^\"'#]|{_STRINGS})*+)#.*$", "$1"))
     plain = F.regexp_replace("bare", _STRINGS, '""')
     cleaned = lines.withColumn("bare", bare).withColumn("plain", plain)
     header = F.col("bare").rlike(r"^\[\[?[^\[\]=]+\]\]?$")
@@ -41,7 +46,7 @@ def key_values(lines: DataFrame) -> DataFrame:
     # statements are some lines each
     whole = tabled.filter("bare <> ''").groupBy("root", "file", F.col("start").alias("line"), "header").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "bare"))), lambda x: x["bare"]), " ").alias("all"))
     key = F.regexp_extract("all", rf"^({_KEY}(?:\s*\.\s*{_KEY})*)\s*=", 1)
-    value = F.trim(F.regexp_replace("all", rf"^{_KEY}(?:\s*\.\s*{_KEY})*\s*=", ""))
+    value = stripped(F.regexp_replace("all", rf"^{_KEY}(?:\s*\.\s*{_KEY})*\s*=", ""))
     table = F.coalesce(_segments(F.col("header.name")), F.array().cast("array<string>"))
     return whole.filter(key != "").select("root", "file", "line", F.coalesce("header.line", F.lit(0)).alias("table_line"), table.alias("table"), _segments(key).alias("key"), value.alias("value"))
 
@@ -56,9 +61,38 @@ def inline_field(value: Column, name: str) -> Column:
     return F.regexp_extract(value, rf"""^\{{(?:.*[,{{\s])?{name}\s*=\s*["']([^"']*)["']""", 1)
 
 
-def _first(facts: DataFrame) -> DataFrame:
-    """One fact for each identity and file, the earliest."""
-    return facts.withColumn("ref", F.trim("ref")).filter("ref <> ''").groupBy("role", "root", "kind", "ref", "file").agg(F.min("line").alias("line"))
+_TOKEN = re.compile(r'"""(?:[^\\]|\\.)*?"""|\'\'\'.*?\'\'\'|"(?:[^"\\\n]|\\.)*"|\'[^\'\n]*\'|#[^\n]*|[{}\n]', re.S)
+
+
+def one_line_tables(content: str) -> str:
+    """`content` with inline tables that go over lines put on one, as later versions of TOML allow them."""
+    depth = 0
+
+    def each(m: re.Match) -> str:
+        nonlocal depth
+        depth += (m[0] == "{") - (m[0] == "}")
+        return (" " if depth > 0 else m[0]) if m[0] == "\n" or (m[0][0] == "#" and depth > 0) else m[0]
+
+    return re.sub(r",\s*\}", "}", _TOKEN.sub(each, content)) if "{" in content else content
+
+
+def errors(files: DataFrame) -> DataFrame:
+    """(root, file, error) of `files` (root, path, content): an error for those that are no TOML."""
+
+    def parse(content: str) -> list[tuple]:
+        text = content.replace("\r\n", "\n")
+        for form in (text, one_line_tables(text)):
+            try:
+                tomllib.loads(form)
+                return []
+            except tomllib.TOMLDecodeError as e:
+                # a key given twice is no matter of form
+                if str(e).startswith("Cannot"):
+                    return []
+                error = e
+        raise error
+
+    return per_file(files, parse, "nothing string", "path").select("root", "file", "error")
 
 
 def cargo_facts(lines: DataFrame) -> DataFrame:
@@ -75,7 +109,7 @@ def cargo_facts(lines: DataFrame) -> DataFrame:
     sub = below.groupBy("root", "file", "table_line", "table").agg(F.min("line").alias("line"), renamed.alias("pkg"))
     subs = sub.select("root", "file", "line", F.lit(schema.CONSUMER).alias("role"), F.coalesce(F.nullif("pkg", F.lit("")), F.element_at("table", -1)).alias("ref"))
     every = name.unionByName(used).unionByName(subs)
-    return _first(every.withColumn("kind", F.lit(schema.CRATE)))
+    return earliest(every.withColumn("kind", F.lit(schema.CRATE)))
 
 
 def wrangler_facts(lines: DataFrame) -> DataFrame:
@@ -87,4 +121,4 @@ def wrangler_facts(lines: DataFrame) -> DataFrame:
     tables = safe.filter(F.expr("bound and key = array('service')")).select("root", "file", "line", F.lit(schema.CONSUMER).alias("role"), string_value(F.col("value")).alias("ref"))
     inline = F.regexp_extract_all("value", F.lit(r"""\{(?:[^{}]*[,\s{])?service\s*=\s*["']([^"']*)["'][^{}]*\}"""), 1)
     listed = safe.filter(F.expr("not bound and key = array('services') and value like '[%'")).select("root", "file", "line", F.lit(schema.CONSUMER).alias("role"), F.explode(inline).alias("ref"))
-    return _first(name.unionByName(tables).unionByName(listed).withColumn("kind", F.lit(schema.SERVICE)))
+    return earliest(name.unionByName(tables).unionByName(listed).withColumn("kind", F.lit(schema.SERVICE)))

@@ -1,19 +1,21 @@
 """CI workflow facts: YAML scalars become rows, scripts become lines, commands become facts.
 
-Only the YAML nodes of a file are read by a Python helper; expressions are filled in by
-joins on the file's environment, and script lines are continued and split in SQL.
+A small helper reads a file's YAML nodes and resolves its own environment, which is
+a few names; words are filled in, and script lines continued and split, in SQL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph import schema
 from lodegraph.functions.identity import workflow_image
+from lodegraph.functions.text import stripped
+from lodegraph.operators.parsing import earliest, fact, failures, per_file
+from lodegraph.plans.lineage import cut
 
 FILE_PATH = r"^\.github/workflows/[^/]+\.(?i:yml|yaml)$"
 #: Shell words that are no programs.
@@ -21,73 +23,80 @@ BUILTINS = ("if", "then", "else", "elif", "fi", "for", "while", "do", "done", "c
 #: Fixed value: how often an expression may lead to another.
 DEPTH = 10
 _EXPR = r"\$\{\{\s*([^}]*?)\s*\}\}"
-SCALARS = "root string, file string, line int, what string, name string, value string, error string"
+SCALARS = "line int, what string, name string, value string"
 
 
-def _scalars(content: str) -> list[tuple[int, str, str, str]]:
-    """(line, what, name, value): what is global (workflow-level env), env or run."""
+class Expressions:
+    """Literals of expressions: env.NAME of a workflow's own env, and the repository owner."""
+
+    def __init__(self, env: dict[str, str], owner: str | None):
+        self.env, self.owner, self.known = env, owner, {}
+
+    def literal(self, name: str, depth: int = 0) -> str | None:
+        """What the expression `name` stands for; None where that isn't known, or more than DEPTH steps away."""
+        if name == "github.repository_owner":
+            return self.owner or None
+        value = self.env.get(name.removeprefix("env.")) if name.startswith("env.") else None
+        if value is None or "${{" not in value:
+            return value
+        if (name, depth) not in self.known:
+            self.known[name, depth] = self.filled(value, depth + 1) if depth < DEPTH else None
+        return self.known[name, depth]
+
+    def filled(self, text: str, depth: int = 0) -> str | None:
+        """`text` with its expressions filled in; None where one can't be."""
+        found = {m[1]: self.literal(m[1], depth) for m in re.finditer(_EXPR, text)}
+        if None in found.values():
+            return None
+        out = re.sub(_EXPR, lambda m: found[m[1]], text)
+        return None if "${{" in out else out
+
+
+def _scalars(content: str, owner: str | None) -> list[tuple[int, str, str, str]]:
+    """(line, what, name, value): what is literal (an expression's name and value), env or run. Values of env are filled in."""
     import yaml
 
     top = yaml.compose(content, Loader=yaml.SafeLoader)
     if not isinstance(top, yaml.MappingNode):
         return []
-    out: list[tuple[int, str, str, str]] = []
-    for key, value in top.value:
-        if key.value == "env":
-            if isinstance(value, yaml.MappingNode):
-                out += [(0, "global", k.value, v.value) for k, v in value.value if isinstance(v, yaml.ScalarNode)]
-            break
-    stack = [top]
+    pairs = lambda node: [(k.value, v) for k, v in node.value if isinstance(v, yaml.ScalarNode)] if isinstance(node, yaml.MappingNode) else []
+    own = next((value for key, value in top.value if key.value == "env"), None)
+    known = Expressions({k: v.value for k, v in pairs(own)}, owner)
+    names = ["github.repository_owner", *(f"env.{k}" for k in known.env)]
+    out = [(0, "literal", n, v) for n in names if (v := known.literal(n)) is not None]
+    stack, seen = [top], set()
     while stack:
         node = stack.pop()
+        if id(node) in seen:
+            continue
+        seen.add(id(node))
         if isinstance(node, yaml.SequenceNode):
             stack += node.value
         if not isinstance(node, yaml.MappingNode):
             continue
         for key, value in node.value:
-            if key.value == "env" and isinstance(value, yaml.MappingNode):
-                out += [(v.start_mark.line + 1, "env", k.value, v.value) for k, v in value.value if isinstance(v, yaml.ScalarNode)]
+            if key.value == "env":
+                out += [(v.start_mark.line + 1, "env", k, text) for k, v in pairs(value) if (text := known.filled(v.value)) is not None]
             if key.value == "run" and isinstance(value, yaml.ScalarNode):
                 out.append((value.start_mark.line + 1, "run", "", value.value))
             stack.append(value)
     return out
 
 
-def scalars(files: DataFrame) -> DataFrame:
-    """SCALARS of workflow files (root, rel, content); a file that is no YAML gives one row with an error."""
-
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for root, rel, content in frame.itertuples(index=False):
-                try:
-                    rows += [(root, rel, *s, None) for s in _scalars(bytes(content).decode("utf-8", "replace"))]
-                except Exception as e:  # any file that the YAML reader refuses is reported as a row
-                    rows.append((root, rel, 0, "error", "", "", f"ci: {rel}: parse yaml: {e}"))
-            yield pd.DataFrame(rows, columns=["root", "file", "line", "what", "name", "value", "error"])
-
-    return files.select("root", "rel", "content").mapInPandas(each, SCALARS)
+def scalars(files: DataFrame, owner: str | None = None) -> DataFrame:
+    """(root, file, SCALARS, error) of workflow files (root, rel, content); a file that is no YAML gives one row with an error."""
+    return per_file(files, lambda content: _scalars(content, owner), SCALARS)
 
 
-def filled(values: DataFrame, column: str, env: DataFrame, owner: str | None) -> DataFrame:
-    """`values` (root, file, and more) with expressions in `column` filled in from `env` (root, file, vars: map); null where one can't be.
-
-    Known are env.NAME of the workflow's own env and github.repository_owner, which is `owner`.
-    """
-    out = values.join(env, ["root", "file"], "left")
-    text: Column = F.col(column)
-    known = F.coalesce(F.col("vars"), F.create_map().cast("map<string,string>"))
-    for _ in range(DEPTH):
-        names = F.array_distinct(F.regexp_extract_all(text, F.lit(_EXPR), 1))
+def filled(word: Column, literals: Column) -> Column:
+    """`word` with expressions replaced by `literals`, a map by name; null where one isn't in it."""
+    names = F.array_distinct(F.regexp_extract_all(word, F.lit(_EXPR), 1))
 
-        def one(done: Column, name: Column) -> Column:
-            literal = F.when(name == "github.repository_owner", F.lit(owner or None)).when(name.startswith("env."), F.element_at(known, F.substring(name, F.lit(5), F.length(name))))
-            pattern = F.concat(F.lit(r"\$\{\{\s*\Q"), name, F.lit(r"\E\s*\}\}"))
-            return F.when(literal.isNotNull(), F.regexp_replace(done, pattern, F.regexp_replace(literal, r"([\\$])", r"\\$1")))
+    def one(done: Column, name: Column) -> Column:
+        value = F.regexp_replace(F.element_at(literals, name), r"([\\$])", r"\\$1")
+        return F.regexp_replace(done, F.concat(F.lit(r"\$\{\{\s*\Q"), name, F.lit(r"\E\s*\}\}")), value)
 
-        out = out.withColumn(column, F.when(F.contains(text, F.lit("${{")), F.aggregate(names, text, one)).otherwise(text))
-        text = F.col(column)
-    return out.withColumn(column, F.when(~F.contains(text, F.lit("${{")), text)).drop("vars")
+    return F.nullif(F.when(F.contains(word, F.lit("${{")), F.regexp_replace(F.aggregate(names, word, one), r"(?s)^.*\$\{\{.*$", "")).otherwise(word), F.lit(""))
 
 
 def commands(runs: DataFrame) -> DataFrame:
@@ -99,7 +108,7 @@ def commands(runs: DataFrame) -> DataFrame:
     begun = split.withColumn("own", F.when(F.coalesce(F.lag(more).over(w), F.lit(False)), F.lit(None)).otherwise(F.col("at")))
     begun = begun.withColumn("start", F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     part = F.struct("at", F.regexp_replace("text", r"\\[ \t]*$", " ").alias("t"))
-    whole = begun.groupBy("root", "file", "script", "base", "start").agg(F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["t"]), "")).alias("all"))
+    whole = begun.groupBy("root", "file", "script", "base", "start").agg(stripped(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["t"]), "")).alias("all"))
     assignment = r"""(?:sudo|[^\s=/.:$]+=[^\s$(`"']*)(?:\s+|$)"""
     bare = F.regexp_replace("all", f"^(?:{assignment})+", "")
     told = whole.filter("all <> '' and not all like '#%'").select("root", "file", (F.col("base") + F.col("start")).cast("int").alias("line"), F.split(bare, r"\s+").alias("fields"))
@@ -117,21 +126,20 @@ def facts(files: DataFrame, owner: str | None = None) -> DataFrame:
 
     Image references in env values and in docker build and push are produced, in docker pull and run
     consumed; other commands consume their program. Lines of docker without a recognisable image
-    consume docker.
+    consume docker. Files that are no YAML give failures.
     """
-    rows = scalars(files).filter("error is null")
-    env = rows.filter("what = 'global'").groupBy("root", "file").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("vars"))
-    envs = filled(rows.filter("what = 'env'").select("root", "file", "line", "value"), "value", env, owner)
-    produced = envs.select("root", "file", "line", workflow_image(F.col("value")).alias("ref")).filter("ref is not null").withColumns({"role": F.lit(schema.PRODUCER), "kind": F.lit(schema.IMAGE)})
-    told = commands(rows.filter("what = 'run'").select("root", "file", "line", "value")).withColumn("cmd", F.xxhash64("root", "file", "line", "fields"))
+    rows = cut(scalars(files, owner))
+    literals = rows.filter("what = 'literal'").groupBy("root", "file").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("name", "value")))).alias("literals"))
+    produced = rows.filter("what = 'env'").withColumn("ref", workflow_image(F.col("value"))).filter("ref is not null").select(*fact(schema.PRODUCER, schema.IMAGE, "ref"))
+    told = cut(commands(rows.filter("what = 'run'").select("root", "file", "line", "value")).withColumn("cmd", F.xxhash64("root", "file", "line", "fields")))
     docker = told.filter("fields[0] = 'docker' and size(fields) > 1 and fields[1] in ('build', 'push', 'pull', 'run')")
-    words = docker.select("root", "file", "line", "cmd", F.col("fields")[1].alias("verb"), F.posexplode(_image_words(F.col("fields"))).alias("pos", "word"))
-    images = filled(words, "word", env, owner).withColumn("ref", workflow_image(F.col("word"))).filter("ref is not null")
+    words = docker.select("root", "file", "line", "cmd", F.col("fields")[1].alias("verb"), F.posexplode(_image_words(F.col("fields"))).alias("pos", "word")).join(literals, ["root", "file"], "left")
+    known = F.coalesce("literals", F.create_map().cast("map<string,string>"))
+    images = words.withColumn("word", filled(F.col("word"), known)).withColumn("ref", workflow_image(F.col("word"))).filter("ref is not null")
     first = images.groupBy("root", "file", "line", "cmd", "verb").agg(F.min_by("ref", "pos").alias("ref"))
-    made = first.select("root", "file", "line", "ref", F.when(F.col("verb").isin("build", "push"), F.lit(schema.PRODUCER)).otherwise(F.lit(schema.CONSUMER)).alias("role"), F.lit(schema.IMAGE).alias("kind"))
+    made = first.select(*fact(F.when(F.col("verb").isin("build", "push"), F.lit(schema.PRODUCER)).otherwise(F.lit(schema.CONSUMER)), schema.IMAGE, "ref"))
     head = F.col("fields")[0]
     name = F.element_at(F.split(head, "/"), -1)
     others = told.join(first.select("cmd").distinct(), "cmd", "left_anti").filter(~head.rlike(r"""[|&;<>()$`"']""") & (name != "") & ~name.isin(*BUILTINS))
-    programs = others.select("root", "file", "line", name.alias("ref"), F.lit(schema.CONSUMER).alias("role"), F.lit(schema.BINARY).alias("kind"))
-    every = produced.unionByName(made).unionByName(programs)
-    return every.groupBy("role", "root", "kind", "ref", "file").agg(F.min("line").alias("line"))
+    programs = others.select(*fact(schema.CONSUMER, schema.BINARY, name))
+    return earliest(produced.unionByName(made).unionByName(programs)).unionByName(failures(rows, "ci"))

@@ -34,9 +34,8 @@ class Graph:
 
     @classmethod
     def of(cls, facts: Facts, roots: list[str]) -> Graph:
-        # extraction is costly, and every report reads its facts several times
-        f = cut(facts.facts)
-        return cls(resolve.resolved_edges(f), resolve.external(f), resolve.dangling(f), cut(facts.failed), roots, facts.skipped)
+        f = facts.facts
+        return cls(cut(resolve.resolved_edges(f)), cut(resolve.external(f)), cut(resolve.dangling(f)), cut(facts.failed), roots, facts.skipped)
 
     def ordered_edges(self) -> DataFrame:
         return self.edges.orderBy(*resolve.EDGE_ORDER)

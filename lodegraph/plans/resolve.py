@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions import identity
+from lodegraph.functions.text import stripped
 from lodegraph.schema import CONSUMER, PRODUCER
 
 EDGE_ORDER = ("kind", "p_ref", "c_ref", "p_file", "p_line", "c_file", "c_line")
@@ -14,7 +15,7 @@ LEFT_ORDER = ("kind", "ref", "file", "line")
 
 def canonical(facts: DataFrame) -> DataFrame:
     """Facts with identity_key and version; references trimmed."""
-    ref = identity.trimmed(F.col("ref"))
+    ref = stripped(F.col("ref"))
     keyed = facts.withColumn("ref", ref)
     return keyed.withColumn("identity_key", identity.identity_key(F.col("kind"), F.col("ref"))).withColumn("version", identity.version(F.col("kind"), F.col("ref")))
 

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +23,27 @@ SKIPS: dict[str, tuple[tuple[str, ...], bool]] = {
     "gocode": (("vendor", "testdata", ".git"), True),
     "docs": ((".git", "node_modules"), True),
 }
+#: Names that each extractor reads; ci reads them in .github/workflows only.
+READS: dict[str, str] = {
+    "gomod": r"^go\.mod$",
+    "cargo": r"^Cargo\.toml$",
+    "wrangler": r"^wrangler\.toml$",
+    "capnp": r"\.capnp$",
+    "dockerfile": r"^(Dockerfile|Containerfile|Dockerfile\..*|.*\.Dockerfile)$",
+    "gocode": r"\.go$|^go\.mod$",
+    "docs": r"(?i)\.(md|markdown|html|htm)$",
+    "ci": r"(?i)\.(yml|yaml)$",
+}
+#: Extractors that leave out every folder whose name begins with a dot.
+HIDDEN = ("gocode", "docs")
+WORKFLOWS = (".github", "workflows")
+MAP, VERIFY = tuple(e for e in READS if e != "docs"), ("gocode", "docs")
 
 
-def scan_shared(spark: SparkSession, roots: list[str]) -> DataFrame:
+def scan_shared(spark: SparkSession, roots: list[str], extractors: tuple[str, ...] = tuple(READS)) -> DataFrame:
     """FILES below folders that the executors can read: listed and read by Spark's binaryFile source, any file system.
 
-    `path` is the root as given, a slash and the path below it.
+    `path` is the root as given, a slash and the path below it. Only files that one of `extractors` reads are there.
     """
     out = None
     for k, root in enumerate(roots):
@@ -32,31 +51,43 @@ def scan_shared(spark: SparkSession, roots: list[str]) -> DataFrame:
         one = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
         clean = base.split(":", 1)[1].lstrip("/") if ":" in base.split("/")[0] else base.lstrip("/")
         rel = F.regexp_replace(F.substring_index(F.concat(F.lit("/"), F.regexp_replace("path", "^[a-z]+:/+", "")), f"/{clean}/", -1), "^/+", "")
-        part = one.select(F.lit(root).alias("root"), F.lit(k).alias("root_ord"), rel.alias("rel"), "content")
+        part = one.select(F.lit(root).alias("root"), F.lit(k).alias("root_ord"), rel.alias("rel"), F.element_at(F.split("path", "/"), -1).alias("name"), "content").filter(_read_by(extractors))
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], FILES)
-    return out.select("root", "root_ord", _joined(F.col("root"), F.col("rel")).alias("path"), "rel", F.element_at(F.split("rel", "/"), -1).alias("name"), "content")
-
-
-def scan_local(spark: SparkSession, roots: list[str], wanted: tuple[str, ...] = ()) -> DataFrame:
-    """FILES below folders that only the driver can read, such as a checkout: walked here and sent out.
-
-    `wanted` are name endings to take (all if empty). Links to folders aren't followed. For
-    trees larger than the driver use shared storage and `scan_shared`.
+    return out.select("root", "root_ord", _joined(F.col("root"), F.col("rel")).alias("path"), "rel", "name", "content")
+
+
+def walk(root: str, extractors: tuple[str, ...] = tuple(READS)) -> Iterator[str]:
+    """Paths below `root`, in order, of files that one of `extractors` reads. Folders that all of them leave out aren't entered."""
+    names = {e: re.compile(READS[e]) for e in extractors}
+    enters = lambda e, folder, depth: depth < len(WORKFLOWS) and folder == WORKFLOWS[depth] if e == "ci" else folder not in SKIPS[e][0] and not (e in HIDDEN and folder.startswith("."))
+    base = os.path.basename(root.rstrip("/"))
+    live = {root: [e for e in extractors if e == "ci" or not SKIPS[e][1] or base in (".", "") or enters(e, base, 0)]}
+    for folder, folders, files in os.walk(root):
+        here = live.pop(folder)
+        depth = 0 if folder == root else os.path.relpath(folder, root).count("/") + 1
+        for name in sorted(files):
+            path = os.path.join(folder, name)
+            if any((e != "ci" or depth == len(WORKFLOWS)) and names[e].search(name) for e in here) and os.path.isfile(path):
+                yield path
+        below = {f: [e for e in here if enters(e, f, depth)] for f in sorted(folders)}
+        folders[:] = [f for f, some in below.items() if some]
+        live |= {os.path.join(folder, f): below[f] for f in folders}
+
+
+def scan_local(spark: SparkSession, roots: list[str], extractors: tuple[str, ...] = tuple(READS)) -> DataFrame:
+    """FILES below folders that only the driver can read, such as a checkout: listed and read here and sent out.
+
+    Only files that one of `extractors` reads are opened. Links to folders aren't followed. Trees larger than
+    the driver belong on shared storage: `scan_shared`.
     """
     rows = []
     for k, root in enumerate(roots):
-        for folder, folders, names in os.walk(root):
-            folders.sort()
-            for name in sorted(names):
-                if wanted and not name.endswith(wanted) and "ockerfile" not in name and "ontainerfile" not in name:
-                    continue
-                path = os.path.join(folder, name)
-                if os.path.isfile(path):
-                    rel = os.path.relpath(path, root)
-                    with open(path, "rb") as f:
-                        rows.append((root, k, rel if root == "." else os.path.join(root, rel), rel, name, f.read()))
+        for path in walk(root, extractors):
+            rel = os.path.relpath(path, root)
+            with open(path, "rb") as f:
+                rows.append((root, k, rel if root == "." else os.path.join(root, rel), rel, os.path.basename(path), f.read()))
     return spark.createDataFrame(rows, FILES)
 
 
@@ -64,18 +95,28 @@ def _joined(root: Column, rel: Column) -> Column:
     return F.when(root == ".", rel).otherwise(F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"), rel))
 
 
-def kept_by(files: DataFrame, extractor: str) -> DataFrame:
-    """Without files in the folders that `extractor` leaves out."""
+def _skipped(extractor: str) -> Column:
+    """Whether a file lies in a folder that `extractor` leaves out."""
     names, root_too = SKIPS[extractor]
     folders = F.slice(F.split("rel", "/"), 1, F.greatest(F.lit(0), F.size(F.split("rel", "/")) - 1))
     skipped = F.arrays_overlap(folders, F.array(*map(F.lit, names)))
-    hidden = extractor in ("gocode", "docs")
+    hidden = extractor in HIDDEN
     if hidden:
         skipped = skipped | F.exists(folders, lambda d: d.startswith("."))
     if root_too:
         base = F.element_at(F.split(F.regexp_replace("root", "/+$", ""), "/"), -1)
         skipped = skipped | base.isin(*names) | (base.startswith(".") & (base != ".") if hidden else F.lit(False))
-    return files.filter(~skipped)
+    return skipped
+
+
+def _read_by(extractors: tuple[str, ...]) -> Column:
+    one = lambda e: F.col("name").rlike(READS[e]) & (F.col("rel").rlike(f"^{re.escape('/'.join(WORKFLOWS))}/[^/]+$") if e == "ci" else ~_skipped(e))
+    return reduce(or_, map(one, extractors))
+
+
+def kept_by(files: DataFrame, extractor: str) -> DataFrame:
+    """Without files in the folders that `extractor` leaves out."""
+    return files.filter(~_skipped(extractor))
 
 
 def lines(files: DataFrame, file: str = "path") -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodegraph.operators import symbol_db
 from lodegraph.plans import extract, report, resolve
@@ -194,6 +195,7 @@ jobs:
             -t ${{ env.IMAGE }} .
           docker pull quay.io/x/y:1
           docker ps
+          docker push ${{env.IMAGE}} && docker run "${{ secrets.X }}"
           echo hi
           ./bin/tool "$X" | cat
 """
@@ -201,15 +203,140 @@ jobs:
 
 def test_workflow(spark, tree):
     root = tree("ci", **{".github/workflows/a.yml": WORKFLOW, ".github/workflows/deep/b.yml": WORKFLOW})
+    # a block's first line counts from its indicator; an expression with blanks falls apart into words, which name no image
     assert _found(spark, [root], "ci", owner="team") == [
-        ("consumer", "cli_binary", "docker", "a.yml", 17),
+        ("consumer", "cli_binary", "docker", "a.yml", 13),
         ("consumer", "cli_binary", "go", "a.yml", 11),
         ("consumer", "cli_binary", "tool", "a.yml", 19),
-        ("consumer", "container_image", "quay.io/x/y", "a.yml", 16),
+        ("consumer", "container_image", "quay.io/x/y", "a.yml", 15),
+        ("producer", "container_image", "ghcr.io/team", "a.yml", 3),
         ("producer", "container_image", "ghcr.io/team/app", "a.yml", 4),
     ]
     nobody = _found(spark, [root], "ci")
     assert [f for f in nobody if f[0] == "producer"] == []
+    plan = extract.Registry(owner="team").extractors()["ci"](files.scan_local(spark, [root]))
+    assert len(plan._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
+def test_expressions():
+    from lodegraph.operators.workflow import DEPTH, Expressions
+
+    chain = {f"A{k}": f"${{{{ env.A{k + 1} }}}}" for k in range(DEPTH + 3)} | {f"A{DEPTH + 3}": "end"}
+    known = Expressions(chain | {"LOOP": "${{ env.LOOP }}", "TWO": "${{env.A12}}-${{ github.repository_owner }}", "GONE": "${{ secrets.X }}"}, "team")
+    assert known.literal("env.A10") == "end" and known.literal("env.A0") is None
+    assert known.literal("env.TWO") == "end-team" and known.literal("env.LOOP") is None and known.literal("env.GONE") is None
+    assert known.filled("plain") == "plain" and known.filled("${{ open") is None
+
+
+def test_tabs_around_everything(spark, tree):
+    """Each extractor takes tabs for white space."""
+    root = tree(
+        "t",
+        **{
+            "go.mod": "module example.com/t\nrequire\t(\n\texample.com/a\tv1.0.0\t// indirect\n\t)\n",
+            "Cargo.toml": "\t[package]\n\tname\t=\t\"crate\"\t\n\t[dependencies]\t\n\tserde\t= \"1\"\n",
+            "wrangler.toml": "\tname\t= \"front\"\n\t[[services]]\n\tservice\t=\t\"back\"\n",
+            "c.capnp": "\tconst x :X = (\n\tservice\t= \"s\"\t)\n",
+            "Dockerfile": "FROM\talpine\tAS\tbase\nCOPY\t--from=busybox\t/a /b\n",
+            ".github/workflows/w.yml": "jobs:\n  a:\n    steps:\n    - run: |\n        \tgo\ttest\n",
+            "a.go": "package p\n\tvar (\n\t\tTop = 1\n\t)\n",
+        },
+    )
+    refs = lambda extractor: {(f[0][0], f[2]) for f in _found(spark, [root], extractor)}
+    assert refs("gomod") == {("p", "example.com/t"), ("c", "example.com/a")}
+    assert refs("cargo") == {("p", "crate"), ("c", "serde")}
+    assert refs("wrangler") == {("p", "front"), ("c", "back")}
+    assert refs("capnp") == {("c", "s")}
+    assert refs("dockerfile") == {("c", "docker.io/library/alpine"), ("p", "Dockerfile#base"), ("p", "Dockerfile"), ("c", "docker.io/library/busybox")}
+    assert refs("ci") == {("c", "go")}
+    assert refs("gocode") == {("p", "example.com/t.Top")}
+
+
+def test_dockerfile_forms():
+    from lodegraph.operators import dockerfile
+
+    args = {"V": "1", "E": ""}
+    words = ["a:$V", "a:${V}", "${X:-b}", "${X:-${V}}", "${E:-x}", "${E-x}", "${V:+y}", "${X:+y}", "${V:?no}", "${X:?no}", "${X?no}", "${V", "'$V'b$V", "$X"]
+    assert [dockerfile.expand(w, args) for w in words] == ["a:1", "a:1", "b", "1", "x", "", "y", "", "1", "${X:?no}", "${X?no}", "${V", "$Vb1", ""]
+    told = "# escape=`\nARG B=base\nFROM $B AS One\nRUN a `\n  # note\n\n  b\nRUN <<EOF cat\nFROM fake\nEOF\nCOPY --from=one <<-'X' /c\n\tX\nFROM two\n"
+    assert dockerfile.instructions(told) == [(2, "ARG", "B=base"), (3, "FROM", "$B AS One"), (4, "RUN", "a   b"), (8, "RUN", "<<EOF cat"), (11, "COPY", "--from=one <<-'X' /c"), (13, "FROM", "two")]
+    assert dockerfile.references(told) == [(3, "from", "base", "one"), (11, "copy", "one", ""), (13, "from", "two", "")]
+    for wrong in ("", "# only\n", "RUN x\n", "FROM a b\n", "FROM a\nNOPE b\n", "FROM a\nRUN <<E\nx\n"):
+        with pytest.raises(ValueError):
+            dockerfile.references(wrong)
+
+
+def test_markdown_blocks():
+    from lodegraph.operators.markdown import references
+
+    text = "a `one\ntwo` b\n\n- item\n\n      `code`\n  and `kept`\n\n    `code`\n\n````\n```\n`in`\n```\n````\n> quoted `q`\n\n| `h` | x |\n| --- | --- |\n| `a\\|b` | `c` | `d`\n\nTitle `t`\n===\n<!-- `no`\n`no` -->\n\\`no `` x`y ``\n~~~\n`in`\n"
+    assert [(r[0], r[2]) for r in references(text) if r[3] == "code_span"] == [(1, "one\ntwo"), (7, "kept"), (9, "code"), (16, "q"), (18, "h"), (20, "a\\|b"), (20, "c"), (20, "d"), (22, "t"), (26, " x`y ")]
+    assert [r[2] for r in references("# A #\n####### no\n#\n#no\n   ## B\n")] == ["A", "", "B"]
+
+
+def test_html_depth_and_characters(spark, tree):
+    root = tree("h", **{"p.html": "<p>\n<code>a&#x2e;b&eacute;</code>\n<code>x<br>y</code> z<i></i> w</p>\n<code>end", "q.htm": "<!-- <code>no</code> --><script>'<code>no</code>'</script><tt>T</tt>"})
+    found = extract.doc_refs(files.scan_local(spark, [root]), html_pages=True).orderBy("ord").collect()
+    # br goes a level down and is never closed, so the second claim runs on and is no identifier for its blanks
+    assert [(r.text, r.line) for r in found] == [("a.b\u00e9", 2), ("end", 2), ("T", 1)]
+
+
+@pytest.mark.parametrize(
+    ("name", "good", "bad"),
+    [
+        ("gomod", {"go.mod": "module m\n"}, {"sub/go.mod": "module n\nrequire (\n"}),
+        ("cargo", {"Cargo.toml": '[package]\nname = "c"\n'}, {"sub/Cargo.toml": "[package\n"}),
+        ("wrangler", {"wrangler.toml": 'name = "w"\n'}, {"sub/wrangler.toml": "name = \n"}),
+        ("dockerfile", {"Dockerfile": "FROM a\n"}, {"sub/Dockerfile": "RUN a\n"}),
+        ("ci", {".github/workflows/a.yml": "jobs: {a: {steps: [{run: go test}]}}\n"}, {".github/workflows/b.yml": "a: [\n"}),
+    ],
+)
+def test_one_unreadable_file_drops_that_extractor_and_root_only(spark, tree, name, good, bad):
+    broken, sound = tree("broken", **good, **bad), tree("sound", **good)
+    one = extract.Registry().extractors()[name]
+    rows = one(files.scan_local(spark, [broken, sound])).withColumn("extractor", F.lit(name)).unionByName(spark.createDataFrame([("producer", "x", "f", 1, broken, "service", "other")], "role string, ref string, file string, line int, root string, kind string, extractor string"))
+    facts, failed = extract.isolated(rows)
+    assert {(r.extractor, r.root) for r in facts.collect()} == {(name, sound), ("other", broken)}
+    [error] = failed.collect()
+    assert (error.extractor, error.root) == (name, broken) and error.error.startswith(f"{name}: ")
+
+
+def test_walk_enters_only_what_an_extractor_reads(tmp_path):
+    for path in ("go.mod", "node_modules/a/x.go", "node_modules/a/go.mod", ".git/go.mod", ".github/workflows/c.yml", ".github/workflows/deep/c.yml", ".github/c.yml", "c.yml", "vendor/a.go", "vendor/a.md", ".hid/go.mod", ".hid/a.go", "target/Cargo.toml", "big.bin", "sub/a.md"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    found = {p.removeprefix(f"{tmp_path}/") for p in files.walk(str(tmp_path))}
+    assert found == {"go.mod", "node_modules/a/x.go", "node_modules/a/go.mod", ".github/workflows/c.yml", "vendor/a.md", ".hid/go.mod", "sub/a.md"}
+    assert {p.removeprefix(f"{tmp_path}/") for p in files.walk(str(tmp_path), ("docs",))} == {"vendor/a.md", "sub/a.md"}
+
+
+def test_symbols_from_a_database(spark, tmp_path):
+    import sqlite3
+
+    root = tmp_path / "r"
+    root.mkdir()
+    with sqlite3.connect(tmp_path / "s.db") as db:
+        db.executescript(
+            "create table nodes (id text, source_file text); create table _ast (node_id text, start_row int);"
+            "create table node_defs (token text, node_id text); create table node_refs (token text, node_id text);"
+            "insert into nodes values ('1', 'a.go'), ('2', 'b.go'); insert into _ast values ('1', 4);"
+            "insert into node_defs values ('p.F', '1'), ('', '1'), ('p.G', '9'); insert into node_refs values ('p.F', '2');"
+        )
+    db.close()
+    (root / "go.mod").write_text("module m\n")
+    found = extract.Registry(symbol_db=str(tmp_path / "s.db")).gather(files.scan_local(spark, [str(root)]))
+    assert sorted((r.role, r.ref, r.file, r.line) for r in found.facts.filter("extractor = 'gocode'").collect()) == [("consumer", "p.F", "b.go", 0), ("producer", "p.F", "a.go", 5)]
+    gone = extract.Registry(symbol_db=str(tmp_path / "gone.db")).gather(files.scan_local(spark, [str(root)]))
+    assert gone.skipped == [("gocode", f"symbol database: not readable at {tmp_path}/gone.db")] and gone.facts.count() == 1
+
+
+def test_root_dot_and_qualified_files(spark, tree, monkeypatch):
+    root = tree("dot", **{"go.mod": "module example.com/d\n", "a.go": 'package p\nimport "fmt"\nfunc Run() {}\n', "Dockerfile": "FROM a\n"})
+    monkeypatch.chdir(root)
+    scanned = files.scan_local(spark, ["."])
+    assert {(r.ref, r.file) for r in extract.Registry().gather(scanned).facts.filter("extractor in ('gocode', 'gomod')").collect()} == {("fmt", "a.go"), ("example.com/d", "go.mod")}
+    found = {(r.ref, r.file) for r in extract.Registry(root_qualified=True).gather(scanned).facts.filter("extractor in ('gocode', 'gomod')").collect()}
+    assert found == {("fmt", "./a.go"), ("example.com/d.Run", "./a.go"), ("example.com/d", "./go.mod")}
 
 
 GO = """// Package p does things.
