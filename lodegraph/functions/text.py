@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 #: Delimiters, then the borders inside camel case and around digits.
 DELIMITERS = r"[._\- /:()]+"
-BORDERS = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{L})(?=\p{Nd})|(?<=\p{Nd})(?=\p{L})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
-
-
+# a look at the next character comes first, as few are upper-case letters or digits
+BORDERS = r"(?=[\p{Lu}\p{Nd}])(?:(?<=\p{Ll})(?=\p{Lu})|(?<=\p{L})(?=\p{Nd})|(?<=\p{Lu})(?=\p{Lu}\p{Ll}))|(?<=\p{Nd})(?=\p{L})"
 #: White space of any script.
 WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -24,9 +23,14 @@ def tokens(c: Column) -> Column:
     return F.transform(F.filter(F.split(c, f"{DELIMITERS}|{BORDERS}"), lambda t: t != ""), F.lower)
 
 
+def distinct_tokens(tokens_: Column) -> Column:
+    """The set of `tokens`: distinct ones of more than one byte."""
+    return F.array_distinct(F.filter(tokens_, lambda t: F.octet_length(t) > 1))
+
+
 def token_set(c: Column) -> Column:
     """Distinct tokens of more than one byte."""
-    return F.array_distinct(F.filter(tokens(c), lambda t: F.octet_length(t) > 1))
+    return distinct_tokens(tokens(c))
 
 
 def trigrams(c: Column) -> Column:

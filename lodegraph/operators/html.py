@@ -21,14 +21,14 @@ class _Claims(HTMLParser):
     def __init__(self, content: str):
         super().__init__(convert_charrefs=True)
         self.content, self.found, self.lines = content, [], {}
-        self.kind, self.line, self.depth, self.parts = "", 0, 0, []
+        self.tag, self.kind, self.line, self.depth, self.parts = "", "", 0, 0, []
         self.feed(content)
         self.close()
         self.flush()
 
     def flush(self) -> None:
         if self.kind:
-            self.found.append((self.line, len(self.found), "".join(self.parts), self.kind))
+            self.found.append((self.line, len(self.found), self.tag, "".join(self.parts), self.kind))
         self.kind, self.depth, self.parts = "", 0, []
 
     def _claim(self, tag: str) -> None:
@@ -36,7 +36,7 @@ class _Claims(HTMLParser):
             raw = self.get_starttag_text() or ""
             if raw not in self.lines:
                 self.lines[raw] = self.content.count("\n", 0, max(0, self.content.find(raw))) + 1
-            self.kind, self.line = "code_span" if tag in SPANS else "heading", self.lines[raw]
+            self.tag, self.kind, self.line = tag, "code_span" if tag in SPANS else "heading", self.lines[raw]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.kind:
@@ -59,15 +59,21 @@ class _Claims(HTMLParser):
             self.parts.append(data)
 
 
+def claims(pages: DataFrame) -> DataFrame:
+    """(root, file, line, pos, tag, text, kind) of all claiming elements of `pages` (root, rel, content), in order by pos.
+
+    An outer element claims what is in it, up to as many end tags as there were start tags, so a tag
+    without an end, such as br, makes it run on. The line is that of the first equal start tag of the file.
+    """
+    raw = per_file(pages, lambda content: _Claims(content).found, "line int, pos int, tag string, raw string, kind string")
+    return raw.select("root", "file", "line", "pos", "tag", text.stripped("raw").alias("text"), "kind")
+
+
 def refs(pages: DataFrame) -> DataFrame:
     """(root, file, line, pos, text, kind) of `pages` (root, rel, content), in order by pos.
 
     code and tt give code spans unless they are flags, paths or have blanks; h1 to h6 give
-    headings if their text looks like an identifier. An outer element claims what is in it, up to as
-    many end tags as there were start tags, so a tag without an end, such as br, makes it run on.
-    The line is that of the first equal start tag of the file.
+    headings if their text looks like an identifier.
     """
-    raw = per_file(pages, lambda content: _Claims(content).found, "line int, pos int, raw string, kind string")
-    found = raw.select("root", "file", "line", "pos", text.stripped("raw").alias("text"), "kind")
     t = F.col("text")
-    return found.filter(F.when(F.col("kind") == "heading", text.looks_like_identifier(t)).otherwise((t != "") & ~text.common_non_identifier(t)))
+    return claims(pages).drop("tag").filter(F.when(F.col("kind") == "heading", text.looks_like_identifier(t)).otherwise((t != "") & ~text.common_non_identifier(t)))

@@ -12,11 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions import identity, text
-from lodegraph.plans import coverage, resolve, similarity
+from lodegraph.operators import capnp, html, symbol_db, workflow
+from lodegraph.operators.parsing import earliest, fact
+from lodegraph.plans import coverage, extract, resolve, similarity
+from lodegraph.sources.files import FILES
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_SECOND: dict[str, str] = {}
 
 
 def _query(sql: str) -> Callable[[Query], Query]:
@@ -28,11 +32,11 @@ def _query(sql: str) -> Callable[[Query], Query]:
     return register
 
 
-def _also_whole(rows: object) -> Callable[[Query], Query]:
-    """Registers NAME_whole too, the query with `rows` as third argument: all rows of its tables, without SQL."""
+def _also(name: str) -> Callable[[Query], Query]:
+    """Registers a second name of a query."""
 
     def register(f: Query) -> Query:
-        _QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir: f(spark, sf_dir, rows)
+        _SECOND[name] = f.__name__
         return f
 
     return register
@@ -50,29 +54,7 @@ def _long(c: Column | str) -> Column:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image facts: parts of even size produce, line items of quantity over 48 consume."""
-    part, item = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    image = F.lit("reg.example.com/part/")
-    made = part.filter("p_size % 2 = 0").select(
-        F.lit("producer").alias("role"),
-        F.lit("container_image").alias("kind"),
-        F.concat(image, F.col("p_partkey"), F.lit(":v"), F.col("p_size") % 3).alias("ref"),
-        F.concat(F.lit("root"), F.col("p_partkey") % 5, F.lit("/Dockerfile")).alias("file"),
-        F.col("p_size").cast("int").alias("line"),
-    )
-    tag = F.when(F.col("l_linenumber") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(":v"), F.col("l_linenumber") % 3))
-    used = item.filter("l_quantity > 48").select(
-        F.lit("consumer").alias("role"),
-        F.lit("container_image").alias("kind"),
-        F.concat(image, F.col("l_partkey"), tag).alias("ref"),
-        F.concat(F.lit("root"), F.col("l_suppkey") % 5, F.lit("/Dockerfile")).alias("file"),
-        F.col("l_linenumber").cast("int").alias("line"),
-    )
-    return made.unionByName(used)
-
-
-def whole_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image facts of all rows: every part produces, those of odd size under a name that no line item uses, and every line item consumes."""
+    """Image facts: every part produces, those of odd size under a name that no line item uses, and every line item consumes."""
     part, item = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     image = F.lit("reg.example.com/part/")
     made = part.select(
@@ -94,11 +76,11 @@ def whole_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FACTS = """
-p AS (SELECT 'container_image' AS kind, 'reg.example.com/part/' || p_partkey || ':v' || (p_size % 3) AS ref, 'root' || (p_partkey % 5) || '/Dockerfile' AS file, p_size AS line,
-             'reg.example.com/part/' || p_partkey AS ikey, 'v' || (p_size % 3) AS version FROM part WHERE p_size % 2 = 0),
+p AS (SELECT 'container_image' AS kind, 'reg.example.com/' || CASE WHEN p_size % 2 = 0 THEN 'part/' ELSE 'spare/' END || p_partkey || ':v' || (p_size % 3) AS ref, 'root' || (p_partkey % 5) || '/Dockerfile' AS file, p_size AS line,
+             'reg.example.com/' || CASE WHEN p_size % 2 = 0 THEN 'part/' ELSE 'spare/' END || p_partkey AS ikey, 'v' || (p_size % 3) AS version FROM part),
 c AS (SELECT 'container_image' AS kind, 'reg.example.com/part/' || l_partkey || CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE ':v' || (l_linenumber % 3) END AS ref,
              'root' || (l_suppkey % 5) || '/Dockerfile' AS file, l_linenumber AS line,
-             'reg.example.com/part/' || l_partkey AS ikey, CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE 'v' || (l_linenumber % 3) END AS version FROM lineitem WHERE l_quantity > 48),
+             'reg.example.com/part/' || l_partkey AS ikey, CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE 'v' || (l_linenumber % 3) END AS version FROM lineitem),
 e AS (SELECT p.kind, p.ref AS p_ref, p.file AS p_file, p.line AS p_line, c.ref AS c_ref, c.file AS c_file, c.line AS c_line,
              CASE WHEN p.version = c.version THEN 'exact' WHEN p.version = '' OR c.version = '' THEN 'unknown' ELSE 'mismatch' END AS version_match
       FROM p JOIN c ON p.ikey = c.ikey),
@@ -106,44 +88,44 @@ x AS (SELECT * FROM c WHERE ikey NOT IN (SELECT ikey FROM p)),
 d AS (SELECT * FROM p WHERE ikey NOT IN (SELECT ikey FROM c))"""
 
 
+@_also("resolve_edges_whole")
 @_query(f"WITH {_FACTS} SELECT kind, p_ref, p_file, CAST(p_line AS BIGINT) AS p_line, c_ref, c_file, CAST(c_line AS BIGINT) AS c_line, version_match FROM e")
-@_also_whole(whole_facts)
-def resolve_edges(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
-    return resolve.resolved_edges(made(spark, sf_dir)).withColumns({"p_line": _long("p_line"), "c_line": _long("c_line")})
+def resolve_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolved_edges(facts(spark, sf_dir)).withColumns({"p_line": _long("p_line"), "c_line": _long("c_line")})
 
 
+@_also("resolve_external_whole")
 @_query(f"WITH {_FACTS} SELECT kind, ref, file, CAST(line AS BIGINT) AS line FROM x")
-@_also_whole(whole_facts)
-def resolve_external(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
-    return resolve.external(made(spark, sf_dir)).withColumn("line", _long("line"))
+def resolve_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.external(facts(spark, sf_dir)).withColumn("line", _long("line"))
 
 
+@_also("resolve_dangling_whole")
 @_query(f"WITH {_FACTS} SELECT kind, ref, file, CAST(line AS BIGINT) AS line FROM d")
-@_also_whole(whole_facts)
-def resolve_dangling(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
-    return resolve.dangling(made(spark, sf_dir)).withColumn("line", _long("line"))
+def resolve_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.dangling(facts(spark, sf_dir)).withColumn("line", _long("line"))
 
 
+@_also("bucket_counts_whole")
 @_query(
     f"""WITH {_FACTS} SELECT 'resolved' AS bucket, version_match, count(*) AS n FROM e GROUP BY ALL
 UNION ALL SELECT 'external', '', count(*) FROM x UNION ALL SELECT 'dangling', '', count(*) FROM d"""
 )
-@_also_whole(whole_facts)
-def bucket_counts(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
-    return resolve.bucket_counts(made(spark, sf_dir))
+def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.bucket_counts(facts(spark, sf_dir))
 
 
 _ROOTS = ("root0", "root1", "root2", "root3", "x/root4", "root4/")
 
 
+@_also("repo_edges_whole")
 @_query(
     f"""WITH {_FACTS} SELECT split_part(c_file, '/', 1) AS from_label, split_part(p_file, '/', 1) AS to_label, count(*) AS n
 FROM e WHERE c_file NOT LIKE 'root4%' AND p_file NOT LIKE 'root4%' GROUP BY ALL"""
 )
-@_also_whole(whole_facts)
-def repo_edges(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
+def repo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = spark.createDataFrame([(r,) for r in _ROOTS], "root string")
-    return resolve.repo_edges(resolve.resolved_edges(made(spark, sf_dir)), roots)
+    return resolve.repo_edges(resolve.resolved_edges(facts(spark, sf_dir)), roots)
 
 
 _SITES = ("https:", "https://site0.example.com", "https://site1.example.com", "https://site1.example.com/p", "https://www.example.com")
@@ -158,40 +140,40 @@ def root_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.longest_roots(table(spark, sf_dir, "pages").select(F.col("url").alias("file")), roots)
 
 
+@_also("artifact_distinct_whole")
 @_query(
     f"""WITH {_FACTS}, a AS (SELECT kind, p_ref AS ref, 'resolved' AS bucket FROM e UNION SELECT kind, c_ref, 'resolved' FROM e
 UNION SELECT kind, ref, 'external' FROM x UNION SELECT kind, ref, 'dangling' FROM d) SELECT * FROM a"""
 )
-@_also_whole(whole_facts)
-def artifact_distinct(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
-    f = made(spark, sf_dir)
+def artifact_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = facts(spark, sf_dir)
     return resolve.artifacts(resolve.resolved_edges(f), resolve.external(f), resolve.dangling(f))
 
 
+@_also("node_bucket_promotion_whole")
 @_query(
     f"""WITH {_FACTS}, a AS (SELECT kind, p_ref AS ref, 0 AS r FROM e UNION ALL SELECT kind, c_ref, 0 FROM e UNION ALL SELECT kind, ref, 1 FROM x UNION ALL SELECT kind, ref, 2 FROM d)
 SELECT kind, ref, CASE min(r) WHEN 0 THEN 'resolved' WHEN 1 THEN 'external' ELSE 'dangling' END AS bucket FROM a GROUP BY kind, ref"""
 )
-@_also_whole(whole_facts)
-def node_bucket_promotion(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
-    f = made(spark, sf_dir)
+def node_bucket_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = facts(spark, sf_dir)
     return resolve.nodes(resolve.resolved_edges(f), resolve.external(f), resolve.dangling(f))
 
 
+@_also("mermaid_node_ids_whole")
 @_query(
     f"""WITH {_FACTS}, a AS (SELECT kind, ref FROM p UNION SELECT kind, ref FROM c)
 SELECT ref, 'n' || substr(sha1(kind || chr(0) || ref), 1, 12) AS node_id, 'k' || substr(sha1('kind:' || kind), 1, 8) AS kind_id FROM a"""
 )
-@_also_whole(whole_facts)
-def mermaid_node_ids(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
-    ids = made(spark, sf_dir).select("kind", "ref").distinct()
+def mermaid_node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = facts(spark, sf_dir).select("kind", "ref").distinct()
     return ids.select("ref", identity.node_id(F.col("kind"), F.col("ref")).alias("node_id"), identity.kind_node_id(F.col("kind")).alias("kind_id"))
 
 
+@_also("version_match_matrix_whole")
 @_query(f"WITH {_FACTS} SELECT p.version AS p_version, c.version AS c_version, CASE WHEN p.version = c.version THEN 'exact' WHEN p.version = '' OR c.version = '' THEN 'unknown' ELSE 'mismatch' END AS version_match, count(*) AS n FROM p JOIN c ON p.ikey = c.ikey GROUP BY ALL")
-@_also_whole(whole_facts)
-def version_match_matrix(spark: SparkSession, sf_dir: str, made: Query = facts) -> DataFrame:
-    known = resolve.canonical(made(spark, sf_dir)).groupBy("role", "kind", "identity_key", "version").agg(F.count("*").alias("n"))
+def version_match_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = resolve.canonical(facts(spark, sf_dir)).groupBy("role", "kind", "identity_key", "version").agg(F.count("*").alias("n"))
     p = known.filter("role = 'producer'").select("kind", "identity_key", F.col("version").alias("p_version"), F.col("n").alias("np"))
     c = known.filter("role = 'consumer'").select("kind", "identity_key", F.col("version").alias("c_version"), F.col("n").alias("nc"))
     match = identity.version_match(F.col("p_version"), F.col("c_version"))
@@ -204,15 +186,24 @@ SELECT 'producer' AS role, 'container_image' AS kind, 'img/' || p_brand AS ref F
 SELECT 'producer', 'service', s_name FROM supplier UNION ALL SELECT 'consumer', 'service', c_name FROM customer) GROUP BY ALL"""
 )
 def facts_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda t, role, kind, ref: table(spark, sf_dir, t).select(F.lit(role).alias("role"), F.lit(kind).alias("kind"), ref.alias("ref"))
-    every = one("part", "producer", "container_image", F.concat(F.lit("img/"), "p_brand")).unionAll(one("supplier", "producer", "service", F.col("s_name"))).unionAll(one("customer", "consumer", "service", F.col("c_name")))
+    def extractor(t: str, role: str, kind: str, ref: Column) -> extract.Extractor:
+        return lambda files: table(spark, sf_dir, t).select(F.lit(role).alias("role"), F.lit(t).alias("root"), F.lit(kind).alias("kind"), ref.alias("ref"), F.lit(t).alias("file"), F.lit(1).alias("line"))
+
+    extra = {
+        "parts": extractor("part", "producer", "container_image", F.concat(F.lit("img/"), "p_brand")),
+        "suppliers": extractor("supplier", "producer", "service", F.col("s_name")),
+        "customers": extractor("customer", "consumer", "service", F.col("c_name")),
+    }
+    registry = extract.Registry(unavailable=dict.fromkeys(extract.Registry().extractors(), "no files"), extra=extra)
+    every = registry.gather(spark.createDataFrame([], FILES)).facts
     return every.groupBy("role", "kind").agg(F.count("*").alias("n"), F.count_distinct("ref").alias("refs"))
 
 
 @_query("SELECT l_orderkey % 97 AS file, l_partkey AS ref, CAST(min(l_linenumber) AS BIGINT) AS line FROM lineitem GROUP BY ALL")
 def earliest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 97).alias("file"), F.col("l_partkey").alias("ref"), "l_linenumber")
-    return rows.groupBy("file", "ref").agg(_long(F.min("l_linenumber")).alias("line"))
+    rows = table(spark, sf_dir, "lineitem").withColumns({"root": F.lit("r"), "file": F.col("l_orderkey") % 97, "line": F.col("l_linenumber"), "key": F.col("l_partkey").cast("string")})
+    found = earliest(rows.select(*fact("consumer", "cargo_crate", "key")))
+    return found.select("file", _long("ref").alias("ref"), _long("line").alias("line"))
 
 
 # --- identities ------------------------------------------------------------------
@@ -306,8 +297,8 @@ def _sql_trigrams(x: str) -> str:
 
 @_query(f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents) SELECT doc_id, CAST(len({_sql_tokens('text')}) AS BIGINT) AS n_tokens, CAST(len({_sql_set('text')}) AS BIGINT) AS n_distinct FROM d")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", _long(F.size(text.tokens(whole))).alias("n_tokens"), _long(F.size(text.token_set(whole))).alias("n_distinct"))
+    told = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return told.select("doc_id", _long(F.size("tokens")).alias("n_tokens"), _long(F.size(text.distinct_tokens(F.col("tokens")))).alias("n_distinct"))
 
 
 @_query(f"WITH d AS (SELECT coalesce(text, '') AS text FROM documents), t AS (SELECT unnest({_sql_set('text')}) AS token FROM d) SELECT token, count(*) AS docs FROM t GROUP BY token")
@@ -384,7 +375,7 @@ def doc_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("c_custkey") % 6 == 1, F.concat_ws(".", "package", "name"))
         .when(F.col("c_custkey") % 6 == 2, F.concat(F.lit(" x"), F.col("name")))
         .when(F.col("c_custkey") % 6 == 3, F.col("doc_comment"))
-        .when(F.col("c_custkey") % 6 == 4, F.concat(F.substring("name", 2, 40), F.lit("s")))
+        .when(F.col("c_custkey") % 6 == 4, F.concat(F.expr("substring(name, 2)"), F.lit("s")))
         .otherwise(F.col("c_name"))
     )
     return joined.select(F.col("c_custkey").alias("ord"), F.coalesce(said, "c_name").alias("text"), F.lit("code_span").alias("kind"), F.concat(F.lit("doc"), F.col("c_nationkey"), F.lit(".md")).alias("file"), F.col("c_custkey").cast("int").alias("line"))
@@ -394,7 +385,7 @@ _INITCAP = "array_to_string(list_transform(string_split(p_name, ' '), lambda w:
 _COVERAGE = f"""
 ent AS MATERIALIZED (SELECT p_partkey AS ord, {_INITCAP} AS name, 'kind' || (p_size % 3) AS kind, CASE WHEN p_size % 5 = 0 THEN '' ELSE lower(replace(p_brand, '#', '')) END AS package,
         'src' || (p_partkey % 7) || '/f.go' AS file, CASE WHEN p_partkey % 3 = 0 THEN concat_ws(' ', p_type, p_brand, p_partkey % 50) ELSE '' END AS doc FROM part),
-refs AS MATERIALIZED (SELECT c_custkey AS ord, coalesce(CASE c_custkey % 6 WHEN 0 THEN name || '()' WHEN 1 THEN concat_ws('.', package, name) WHEN 2 THEN ' x' || name WHEN 3 THEN doc WHEN 4 THEN substr(name, 2, 40) || 's' ELSE c_name END, c_name) AS text,
+refs AS MATERIALIZED (SELECT c_custkey AS ord, coalesce(CASE c_custkey % 6 WHEN 0 THEN name || '()' WHEN 1 THEN concat_ws('.', package, name) WHEN 2 THEN ' x' || name WHEN 3 THEN doc WHEN 4 THEN substr(name, 2) || 's' ELSE c_name END, c_name) AS text,
         'doc' || c_nationkey || '.md' AS file FROM customer LEFT JOIN ent ON c_custkey = ord),
 norms AS MATERIALIZED (SELECT DISTINCT regexp_replace(trim(text), '\\(\\)$', '') AS norm FROM refs),
 keys AS (SELECT name AS key, ord, 0 AS v, name FROM ent UNION ALL SELECT package || '.' || name, ord, 1, name FROM ent WHERE package <> ''),
@@ -419,8 +410,7 @@ stale AS (SELECT * FROM refs WHERE regexp_replace(trim(text), '\\(\\)$', '') NOT
 
 
 def _coverage(spark: SparkSession, sf_dir: str) -> coverage.Coverage:
-    e, r = entities(spark, sf_dir), doc_refs(spark, sf_dir)
-    return coverage.Coverage(e, r, coverage.match_refs(e, r))
+    return coverage.compute(entities(spark, sf_dir), doc_refs(spark, sf_dir))
 
 
 @_query(f"WITH {_COVERAGE} SELECT norm, ord, name FROM l1")
@@ -462,25 +452,38 @@ def gate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """WITH r AS (SELECT 0 AS source, conv_id * 1000 + turn AS ord, text, role AS kind, 'c' || (conv_id % 9) AS file, turn AS line FROM conversations
-UNION ALL SELECT 1, conv_id * 1000 + turn, text, role, 'c' || (conv_id % 9), turn FROM conversations WHERE turn % 2 = 0)
+    """WITH c AS (SELECT conv_id * 1000 + turn AS ord, text, role AS kind, 'c' || (conv_id % 9) AS file, turn AS line FROM conversations),
+r AS (SELECT 0 AS source, * FROM c UNION ALL SELECT 1, ord, text, kind, CASE WHEN line % 2 = 0 THEN file ELSE 'docs/' || file END, line FROM c)
 SELECT source, ord, text, kind, file, line FROM (SELECT *, row_number() OVER (PARTITION BY text, file, line ORDER BY source, ord) AS n FROM r) WHERE n = 1"""
 )
-@_also_whole("true")
-def merge_refs_dedup(spark: SparkSession, sf_dir: str, second: str = "line % 2 = 0") -> DataFrame:
+@_also("merge_refs_dedup_whole")
+def merge_refs_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn is in both sources; those of even number name the same file in both."""
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text", F.col("role").alias("kind"), F.concat(F.lit("c"), F.col("conv_id") % 9).alias("file"), F.col("turn").alias("line"))
-    return coverage.merge_refs(rows, rows.filter(second))
+    return coverage.merge_refs(rows, rows.withColumn("file", F.when(F.col("line") % 2 == 0, F.col("file")).otherwise(F.concat(F.lit("docs/"), "file"))))
 
 
 # --- scans and predicates --------------------------------------------------------
 
 
-@_query("SELECT page_id, h.level AS level, trim(regexp_replace(h.inner_html, '<[^>]*>', '', 'g')) AS heading FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h([1-6])[^>]*>(?s:(.*?))</h[1-6]>', 1)) AS level, unnest(regexp_extract_all(html, '<h([1-6])[^>]*>(?s:(.*?))</h[1-6]>', 2)) AS inner_html FROM pages) h")
+@_query("SELECT page_id, h.level AS level, trim(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h.inner_html, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), chr(160), ' ')) AS heading FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h([1-6])[^>]*>(?s:(.*?))</h[1-6]>', 1)) AS level, unnest(regexp_extract_all(html, '<h([1-6])[^>]*>(?s:(.*?))</h[1-6]>', 2)) AS inner_html FROM pages) h")
 def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pattern = F.lit("(?s)<h([1-6])[^>]*>(.*?)</h[1-6]>")
-    found = F.arrays_zip(F.regexp_extract_all("html", pattern, 1).alias("level"), F.regexp_extract_all("html", pattern, 2).alias("inner"))
-    each = table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("h"))
-    return each.select("page_id", F.col("h.level").alias("level"), F.trim(F.regexp_replace("h.inner", "<[^>]*>", "")).alias("heading"))
+    found = html.claims(_page_files(spark, sf_dir)).filter("kind = 'heading'")
+    return found.select(_long("file").alias("page_id"), F.substring("tag", 2, 1).alias("level"), F.col("text").alias("heading"))
+
+
+def _page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").filter("html is not null").select(F.lit("pages").alias("root"), F.col("page_id").cast("string").alias("rel"), F.encode("html", "UTF-8").alias("content"))
+
+
+@_query(
+    """WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6]|code|tt)[^>]*>(?s:(.*?))</(?:h[1-6]|code|tt)>', 1)) AS tag, unnest(regexp_extract_all(html, '<(h[1-6]|code|tt)[^>]*>(?s:(.*?))</(?:h[1-6]|code|tt)>', 2)) AS inner_html FROM pages),
+t AS (SELECT page_id, tag, trim(regexp_replace(inner_html, '<[^>]*>', '', 'g'), chr(9) || chr(10) || chr(13) || ' ') AS text FROM h)
+SELECT page_id, text, CASE WHEN tag LIKE 'h%' THEN 'heading' ELSE 'code_span' END AS kind FROM t
+WHERE CASE WHEN tag LIKE 'h%' THEN regexp_full_match(text, '[A-Za-z][A-Za-z0-9._]*') ELSE text <> '' AND NOT regexp_matches(text, '^[-/~]| ') END"""
+)
+def html_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.refs(_page_files(spark, sf_dir)).select(_long("file").alias("page_id"), "text", "kind")
 
 
 _WORDS_SQL = "SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents WHERE text IS NOT NULL"
@@ -514,38 +517,51 @@ def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """SELECT o_orderkey AS token, c_custkey AS node_id, c_name AS source_file, CAST(CASE WHEN n_nationkey IS NULL THEN 0 ELSE n_regionkey + 1 END AS BIGINT) AS line
-FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) n ON c_nationkey = n_nationkey"""
+    r"""WITH d AS (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE text IS NOT NULL),
+l AS (SELECT conv_id, turn, text AS script, i, lines[i] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS lines FROM d))),
+m AS (SELECT *, coalesce(lag(regexp_matches(line, '\\[ \t]*$')) OVER (PARTITION BY conv_id, turn, script ORDER BY i), false) AS continues FROM l),
+s AS (SELECT *, max(CASE WHEN continues THEN NULL ELSE i END) OVER (PARTITION BY conv_id, turn, script ORDER BY i ROWS UNBOUNDED PRECEDING) AS start FROM m),
+w AS (SELECT conv_id, turn, start, trim(string_agg(regexp_replace(line, '\\[ \t]*$', ' '), '' ORDER BY i), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS said FROM s GROUP BY conv_id, turn, script, start),
+b AS (SELECT conv_id, turn, start AS line, regexp_replace(said, '^((sudo|[^\s=/.:$]+=[^\s$(`"'']*)(\s+|$))+', '') AS bare FROM w WHERE said <> '' AND NOT starts_with(said, '#'))
+SELECT conv_id, turn, CAST(line AS BIGINT) AS line, array_to_string(regexp_split_to_array(bare, '\s+'), ' ') AS command FROM b WHERE regexp_split_to_array(bare, '\s+')[1] <> ''"""
 )
-@_also_whole("true")
-def symbol_db_provenance(spark: SparkSession, sf_dir: str, parsed: str = "n_nationkey % 2 = 0") -> DataFrame:
-    from lodegraph.operators.symbol_db import provenance
+def script_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as scripts: commands with their continued lines joined."""
+    runs = table(spark, sf_dir, "conversations").filter("text is not null").select(F.col("conv_id").alias("root"), F.col("turn").alias("file"), F.lit(1).alias("line"), F.col("text").alias("value")).distinct()
+    return workflow.commands(runs).select(F.col("root").alias("conv_id"), F.col("file").alias("turn"), _long("line").alias("line"), F.array_join("fields", " ").alias("command"))
+
 
+@_query(
+    """WITH a AS (SELECT n_nationkey + CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 100 END AS node, n_regionkey AS start_row FROM nation)
+SELECT o_orderkey AS token, c_custkey AS node_id, c_name AS source_file, CAST(CASE WHEN node IS NULL THEN 0 ELSE start_row + 1 END AS BIGINT) AS line
+FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN a ON c_nationkey = node"""
+)
+@_also("symbol_db_provenance_whole")
+def symbol_db_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tokens at customers' nodes; nations are syntax rows, those of odd key under a number that no customer has."""
     defs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("token"), F.col("o_custkey").alias("node_id"))
     nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("source_file"), F.col("c_nationkey").alias("ast_id"))
-    ast = table(spark, sf_dir, "nation").filter(parsed).select(F.col("n_nationkey").alias("ast"), F.col("n_regionkey").alias("start_row"))
+    ast = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + F.when(F.col("n_nationkey") % 2 == 0, 0).otherwise(100)).alias("ast"), F.col("n_regionkey").alias("start_row"))
     placed = nodes.join(ast, F.col("ast_id") == F.col("ast"), "left").select("id", "source_file", "start_row")
-    return provenance(defs, placed.select("id", "source_file"), placed.select(F.col("id").alias("node_id"), "start_row")).select("token", "node_id", F.col("file").alias("source_file"), _long("line").alias("line"))
+    return symbol_db.provenance(defs, placed.select("id", "source_file"), placed.select(F.col("id").alias("node_id"), "start_row")).select("token", "node_id", F.col("file").alias("source_file"), _long("line").alias("line"))
 
 
 @_query(
-    """WITH k AS (SELECT user_id % 50 AS file, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS pos, event_id,
+    """WITH k AS (SELECT user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, event_id,
 CASE event_id % 5 WHEN 0 THEN 'name' WHEN 1 THEN 'worker' WHEN 2 THEN 'service' ELSE 'other' END AS key FROM events),
 s AS (SELECT *, max(CASE WHEN key <> 'other' THEN pos END) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k)
 SELECT s.file, 'n' || n.event_id AS ref, n.pos AS line FROM s JOIN k n ON n.file = s.file AND n.pos = s.before WHERE s.key = 'worker' AND n.key = 'name'"""
 )
 def pending_name_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodegraph.operators.capnp import pending_names
-
+    """Each user's events as the fields of a file."""
     key = F.expr("CASE event_id % 5 WHEN 0 THEN 'name' WHEN 1 THEN 'worker' WHEN 2 THEN 'service' ELSE 'other' END")
-    file = F.col("user_id") % 50
-    fields = table(spark, sf_dir, "events").select(file.alias("file"), F.row_number().over(Window.partitionBy(file).orderBy("ts", "event_id")).cast("long").alias("line"), F.lit(0).alias("pos"), key.alias("key"), F.concat(F.lit("n"), "event_id").alias("value"))
-    return pending_names(fields, ["file"]).select("file", F.col("value").alias("ref"), "line")
+    fields = table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("line"), F.lit(0).alias("pos"), key.alias("key"), F.concat(F.lit("n"), "event_id").alias("value"))
+    return capnp.pending_names(fields, ["file"]).select("file", F.col("value").alias("ref"), "line")
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | {name: _QUERIES[of] for name, of in _SECOND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | {name: _SQL[of] for name, of in _SECOND.items()}
