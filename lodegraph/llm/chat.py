@@ -27,20 +27,20 @@ def segment(role: Column, text: Column) -> Column:
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """Adds to each turn its number in the conversation, the rolling hash (p1, p2) of the turns up to it, whether it is the last, and `start`, the characters rendered before it.
 
-    Turns are ordered by turn (null first), role, then content, so repeated and tied rows have
+    Turns are ordered by turn, role and text, null first, so repeated and tied rows have
     a place each. The rolling hash is the exclusive or of hashes of (place, role, text), 128 bits
     in all; it is a running sum, so a very long conversation needs no more memory than a short one.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "h1", "h2")
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hashed = turns.select("conv_id", "turn", "role", "text", _content(1).alias("h1"), _content(2).alias("h2"))
-    placed = hashed.withColumn("turn_no", F.row_number().over(w).cast("long")).withColumn("segment", segment(F.col("role"), F.col("text")))
-    size = F.length("segment").cast("long")
+    placed = hashed.withColumn("turn_no", F.row_number().over(w).cast("long"))
+    size = F.length(segment(F.col("role"), F.col("text"))).cast("long")
     return placed.select(
         "conv_id",
         "turn_no",
         "role",
-        "segment",
+        "text",
         (F.sum(size).over(upto) - size).alias("start"),
         F.expr("bit_xor(xxhash64(1L, turn_no, h1, h2))").over(upto).alias("p1"),
         F.expr("bit_xor(xxhash64(2L, turn_no, h2, h1))").over(upto).alias("p2"),
@@ -67,7 +67,7 @@ def format_chats(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     hashed = work.keep(prefix_hashes(conversations), "turns")
     kept = maximal_conversations(hashed).withColumnRenamed("conv_id", "id")
     chosen = hashed.join(kept, hashed["conv_id"].eqNullSafe(kept["id"]))
-    return chosen.select("conv_id", "turn_no", "role", "segment", "start", "n_turns", "copies")
+    return chosen.select("conv_id", "turn_no", "role", segment(F.col("role"), F.col("text")).alias("segment"), "start", "n_turns", "copies")
 
 
 ORACLE = """

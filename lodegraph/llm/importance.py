@@ -3,13 +3,14 @@
 Two generative models of hashed n-grams, one of target text (labelled good) and one
 of all raw text, give each document the log ratio of its probabilities. Documents
 are drawn without replacement by Gumbel top-k: the k largest of log ratio plus
-Gumbel noise. The n-grams are trigrams of word shapes (see `ngrams`), which tell prose
-from shouting, tables, symbol noise and repetition in any language; n-grams of
-words or bytes would weigh down languages that are rare in the sample.
+Gumbel noise. N-grams are words and pairs of words, and trigrams of word shapes, which tell prose
+from shouting, tables, symbol noise and repetition in words never seen before; the kinds
+are models of their own, whose log ratios add up.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,60 +20,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegraph.llm.ngrams import shape_grams, sums
+from lodegraph.llm.ngrams import shape_grams, sums, word_grams
 from lodegraph.llm.samples import kth_largest, labelled
 from lodegraph.llm.shingles import mix
 from lodegraph.llm.workspace import Workspace
 
 
+#: Kinds of n-grams; each has 2**bits buckets of its own.
+KINDS = (shape_grams, word_grams)
+
+
 @dataclass(frozen=True)
 class Importance:
     """Parameters.
 
     `sample` bounds the labelled rows of each class that the target model and k are fitted on.
-    `bits`: n-grams go to 2**bits buckets. `keep` fixes k as a share of all rows; None
-    takes as k the number of documents whose weight passes the cut that best parts the
-    labelled classes. `temperature` scales the Gumbel noise; it is low, as
-    noise may cost a good document its place.
+    `bits`: n-grams of a kind go to 2**bits buckets. Counts are raised by `smoothing`, so that what is too
+    rare for the sample, in a rare language too, weighs next to nothing. `keep` fixes k as a share of all rows; None takes
+    the share of good ones among labelled rows, and `spare` more. `temperature` scales the Gumbel noise; at 1
+    documents are drawn with chances in proportion to their probability ratio.
     """
 
     sample: int = 20_000
     bits: int = 16
-    smoothing: float = 5.0
+    smoothing: float = 20.0
     keep: float | None = None
-    temperature: float = 0.1
+    spare: float = 0.01
+    temperature: float = 1.0
     seed: int = 17
     batch_rows: int = 256
 
 
 def _counts(docs: DataFrame, p: Importance) -> np.ndarray:
-    """n-gram counts of all rows' texts; what reaches the driver is one number a bucket."""
+    """n-gram counts of all rows' texts, a row a kind; what reaches the driver is one number a bucket."""
     size = 1 << p.bits
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
+        total = np.zeros((len(KINDS), size), dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, p.batch_rows):
-                total += np.bincount(shape_grams(batch.column(0).slice(at, p.batch_rows), p.bits)[0], minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["bucket", "n"])
+                for k, grams in enumerate(KINDS):
+                    total[k] += np.bincount(grams(batch.column(0).slice(at, p.batch_rows), p.bits)[0], minlength=size)
+        flat = total.ravel()
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at])], names=["bucket", "n"])
 
     found = docs.select("text").mapInArrow(each, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size)
+    out = np.zeros(len(KINDS) * size)
     out[found["bucket"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
-    return out
+    return out.reshape(len(KINDS), size)
 
 
-def fit(docs: DataFrame, good: DataFrame, p: Importance) -> np.ndarray:
-    """Log ratios of target to raw probability by bucket. `good`: doc_id of target documents, a bounded number.
+def log_ratios(target: np.ndarray, raw: np.ndarray, smoothing: float) -> np.ndarray:
+    """Log ratios of target to raw probability by kind and bucket. Target counts are held against those expected at the raw model's probabilities."""
+    expected = raw * (target.sum(axis=1, keepdims=True) / np.maximum(1.0, raw.sum(axis=1, keepdims=True)))
+    return np.log(target + smoothing) - np.log(expected + smoothing)
 
-    Target counts are held against those expected at the raw model's probabilities, both
-    raised by `smoothing`, so that n-grams too rare for the sample weigh nothing.
-    """
-    raw = _counts(docs, p)
+
+def fit(docs: DataFrame, good: DataFrame, p: Importance) -> np.ndarray:
+    """Log ratios by kind and bucket. `good`: doc_id of target documents, a bounded number."""
     target = _counts(docs.join(F.broadcast(good.select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi"), p)
-    expected = raw * (target.sum() / max(1.0, raw.sum()))
-    return np.log(target + p.smoothing) - np.log(expected + p.smoothing)
+    return log_ratios(target, _counts(docs, p), p.smoothing)
 
 
 def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
@@ -81,73 +89,70 @@ def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
     return -np.log(-np.log((u + 0.5) / 2.0**53))
 
 
+def keys_of(ids: pa.Array, texts: pa.Array) -> np.ndarray:
+    """What a row's noise depends on: its doc_id, or a digest of its text where that is null."""
+    out = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).copy()
+    for k in np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)):
+        out[k] = int.from_bytes(hashlib.blake2b((texts[int(k)].as_py() or "").encode(), digest_size=8).digest(), "little", signed=True)
+    return out
+
+
 def weigh(docs: DataFrame, ratios: np.ndarray, p: Importance) -> DataFrame:
     """`docs` with log_weight, the log ratio of each whole text, and gumbel_key, the same plus noise. Null text weighs 0."""
     names = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)  # 2**bits numbers
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)  # 2**bits numbers a kind
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        tables = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, p.batch_rows):
                 part = batch.slice(at, p.batch_rows)
-                buckets, bounds = shape_grams(part.column(names.index("text")), p.bits)
-                weight = sums(table[buckets], bounds)
-                ids = part.column(names.index("doc_id")).cast(pa.int64()).fill_null(-1).to_numpy()
-                key = weight + p.temperature * gumbel(ids, p.seed)
+                ids, texts = part.column(names.index("doc_id")), part.column(names.index("text"))
+                weight = np.zeros(part.num_rows)
+                for table, grams in zip(tables, KINDS, strict=True):
+                    buckets, bounds = grams(texts, p.bits)
+                    weight += sums(table[buckets], bounds)
+                key = weight + p.temperature * gumbel(keys_of(ids, texts), p.seed)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight), pa.array(key)], names=[*names, "log_weight", "gumbel_key"])
 
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]
     return docs.mapInArrow(each, T.StructType([*fields, T.StructField("log_weight", T.DoubleType()), T.StructField("gumbel_key", T.DoubleType())]))
 
 
-def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """The weight that parts good from bad with the least sum of both error rates, midway in its gap; -inf without both."""
-    if not good.any() or good.all():
-        return -np.inf
-    order = np.argsort(weights)
-    w, g = weights[order], good[order]
-    lost = np.r_[0, np.cumsum(g)] / g.sum()
-    passed = 1 - np.r_[0, np.cumsum(~g)] / (~g).sum()
-    edge = np.r_[True, w[1:] != w[:-1], True]
-    errors = np.where(edge, lost + passed, np.inf)
-    at = int(np.argmin(errors))
-    if at == 0:
-        return -np.inf
-    return float((w[at - 1] + w[min(at, len(w) - 1)]) / 2)
-
-
-def threshold(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Importance) -> tuple[np.ndarray, float, DataFrame]:
-    """The fitted ratios, the k-th largest key, and the table (doc_id, log_weight, gumbel_key) of all documents."""
+def drawn(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Importance, columns: list[str]) -> tuple[DataFrame, float]:
+    """`columns` of `docs` with log_weight and gumbel_key, written once, and the k-th largest key; every row is scored once."""
     work = Workspace(spark, "importance")
     chosen = work.keep(labelled(labels, "quality", p.sample), "sample")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ratios = fit(docs, chosen.filter("label = 1"), p)
-    scores = work.keep(weigh(docs, ratios, p).drop("text"), "scores")
-    if p.keep is not None:
-        k = round(p.keep * scores.count())
-    else:
-        known = scores.join(F.broadcast(chosen.withColumnRenamed("doc_id", "id")), F.col("doc_id") == F.col("id")).select("log_weight", "label").toPandas()
-        cut = best_cut(known["log_weight"].to_numpy(), known["label"].to_numpy() == 1)
-        k = scores.filter(F.col("log_weight") >= F.lit(cut)).count()
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sizes = {r["label"]: r["n"] for r in chosen.join(typed, "doc_id", "left_semi").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    ratios = fit(typed, chosen.filter("label = 1"), p)
+    scores = work.keep(weigh(docs, ratios, p).select(*columns, "log_weight", "gumbel_key"), "scores")
+    work.drop("sample")
+    keep = p.keep
+    if keep is None:
+        # a sample may hold the classes in other shares than all labels do
+        totals = {r["label"]: r["count"] for r in labels.filter("quality in (0, 1)").groupBy(F.col("quality").cast("int").alias("label")).count().collect()}
+        keep = min(1.0, totals[1] / (totals[0] + totals[1]) + p.spare) if len(sizes) == 2 else 1.0
+    k = round(keep * scores.count())
     least = kth_largest(scores, "gumbel_key", k)
-    return ratios, (np.inf if k < 1 else -np.inf) if least is None else least, scores
+    return scores, (np.inf if k < 1 else -np.inf) if least is None else least
 
 
 def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Importance | None = None) -> DataFrame:
     """(doc_id, log_weight, gumbel_key, kept) for each row of `docs` (doc_id, text); kept are the k largest keys, ties at the last kept too.
 
-    `labels`: doc_id, quality. Without labels of both kinds every document is kept. Null and
-    empty texts weigh 0. Rows that repeat have equal weights. Other columns are not looked at.
+    `labels`: doc_id, quality. Without labels of both kinds among `docs` every document is kept. Null and
+    empty texts weigh 0, and texts of any length are scored whole. Rows that repeat have equal weights and, by doc_id, equal
+    noise; the noise of rows without doc_id is by their text. Other columns are not looked at. An empty table gives no rows.
     """
-    _, least, scores = threshold(spark, docs, labels, params or Importance())
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scores, least = drawn(spark, typed, labels, params or Importance(), ["doc_id"])
     return scores.select("doc_id", "log_weight", "gumbel_key", (F.col("gumbel_key") >= F.lit(least)).alias("kept"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Importance | None = None) -> DataFrame:
     """The rows of `docs` that `resample` keeps, with their own columns."""
-    p = params or Importance()
-    ratios, least, _ = threshold(spark, docs, labels, p)
-    plain = docs.withColumnsRenamed({c: f"own_{c}" for c in ("log_weight", "gumbel_key") if c in docs.columns})
-    kept = weigh(plain, ratios, p).filter(F.col("gumbel_key") >= F.lit(least)).drop("log_weight", "gumbel_key")
-    return kept.withColumnsRenamed({f"own_{c}": c for c in ("log_weight", "gumbel_key") if c in docs.columns})
+    # a row's own columns stay in a struct, so that no name can clash
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    scores, least = drawn(spark, rows, labels, params or Importance(), ["row"])
+    return scores.filter(F.col("gumbel_key") >= F.lit(least)).select("row.*")

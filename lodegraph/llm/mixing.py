@@ -1,16 +1,17 @@
 """Mixing documents to target domain weights, by soft membership.
 
 A softmax classifier fitted on labelled documents gives each document a posterior
-over domains. Nonnegative rates r, one a document, are fitted so that the expected
+over domains. Rates r, one a document and within bounds, are fitted so that the expected
 tokens of each domain, sum of r * tokens * posterior, meet a target: least squares
-by projected gradient. With residuals whitened by the domains' Gram matrix and
-documents measured by their tokens, the gradient's Lipschitz constant is 1, so a
-step of 1 is safe; a step is one distributed sum and adds posterior . y to every rate
-before it is cut off at zero.
+by projected gradient, with a slight pull of rates to 1 that makes the solution the only one. A round takes
+the gradient at the present rates, which is one distributed sum of as many numbers as there are domains,
+scales it by the curvature that documents within their bounds have, and adds it to a step y; the
+rate of a document is 1 + posterior . y, projected onto its bounds. The scaling makes rounds few.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,24 +31,30 @@ class Mixing:
     """Parameters.
 
     `targets`: token share by domain, of `total` tokens; None takes the least total at which
-    no domain with a target is thinned out. A labelled row's domain is its `domain` column where
+    no domain with a target is thinned out, and the share `spare` more. A domain of target None is told apart but has no share to meet. A labelled row's domain is its `domain` column where
     its quality is 1, and `low` elsewhere. `sample` bounds the labelled rows of each
     quality that the classifier is fitted on; `bits`: byte n-grams go to 2**bits features.
-    `rounds` and `tolerance` (relative residual) end the fit. `least`: no rate falls below it where a
-    domain with a target is at least as probable as any without one.
+    The fit ends where the gradient, over the wanted tokens, is within `tolerance`; `rounds` bounds it, and a fit that
+    ends there is logged as a warning, or with `strict` is an error. `ridge`: the weight of the pull to 1. No rate is above
+    `most`. `least`: no rate falls below it where the domains with a target above `small` are at least as probable as any other.
     """
 
-    targets: dict[str, float] = field(default_factory=lambda: {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15, "low": 0.0})
+    targets: dict[str, float | None] = field(default_factory=lambda: {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15, "low": 0.02})
     total: float | None = None
+    spare: float = 0.0
     domain: str = "lang"
     low: str = "low"
     sample: int = 6000
     bits: int = 10
     steps: int = 300
     l2: float = 1e-4
-    rounds: int = 20
-    tolerance: float = 1e-6
+    rounds: int = 60
+    tolerance: float = 1e-7
+    strict: bool = False
+    ridge: float = 1e-7
+    most: float = 20.0
     least: float = 0.0
+    small: float = 0.05
     seed: int = 29
     batch_rows: int = 256
 
@@ -156,52 +163,97 @@ def lower_bound(p: Mixing) -> Column:
     """What a rate is cut off at: `least` where a domain with a target is at least as probable as any without one, else 0."""
     best = lambda ks: F.array_max(F.array(*(F.col("posterior")[k] for k in ks)))
     shares = list(p.targets.values())
-    wanted, others = [k for k, s in enumerate(shares) if s > 0], [k for k, s in enumerate(shares) if s <= 0]
+    wanted, others = [k for k, s in enumerate(shares) if (s or 0.0) > p.small], [k for k, s in enumerate(shares) if (s or 0.0) <= p.small]
     if p.least <= 0 or not wanted:
         return F.lit(0.0)
     return F.when(best(wanted) >= best(others), F.lit(p.least)).otherwise(F.lit(0.0)) if others else F.lit(p.least)
 
 
-def rate(steps: list[np.ndarray], bound: Column | None = None) -> Column:
-    """The rate after the given steps: from 1, each adds posterior . y and is cut off at `bound`, or 0."""
-    out, bound = F.lit(1.0), F.lit(0.0) if bound is None else bound
-    for y in steps:
-        out = F.greatest(bound, out + _dot(y))
-    return out
-
+def rate(y: np.ndarray, p: Mixing) -> Column:
+    """The rate after the accumulated step `y`: 1 + posterior . y within its bounds."""
+    return F.least(F.lit(p.most), F.greatest(lower_bound(p), F.lit(1.0) + _dot(y)))
 
-def fit_rates(table: DataFrame, p: Mixing) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The steps, the reached and the wanted tokens by domain. `table`: tokens, posterior.
 
-    Each round is one pass that sums what rates times tokens give each domain; the driver
-    gets as many numbers as there are domains.
-    """
+@dataclass
+class Fit:
+    """The accumulated step, tokens by domain that it reaches and that are wanted, and whether and in how many rounds it converged."""
+
+    y: np.ndarray
+    reached: np.ndarray
+    wanted: np.ndarray
+    rounds: int = 0
+    converged: bool = True
+
+    @property
+    def residual(self) -> float:
+        """How far reached tokens are from wanted ones, as a share of these."""
+        return float(np.abs(self.reached - self.wanted).sum() / max(1.0, self.wanted.sum()))
+
+
+def _sums(table: DataFrame, y: np.ndarray, p: Mixing) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens by domain at the rates of `y`, and the Gram matrix of documents whose rates are within their bounds."""
+    d = len(y)
+    post = lambda k: F.col("posterior")[k]
+    rated = table.select(F.col("tokens").cast("double").alias("t"), "posterior", rate(y, p).alias("r"), lower_bound(p).alias("low"))
+    free = F.when((F.col("r") > F.col("low")) & (F.col("r") < p.most), F.col("t")).otherwise(F.lit(0.0))
+    got = rated.agg(*(F.sum(F.col("t") * F.col("r") * post(k)).alias(f"s{k}") for k in range(d)), *(F.sum(free * post(i) * post(j)).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d))).first()
+    value = lambda name: got[name] or 0.0
+    return np.array([value(f"s{k}") for k in range(d)]), np.array([[value(f"g{min(i, j)}_{max(i, j)}") for j in range(d)] for i in range(d)])
+
+
+def fit_rates(table: DataFrame, p: Mixing) -> Fit:
+    """The fit of rates to targets. `table`: tokens, posterior. Without tokens nothing is wanted and rates stay 1."""
     d = len(p.targets)
-    share = np.array(list(p.targets.values()), dtype=np.float64)
+    given = np.array([s is not None for s in p.targets.values()])
+    share = np.array([s or 0.0 for s in p.targets.values()])
     share = share / share.sum()
-    tokens = F.col("tokens").cast("double")
-    first = table.agg(*(F.sum(tokens * F.col("posterior")[k]).alias(f"s{k}") for k in range(d)), *(F.sum(tokens * F.col("posterior")[i] * F.col("posterior")[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d))).first()
-    if first["s0"] is None:
-        return [], np.zeros(d), np.zeros(d)
-    now = np.array([first[f"s{k}"] for k in range(d)])
-    gram = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
-    total = p.total if p.total is not None else max((n / s for n, s in zip(now, share, strict=True) if s > 0), default=0.0)
-    wanted = share * total
-    inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
-    steps: list[np.ndarray] = []
-    while len(steps) < p.rounds and np.abs(now - wanted).sum() > p.tolerance * max(1.0, wanted.sum()):
-        steps.append(inverse @ (wanted - now))
-        sums = table.select((rate(steps, lower_bound(p)) * tokens).alias("t"), "posterior").agg(*(F.sum(F.col("t") * F.col("posterior")[k]).alias(f"s{k}") for k in range(d))).first()
-        now = np.array([sums[f"s{k}"] for k in range(d)])
-    return steps, now, wanted
-
-
-def _fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Mixing) -> tuple[Softmax | None, list[np.ndarray], DataFrame | None]:
+    post = lambda k: F.col("posterior")[k]
+    t = F.col("tokens").cast("double")
+    first = table.agg(*(F.sum(t * post(k)).alias(f"n{k}") for k in range(d)), *(F.sum(t * post(i) * post(j)).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d))).first()
+    if not first["n0"]:
+        return Fit(np.zeros(d), np.zeros(d), np.zeros(d))
+    plain = np.array([first[f"n{k}"] for k in range(d)])
+    whole = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+    total = p.total if p.total is not None else (1 + p.spare) * max((n / s for n, s in zip(plain, share, strict=True) if s > p.small), default=0.0)
+    scale, among = max(1.0, total), np.outer(given, given)
+    # what has no share to meet is left as it comes
+    slope = lambda y, now: np.where(given, now - share * total + p.ridge * (whole * among) @ y, 0.0)
+    wanted = lambda now: np.where(given, share * total, now)
+    norm = np.linalg.pinv(whole * among, rcond=1e-12, hermitian=True)
+    y = np.zeros(d)
+    now, free = _sums(table, y, p)
+    gradient = slope(y, now)
+    for k in range(p.rounds):
+        if np.abs(gradient).sum() <= p.tolerance * scale:
+            return Fit(y, now, wanted(now), k)
+        move = -np.linalg.lstsq((free + p.ridge * whole) * among, gradient, rcond=1e-12)[0]
+        size, merit = 1.0, gradient @ norm @ gradient
+        while True:
+            tried = y + size * move
+            now, free = _sums(table, tried, p)
+            new = slope(tried, now)
+            if new @ norm @ new < merit or size < 1e-3:
+                break
+            size /= 4
+        y, gradient = tried, new
+        if size < 1e-3:
+            break
+    fit = Fit(y, now, wanted(now), p.rounds, bool(np.abs(gradient).sum() <= p.tolerance * scale))
+    if not fit.converged:
+        said = f"rates have not converged in {p.rounds} rounds: {fit.residual:.2g} of the wanted tokens are missed"
+        if p.strict:
+            raise RuntimeError(said)
+        logging.getLogger(__name__).warning(said)
+    return fit
+
+
+def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Mixing) -> tuple[Fit | None, DataFrame | None]:
+    """The fit and the table (doc_id, tokens, posterior) it is for; None without labelled texts."""
     model = fit_classifier(spark, docs, labels, p)
     if model is None:
-        return None, [], None
+        return None, None
     table = Workspace(spark, "mixing").keep(memberships(spark, docs, model, p), "memberships")
-    return model, fit_rates(table, p)[0], table
+    return fit_rates(table, p), table
 
 
 def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Mixing | None = None) -> DataFrame:
@@ -212,11 +264,11 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Mixing
     labelled texts rates are 1 and posteriors null.
     """
     p = params or Mixing()
-    _, steps, table = _fitted(spark, docs, labels, p)
+    fit, table = fitted(spark, docs, labels, p)
     if table is None:
         nothing = [F.lit(None).cast("double").alias(f"p_{name}") for name in p.targets]
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("tokens"), F.lit(1.0).alias("rate"), *nothing)
-    return table.select("doc_id", "tokens", rate(steps, lower_bound(p)).alias("rate"), *(F.col("posterior")[k].alias(f"p_{name}") for k, name in enumerate(p.targets)))
+    return table.select("doc_id", "tokens", rate(fit.y, p).alias("rate"), *(F.col("posterior")[k].alias(f"p_{name}") for k, name in enumerate(p.targets)))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Mixing | None = None) -> DataFrame:
@@ -226,12 +278,14 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, par
     doc_id are averaged for the purpose.
     """
     p = params or Mixing()
-    _, steps, table = _fitted(spark, docs, labels, p)
+    fit, table = fitted(spark, docs, labels, p)
     if table is None:
         return docs
     chance = F.pmod(F.xxhash64(F.col("id"), F.lit(p.seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     # a rate just below a whole number is that number
-    times = F.floor(rate(steps, lower_bound(p)) + F.lit(1e-6) + chance).cast("int")
-    counts = table.withColumnRenamed("doc_id", "id").select("id", times.alias("times_")).groupBy("id").agg(F.round(F.avg("times_")).cast("int").alias("times_"))
-    joined = docs.join(counts, docs["doc_id"].cast("long").eqNullSafe(counts["id"])).filter("times_ > 0")
-    return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*[docs[c] for c in docs.columns])
+    times = F.floor(rate(fit.y, p) + F.lit(1e-6) + chance).cast("int")
+    counts = table.withColumnRenamed("doc_id", "id").select("id", times.alias("n")).groupBy("id").agg(F.round(F.avg("n")).cast("int").alias("n"))
+    # the row's own columns stay in a struct, so that no name can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"))
+    joined = rows.join(counts, rows["key"].eqNullSafe(counts["id"])).filter("n > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("row.*")

@@ -1,11 +1,11 @@
-"""Hashed n-grams of whole texts: byte 4-grams, and trigrams of word shapes."""
+"""Hashed n-grams of whole texts: byte 4-grams, words and pairs of words, and trigrams of word shapes."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 
-from lodegraph.llm.shingles import text_buffer, word_hashes
+from lodegraph.llm.shingles import mix, text_buffer, word_hashes
 
 SHAPES = 32
 
@@ -74,6 +74,18 @@ def shape_grams(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (gram * np.uint32(2654435769)) >> np.uint32(32 - bits), bounds
 
 
+def word_grams(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of lower-case words, and of each with the word before it, the two in turn; bounds per document. A document's first word has a pair with nothing."""
+    words, bounds = word_hashes(*text_buffer(texts), lower=True)
+    before = np.zeros(len(words), np.uint64)
+    before[1:] = words[:-1]
+    before[bounds[:-1][bounds[:-1] < len(words)]] = 0
+    out = np.empty(2 * len(words), np.uint64)
+    out[0::2] = mix(words + np.uint64(3))
+    out[1::2] = mix(mix(before + np.uint64(5)) ^ words)
+    return (out >> np.uint64(64 - bits)).astype(np.uint32), 2 * bounds
+
+
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of each document's values."""
     total = np.r_[0.0, np.cumsum(values, dtype=np.float64)]

@@ -1,17 +1,21 @@
 """Quality rules whose cutoffs carry a guarantee on false rejection.
 
-Each rule rejects documents whose statistic exceeds a cutoff. On labelled good
-documents of a stratum, the count above a cutoff is binomial; a cutoff is certified when that count would be
-improbable (exact binomial tail) if the rule's true false-rejection rate were above its share of `risk`.
-The tail is held against `delta` over the number of all (stratum, rule, cutoff) tests,
-so with probability 1 - delta every certified cutoff holds at once. The lowest certified
-cutoff of each stratum and rule is used; a stratum without evidence rejects nothing.
-DataFrame operations only.
+Each rule rejects documents whose statistic exceeds a cutoff. Cutoffs form a ladder: its first
+step holds every rule's loosest cutoff, each further one every rule's next tighter. In each stratum
+steps are tested in that order on labelled good documents: the count that a step rejects is
+binomial, and a step is certified when so low a count would be improbable (exact binomial tail) if its
+true false-rejection rate, over all rules together, were above `risk`. Testing stops at the
+first step that fails, so a fixed sequence costs nothing for its length; the tail is held against
+`delta` over the number of strata. So with probability 1 - delta the last certified step of every
+stratum holds at once. Rules share the risk as they need it. A stratum without evidence
+rejects nothing. DataFrame operations only.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +30,13 @@ SYMBOLS = "#*$%&|<>"
 class QualityRules:
     """Parameters: allowed false rejection per stratum over all rules, error chance, candidate cutoffs by statistic.
 
-    Statistics: symbol_share and upper_share per character in words, repeat_share per
+    With no false rejection at all a stratum needs ln(delta / strata) / ln(1 - risk) good labelled documents, 144 of
+    each of four strata by default. Statistics: symbol_share and upper_share per character in words, repeat_share per
     word, dup_line_share per line with a word.
     """
 
     stratum: str = "lang"
-    risk: float = 0.02
+    risk: float = 0.03
     delta: float = 0.05
     cutoffs: dict[str, tuple[float, ...]] = field(
         default_factory=lambda: {
@@ -42,6 +47,15 @@ class QualityRules:
         }
     )
 
+    def ladder(self) -> list[dict[str, float]]:
+        """Cutoffs by rule at each step; a rule with fewer cutoffs than others stays at its tightest."""
+        loosest = {rule: sorted(some, reverse=True) for rule, some in self.cutoffs.items() if some}
+        return [{rule: some[min(k, len(some) - 1)] for rule, some in loosest.items()} for k in range(max(map(len, loosest.values()), default=0))]
+
+
+#: Documents that no labels save.
+BASE = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
+
 
 def statistics(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     """Per row of `docs` (doc_id, text and the stratum's column): doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper.
@@ -95,50 +109,51 @@ def binomial_tail(n: str, x: str, rate: float | str) -> str:
     return f"if({x} >= {n} * {rate}, 1.0D, aggregate({ks}, {start}, (a, k) -> named_struct('l', {step}, 't', a.t + exp({step})), a -> a.t))"
 
 
-def certified_cutoffs(table: DataFrame, labels: DataFrame, rules: QualityRules) -> DataFrame:
-    """(stratum, rule, cutoff): the lowest certified cutoffs. `table`: doc_id, stratum, statistics; `labels`: doc_id, quality.
+def certified_steps(table: DataFrame, labels: DataFrame, rules: QualityRules) -> DataFrame:
+    """(stratum, step): how many steps of the ladder are certified. `table`: doc_id, stratum, statistics; `labels`: doc_id, quality.
 
-    Rows of `labels` without doc_id or quality don't count. Counts are exact, over all labelled rows.
+    Held out are labelled good documents that pass the base rule, all of them; rows of `labels` without doc_id
+    or quality don't count, and repeated labels count once. Rows of `table` that share a doc_id are documents of their own.
     """
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
-    held = table.join(good, F.col("doc_id") == F.col("good_id"))
-    tests = [(rule, c) for rule, some in rules.cutoffs.items() for c in some]
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(F.col(rule) > c).alias(f"x{k}") for k, (rule, c) in enumerate(tests)))
-    listed = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"x{k}").alias("x")) for k, (rule, c) in enumerate(tests)))
-    each = counts.select("stratum", "n", F.explode(listed).alias("t")).select("stratum", "n", "t.*")
+    held = table.filter(f"not ({BASE})").join(good, F.col("doc_id") == F.col("good_id"))
+    over = [reduce(or_, (F.col(rule) > c for rule, c in step.items())) for step in rules.ladder()]
+    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(o).alias(f"x{k}") for k, o in enumerate(over)))
     strata = counts.agg(F.count("*").alias("strata"))
-    tail = each.withColumn("p", F.expr(binomial_tail("n", "x", rules.risk / len(rules.cutoffs))))
+    passes = F.array(*(F.expr(binomial_tail("n", f"x{k}", rules.risk)) <= F.lit(rules.delta) / F.col("strata") for k in range(len(over))), F.lit(False))
     # `strata` is one row
-    passed = tail.join(F.broadcast(strata)).filter(F.col("p") <= F.lit(rules.delta) / (F.col("strata") * len(tests)))
-    return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    return counts.join(F.broadcast(strata)).select("stratum", (F.array_position(passes, False) - 1).cast("int").alias("step"))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, rules: QualityRules | None = None) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each row of `docs`.
 
     base_failed: fewer than 20 words, or more than 30 % of them in repeated windows. kept is
-    false then, and where a statistic exceeds its stratum's certified cutoff. A null stratum
-    is a stratum of its own. Without labels nothing but the base rule rejects.
+    false then, and where a statistic exceeds its cutoff at the stratum's last certified step. A null stratum
+    is a stratum of its own. Without labels nothing but the base rule rejects. Rows that share a doc_id are judged each by
+    its own text. Other columns are not looked at. Null text has no words; an empty table gives no rows.
     """
     rules = rules or QualityRules()
     work = Workspace(spark, "rules")
     table = _shares(work.keep(statistics(docs, rules.stratum), "statistics"), rules)
-    cutoffs = certified_cutoffs(table, labels, rules)
-    wide = cutoffs.groupBy(F.col("stratum").alias("at")).agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in rules.cutoffs))
-    failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
+    steps = certified_steps(table, labels, rules).withColumnRenamed("stratum", "at")
     over = F.lit(False)
-    for r in rules.cutoffs:
-        over = over | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
-    judged = table.join(wide, F.col("stratum") == F.col("at"), "left").withColumn("base_failed", failed)
+    for k, step in enumerate(rules.ladder()):
+        over = over | (F.coalesce("step", F.lit(0)) == k + 1) & reduce(or_, (F.col(rule) > c for rule, c in step.items()))
+    # a row a stratum; a stratum is a language or the like, which is few
+    judged = table.join(steps, F.col("stratum") == F.col("at"), "left").withColumn("base_failed", F.expr(BASE))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~over).alias("kept"))
 
 
 def oracle(rules: QualityRules | None = None) -> str:
     """DuckDB SQL for the same rows over `documents` and `labels`."""
     rules = rules or QualityRules()
-    tests = ", ".join(f"('{r}', {c}::DOUBLE)" for r, some in rules.cutoffs.items() for c in some)
-    n_tests, rate = sum(map(len, rules.cutoffs.values())), rules.risk / len(rules.cutoffs)
-    over = " OR ".join(f"coalesce({r} > (SELECT cutoff FROM cuts c WHERE c.stratum = s.stratum AND c.rule = '{r}'), false)" for r in rules.cutoffs)
+    ladder = rules.ladder()
+    over = ["(" + " OR ".join(f"{r} > {c}" for r, c in step.items()) + ")" for step in ladder]
+    counts = ", ".join(f"count(*) FILTER (WHERE {o}) AS x{k}" for k, o in enumerate(over))
+    tail = "list_sum(list_transform(range(0, x{k} + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({rate}) + (n - k) * ln(1 - {rate}))))"
+    fails = [f"CASE WHEN x{k} < n * {rules.risk} AND {tail.format(k=k, rate=rules.risk)} <= {rules.delta} / (SELECT count(*) FROM x) THEN NULL ELSE {k} END" for k in range(len(ladder))]
+    chosen = "CASE coalesce(steps.step, 0) " + " ".join(f"WHEN {k + 1} THEN {o}" for k, o in enumerate(over)) + " ELSE false END"
     return f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
@@ -157,17 +172,11 @@ s0 AS (
 s AS (
   SELECT *, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_share, CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END AS upper_share,
          CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_share, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_share FROM s0),
-good AS (SELECT s.* FROM s WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-long AS (UNPIVOT (SELECT stratum, {", ".join(f"CAST({r} AS DOUBLE) AS {r}" for r in rules.cutoffs)} FROM good) ON {", ".join(rules.cutoffs)} INTO NAME rule VALUE v),
 x AS (
-  SELECT stratum, t.rule, t.cutoff, count(*) AS n, count(*) FILTER (WHERE v > t.cutoff) AS x
-  FROM long JOIN (VALUES {tests}) t(rule, cutoff) ON long.rule = t.rule GROUP BY ALL),
-p AS (
-  SELECT *, CASE WHEN x >= n * {rate} THEN 1.0 ELSE list_sum(list_transform(range(0, x + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({rate}) + (n - k) * ln(1 - {rate})))) END AS p FROM x),
-cuts AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff FROM p WHERE p <= {rules.delta} / ((SELECT count(DISTINCT stratum) FROM good) * {n_tests}) GROUP BY ALL)
+  SELECT stratum, count(*) AS n, {counts} FROM s
+  WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND NOT ({BASE}) GROUP BY stratum),
+steps AS (SELECT stratum, least({", ".join(fails)}, {len(ladder)}) AS step FROM x)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT ({over}) AS kept
-FROM s
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, ({BASE}) AS base_failed, NOT ({BASE}) AND NOT {chosen} AS kept
+FROM s LEFT JOIN steps ON s.stratum = steps.stratum
 """

@@ -1,8 +1,8 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
 P(grade > g) = logistic(w.x - t_g) with one weight vector for all thresholds
-t_0 <= t_1 <= ...; expected severity is the sum of these probabilities over g.
-Features are the presence of words and of word beginnings.
+t_0 < t_1 < ...; the likelihood of a row of grade g is P(grade > g - 1) - P(grade > g), and expected severity
+is the sum of P(grade > g) over g. Features are the presence of words and of word beginnings.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ class Severity:
 
     `sample` bounds the labelled rows of each class that the model is fitted on, `features`
     the words and beginnings (of `prefix` bytes) it uses, those that part the classes best
-    (by likelihood ratio, which must reach `evidence`) and occur in `least_docs` sampled documents. Labels say toxic or not; toxic rows are
-    graded 1 to `grades` - 1 by how many of the words typical of toxic rows they hold. The cut that makes
+    (by likelihood ratio, which must reach that of `evidence` that catches most toxic rows in cross-validation) and occur in `least_docs` sampled documents; rarer ones and those beyond
+    `features` weigh nothing. A beginning may end inside a character of several bytes, which still names the same words.
+    Labels say toxic or not; toxic rows are graded 1 to `grades` - 1, in equal parts, by the score that a binary model gives
+    them which was fitted, features too, without their fold. The cut that makes
     a row toxic is the largest, a half at most, that catches `recall` of the toxic rows left out in `folds`-fold
     cross-validation, or where that takes more than `false_positives` of the clean rows, the least that doesn't.
     """
@@ -35,11 +37,11 @@ class Severity:
     sample: int = 6000
     features: int = 2048
     least_docs: int = 3
-    evidence: float = 15.0
+    evidence: tuple[float, ...] = (25.0, 15.0)
     prefix: int = 5
     grades: int = 4
     l2: float = 1e-4
-    steps: int = 400
+    steps: int = 250
     recall: float = 0.97
     false_positives: float = 0.01
     folds: int = 4
@@ -87,31 +89,47 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -40, 40)))
 
 
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def cumulative_loss(x: np.ndarray, grade: np.ndarray, share: np.ndarray, w: np.ndarray, gaps: np.ndarray, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Minus the weighted log-likelihood, ridge included, and its slopes by weight and by gap; thresholds are the running sum of `gaps`.
+
+    A row of grade g has log(P(> g - 1) - P(> g)), where P(> -1) is 1 and P(> top) is 0.
+    """
+    rows = np.arange(len(x))
+    above = _logistic((x @ w)[:, None] - np.cumsum(gaps)[None, :])
+    sides = np.hstack([np.ones((len(x), 1)), above, np.zeros((len(x), 1))])
+    upper, lower = sides[rows, grade], sides[rows, grade + 1]
+    p = np.maximum(upper - lower, 1e-12)
+    g_w = x.T @ (share * (upper + lower - 1)).astype(x.dtype) + l2 * w
+    g_t = np.zeros((len(gaps) + 2,))
+    # slopes by the threshold below a grade and by the one above it
+    np.add.at(g_t, grade, share * upper * (1 - upper) / p)
+    np.add.at(g_t, grade + 1, -share * lower * (1 - lower) / p)
+    g_gaps = np.cumsum(g_t[1:-1][::-1])[::-1]
+    return float(-(share * np.log(p)).sum() + l2 / 2 * (w @ w)), g_w, g_gaps
+
+
 def fit_cumulative(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: int, l2: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds of the cumulative-link model by accelerated gradient steps on the weighted likelihood.
+    """Weights and ordered thresholds of the cumulative-link model, by accelerated gradient steps on its weighted likelihood.
 
-    The likelihood is that of all thresholds' binary outcomes with shared weights; thresholds are a first one
-    plus nonnegative gaps, so they stay ordered.
+    Thresholds are a first one plus positive gaps, so they stay ordered.
     """
-    above = (grade[:, None] > np.arange(grades - 1)[None, :]).astype(np.float32)
-    share = (weight / weight.sum()).astype(np.float32)
-    w, gaps = np.zeros(x.shape[1], np.float32), np.full(grades - 1, 0.5, np.float32)
+    share = weight / weight.sum()
+    w, gaps = np.zeros(x.shape[1], np.float32), np.full(grades - 1, 0.5)
     gaps[0] = 1.0
     m, v = np.zeros(len(w) + len(gaps)), np.zeros(len(w) + len(gaps))
     for step in range(1, steps + 1):
-        thresholds = np.cumsum(gaps)
-        logits = np.clip((x @ w)[:, None] - thresholds[None, :], -30, 30)
-        slope = (1 / (1 + np.exp(-logits)) - above) * share[:, None]
-        g_w = x.T @ slope.sum(axis=1) + l2 * w
-        g_t = -slope.sum(axis=0)
-        g_gaps = np.cumsum(g_t[::-1])[::-1]
+        _, g_w, g_gaps = cumulative_loss(x, grade, share, w, gaps, l2)
         g = np.concatenate([g_w, g_gaps]).astype(np.float64)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w -= move[: len(w)].astype(np.float32)
-        gaps -= move[len(w) :].astype(np.float32)
-        gaps[1:] = np.maximum(gaps[1:], 0)
-    return w.astype(np.float64), np.cumsum(gaps).astype(np.float64)
+        gaps -= move[len(w) :]
+        gaps[1:] = np.maximum(gaps[1:], 1e-2)
+    return w.astype(np.float64), np.cumsum(gaps)
 
 
 def decision_cut(probability: np.ndarray, toxic: np.ndarray, recall: float, false_positives: float) -> float:
@@ -132,7 +150,7 @@ def _surprise(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
     return 2 * (part(a, share) + part(b, 1 - share))
 
 
-def cross_validated(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, fold: np.ndarray, p: Severity) -> tuple[np.ndarray, np.ndarray]:
+def cross_validated(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, fold: np.ndarray, grades: int, evidence: float, p: Severity) -> tuple[np.ndarray, np.ndarray]:
     """P(grade > 0) of each row by a model whose features and weights come from the other folds, and which rows have one."""
     probability, known, toxic = np.zeros(len(x)), np.zeros(len(x), dtype=bool), grade > 0
     for k in range(p.folds):
@@ -140,13 +158,22 @@ def cross_validated(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, fold:
         if not own.any() or not toxic[rest].any() or toxic[rest].all():
             continue
         a, b = x[rest & toxic].sum(axis=0, dtype=np.float64), x[rest & ~toxic].sum(axis=0, dtype=np.float64)
-        used = (a + b >= p.least_docs) & (_surprise(a, b, toxic[rest].mean()) >= p.evidence)
-        w, thresholds = fit_cumulative(x[np.ix_(rest, used)], grade[rest], weight[rest], p.grades, p.l2, p.steps)
+        used = (a + b >= p.least_docs) & (_surprise(a, b, toxic[rest].mean()) >= evidence)
+        w, thresholds = fit_cumulative(x[np.ix_(rest, used)], grade[rest], weight[rest], grades, p.l2, p.steps)
         probability[own] = Model(np.empty(0), w, thresholds).probabilities(x[np.ix_(own, used)] @ w)[:, 0]
         known |= own
     return probability, known
 
 
+def graded(toxic: np.ndarray, score: np.ndarray, grades: int) -> np.ndarray:
+    """0 for clean rows, 1 to grades - 1 for toxic ones, in equal parts by `score`."""
+    grade = toxic.astype(np.int64)
+    if toxic.any():
+        for c in np.quantile(score[toxic], np.arange(1, grades - 1) / (grades - 1)):
+            grade += toxic & (score > c)
+    return grade
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Severity) -> Model | None:
     """The model, from a bounded labelled sample; None where the labels or texts leave nothing to fit.
 
@@ -163,15 +190,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Severity) ->
     if len(sizes) < 2:
         return None
     counts = rows.groupBy("feature").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (sizes[1] + 1)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1))
     both, share = F.col("a") + F.col("b"), sizes[1] / (sizes[0] + sizes[1])
     surprise = lambda n, s: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / (both * s))).otherwise(F.lit(0.0))
-    tested = counts.filter(both >= p.least_docs).withColumn("odds", odds).withColumn("g", 2 * (surprise("a", share) + surprise("b", 1 - share)))
-    best = tested.filter(F.col("g") >= p.evidence).orderBy(F.col("g").desc(), "feature").limit(p.features).toPandas()
+    tested = counts.filter(both >= p.least_docs).withColumn("g", 2 * (surprise("a", share) + surprise("b", 1 - share)))
+    best = tested.filter(F.col("g") >= min(p.evidence)).orderBy(F.col("g").desc(), "feature").limit(p.features).toPandas()
     if not len(best):
         return None
     features = np.sort(best["feature"].to_numpy(dtype=np.int64).view(np.uint64))
-    typical = set(best.loc[(best["odds"] > 2) & (best["a"] >= p.least_docs), "feature"].tolist())
     order = {int(f): k for k, f in enumerate(features.view(np.int64).tolist())}
     wanted = spark.createDataFrame([(f, k) for f, k in order.items()], "feature long, at int")
     # for each sampled document the places of its features, at most as many as `features`
@@ -183,23 +208,31 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Severity) ->
     for k, at in enumerate(known["at"]):
         if at is not None:
             x[k, np.asarray(at, dtype=np.int64)] = 1
-    severe = x[:, [order[f] for f in typical]].sum(axis=1)
-    grade = np.where(label == 1, 1, 0)
-    cuts = np.quantile(severe[label == 1], np.arange(1, p.grades - 1) / (p.grades - 1)) if p.grades > 2 else []
-    for c in cuts:
-        grade += (label == 1) & (severe > c)
-    weight = np.where(label == 1, totals[1] / max(1, (label == 1).sum()), totals[0] / max(1, (label == 0).sum()))
-    w, thresholds = fit_cumulative(x, grade, weight, p.grades, p.l2, p.steps)
-    probability, seen = cross_validated(x, grade, weight, known["fold"].to_numpy(), p)
-    return Model(features, w, thresholds, decision_cut(probability[seen], label[seen] == 1, p.recall, p.false_positives))
+    toxic, fold = label == 1, known["fold"].to_numpy()
+    weight = np.where(toxic, totals[1] / max(1, toxic.sum()), totals[0] / max(1, (~toxic).sum()))
+    binary, _ = cross_validated(x, toxic.astype(np.int64), weight, fold, 2, sorted(p.evidence)[len(p.evidence) // 2], p)
+    grade = graded(toxic, binary, p.grades)
+    tried = []
+    for evidence in p.evidence:
+        probability, seen = cross_validated(x, grade, weight, fold, p.grades, evidence, p)
+        cut = decision_cut(probability[seen], toxic[seen], p.recall, p.false_positives)
+        tried.append(((probability[seen & toxic] >= cut).mean() if (seen & toxic).any() else 0.0, evidence, cut))
+    _, evidence, cut = max(tried, key=lambda t: t[0])
+    used = _surprise(x[toxic].sum(axis=0, dtype=np.float64), x[~toxic].sum(axis=0, dtype=np.float64), toxic.mean()) >= evidence - 1e-6
+    if not used.any():
+        return None
+    w, thresholds = fit_cumulative(x[:, used], grade, weight, p.grades, p.l2, p.steps)
+    work.drop("sample", "features")
+    return Model(features[used], w, thresholds, cut)
 
 
 def severity(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Severity | None = None) -> DataFrame:
     """(doc_id, p_toxic, expected_severity, grade, toxic) for each row of `docs` (doc_id, text).
 
     p_toxic is P(grade > 0), toxic whether it reaches the cut chosen by cross-validation, grade how many thresholds
-    are passed with at least a half, and 1 at least for toxic rows. `labels`: doc_id, toxic. Null text has no features. Where there
-    is nothing to fit on, all four are null.
+    are passed with at least a half, and 1 at least for toxic rows. `labels`: doc_id, toxic. Null text has no features; texts of any
+    length are read whole. Rows that repeat have equal results. Other columns are not looked at. Where there
+    is nothing to fit on, all four are null; an empty table gives no rows.
     """
     p = params or Severity()
     model = fit(spark, docs, labels, p)

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; where it is unset, as in tests, a new temporary folder."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"file://{tempfile.mkdtemp(prefix='lodegraph-')}"
+from lodegraph.plans.lineage import delete, shared_folder
 
 
 class Workspace:
     """A folder of Parquet tables, one a name.
 
     A kept table survives the loss of executors: its files are in the shared
-    folder, not on their disks.
+    folder, not on their disks. What a result still reads goes with the application's folder, when
+    the driver's process ends; `drop` is for tables that nothing reads any more.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -35,5 +31,4 @@ class Workspace:
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, f"{self.path}/{name}")
