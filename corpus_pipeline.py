@@ -18,6 +18,10 @@ from lodegraph.llm.near_dedup import NearDedup, near_components
 from lodegraph.llm.workspace import Workspace
 
 
+#: Token shares by language; what low text is left has no share to meet.
+LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15, "low": None}
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -30,12 +34,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more, the least doc_id.
 
-    Rows that share a doc_id are one document and leave one row. Rows without doc_id stay.
+    Rows that share a doc_id are one document and leave one row, that of the least text, then of the
+    least other columns. Rows without doc_id stay.
     """
     found = near_components(spark, docs, NearDedup(words=5, percent=80, matches=14))
-    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept")).distinct()
+    # a row's own columns stay in a struct, so that no name can clash
+    rows = docs.select(F.col("doc_id").alias("key"), F.struct("*").alias("row"))
+    first = rows.filter("key is not null").join(kept, F.col("key") == F.col("kept"), "left_semi").groupBy("key").agg(F.min_by("row", F.struct(F.col("row.text"), F.xxhash64("row"))).alias("row"))
+    return first.select("row.*").unionByName(docs.filter("doc_id is null"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +52,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rates say; none that is mainly of a wanted domain is left out."""
-    return mixing.mixed_documents(spark, docs, _labels(spark, sf_dir), mixing.Mixing(least=1.0))
+    return mixing.mixed_documents(spark, docs, _labels(spark, sf_dir), mixing.Mixing(targets=LANGUAGES, least=1.0, spare=0.02))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
