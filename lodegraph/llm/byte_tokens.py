@@ -23,10 +23,11 @@ class ByteTokens:
     joined into one string: a token never crosses a cut, so its bytes tell which piece
     it is from. A piece of plain letters is one pre-token and goes to the library's model
     at once. Texts with an added token in them go to the library whole. At most `cache`
-    pieces are remembered; then the memory starts anew.
+    pieces of `cache_chars` characters in all are remembered, then the memory starts anew; pieces
+    of over `long` characters, as in scripts without blanks, are not.
     """
 
-    def __init__(self, path: str, cache: int = 1_800_000):
+    def __init__(self, path: str, cache: int = 1_500_000, cache_chars: int = 24_000_000, long: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,7 +40,7 @@ class ByteTokens:
         # in a byte-level vocabulary a character stands for a byte
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)
-        self.cache = cache
+        self.cache, self.cache_chars, self.long, self.chars = cache, cache_chars, long, 0
         self.known: dict[str, bytes] = {}
         alphabet = {i: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(i))[0][0] for i in range(128)}
         spare = iter(range(256, 512))
@@ -92,9 +93,14 @@ class ByteTokens:
             head, *rest = _CUT.split(text) if _BLANKS.search(text) else text.split(" ")
             cut.append((self._whole(head) if head else b"", rest))
         wanted = list(dict.fromkeys(x for c in cut if isinstance(c, tuple) for x in c[1] if x not in self.known))
-        if len(self.known) + len(wanted) > self.cache:
-            self.known = {}
+        if len(self.known) + len(wanted) > self.cache or self.chars > self.cache_chars:
+            self.known, self.chars = {}, 0
             wanted = list(dict.fromkeys(x for c in cut if isinstance(c, tuple) for x in c[1]))
         self._learn(wanted)
+        self.chars += sum(map(len, wanted))
         known = self.known.__getitem__
-        return [np.frombuffer(c if isinstance(c, bytes) else c[0] + b"".join(map(known, c[1])), dtype=np.uint32) for c in cut]
+        out = [np.frombuffer(c if isinstance(c, bytes) else c[0] + b"".join(map(known, c[1])), dtype=np.uint32) for c in cut]
+        for piece in wanted:
+            if len(piece) > self.long:
+                del self.known[piece]
+        return out

@@ -12,30 +12,31 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegraph.llm.components import connected_components
-from lodegraph.llm.near_dedup import NearDedup, verified_components
+from lodegraph.llm.near_dedup import NearDedup, list_links, verified_components
 from lodegraph.llm.shingles import minhash, permutations, shingle_sets, text_buffer, word_hashes
 from lodegraph.llm.workspace import Workspace
 
 
 @dataclass(frozen=True)
 class Fingerprints:
-    """Parameters: words in a shingle, permutations, rows of a band, and the similarity that links (percent).
+    """Parameters: words in a shingle, permutations, rows of a band, the similarity that links (percent), equal values of a candidate pair.
 
-    `range_rows` is the number of documents that one task orders.
+    `range_bytes` is how much text one task orders.
     """
 
     words: int = 5
     permutations: int = 64
     band_rows: int = 4
     percent: int = 80
+    matches: int = 36
     batch_rows: int = 256
-    range_rows: int = 8192
+    range_bytes: int = 1 << 27
 
 
 def signatures(texts: pa.Array, p: Fingerprints) -> np.ndarray:
@@ -73,47 +74,24 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _ranges(docs: DataFrame, p: Fingerprints) -> tuple[DataFrame, int]:
-    """`docs` with a range number that descends with doc_id, and how many ranges there are.
+_DIGESTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = [f.split()[0] for f in _DIGESTS.split(", ")]
 
-    A range's first documents, those with its largest doc_id, are dealt a second time, to
-    the range before, whose last document they follow (`own` false). Only the ranges' bounds
-    and largest ids, one each a range, are gathered.
-    """
-    count = docs.count()
-    n = max(1, -(-count // p.range_rows))
-    bounds: list[int] = []
-    if n > 1:
-        found = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("b")).first()["b"]
-        bounds = sorted({int(b) for b in found or []})
-    edges = np.array(bounds, dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        at = len(edges) - np.searchsorted(edges, ids.fillna(np.iinfo(np.int64).min).to_numpy(dtype=np.int64), side="right")
-        return pd.Series(at).astype("int32")
-
-    heads = {r["at"]: r["top"] for r in docs.select(place("doc_id").alias("at"), "doc_id").groupBy("at").agg(F.max("doc_id").alias("top")).collect()}
-    filled = sorted(heads)
-    #: after the last range comes the first
-    sends = [(heads[at], filled[i - 1] if i else filled[-1]) for i, at in enumerate(filled)]
-    tops = np.array([-(2**63) if t is None else t for t, _ in sends], dtype=np.int64)
-    befores = np.array([b for _, b in sends], dtype=np.int32)
-    order = np.argsort(tops)
-
-    @F.pandas_udf("int")
-    def before(ids: pd.Series) -> pd.Series:
-        if not len(tops):
-            return pd.Series(np.full(len(ids), -1, dtype=np.int32))
-        key = ids.fillna(np.iinfo(np.int64).min).to_numpy(dtype=np.int64)
-        at = order[np.minimum(np.searchsorted(tops[order], key), len(tops) - 1)]
-        return pd.Series(np.where(tops[at] == key, befores[at], -1).astype("int32"))
-
-    own = F.struct(F.lit(True).alias("own"), F.col("at").alias("range"))
-    sent = F.struct(F.lit(False).alias("own"), F.col("to").alias("range"))
-    placed = docs.withColumn("at", place("doc_id")).withColumn("to", before("doc_id"))
-    dealt = placed.withColumn("go", F.explode(F.when(F.col("to") >= 0, F.array(own, sent)).otherwise(F.array(own))))
-    return dealt.select("doc_id", "text", "go.own", "go.range"), len(edges) + 1
+
+def _finished(ids: list, texts: list[str], p: Fingerprints) -> list[pa.Array]:
+    """Columns (_DIGESTS) for all but the last of a run of documents in order."""
+    edited = [edited_text(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
+    own = signatures(pa.array(texts, pa.large_string()), p)
+    changed = signatures(pa.array(edited, pa.large_string()), p)
+    return [
+        pa.array(ids[:-1], pa.int64()),
+        pa.array([len(t) for t in texts[:-1]], pa.int64()),
+        pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
+        pa.array(hexadecimal(own[:-1]), pa.string()),
+        pa.array(hexadecimal(changed), pa.string()),
+        pa.array(likeness(own[:-1], changed), pa.float64()),
+        pa.array(likeness(own[:-1], own[1:]), pa.float64()),
+    ]
 
 
 def edit_likeness(docs: DataFrame, params: Fingerprints | None = None) -> DataFrame:
@@ -122,52 +100,61 @@ def edit_likeness(docs: DataFrame, params: Fingerprints | None = None) -> DataFr
     Next goes by descending doc_id, then ascending text; after the last comes the first.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next for each row of `docs` (doc_id, text). Null text counts as empty; rows without
-    doc_id come last. A lone document follows itself. Two texts without words are alike (1).
+    doc_id come last. A lone document follows itself. Two texts without words are alike (1). Texts of any length are
+    read whole. Other columns are not looked at. An empty table gives no rows.
+
+    Documents are dealt out by ranges of that order, as many as the text's bytes need, and each range is one
+    task. It finishes all of its documents but the last, and hands on its first and last text; these few, two a range, are
+    written, and joined where one range follows another.
     """
-    p = params or Fingerprints()
-    dealt, n = _ranges(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), p)
-
-    def finish(ids: list, texts: list[str]) -> pa.RecordBatch:
-        """For all but the last of a run of documents in order."""
-        follows = texts[1:]
-        edited = [edited_text(a, b) for a, b in zip(texts[:-1], follows, strict=True)]
-        own = signatures(pa.array(texts, pa.large_string()), p)
-        changed = signatures(pa.array(edited, pa.large_string()), p)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids[:-1], pa.int64()),
-                pa.array([len(t) for t in texts[:-1]], pa.int64()),
-                pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
-                pa.array(hexadecimal(own[:-1]), pa.string()),
-                pa.array(hexadecimal(changed), pa.string()),
-                pa.array(likeness(own[:-1], changed), pa.float64()),
-                pa.array(likeness(own[:-1], own[1:]), pa.float64()),
-            ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-        )
+    p, spark = params or Fingerprints(), docs.sparkSession
+    work = Workspace(spark, "likeness")
+    typed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    size = typed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // p.range_bytes))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = TaskContext.get().partitionId()
+        names = ["part", "edge", "text", *_NAMES]
+
+        def edge(which: str, doc_id: int | None, text: str) -> pa.RecordBatch:
+            empty = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+            return pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), pa.array([which]), pa.array([text], pa.string()), pa.array([doc_id], pa.int64()), *empty], names=names)
+
         ids: list = []
         texts: list[str] = []
-        at, done = None, False
+        begun = False
         for batch in batches:
-            for lo in range(0, batch.num_rows, p.batch_rows):
-                part = batch.slice(lo, p.batch_rows)
-                for doc_id, text, own, place in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-                    if place != at:
-                        at, done, ids, texts = place, False, [], []
-                    if done:
-                        continue  # of several heads with one doc_id, the first is the next document
-                    ids.append(doc_id)
-                    texts.append(text)
-                    done = not own
-                    if len(ids) > p.batch_rows or done:
-                        if len(ids) > 1:
-                            yield finish(ids, texts)
-                        ids, texts = ids[-1:], texts[-1:]
-
-    ordered = dealt.repartitionById(n, "range").sortWithinPartitions("range", F.col("own").desc(), F.col("doc_id").desc_nulls_last(), "text")
-    return ordered.mapInArrow(each, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            for at in range(0, batch.num_rows, p.batch_rows):
+                part = batch.slice(at, p.batch_rows)
+                ids += part.column(0).to_pylist()
+                texts += part.column(1).to_pylist()
+                if not begun:
+                    yield edge("first", ids[0], texts[0])
+                    begun = True
+                if len(ids) > 1:
+                    n = len(ids) - 1
+                    yield pa.RecordBatch.from_arrays([pa.array([here] * n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), *_finished(ids, texts, p)], names=names)
+                ids, texts = ids[-1:], texts[-1:]
+        if begun:
+            yield edge("last", ids[0], texts[0])
+
+    order = [F.col("doc_id").desc_nulls_last(), F.substring("text", 1, 32)]
+    ordered = typed.repartitionByRange(ranges, *order).sortWithinPartitions(order[0], "text")
+    done = work.keep(ordered.mapInArrow(each, f"part int, edge string, text string, {_DIGESTS}"), "done")
+    # a row a range
+    parts = done.filter("edge = 'last'").select("part", "doc_id", "text")
+    follows = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next"))
+    first = done.filter("edge = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following"))
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                doc_id, text, following = (batch.column(k)[row].as_py() for k in range(3))
+                yield pa.RecordBatch.from_arrays(_finished([doc_id, None], [text, following], p), names=_NAMES)
+
+    seams = parts.join(follows, "part").join(first, "next").select("doc_id", "text", "following").mapInArrow(stitch, _DIGESTS)
+    return done.filter("edge is null").select(*_NAMES).unionByName(seams)
 
 
 def _bands(signature: Column, p: Fingerprints) -> Column:
@@ -180,26 +167,31 @@ def _bands(signature: Column, p: Fingerprints) -> Column:
 def near_components(spark: SparkSession, docs: DataFrame, params: Fingerprints | None = None) -> DataFrame:
     """(doc_id, component_id): near-duplicates by banded fingerprints, verified by exact Jaccard similarity.
 
-    Texts with equal fingerprints form a class. Classes that share a band are joined to
-    the band's least class, which keeps a bucket's size linear; components of these links
-    hold every pair that shares a band, and full shingle sets decide within them (see
-    `near_dedup.verified_components`). A pair at the threshold 0.8 misses all of 16 bands of 4
-    with chance 0.0002. Documents without words link to nothing. Rows without doc_id are left out.
+    Texts with equal fingerprints form a class. Classes that share a band and at least `matches` of all
+    values are candidates, a band's classes being compared in blocks; components of these hold every
+    such pair, and full shingle sets decide within them (see `near_dedup.verified_components`). A pair at the threshold 0.8
+    misses all of 16 bands of 4 with chance 0.0002, and 36 of 64 values with chance 2e-6. Documents without words link to
+    nothing. Rows without doc_id are left out; rows that share one have the links of all their texts. Other columns are not
+    looked at. An empty table gives no rows.
     """
     p = params or Fingerprints()
     work = Workspace(spark, "fingerprints")
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     prints = work.keep(fingerprint(docs, p), "prints")
     blank = "f" * (4 * p.permutations)
-    classes = work.keep(prints.filter(F.col("fingerprint") != blank).groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "classes")
-    posted = classes.select("node", F.explode(_bands(F.col("fingerprint"), p)).alias("band"))
-    least = posted.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    links = posted.join(least, "band").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
-    same = prints.join(classes, "fingerprint").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
-    # equal fingerprints need not mean equal sets, so members are verified as well
-    clusters = connected_components(work, links.unionByName(same).distinct(), "cluster")
-    weights = docs.select(F.col("doc_id").alias("id"), (F.length("text") / 6).alias("n_shingles"))
-    near = clusters.join(weights, F.col("node") == F.col("id")).select("node", F.col("component").alias("cluster"), "n_shingles")
-    rules = NearDedup(words=p.words, percent=p.percent, batch_rows=p.batch_rows)
-    component = work.keep(verified_components(work, docs, near, rules), "components")
-    return prints.select("doc_id").join(component, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    classes = work.keep(prints.filter(F.col("fingerprint") != blank).groupBy("fingerprint").agg(F.min("doc_id").alias("node")).withColumn("class", F.xxhash64("fingerprint")), "classes")
+    values = F.transform(F.sequence(F.lit(0), F.lit(p.permutations - 1)), lambda i: F.conv(F.substring("fingerprint", i * 4 + 1, F.lit(4)), 16, 10).cast("int"))
+    posted = classes.select(F.col("class").alias("node"), F.lit(1).cast("long").alias("n_shingles"), values.alias("signature"), F.explode(_bands(F.col("fingerprint"), p)).alias("posting"))
+    rules = NearDedup(words=p.words, percent=p.percent, coordinates=p.permutations, matches=p.matches, batch_rows=p.batch_rows)
+    lengths = posted.groupBy("posting").agg(F.ceil(F.count("*") / rules.list_block).cast("long").alias("blocks"), F.count("*").alias("n")).filter("n > 1")
+    links = list_links(posted.join(lengths, "posting"), rules)
+    found = connected_components(work, links, "cluster")
+    clusters = found.join(classes.select(F.col("class").alias("node"), F.col("node").alias("doc")), "node").select(F.col("doc").alias("head"), F.col("component").alias("cluster"))
+    # equal fingerprints need not mean equal sets, so all members are verified
+    members = prints.join(classes.select("fingerprint", F.col("node").alias("head"), "class"), "fingerprint").join(clusters, "head", "left")
+    members = members.select(F.col("doc_id").alias("node"), F.coalesce("cluster", "class").alias("cluster"))
+    weights = docs.select(F.col("doc_id").alias("node"), (F.length("text") / 6).alias("n_shingles"))
+    several = members.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").select("cluster")
+    near = members.join(several, "cluster", "left_semi").join(weights, "node").select("node", "cluster", "n_shingles")
+    component = verified_components(work, docs, near, rules)
+    return prints.select("doc_id").distinct().join(component, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

@@ -37,15 +37,16 @@ class Importance:
     `sample` bounds the labelled rows of each class that the target model and k are fitted on.
     `bits`: n-grams of a kind go to 2**bits buckets. Counts are raised by `smoothing`, so that what is too
     rare for the sample, in a rare language too, weighs next to nothing. `keep` fixes k as a share of all rows; None takes
-    the share of good ones among labelled rows, and `spare` more. `temperature` scales the Gumbel noise; at 1
+    as k the number of documents whose weight passes the cut that best parts labelled rows of the two classes, where the good
+    ones are a share `held` that the target model was not fitted on. `temperature` scales the Gumbel noise; at 1
     documents are drawn with chances in proportion to their probability ratio.
     """
 
     sample: int = 20_000
     bits: int = 16
-    smoothing: float = 20.0
+    smoothing: float = 50.0
     keep: float | None = None
-    spare: float = 0.01
+    held: float = 0.25
     temperature: float = 1.0
     seed: int = 17
     batch_rows: int = 256
@@ -119,21 +120,39 @@ def weigh(docs: DataFrame, ratios: np.ndarray, p: Importance) -> DataFrame:
     return docs.mapInArrow(each, T.StructType([*fields, T.StructField("log_weight", T.DoubleType()), T.StructField("gumbel_key", T.DoubleType())]))
 
 
-def drawn(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Importance, columns: list[str]) -> tuple[DataFrame, float]:
-    """`columns` of `docs` with log_weight and gumbel_key, written once, and the k-th largest key; every row is scored once."""
+def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
+    """The weight that parts good from bad with the least sum of both error rates, midway in its gap; -inf without both."""
+    if not good.any() or good.all():
+        return -np.inf
+    order = np.argsort(weights)
+    w, g = weights[order], good[order]
+    lost = np.r_[0, np.cumsum(g)] / g.sum()
+    passed = 1 - np.r_[0, np.cumsum(~g)] / (~g).sum()
+    edge = np.r_[True, w[1:] != w[:-1], True]
+    errors = np.where(edge, lost + passed, np.inf)
+    at = int(np.argmin(errors))
+    if at == 0:
+        return -np.inf
+    return float((w[at - 1] + w[min(at, len(w) - 1)]) / 2)
+
+
+def drawn(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Importance, columns: list[str], key: str) -> tuple[DataFrame, float]:
+    """`columns` of `docs` with log_weight and gumbel_key, written once, and the k-th largest key; every row is scored once. `key` is the doc_id among `columns`."""
     work = Workspace(spark, "importance")
-    chosen = work.keep(labelled(labels, "quality", p.sample), "sample")
+    bucket = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1000))
+    chosen = work.keep(labelled(labels, "quality", p.sample).withColumn("fitted", (F.col("label") == 1) & (bucket >= round(1000 * p.held))), "sample")
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = {r["label"]: r["n"] for r in chosen.join(typed, "doc_id", "left_semi").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    ratios = fit(typed, chosen.filter("label = 1"), p)
+    ratios = fit(typed, chosen.filter("fitted"), p)
     scores = work.keep(weigh(docs, ratios, p).select(*columns, "log_weight", "gumbel_key"), "scores")
+    if p.keep is not None:
+        k = round(p.keep * scores.count())
+    else:
+        # a bounded number of ids
+        held = F.broadcast(chosen.filter("not fitted").select(F.col("doc_id").alias("id"), "label"))
+        own = scores.select(F.col(key).cast("long").alias("own"), "log_weight")
+        known = own.join(held, F.col("own") == F.col("id")).select("log_weight", "label").toPandas()
+        k = scores.filter(F.col("log_weight") >= F.lit(best_cut(known["log_weight"].to_numpy(), known["label"].to_numpy() == 1))).count()
     work.drop("sample")
-    keep = p.keep
-    if keep is None:
-        # a sample may hold the classes in other shares than all labels do
-        totals = {r["label"]: r["count"] for r in labels.filter("quality in (0, 1)").groupBy(F.col("quality").cast("int").alias("label")).count().collect()}
-        keep = min(1.0, totals[1] / (totals[0] + totals[1]) + p.spare) if len(sizes) == 2 else 1.0
-    k = round(keep * scores.count())
     least = kth_largest(scores, "gumbel_key", k)
     return scores, (np.inf if k < 1 else -np.inf) if least is None else least
 
@@ -146,7 +165,7 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Im
     noise; the noise of rows without doc_id is by their text. Other columns are not looked at. An empty table gives no rows.
     """
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scores, least = drawn(spark, typed, labels, params or Importance(), ["doc_id"])
+    scores, least = drawn(spark, typed, labels, params or Importance(), ["doc_id"], "doc_id")
     return scores.select("doc_id", "log_weight", "gumbel_key", (F.col("gumbel_key") >= F.lit(least)).alias("kept"))
 
 
@@ -154,5 +173,5 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: I
     """The rows of `docs` that `resample` keeps, with their own columns."""
     # a row's own columns stay in a struct, so that no name can clash
     rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    scores, least = drawn(spark, rows, labels, params or Importance(), ["row"])
+    scores, least = drawn(spark, rows, labels, params or Importance(), ["row"], "row.doc_id")
     return scores.filter(F.col("gumbel_key") >= F.lit(least)).select("row.*")

@@ -35,7 +35,7 @@ class Mixing:
     its quality is 1, and `low` elsewhere. `sample` bounds the labelled rows of each
     quality that the classifier is fitted on; `bits`: byte n-grams go to 2**bits features.
     The fit ends where the gradient, over the wanted tokens, is within `tolerance`; `rounds` bounds it, and a fit that
-    ends there is logged as a warning, or with `strict` is an error. `ridge`: the weight of the pull to 1. No rate is above
+    ends there, with the best step so far, is logged as a warning, or with `strict` is an error. `ridge`: the weight of the pull to 1. No rate is above
     `most`. `least`: no rate falls below it where the domains with a target above `small` are at least as probable as any other.
     """
 
@@ -204,9 +204,6 @@ def _sums(table: DataFrame, y: np.ndarray, p: Mixing) -> tuple[np.ndarray, np.nd
 def fit_rates(table: DataFrame, p: Mixing) -> Fit:
     """The fit of rates to targets. `table`: tokens, posterior. Without tokens nothing is wanted and rates stay 1."""
     d = len(p.targets)
-    given = np.array([s is not None for s in p.targets.values()])
-    share = np.array([s or 0.0 for s in p.targets.values()])
-    share = share / share.sum()
     post = lambda k: F.col("posterior")[k]
     t = F.col("tokens").cast("double")
     first = table.agg(*(F.sum(t * post(k)).alias(f"n{k}") for k in range(d)), *(F.sum(t * post(i) * post(j)).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d))).first()
@@ -214,6 +211,10 @@ def fit_rates(table: DataFrame, p: Mixing) -> Fit:
         return Fit(np.zeros(d), np.zeros(d), np.zeros(d))
     plain = np.array([first[f"n{k}"] for k in range(d)])
     whole = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+    # a domain that no document is of can't be given a share
+    given = np.array([s is not None for s in p.targets.values()]) & (plain > 1e-9 * plain.sum())
+    share = np.where(given, [s or 0.0 for s in p.targets.values()], 0.0)
+    share = share / max(share.sum(), 1e-300)
     total = p.total if p.total is not None else (1 + p.spare) * max((n / s for n, s in zip(plain, share, strict=True) if s > p.small), default=0.0)
     scale, among = max(1.0, total), np.outer(given, given)
     # what has no share to meet is left as it comes
@@ -223,6 +224,7 @@ def fit_rates(table: DataFrame, p: Mixing) -> Fit:
     y = np.zeros(d)
     now, free = _sums(table, y, p)
     gradient = slope(y, now)
+    best = (gradient @ norm @ gradient, y, now)
     for k in range(p.rounds):
         if np.abs(gradient).sum() <= p.tolerance * scale:
             return Fit(y, now, wanted(now), k)
@@ -236,8 +238,11 @@ def fit_rates(table: DataFrame, p: Mixing) -> Fit:
                 break
             size /= 4
         y, gradient = tried, new
+        best = min(best, (new @ norm @ new, y, now), key=lambda b: b[0])
         if size < 1e-3:
             break
+    _, y, now = best
+    gradient = slope(y, now)
     fit = Fit(y, now, wanted(now), p.rounds, bool(np.abs(gradient).sum() <= p.tolerance * scale))
     if not fit.converged:
         said = f"rates have not converged in {p.rounds} rounds: {fit.residual:.2g} of the wanted tokens are missed"

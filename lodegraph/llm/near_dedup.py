@@ -13,8 +13,11 @@
 4. Components of candidates are clusters. Within a cluster full sets decide;
    pairs in one component already need no decision.
 
-Lists and clusters beyond a block are dealt out as pairs of blocks, so no task
-holds an unbounded group, and no pair is left out. The share of truly linked pairs
+Lists beyond a block are dealt out as pairs of blocks. A cluster beyond a block is dealt
+out in parts, each with the same few members beside it, its hubs: members that link to the first hub,
+directly or through others of their part, are settled, and only the rest is compared with all. So
+a large group of copies costs one pass over its texts, no task holds an unbounded group, and
+no pair is left out. The share of truly linked pairs
 that step 3 misses is the binomial tail below `matches` at the threshold: 5e-7 for
 16 of 32 at 0.85.
 """
@@ -48,7 +51,7 @@ class NearDedup:
     coordinates: int = 32
     matches: int = 14
     list_block: int = 4096
-    set_block: int = 1_000_000
+    set_block: int = 200_000
     batch_rows: int = 256
 
 
@@ -177,27 +180,38 @@ def candidate_links(classes: DataFrame, p: NearDedup) -> DataFrame:
     prefix = shared.select("node", F.expr(f"slice(lists, 1, greatest(0, size(lists) - {p.matches - 1}))").alias("lists")).filter("size(lists) > 0")
     posted = prefix.join(classes, "node").select("node", "n_shingles", "signature", F.explode("lists").alias("list"))
     posted = posted.select("node", "n_shingles", "signature", F.col("list.posting").alias("posting"), F.ceil(F.col("list.length") / p.list_block).cast("long").alias("blocks"))
+    return list_links(posted, p)
+
+
+def list_links(posted: DataFrame, p: NearDedup) -> DataFrame:
+    """(a, b): spanning forests of the candidates in each list. `posted`: node, n_shingles, signature, posting, and blocks, into which its list is dealt."""
     dealt = _block_pairs(posted, "node", "blocks").select("posting", "left", "right", "node", "n_shingles", "signature")
     sorted_ = dealt.repartition("posting", "left", "right").sortWithinPartitions("posting", "left", "right", "n_shingles")
     return sorted_.mapInArrow(_candidates(p), "a long, b long").distinct()
 
 
 def _confirm(p: NearDedup):
-    """Components by full sets of each group of rows (cluster, left, right, node, text)."""
+    """Components by full sets of each group of rows (cluster, left, right, node, text, settled, big).
 
-    def compare(nodes: np.ndarray, texts: pa.Array) -> np.ndarray:
+    Rows that are settled are of one component beforehand. Gives, for each row, its component's least node in the group
+    and whether a settled one is in it; groups of one row only if they are part of a big cluster.
+    """
+
+    def compare(nodes: np.ndarray, texts: pa.Array, settled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sets: list[np.ndarray] = []
         for at in range(0, len(texts), p.batch_rows):
             sets += shingle_sets(*word_hashes(*text_buffer(texts.slice(at, p.batch_rows))), p.words)
         sizes = np.array([len(s) for s in sets])
         order = np.argsort(sizes, kind="stable")
-        sets, sizes, nodes = [sets[i] for i in order], sizes[order], nodes[order]
+        sets, sizes, nodes, settled = [sets[i] for i in order], sizes[order], nodes[order], settled[order]
         values, ids = np.unique(np.concatenate(sets), return_inverse=True)
         first = np.r_[0, np.cumsum(sizes)]
         forest = Forest(len(sets))
         named = np.argsort(nodes, kind="stable")
         again = np.flatnonzero(nodes[named[1:]] == nodes[named[:-1]])
         forest.join(named[again], named[again + 1])
+        known = np.flatnonzero(settled)
+        forest.join(known[:-1], known[1:])
         mark = np.zeros(len(values), dtype=np.int32)
         for i in range(len(sets)):
             stop = int(np.searchsorted(p.percent * sizes, 100 * sizes[i], side="right"))
@@ -216,7 +230,9 @@ def _confirm(p: NearDedup):
             forest.join(np.full(len(near), i), near)
         least = np.full(len(sets), np.iinfo(np.int64).max)
         np.minimum.at(least, forest.label, nodes)
-        return nodes, least[forest.label]
+        hit = np.zeros(len(sets), dtype=bool)
+        hit[forest.label[settled]] = True
+        return nodes, least[forest.label], hit[forest.label]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["cluster", "left", "right"]
@@ -224,14 +240,19 @@ def _confirm(p: NearDedup):
             table = table.combine_chunks()
             for a, b in zip(*(x.tolist() for x in _runs(table, keys)), strict=True):
                 part = table.slice(a, b - a)
-                if part.num_rows < 2:
+                big = part.column("big")[0].as_py()
+                if part.num_rows < 2 and not big:
                     continue
-                nodes, root = compare(part.column("node").to_numpy(), part.column("text").chunk(0))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], names=["a", "b"])
+                nodes, root, hit = compare(part.column("node").to_numpy(), part.column("text").chunk(0), part.column("settled").to_numpy())
+                n = len(nodes)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root), pa.array(hit), pa.array([big] * n), part.column("cluster").chunk(0)], names=["a", "b", "hit", "big", "cluster"])
 
     return each
 
 
+_CONFIRMED = "a long, b long, hit boolean, big boolean, cluster long"
+
+
 def _block_pairs(df: DataFrame, node: str, blocks: str) -> DataFrame:
     """Each row once for each pair of blocks that has the row's own: (left, right). One block: (0, 0)."""
     own = F.pmod(F.xxhash64(F.col(node)), F.col(blocks))
@@ -239,19 +260,52 @@ def _block_pairs(df: DataFrame, node: str, blocks: str) -> DataFrame:
     return df.withColumn("own", own).withColumn("other", other).withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other")).drop("own", "other")
 
 
+def _compared(dealt: DataFrame, p: NearDedup) -> DataFrame:
+    """_CONFIRMED for each group of rows with one (cluster, left, right)."""
+    groups = dealt.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
+    return groups.select("cluster", "left", "right", "node", "text", "settled", "big").mapInArrow(_confirm(p), _CONFIRMED)
+
+
 def verified_components(work: Workspace, docs: DataFrame, clusters: DataFrame, p: NearDedup, same: DataFrame | None = None) -> DataFrame:
     """(node, component): links by full shingle sets within clusters, and `same` (a, b) beside them, and their components.
 
     `docs`: doc_id, text; `clusters`: node (a doc_id), cluster, n_shingles (a guess will do:
-    it only says into how many blocks a cluster is dealt). Nodes that link to nothing
+    it only says into how many parts a cluster is dealt). Nodes that link to nothing
     are left out.
+
+    A cluster's hubs are the members with the least and the greatest of two hashes. What is not settled after the first
+    pass, in which every part holds the hubs, is compared with all members of its cluster in a second.
     """
-    blocks = clusters.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / p.set_block)).cast("long").alias("blocks"))
-    placed = clusters.join(blocks, "cluster").select("node", "cluster", "blocks").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(placed, "node")
-    dealt = _block_pairs(texts, "node", "blocks").repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
-    found = work.keep(dealt.select("cluster", "left", "right", "node", "text").mapInArrow(_confirm(p), "a long, b long"), "found")
-    return connected_components(work, found if same is None else found.unionByName(same), "joined")
+    hashes = [F.xxhash64(F.lit(k), F.col("node")) for k in (1, 2)]
+    hubs = F.array_distinct(F.array(*(f("node", h) for h in hashes for f in (F.min_by, F.max_by))))
+    parts = F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / p.set_block)).cast("long")
+    sized = clusters.groupBy("cluster").agg(parts.alias("parts"), hubs.alias("hubs"))
+    placed = work.keep(clusters.join(sized, "cluster").groupBy("node", "cluster", "parts", "hubs").agg(F.max("n_shingles").alias("n_shingles")), "placed")
+    whole = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    is_hub = (F.col("parts") > 1) & F.array_contains(F.col("hubs"), F.col("node"))
+    first = whole.join(placed, "node").select(
+        "cluster", F.explode(F.when(is_hub, everywhere).otherwise(F.array(own))).alias("left"), F.lit(0).cast("long").alias("right"), "node", "text", (F.col("node") == F.col("hubs")[0]).alias("settled"), (F.col("parts") > 1).alias("big")
+    )
+    found = work.keep(_compared(first, p), "found")
+    links = found.select("a", "b")
+    rest = found.filter("big").groupBy("cluster", "a").agg(F.max("hit").alias("hit")).filter("not hit").select("cluster", F.col("a").alias("node"))
+    rest = work.keep(rest, "rest")
+    if not rest.isEmpty():
+        weighed = rest.join(placed, ["cluster", "node"]).groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / p.set_block)).cast("long").alias("blocks"))
+        open_ = placed.join(weighed, "cluster").join(rest.withColumn("open", F.lit(True)), ["cluster", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        block = F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.col("blocks"))
+        pair = lambda left, right: F.struct(left.alias("left"), right.alias("right"))
+        # a block of the rest meets every part of the cluster
+        as_all = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: pair(i, own))
+        as_rest = F.transform(everywhere, lambda j: pair(block, j))
+        at = F.explode(F.when(F.col("open"), F.array_distinct(F.concat(as_all, as_rest))).otherwise(as_all)).alias("at")
+        second = whole.join(open_, "node").select("cluster", at, "node", "text", (~F.col("open")).alias("settled")).select("cluster", "at.left", "at.right", "node", "text", "settled", F.lit(False).alias("big"))
+        links = links.unionByName(work.keep(_compared(second, p), "found2").select("a", "b"))
+    out = connected_components(work, links if same is None else links.unionByName(same), "joined")
+    work.drop("placed", "rest")
+    return out
 
 
 def near_components(spark: SparkSession, docs: DataFrame, params: NearDedup | None = None) -> DataFrame:

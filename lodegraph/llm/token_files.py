@@ -30,12 +30,13 @@ BLOCK_SCHEMA = "shard int, block long, first_id long, n_ids long, bits boolean,
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """Parameters: ids in a block, bit or byte planes, zstandard's level, the end-of-document id."""
+    """Parameters: ids in a block, bit or byte planes, zstandard's level, the end-of-document id, text bytes a shard."""
 
     block_ids: int = 1 << 16
     bits: bool = False
     level: int = 1
     end_id: int = 0
+    shard_bytes: int = 1 << 27
     batch_rows: int = 256
 
 
@@ -138,7 +139,8 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, p: TokenFiles, shards: i
     """Blocks (BLOCK_SCHEMA) of every row of `docs` (doc_id, text) in ascending doc_id order, null ids first.
 
     Null text counts as empty, so its document is the end id alone. Rows with one doc_id
-    are ordered by text. Shards are ranges of doc_id; what follows a document's end id
+    are ordered by text. Shards are ranges of doc_id and, within one doc_id, of how the text begins, so that many rows
+    without doc_id don't meet in one shard; other columns are not looked at. What follows a document's end id
     is the next document's first id, also from one block to the next.
     """
 
@@ -158,21 +160,27 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, p: TokenFiles, shards: i
         if blocks.held:
             yield _batch([blocks.cut()])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    typed = docs.select(F.col("doc_id").cast("long"), "text")
+    ordered = typed.repartitionByRange(shards, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(each, BLOCK_SCHEMA)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, params: TokenFiles | None = None, shards: int | None = None) -> None:
     """Writes `docs` as token files: `path`/blocks, and the chunk index in `path`/index.
 
+    There are as many shards as the text's bytes need, and at least as many as a shuffle has partitions.
+
     The index has, for each block, the ids of all documents before it (`start`), and where
     in which shard it lies. It is made from the blocks' place columns alone.
     """
     spark = docs.sparkSession
-    count = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    encode_blocks(docs, tokenizer_path, params or TokenFiles(), count).write.mode("overwrite").parquet(f"{path}/blocks")
+    p = params or TokenFiles()
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // p.shard_bytes))
+    encode_blocks(docs, tokenizer_path, p, shards).write.mode("overwrite").parquet(f"{path}/blocks")
     places = spark.read.parquet(f"{path}/blocks").select("shard", "block", "first_id", "n_ids")
-    # one row a shard: their number is the parameter, not the data's size
+    # one row a shard
     totals = places.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     before = totals.select(F.col("shard").alias("s"), (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("before"))
     index = places.join(F.broadcast(before), F.col("shard") == F.col("s")).select("shard", "block", (F.col("before") + F.col("first_id")).alias("start"), "n_ids")

@@ -26,7 +26,7 @@ class Severity:
 
     `sample` bounds the labelled rows of each class that the model is fitted on, `features`
     the words and beginnings (of `prefix` bytes) it uses, those that part the classes best
-    (by likelihood ratio, which must reach that of `evidence` that catches most toxic rows in cross-validation) and occur in `least_docs` sampled documents; rarer ones and those beyond
+    (by likelihood ratio, which must reach that of `evidence` under which rows left out in cross-validation are likeliest) and occur in `least_docs` sampled documents; rarer ones and those beyond
     `features` weigh nothing. A beginning may end inside a character of several bytes, which still names the same words.
     Labels say toxic or not; toxic rows are graded 1 to `grades` - 1, in equal parts, by the score that a binary model gives
     them which was fitted, features too, without their fold. The cut that makes
@@ -37,7 +37,7 @@ class Severity:
     sample: int = 6000
     features: int = 2048
     least_docs: int = 3
-    evidence: tuple[float, ...] = (25.0, 15.0)
+    evidence: tuple[float, ...] = (15.0,)
     prefix: int = 5
     grades: int = 4
     l2: float = 1e-4
@@ -216,7 +216,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Severity) ->
     for evidence in p.evidence:
         probability, seen = cross_validated(x, grade, weight, fold, p.grades, evidence, p)
         cut = decision_cut(probability[seen], toxic[seen], p.recall, p.false_positives)
-        tried.append(((probability[seen & toxic] >= cut).mean() if (seen & toxic).any() else 0.0, evidence, cut))
+        q = np.clip(np.where(toxic, probability, 1 - probability), 1e-6, 1)
+        tried.append((float(np.log(q[seen]) @ weight[seen]), evidence, cut))
     _, evidence, cut = max(tried, key=lambda t: t[0])
     used = _surprise(x[toxic].sum(axis=0, dtype=np.float64), x[~toxic].sum(axis=0, dtype=np.float64), toxic.mean()) >= evidence - 1e-6
     if not used.any():

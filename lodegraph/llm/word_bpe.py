@@ -40,10 +40,11 @@ class WordBPE:
     The file names NFC, white space to blanks and lower case as normalizers, a
     splitting pattern with \\p classes, and a BPE model with an end-of-word suffix over
     byte letters. Other files are refused. Results for a chunk of text between white
-    space are remembered, `cache` chunks at most.
+    space are remembered, `cache` chunks of `cache_chars` characters in all at most; chunks
+    of over `long` characters, as in scripts without blanks, are not.
     """
 
-    def __init__(self, path: str, cache: int = 800_000):
+    def __init__(self, path: str, cache: int = 800_000, cache_chars: int = 12_000_000, long: int = 256):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -67,7 +68,7 @@ class WordBPE:
             self.reach[bare[:2]] = max(self.reach.get(bare[:2], 1), len(bare))
         self._merges([m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]])
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
-        self.cache = cache
+        self.cache, self.cache_chars, self.long, self.chars = cache, cache_chars, long, 0
         self.ids: dict[str, str] = {}
         self.text: dict[str, str] = {}
         self.words: dict[str, tuple[str, str]] = {}
@@ -241,14 +242,20 @@ class WordBPE:
         """For each text (null: empty), its decimal ids and their decoded text, each joined by blanks."""
         cut = [[c for c in self._chunks(t or "") if c] for t in texts]
         wanted = list(dict.fromkeys(c for chunks in cut for c in chunks if c not in self.ids))
-        if len(self.ids) + len(wanted) > self.cache:
-            self.ids, self.text, self.words = {}, {}, {}
+        if len(self.ids) + len(wanted) > self.cache or self.chars > self.cache_chars:
+            self.ids, self.text, self.words, self.chars = {}, {}, {}, 0
             wanted = list(dict.fromkeys(c for chunks in cut for c in chunks))
         for mark in self.special.keys() & set(wanted):
             self.ids[mark], self.text[mark] = str(self.special[mark]), mark
         self._learn([c for c in wanted if c not in self.special])
+        self.chars += sum(map(len, wanted))
         ids, text = self.ids.__getitem__, self.text.__getitem__
-        return [(" ".join(map(ids, c)), " ".join(map(text, c))) for c in cut]
+        out = [(" ".join(map(ids, c)), " ".join(map(text, c))) for c in cut]
+        for chunk in wanted:
+            if len(chunk) > self.long:
+                del self.ids[chunk], self.text[chunk]
+                self.words.pop(chunk, None)
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         joined = self.encode_decode([text])[0][0]

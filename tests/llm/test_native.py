@@ -55,6 +55,9 @@ def test_native_plans(spark, make_docs):
     turns = spark.createDataFrame([(1, 0, "user", "a")], TURNS)
     for df in (apply_rules(spark, make_docs(["a b"]), labels), chat.format_chats(spark, turns)):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())
+    # what is written in between has no Python either
+    for df in (statistics(make_docs(["a b"])), chat.prefix_hashes(turns)):
+        assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())
 
 
 def plain(text):
@@ -98,6 +101,36 @@ def test_cutoffs_need_evidence_and_hold(spark, make_docs):
     assert all(r.kept for r in apply_rules(spark, docs, labels.limit(0), loose).collect())
 
 
+def test_steps_are_tested_in_order(spark, make_docs):
+    """Counts by hand: 200 good documents, 3 of which the second step rejects and 30 the third."""
+    share = lambda k: " ".join([f"w{i}#" for i in range(k)] + [f"word{i}" for i in range(30 - k)])
+    docs = make_docs([share(0)] * 167 + [share(12)] * 3 + [share(6)] * 30 + [share(29)])
+    labels = spark.createDataFrame([(k, 1) for k in range(200)], "doc_id long, quality int")
+    rules = QualityRules(cutoffs={"symbol_share": (0.2, 0.08, 0.03), "upper_share": (0.5,)})
+    table = quality_rules._shares(statistics(docs), rules)
+    assert rules.ladder() == [{"symbol_share": c, "upper_share": 0.5} for c in (0.2, 0.08, 0.03)]
+    tail = lambda x: sum(math.comb(200, k) * 0.03**k * 0.97 ** (200 - k) for k in range(x + 1))
+    counts = [sum(n for n, s in ((167, 0), (3, 12), (30, 6)) if s / (s * 3 + sum(len(f"word{i}") for i in range(30 - s)) or 1) > c) for c in (0.2, 0.08, 0.03)]
+    want = next((k for k, x in enumerate(counts) if tail(x) > 0.05), 3)
+    assert [(r.stratum, r.step) for r in quality_rules.certified_steps(table, labels, rules).collect()] == [("en", want)]
+
+
+def test_default_rules_bite_on_the_corpus(spark):
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    rows = apply_rules(spark, read("documents"), read("labels")).collect()
+    quality = {r.doc_id: r.quality for r in read("labels").collect()}
+    lost = [r for r in rows if not r.kept and not r.base_failed]
+    good = [r for r in rows if quality.get(r.doc_id) == 1 and not r.base_failed]
+    assert len(lost) > 20 and sum(not r.kept for r in good) <= QualityRules().risk * len(good)
+
+
+def test_tied_turns_stand_in_the_order_of_their_text(spark):
+    df = spark.createDataFrame([(1, 0, "user", t) for t in "badc"] + [(1, 0, "user", None), (1, None, "user", "z")], TURNS)
+    got = chat.format_chats(spark, df)
+    assert [r.segment.split("\n")[1] for r in got.orderBy("turn_no").collect()] == ["z<|end|>", "<|end|>", "a<|end|>", "b<|end|>", "c<|end|>", "d<|end|>"]
+    assert _rows(got, chat_columns) == _duck(chat.ORACLE, chat_columns, conversations=df)
+
+
 def test_rules_against_duckdb(spark, make_docs):
     rows = [(k % 30, t) for k, t in enumerate(_texts() * 3)] + [(None, "a b")]
     docs = make_docs(rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en"))
