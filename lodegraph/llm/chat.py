@@ -24,30 +24,65 @@ def segment(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("<|end|>\n"))
 
 
-def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """Adds to each turn its number in the conversation, the rolling hash (p1, p2) of the turns up to it, whether it is the last, and `start`, the characters rendered before it.
+def dealt_turns(turns: DataFrame, parts: int | None = None) -> DataFrame:
+    """conv_id, turn, role and text of `turns`, dealt out by ranges of their order, with the range's number as part.
 
-    Turns are ordered by turn, role and text, null first, so repeated and tied rows have
-    a place each. The rolling hash is the exclusive or of hashes of (place, role, text), 128 bits
-    in all; it is a running sum, so a very long conversation needs no more memory than a short one.
+    A long conversation, or the many rows without conv_id, are spread over ranges, which follow each other as
+    their turns do. `parts` is how many ranges; None leaves that to Spark.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    order = ["conv_id", "turn", "role", F.substring("text", 1, 32)]
+    own = turns.select("conv_id", "turn", "role", "text")
+    return (own.repartitionByRange(*order) if parts is None else own.repartitionByRange(parts, *order)).withColumn("part", F.spark_partition_id())
+
+
+def _before(of: DataFrame, **sums: Column) -> DataFrame:
+    """(c, p, and `sums` over the earlier parts of a conversation): a row for each conversation and part."""
+    w = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return of.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), *(F.coalesce(s.over(w), F.lit(0).cast("long")).alias(name) for name, s in sums.items()))
+
+
+def _with(turns: DataFrame, earlier: DataFrame) -> DataFrame:
+    return turns.join(earlier, turns["conv_id"].eqNullSafe(earlier["c"]) & (turns["part"] == earlier["p"])).drop("c", "p")
+
+
+def numbered_turns(dealt: DataFrame) -> DataFrame:
+    """`dealt` with turn_no, n_turns, the hashes (x1, x2) of place and content, and p1, p2 and start counted within the part."""
+    w = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hashed = turns.select("conv_id", "turn", "role", "text", _content(1).alias("h1"), _content(2).alias("h2"))
-    placed = hashed.withColumn("turn_no", F.row_number().over(w).cast("long"))
     size = F.length(segment(F.col("role"), F.col("text"))).cast("long")
-    return placed.select(
+    sizes = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum(size).alias("chars"))
+    earlier = _before(sizes, n_before=F.sum("n"), chars_before=F.sum("chars"))
+    placed = _with(dealt, earlier).withColumns({"turn_no": (F.col("n_before") + F.row_number().over(w)).cast("long"), "h1": _content(1), "h2": _content(2)})
+    hashed = placed.withColumns({"x1": F.expr("xxhash64(1L, turn_no, h1, h2)"), "x2": F.expr("xxhash64(2L, turn_no, h2, h1)")})
+    return hashed.select(
         "conv_id",
+        "part",
         "turn_no",
         "role",
         "text",
-        (F.sum(size).over(upto) - size).alias("start"),
-        F.expr("bit_xor(xxhash64(1L, turn_no, h1, h2))").over(upto).alias("p1"),
-        F.expr("bit_xor(xxhash64(2L, turn_no, h2, h1))").over(upto).alias("p2"),
-        F.lead(F.lit(False), 1, True).over(w).alias("last"),
+        "x1",
+        "x2",
+        (F.col("chars_before") + F.sum(size).over(upto) - size).alias("start"),
+        F.expr("bit_xor(x1)").over(upto).alias("p1"),
+        F.expr("bit_xor(x2)").over(upto).alias("p2"),
     )
 
 
+def prefix_hashes(numbered: DataFrame) -> DataFrame:
+    """conv_id, turn_no, role, text, start, the rolling hash (p1, p2) of the turns up to each, and whether it is the last.
+
+    Turns are ordered by turn, role and text, null first, so repeated and tied rows have
+    a place each. The rolling hash is the exclusive or of hashes of (place, role, text), 128 bits
+    in all; that of a part's turns is joined with what its conversation's earlier parts come to.
+    """
+    ends = numbered.groupBy("conv_id", "part").agg(F.expr("bit_xor(x1)").alias("e1"), F.expr("bit_xor(x2)").alias("e2"), F.max("turn_no").alias("top"))
+    whole = ends.groupBy(F.col("conv_id").alias("whole")).agg(F.max("top").alias("n_turns"))
+    earlier = _before(ends, e1=F.expr("bit_xor(e1)"), e2=F.expr("bit_xor(e2)"))
+    lasts = earlier.join(whole, earlier["c"].eqNullSafe(whole["whole"])).drop("whole")
+    both = lambda a, b: F.col(a).bitwiseXOR(F.col(b)).alias(a)
+    return _with(numbered, lasts).select("conv_id", "turn_no", "role", "text", "start", both("p1", "e1"), both("p2", "e2"), (F.col("turn_no") == F.col("n_turns")).alias("last"))
+
+
 def maximal_conversations(hashed: DataFrame) -> DataFrame:
     """(conv_id, n_turns, copies) of conversations that no longer one begins with, one for each content."""
     whole = hashed.filter("last").groupBy(F.col("turn_no").alias("n_turns"), "p1", "p2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
@@ -55,16 +90,18 @@ def maximal_conversations(hashed: DataFrame) -> DataFrame:
     return whole.join(longer, ["n_turns", "p1", "p2"], "left_anti").select("conv_id", "n_turns", "copies")
 
 
-def format_chats(spark: SparkSession, conversations: DataFrame) -> DataFrame:
+def format_chats(spark: SparkSession, conversations: DataFrame, parts: int | None = None) -> DataFrame:
     """Rendered turns of maximal conversations: conv_id, turn_no (from 1), role, segment, start, n_turns, copies.
 
     The segments of a conversation in turn order are its rendered text; `start` is where
     each begins, so that no task need hold a whole conversation. `copies` counts
     the equal conversations that this one stands for. Rows with null conv_id are one
-    conversation. Other columns are not looked at. An empty table gives no rows.
+    conversation; no task holds a whole conversation, as turns are dealt out by ranges (`parts` of them). Other columns are not looked at. An empty table gives no rows.
     """
     work = Workspace(spark, "chat")
-    hashed = work.keep(prefix_hashes(conversations), "turns")
+    numbered = work.keep(numbered_turns(work.keep(dealt_turns(conversations, parts), "dealt")), "numbered")
+    hashed = work.keep(prefix_hashes(numbered), "turns")
+    work.drop("dealt", "numbered")
     kept = maximal_conversations(hashed).withColumnRenamed("conv_id", "id")
     chosen = hashed.join(kept, hashed["conv_id"].eqNullSafe(kept["id"]))
     return chosen.select("conv_id", "turn_no", "role", segment(F.col("role"), F.col("text")).alias("segment"), "start", "n_turns", "copies")

@@ -46,6 +46,19 @@ def test_snapshots_collapse(spark):
 chat_columns = ["conv_id", "turn_no", "role", "segment", "start", "n_turns", "copies"]
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_long_conversations_in_parts(spark, parts):
+    """A conversation of half of all turns, one of rows without conv_id, prefixes of both, ties and very long texts."""
+    rng = random.Random(3)
+    long = [(1, t // 2, rng.choice(["user", "assistant"]), f"turn {t} " * rng.randrange(1, 40)) for t in range(120)]
+    rows = long + [(2, t, r, x) for _, t, r, x in sorted(long, key=lambda r: r[1:])[:50]] + [(None, t, "user", f"n{t}") for t in range(60)]
+    rows += [(3, t, "user", f"n{t}") for t in range(60)] + [(4, t, "user", f"n{t}") for t in range(20)] + [(5, 0, "user", "x" * 200_000), (6, 0, None, None)]
+    df = spark.createDataFrame(rows, TURNS)
+    got = chat.format_chats(spark, df, parts)
+    assert _rows(got, chat_columns) == _duck(chat.ORACLE, chat_columns, conversations=df)
+    assert {r.conv_id for r in got.select("conv_id").distinct().collect()} == {1, 3, 5, 6}
+
+
 def test_no_conversations(spark):
     assert chat.format_chats(spark, spark.createDataFrame([], TURNS)).count() == 0
 
@@ -56,7 +69,9 @@ def test_native_plans(spark, make_docs):
     for df in (apply_rules(spark, make_docs(["a b"]), labels), chat.format_chats(spark, turns)):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())
     # what is written in between has no Python either
-    for df in (statistics(make_docs(["a b"])), chat.prefix_hashes(turns)):
+    dealt = chat.dealt_turns(turns)
+    numbered = chat.numbered_turns(dealt)
+    for df in (statistics(make_docs(["a b"])), dealt, numbered, chat.prefix_hashes(numbered)):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())
 
 
