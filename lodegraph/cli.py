@@ -111,5 +111,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 2
 
 
-if __name__ == "__main__":
+def run() -> None:
     sys.exit(main())
+
+
+if __name__ == "__main__":
+    run()
