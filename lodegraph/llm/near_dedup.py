@@ -285,7 +285,8 @@ def verified_components(work: Workspace, docs: DataFrame, clusters: DataFrame, p
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     is_hub = (F.col("parts") > 1) & F.array_contains(F.col("hubs"), F.col("node"))
-    first = whole.join(placed, "node").select(
+    # a merge join at every size, as what is placed grows with the input
+    first = whole.join(placed.hint("shuffle_merge"), "node").select(
         "cluster", F.explode(F.when(is_hub, everywhere).otherwise(F.array(own))).alias("left"), F.lit(0).cast("long").alias("right"), "node", "text", (F.col("node") == F.col("hubs")[0]).alias("settled"), (F.col("parts") > 1).alias("big")
     )
     found = work.keep(_compared(first, p), "found")
@@ -301,7 +302,7 @@ def verified_components(work: Workspace, docs: DataFrame, clusters: DataFrame, p
         as_all = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: pair(i, own))
         as_rest = F.transform(everywhere, lambda j: pair(block, j))
         at = F.explode(F.when(F.col("open"), F.array_distinct(F.concat(as_all, as_rest))).otherwise(as_all)).alias("at")
-        second = whole.join(open_, "node").select("cluster", at, "node", "text", (~F.col("open")).alias("settled")).select("cluster", "at.left", "at.right", "node", "text", "settled", F.lit(False).alias("big"))
+        second = whole.join(open_.hint("shuffle_merge"), "node").select("cluster", at, "node", "text", (~F.col("open")).alias("settled")).select("cluster", "at.left", "at.right", "node", "text", "settled", F.lit(False).alias("big"))
         links = links.unionByName(work.keep(_compared(second, p), "found2").select("a", "b"))
     out = connected_components(work, links if same is None else links.unionByName(same), "joined")
     work.drop("placed", "rest")
