@@ -260,6 +260,12 @@ def _block_pairs(df: DataFrame, node: str, blocks: str) -> DataFrame:
     return df.withColumn("own", own).withColumn("other", other).withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other")).drop("own", "other")
 
 
+def _spread(members: DataFrame, clusters: DataFrame, ways: int = 16) -> DataFrame:
+    """`members` (node, cluster, ...) with the columns of their row of `clusters`, a cluster's members dealt to some tasks."""
+    dealt = members.withColumn("way", F.pmod(F.xxhash64("node"), F.lit(ways)).cast("int"))
+    return dealt.join(clusters.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))), ["cluster", "way"]).drop("way")
+
+
 def _compared(dealt: DataFrame, p: NearDedup) -> DataFrame:
     """_CONFIRMED for each group of rows with one (cluster, left, right)."""
     groups = dealt.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
@@ -280,7 +286,7 @@ def verified_components(work: Workspace, docs: DataFrame, clusters: DataFrame, p
     hubs = F.array_distinct(F.array(*(f("node", h) for h in hashes for f in (F.min_by, F.max_by))))
     parts = F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / p.set_block)).cast("long")
     sized = clusters.groupBy("cluster").agg(parts.alias("parts"), hubs.alias("hubs"))
-    placed = work.keep(clusters.join(sized, "cluster").groupBy("node", "cluster", "parts", "hubs").agg(F.max("n_shingles").alias("n_shingles")), "placed")
+    placed = work.keep(_spread(clusters, sized).groupBy("node", "cluster", "parts", "hubs").agg(F.max("n_shingles").alias("n_shingles")), "placed")
     whole = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
@@ -295,7 +301,7 @@ def verified_components(work: Workspace, docs: DataFrame, clusters: DataFrame, p
     rest = work.keep(rest, "rest")
     if not rest.isEmpty():
         weighed = rest.join(placed, ["cluster", "node"]).groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / p.set_block)).cast("long").alias("blocks"))
-        open_ = placed.join(weighed, "cluster").join(rest.withColumn("open", F.lit(True)), ["cluster", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        open_ = _spread(placed, weighed).join(rest.withColumn("open", F.lit(True)), ["cluster", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
         block = F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.col("blocks"))
         pair = lambda left, right: F.struct(left.alias("left"), right.alias("right"))
         # a block of the rest meets every part of the cluster
