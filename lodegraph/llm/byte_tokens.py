@@ -27,7 +27,7 @@ class ByteTokens:
     of over `long` characters, as in scripts without blanks, are not.
     """
 
-    def __init__(self, path: str, cache: int = 1_500_000, cache_chars: int = 24_000_000, long: int = 256):
+    def __init__(self, path: str, cache: int = 1_800_000, cache_chars: int = 24_000_000, long: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -25,14 +25,17 @@ def segment(role: Column, text: Column) -> Column:
 
 
 def dealt_turns(turns: DataFrame, parts: int | None = None) -> DataFrame:
-    """conv_id, turn, role and text of `turns`, dealt out by ranges of their order, with the range's number as part.
+    """conv_id, role and text of `turns`, dealt out by ranges of their order, with part (the range's number), seq (the place in that order), and the hashes and size of the content.
 
-    A long conversation, or the many rows without conv_id, are spread over ranges, which follow each other as
-    their turns do. `parts` is how many ranges; None leaves that to Spark.
+    Turns are ordered by turn, role and text, null first. A long conversation, or the many rows without conv_id, are
+    spread over ranges, which follow each other as their turns do. `parts` is how many ranges; None leaves that to Spark.
     """
     order = ["conv_id", "turn", "role", F.substring("text", 1, 32)]
     own = turns.select("conv_id", "turn", "role", "text")
-    return (own.repartitionByRange(*order) if parts is None else own.repartitionByRange(parts, *order)).withColumn("part", F.spark_partition_id())
+    dealt = own.repartitionByRange(*order) if parts is None else own.repartitionByRange(parts, *order)
+    size = F.length(segment(F.col("role"), F.col("text"))).cast("long")
+    placed = dealt.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq"))
+    return placed.withColumns({"h1": _content(1), "h2": _content(2), "size": size})
 
 
 def _before(of: DataFrame, **sums: Column) -> DataFrame:
@@ -46,41 +49,39 @@ def _with(turns: DataFrame, earlier: DataFrame) -> DataFrame:
 
 
 def numbered_turns(dealt: DataFrame) -> DataFrame:
-    """`dealt` with turn_no, n_turns, the hashes (x1, x2) of place and content, and p1, p2 and start counted within the part."""
-    w = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
+    """conv_id, part, seq, turn_no, the hashes (x1, x2) of place and content, start, and p1 and p2 within the part. Texts stay behind."""
+    narrow = dealt.select("conv_id", "part", "seq", "h1", "h2", "size")
+    w = Window.partitionBy("conv_id", "part").orderBy("seq")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.length(segment(F.col("role"), F.col("text"))).cast("long")
-    sizes = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum(size).alias("chars"))
+    sizes = narrow.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum("size").alias("chars"))
     earlier = _before(sizes, n_before=F.sum("n"), chars_before=F.sum("chars"))
-    placed = _with(dealt, earlier).withColumns({"turn_no": (F.col("n_before") + F.row_number().over(w)).cast("long"), "h1": _content(1), "h2": _content(2)})
+    placed = _with(narrow, earlier).withColumn("turn_no", (F.col("n_before") + F.row_number().over(w)).cast("long"))
     hashed = placed.withColumns({"x1": F.expr("xxhash64(1L, turn_no, h1, h2)"), "x2": F.expr("xxhash64(2L, turn_no, h2, h1)")})
     return hashed.select(
         "conv_id",
         "part",
+        "seq",
         "turn_no",
-        "role",
-        "text",
         "x1",
         "x2",
-        (F.col("chars_before") + F.sum(size).over(upto) - size).alias("start"),
+        (F.col("chars_before") + F.sum("size").over(upto) - F.col("size")).alias("start"),
         F.expr("bit_xor(x1)").over(upto).alias("p1"),
         F.expr("bit_xor(x2)").over(upto).alias("p2"),
     )
 
 
 def prefix_hashes(numbered: DataFrame) -> DataFrame:
-    """conv_id, turn_no, role, text, start, the rolling hash (p1, p2) of the turns up to each, and whether it is the last.
+    """conv_id, seq, turn_no, start, the rolling hash (p1, p2) of the turns up to each, and whether it is the last.
 
-    Turns are ordered by turn, role and text, null first, so repeated and tied rows have
-    a place each. The rolling hash is the exclusive or of hashes of (place, role, text), 128 bits
-    in all; that of a part's turns is joined with what its conversation's earlier parts come to.
+    The rolling hash is the exclusive or of hashes of (place, role, text), 128 bits in all; that of a part's turns
+    is joined with what its conversation's earlier parts come to.
     """
     ends = numbered.groupBy("conv_id", "part").agg(F.expr("bit_xor(x1)").alias("e1"), F.expr("bit_xor(x2)").alias("e2"), F.max("turn_no").alias("top"))
     whole = ends.groupBy(F.col("conv_id").alias("whole")).agg(F.max("top").alias("n_turns"))
     earlier = _before(ends, e1=F.expr("bit_xor(e1)"), e2=F.expr("bit_xor(e2)"))
     lasts = earlier.join(whole, earlier["c"].eqNullSafe(whole["whole"])).drop("whole")
     both = lambda a, b: F.col(a).bitwiseXOR(F.col(b)).alias(a)
-    return _with(numbered, lasts).select("conv_id", "turn_no", "role", "text", "start", both("p1", "e1"), both("p2", "e2"), (F.col("turn_no") == F.col("n_turns")).alias("last"))
+    return _with(numbered, lasts).select("conv_id", "seq", "turn_no", "start", both("p1", "e1"), both("p2", "e2"), (F.col("turn_no") == F.col("n_turns")).alias("last"))
 
 
 def maximal_conversations(hashed: DataFrame) -> DataFrame:
@@ -99,12 +100,14 @@ def format_chats(spark: SparkSession, conversations: DataFrame, parts: int | Non
     conversation; no task holds a whole conversation, as turns are dealt out by ranges (`parts` of them). Other columns are not looked at. An empty table gives no rows.
     """
     work = Workspace(spark, "chat")
-    numbered = work.keep(numbered_turns(work.keep(dealt_turns(conversations, parts), "dealt")), "numbered")
-    hashed = work.keep(prefix_hashes(numbered), "turns")
-    work.drop("dealt", "numbered")
+    dealt = work.keep(dealt_turns(conversations, parts), "dealt")
+    hashed = work.keep(prefix_hashes(work.keep(numbered_turns(dealt), "numbered")), "turns")
+    work.drop("numbered")
     kept = maximal_conversations(hashed).withColumnRenamed("conv_id", "id")
-    chosen = hashed.join(kept, hashed["conv_id"].eqNullSafe(kept["id"]))
-    return chosen.select("conv_id", "turn_no", "role", segment(F.col("role"), F.col("text")).alias("segment"), "start", "n_turns", "copies")
+    chosen = hashed.join(kept, hashed["conv_id"].eqNullSafe(kept["id"])).select("seq", "turn_no", "start", "n_turns", "copies")
+    # rendered at the end, for conversations that stay
+    told = dealt.select("conv_id", "seq", "role", segment(F.col("role"), F.col("text")).alias("segment"))
+    return told.join(chosen, "seq").select("conv_id", "turn_no", "role", "segment", "start", "n_turns", "copies")
 
 
 ORACLE = """

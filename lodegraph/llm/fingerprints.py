@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lodegraph.llm.components import connected_components
 from lodegraph.llm.near_dedup import NearDedup, list_links, verified_components
 from lodegraph.llm.shingles import minhash, permutations, shingle_sets, text_buffer, word_hashes
+from lodegraph.llm.token_files import stored_bytes
 from lodegraph.llm.workspace import Workspace
 
 
@@ -27,7 +28,7 @@ from lodegraph.llm.workspace import Workspace
 class Fingerprints:
     """Parameters: words in a shingle, permutations, rows of a band, the similarity that links (percent), equal values of a candidate pair.
 
-    `range_bytes` is how much text one task orders.
+    `range_bytes` is how much stored text one task orders.
     """
 
     words: int = 5
@@ -103,15 +104,14 @@ def edit_likeness(docs: DataFrame, params: Fingerprints | None = None) -> DataFr
     doc_id come last. A lone document follows itself. Two texts without words are alike (1). Texts of any length are
     read whole. Other columns are not looked at. An empty table gives no rows.
 
-    Documents are dealt out by ranges of that order, as many as the text's bytes need, and each range is one
+    Documents are dealt out by ranges of that order, as many as the stored bytes need, and each range is one
     task. It finishes all of its documents but the last, and hands on its first and last text; these few, two a range, are
     written, and joined where one range follows another.
     """
     p, spark = params or Fingerprints(), docs.sparkSession
     work = Workspace(spark, "likeness")
     typed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    size = typed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // p.range_bytes))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(typed) // p.range_bytes))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = TaskContext.get().partitionId()

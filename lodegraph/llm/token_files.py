@@ -30,7 +30,7 @@ BLOCK_SCHEMA = "shard int, block long, first_id long, n_ids long, bits boolean,
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """Parameters: ids in a block, bit or byte planes, zstandard's level, the end-of-document id, text bytes a shard."""
+    """Parameters: ids in a block, bit or byte planes, zstandard's level, the end-of-document id, stored bytes a shard."""
 
     block_ids: int = 1 << 16
     bits: bool = False
@@ -165,10 +165,16 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, p: TokenFiles, shards: i
     return ordered.mapInArrow(each, BLOCK_SCHEMA)
 
 
+def stored_bytes(docs: DataFrame) -> int:
+    """How much `docs` reads, as its files' sizes say; text bytes, counted, where it doesn't read files."""
+    planned = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return planned if planned < 1 << 60 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def write(docs: DataFrame, path: str, tokenizer_path: str, params: TokenFiles | None = None, shards: int | None = None) -> None:
     """Writes `docs` as token files: `path`/blocks, and the chunk index in `path`/index.
 
-    There are as many shards as the text's bytes need, and at least as many as a shuffle has partitions.
+    There are as many shards as the stored bytes need, and at least as many as a shuffle has partitions.
 
     The index has, for each block, the ids of all documents before it (`start`), and where
     in which shard it lies. It is made from the blocks' place columns alone.
@@ -176,8 +182,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, params: TokenFiles |
     spark = docs.sparkSession
     p = params or TokenFiles()
     if shards is None:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // p.shard_bytes))
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(docs) // p.shard_bytes))
     encode_blocks(docs, tokenizer_path, p, shards).write.mode("overwrite").parquet(f"{path}/blocks")
     places = spark.read.parquet(f"{path}/blocks").select("shard", "block", "first_id", "n_ids")
     # one row a shard
