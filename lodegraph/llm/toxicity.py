@@ -224,7 +224,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Severity) ->
         return None
     w, thresholds = fit_cumulative(x[:, used], grade, weight, p.grades, p.l2, p.steps)
     work.drop("sample", "features")
-    return Model(features[used], w, thresholds, cut)
+    # a row without features is never toxic
+    return Model(features[used], w, thresholds, max(cut, float(np.nextafter(_logistic(-thresholds[:1])[0], 1.0))))
 
 
 def severity(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Severity | None = None) -> DataFrame:
