@@ -20,7 +20,6 @@ from lodegraph.sources.files import FILES
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_SECOND: dict[str, str] = {}
 
 
 def _query(sql: str) -> Callable[[Query], Query]:
@@ -32,16 +31,6 @@ def _query(sql: str) -> Callable[[Query], Query]:
     return register
 
 
-def _also(name: str) -> Callable[[Query], Query]:
-    """Registers a second name of a query."""
-
-    def register(f: Query) -> Query:
-        _SECOND[name] = f.__name__
-        return f
-
-    return register
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,25 +77,21 @@ x AS (SELECT * FROM c WHERE ikey NOT IN (SELECT ikey FROM p)),
 d AS (SELECT * FROM p WHERE ikey NOT IN (SELECT ikey FROM c))"""
 
 
-@_also("resolve_edges_whole")
 @_query(f"WITH {_FACTS} SELECT kind, p_ref, p_file, CAST(p_line AS BIGINT) AS p_line, c_ref, c_file, CAST(c_line AS BIGINT) AS c_line, version_match FROM e")
 def resolve_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolved_edges(facts(spark, sf_dir)).withColumns({"p_line": _long("p_line"), "c_line": _long("c_line")})
 
 
-@_also("resolve_external_whole")
 @_query(f"WITH {_FACTS} SELECT kind, ref, file, CAST(line AS BIGINT) AS line FROM x")
 def resolve_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.external(facts(spark, sf_dir)).withColumn("line", _long("line"))
 
 
-@_also("resolve_dangling_whole")
 @_query(f"WITH {_FACTS} SELECT kind, ref, file, CAST(line AS BIGINT) AS line FROM d")
 def resolve_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.dangling(facts(spark, sf_dir)).withColumn("line", _long("line"))
 
 
-@_also("bucket_counts_whole")
 @_query(
     f"""WITH {_FACTS} SELECT 'resolved' AS bucket, version_match, count(*) AS n FROM e GROUP BY ALL
 UNION ALL SELECT 'external', '', count(*) FROM x UNION ALL SELECT 'dangling', '', count(*) FROM d"""
@@ -118,7 +103,6 @@ def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROOTS = ("root0", "root1", "root2", "root3", "x/root4", "root4/")
 
 
-@_also("repo_edges_whole")
 @_query(
     f"""WITH {_FACTS} SELECT split_part(c_file, '/', 1) AS from_label, split_part(p_file, '/', 1) AS to_label, count(*) AS n
 FROM e WHERE c_file NOT LIKE 'root4%' AND p_file NOT LIKE 'root4%' GROUP BY ALL"""
@@ -140,7 +124,6 @@ def root_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.longest_roots(table(spark, sf_dir, "pages").select(F.col("url").alias("file")), roots)
 
 
-@_also("artifact_distinct_whole")
 @_query(
     f"""WITH {_FACTS}, a AS (SELECT kind, p_ref AS ref, 'resolved' AS bucket FROM e UNION SELECT kind, c_ref, 'resolved' FROM e
 UNION SELECT kind, ref, 'external' FROM x UNION SELECT kind, ref, 'dangling' FROM d) SELECT * FROM a"""
@@ -150,7 +133,6 @@ def artifact_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.artifacts(resolve.resolved_edges(f), resolve.external(f), resolve.dangling(f))
 
 
-@_also("node_bucket_promotion_whole")
 @_query(
     f"""WITH {_FACTS}, a AS (SELECT kind, p_ref AS ref, 0 AS r FROM e UNION ALL SELECT kind, c_ref, 0 FROM e UNION ALL SELECT kind, ref, 1 FROM x UNION ALL SELECT kind, ref, 2 FROM d)
 SELECT kind, ref, CASE min(r) WHEN 0 THEN 'resolved' WHEN 1 THEN 'external' ELSE 'dangling' END AS bucket FROM a GROUP BY kind, ref"""
@@ -160,7 +142,6 @@ def node_bucket_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.nodes(resolve.resolved_edges(f), resolve.external(f), resolve.dangling(f))
 
 
-@_also("mermaid_node_ids_whole")
 @_query(
     f"""WITH {_FACTS}, a AS (SELECT kind, ref FROM p UNION SELECT kind, ref FROM c)
 SELECT ref, 'n' || substr(sha1(kind || chr(0) || ref), 1, 12) AS node_id, 'k' || substr(sha1('kind:' || kind), 1, 8) AS kind_id FROM a"""
@@ -170,7 +151,6 @@ def mermaid_node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("ref", identity.node_id(F.col("kind"), F.col("ref")).alias("node_id"), identity.kind_node_id(F.col("kind")).alias("kind_id"))
 
 
-@_also("version_match_matrix_whole")
 @_query(f"WITH {_FACTS} SELECT p.version AS p_version, c.version AS c_version, CASE WHEN p.version = c.version THEN 'exact' WHEN p.version = '' OR c.version = '' THEN 'unknown' ELSE 'mismatch' END AS version_match, count(*) AS n FROM p JOIN c ON p.ikey = c.ikey GROUP BY ALL")
 def version_match_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = resolve.canonical(facts(spark, sf_dir)).groupBy("role", "kind", "identity_key", "version").agg(F.count("*").alias("n"))
@@ -456,7 +436,6 @@ def gate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT 0 AS source, * FROM c UNION ALL SELECT 1, ord, text, kind, CASE WHEN line % 2 = 0 THEN file ELSE 'docs/' || file END, line FROM c)
 SELECT source, ord, text, kind, file, line FROM (SELECT *, row_number() OVER (PARTITION BY text, file, line ORDER BY source, ord) AS n FROM r) WHERE n = 1"""
 )
-@_also("merge_refs_dedup_whole")
 def merge_refs_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn is in both sources; those of even number name the same file in both."""
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text", F.col("role").alias("kind"), F.concat(F.lit("c"), F.col("conv_id") % 9).alias("file"), F.col("turn").alias("line"))
@@ -517,31 +496,32 @@ def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    r"""WITH d AS (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE text IS NOT NULL),
-l AS (SELECT conv_id, turn, text AS script, i, lines[i] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS lines FROM d))),
-m AS (SELECT *, coalesce(lag(regexp_matches(line, '\\[ \t]*$')) OVER (PARTITION BY conv_id, turn, script ORDER BY i), false) AS continues FROM l),
-s AS (SELECT *, max(CASE WHEN continues THEN NULL ELSE i END) OVER (PARTITION BY conv_id, turn, script ORDER BY i ROWS UNBOUNDED PRECEDING) AS start FROM m),
-w AS (SELECT conv_id, turn, start, trim(string_agg(regexp_replace(line, '\\[ \t]*$', ' '), '' ORDER BY i), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS said FROM s GROUP BY conv_id, turn, script, start),
-b AS (SELECT conv_id, turn, start AS line, regexp_replace(said, '^((sudo|[^\s=/.:$]+=[^\s$(`"'']*)(\s+|$))+', '') AS bare FROM w WHERE said <> '' AND NOT starts_with(said, '#'))
-SELECT conv_id, turn, CAST(line AS BIGINT) AS line, array_to_string(regexp_split_to_array(bare, '\s+'), ' ') AS command FROM b WHERE regexp_split_to_array(bare, '\s+')[1] <> ''"""
+    r"""WITH d AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth FROM conversations WHERE text IS NOT NULL),
+l AS (SELECT conv_id, turn, nth, i, lines[i] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS lines FROM d))),
+m AS (SELECT *, coalesce(lag(regexp_matches(line, '\\[ \t]*$')) OVER (PARTITION BY conv_id, turn, nth ORDER BY i), false) AS continues FROM l),
+s AS (SELECT *, max(CASE WHEN continues THEN NULL ELSE i END) OVER (PARTITION BY conv_id, turn, nth ORDER BY i ROWS UNBOUNDED PRECEDING) AS start FROM m),
+w AS (SELECT conv_id, turn, nth, start, trim(string_agg(regexp_replace(line, '\\[ \t]*$', ' '), '' ORDER BY i), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS said FROM s GROUP BY conv_id, turn, nth, start),
+b AS (SELECT conv_id, turn, nth, start AS line, regexp_replace(said, '^((sudo|[^\s=/.:$]+=[^\s$(`"'']*)(\s+|$))+', '') AS bare FROM w WHERE said <> '' AND NOT starts_with(said, '#'))
+SELECT conv_id, turn, nth, CAST(line AS BIGINT) AS line, array_to_string(regexp_split_to_array(bare, '\s+'), ' ') AS command FROM b WHERE regexp_split_to_array(bare, '\s+')[1] <> ''"""
 )
 def script_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as scripts: commands with their continued lines joined."""
-    runs = table(spark, sf_dir, "conversations").filter("text is not null").select(F.col("conv_id").alias("root"), F.col("turn").alias("file"), F.lit(1).alias("line"), F.col("text").alias("value")).distinct()
-    return workflow.commands(runs).select(F.col("root").alias("conv_id"), F.col("file").alias("turn"), _long("line").alias("line"), F.array_join("fields", " ").alias("command"))
+    """Turns as scripts: commands with their continued lines joined. Of rows with one turn, `nth` is the place by text; each counts."""
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("text"))
+    turns = table(spark, sf_dir, "conversations").filter("text is not null").withColumn("nth", nth)
+    runs = turns.select(F.col("conv_id").alias("root"), F.struct("turn", "nth").alias("file"), F.lit(1).alias("line"), F.col("text").alias("value"))
+    return workflow.commands(runs).select(F.col("root").alias("conv_id"), F.col("file")["turn"].alias("turn"), _long(F.col("file")["nth"]).alias("nth"), _long("line").alias("line"), F.array_join("fields", " ").alias("command"))
 
 
 @_query(
-    """WITH a AS (SELECT n_nationkey + CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 100 END AS node, n_regionkey AS start_row FROM nation)
-SELECT o_orderkey AS token, c_custkey AS node_id, c_name AS source_file, CAST(CASE WHEN node IS NULL THEN 0 ELSE start_row + 1 END AS BIGINT) AS line
-FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN a ON c_nationkey = node"""
+    """SELECT o_orderkey AS token, c_custkey AS node_id, c_name AS source_file, CAST(CASE WHEN n_nationkey IS NULL THEN 0 ELSE n_regionkey + 1 END AS BIGINT) AS line
+FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 100 END"""
 )
-@_also("symbol_db_provenance_whole")
 def symbol_db_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as tokens at customers' nodes; nations are syntax rows, those of odd key under a number that no customer has."""
+    """Orders as tokens at customers' nodes; nations are syntax rows, and customers of odd key ask for a row that isn't there."""
     defs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("token"), F.col("o_custkey").alias("node_id"))
-    nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("source_file"), F.col("c_nationkey").alias("ast_id"))
-    ast = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + F.when(F.col("n_nationkey") % 2 == 0, 0).otherwise(100)).alias("ast"), F.col("n_regionkey").alias("start_row"))
+    wanted = F.col("c_nationkey") + F.when(F.col("c_custkey") % 2 == 0, 0).otherwise(100)
+    nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("source_file"), wanted.alias("ast_id"))
+    ast = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ast"), F.col("n_regionkey").alias("start_row"))
     placed = nodes.join(ast, F.col("ast_id") == F.col("ast"), "left").select("id", "source_file", "start_row")
     return symbol_db.provenance(defs, placed.select("id", "source_file"), placed.select(F.col("id").alias("node_id"), "start_row")).select("token", "node_id", F.col("file").alias("source_file"), _long("line").alias("line"))
 
@@ -560,8 +540,8 @@ def pending_name_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | {name: _QUERIES[of] for name, of in _SECOND.items()}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | {name: _SQL[of] for name, of in _SECOND.items()}
+    return dict(_SQL)
