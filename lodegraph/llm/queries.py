@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import bpe, chat, fingerprints, importance, mixing, pii, quality_rules, token_files, toxicity
+from lodegraph.llm import bpe, chat, fingerprints, importance, mixing, periodic_runs, pii, quality_rules, token_files, token_transducer, toxicity, vector_codes
 from lodegraph.llm.near_dedup import NearDedup, near_components
 from lodegraph.llm.workspace import Workspace
 
@@ -62,6 +62,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(spark, table(spark, sf_dir, "documents"), NearDedup(words=3, percent=85, matches=16))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.looped(table(spark, sf_dir, "documents")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op13_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_transducer.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -76,10 +88,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_soft_mixing,
             op9_maximal_chats,
             op10_minhash_near_dedup,
+            op11_periodic_runs,
+            op12_vector_codes,
+            op13_transducer_token_counts,
             fingerprint_components,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_certified_quality_rules": quality_rules.oracle(), "op9_maximal_chats": chat.ORACLE}
+    return {"op7_certified_quality_rules": quality_rules.oracle(), "op9_maximal_chats": chat.ORACLE, "op12_vector_codes": vector_codes.oracle()}

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, fingerprints, importance, mixing, near_dedup, pii, quality_rules, token_files, toxicity
+from lodegraph.llm import bpe, fingerprints, importance, mixing, near_dedup, periodic_runs, pii, quality_rules, token_files, token_transducer, toxicity
 
 LONG = "a sentence of plain words, mail me@site.example.com or call +49 30 1234567. " * 4000
 CLASHES = ("row", "key", "kept", "copy", "copy_", "n", "id", "times_", "kept_id", "own", "part", "label", "step", "at", "stratum", "cluster", "node", "tokens", "posterior", "log_weight", "gumbel_key", "spans", "settled", "part_", "left", "right")
@@ -36,6 +36,8 @@ OPERATORS = {
     "op7": lambda spark, docs, labels, path: quality_rules.apply_rules(spark, docs, labels),
     "op8": lambda spark, docs, labels, path: mixing.mix(spark, docs, labels),
     "op10": lambda spark, docs, labels, path: near_dedup.near_components(spark, docs),
+    "op11": lambda spark, docs, labels, path: periodic_runs.digests(periodic_runs.looped(docs)),
+    "op13": lambda spark, docs, labels, path: token_transducer.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")),
 }
 
 
