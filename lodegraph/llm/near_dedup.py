@@ -272,6 +272,24 @@ def _compared(dealt: DataFrame, p: NearDedup) -> DataFrame:
     return groups.select("cluster", "left", "right", "node", "text", "settled", "big").mapInArrow(_confirm(p), _CONFIRMED)
 
 
+def marked(work: Workspace, docs: DataFrame, nodes: DataFrame, most_bits: int = 1 << 30) -> DataFrame:
+    """The rows of `docs` (node, ...) whose node may be one of `nodes` (node), and all that are.
+
+    A bitmap has eight bits a node, one of which its hash sets; it is broadcast in pieces of 4 KB, 128 MB at most.
+    Where that is too little for the nodes, all rows are returned.
+    """
+    wanted = 8 * nodes.count()
+    if wanted > most_bits:
+        return docs
+    bits = max(1 << 15, 1 << (wanted - 1).bit_length() if wanted else 0)
+    place = F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.lit(bits))
+    piece, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit((1 << 15) - 1))
+    marks = work.keep(nodes.groupBy(piece.alias("piece")).agg(F.bitmap_construct_agg(bit).alias("marks")), "marks")
+    octet = F.conv(F.hex(F.substring(F.col("marks"), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(octet, bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return docs.join(F.broadcast(marks), (piece == F.col("piece")) & is_set, "left_semi")
+
+
 def verified_components(work: Workspace, docs: DataFrame, clusters: DataFrame, p: NearDedup, same: DataFrame | None = None) -> DataFrame:
     """(node, component): links by full shingle sets within clusters, and `same` (a, b) beside them, and their components.
 
@@ -287,12 +305,12 @@ def verified_components(work: Workspace, docs: DataFrame, clusters: DataFrame, p
     parts = F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / p.set_block)).cast("long")
     sized = clusters.groupBy("cluster").agg(parts.alias("parts"), hubs.alias("hubs"))
     placed = work.keep(_spread(clusters, sized).groupBy("node", "cluster", "parts", "hubs").agg(F.max("n_shingles").alias("n_shingles")), "placed")
-    whole = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    # texts of documents in no cluster stay where they are
+    whole = marked(work, docs.select(F.col("doc_id").cast("long").alias("node"), "text"), placed.select("node"))
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     is_hub = (F.col("parts") > 1) & F.array_contains(F.col("hubs"), F.col("node"))
-    # a merge join at every size, as what is placed grows with the input
-    first = whole.join(placed.hint("shuffle_merge"), "node").select(
+    first = whole.join(placed, "node").select(
         "cluster", F.explode(F.when(is_hub, everywhere).otherwise(F.array(own))).alias("left"), F.lit(0).cast("long").alias("right"), "node", "text", (F.col("node") == F.col("hubs")[0]).alias("settled"), (F.col("parts") > 1).alias("big")
     )
     found = work.keep(_compared(first, p), "found")
@@ -308,7 +326,7 @@ def verified_components(work: Workspace, docs: DataFrame, clusters: DataFrame, p
         as_all = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: pair(i, own))
         as_rest = F.transform(everywhere, lambda j: pair(block, j))
         at = F.explode(F.when(F.col("open"), F.array_distinct(F.concat(as_all, as_rest))).otherwise(as_all)).alias("at")
-        second = whole.join(open_.hint("shuffle_merge"), "node").select("cluster", at, "node", "text", (~F.col("open")).alias("settled")).select("cluster", "at.left", "at.right", "node", "text", "settled", F.lit(False).alias("big"))
+        second = whole.join(open_, "node").select("cluster", at, "node", "text", (~F.col("open")).alias("settled")).select("cluster", "at.left", "at.right", "node", "text", "settled", F.lit(False).alias("big"))
         links = links.unionByName(work.keep(_compared(second, p), "found2").select("a", "b"))
     out = connected_components(work, links if same is None else links.unionByName(same), "joined")
     work.drop("placed", "rest")

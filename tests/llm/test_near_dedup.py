@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lodegraph.llm.components import connected_components
-from lodegraph.llm.near_dedup import Forest, NearDedup, near_components
+from lodegraph.llm.near_dedup import Forest, NearDedup, marked, near_components
 from lodegraph.llm.shingles import shingle_sets, text_buffer, word_hashes
 from lodegraph.llm.workspace import Workspace
 
@@ -108,3 +108,16 @@ def test_rows_without_or_with_shared_doc_id(spark, make_docs):
 
 def test_empty_table(spark, make_docs):
     assert near_components(spark, make_docs([]), P).count() == 0
+
+
+def test_marked_rows_hold_all_wanted(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(20_000).select(F.col("id").alias("node"), F.lit("t").alias("text")).unionAll(spark.createDataFrame([(None, "x"), (-5, "y"), (-5, "z")], "node long, text string"))
+    nodes = docs.filter("node % 10 = 3 or node = -5").select("node")
+    work = Workspace(spark, "marked")
+    kept = marked(work, docs, nodes)
+    assert kept.filter("node % 10 = 3 or node = -5").count() == 2002 and kept.count() < 2002 + 20_000 * 0.2
+    assert marked(work, docs, nodes.limit(0)).count() == 0
+    # beyond the bitmap's bound nothing is left out
+    assert marked(work, docs, nodes, most_bits=100).count() == docs.count()
