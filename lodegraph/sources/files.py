@@ -3,77 +3,38 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILES = "root string, root_ord int, path string, rel string, name string, content binary"
-
-#: Folders that each extractor leaves out, and whether a root of that name is left out too.
-SKIPS: dict[str, tuple[tuple[str, ...], bool]] = {
-    "gomod": ((".git", ".claude", "node_modules", "vendor", "testdata"), True),
-    "cargo": ((".git", ".claude", "node_modules", "vendor", "testdata", "target"), False),
-    "wrangler": ((".git", ".claude", "node_modules", "vendor", "testdata", "target"), False),
-    "capnp": ((".git", ".claude", "node_modules", "vendor", "testdata", "target"), False),
-    "dockerfile": ((".git", "vendor", "node_modules", "testdata"), False),
-    "gocode": (("vendor", "testdata", ".git"), True),
-    "docs": ((".git", "node_modules"), True),
-}
-#: Names that each extractor reads; ci reads them in .github/workflows only.
-READS: dict[str, str] = {
-    "gomod": r"^go\.mod$",
-    "cargo": r"^Cargo\.toml$",
-    "wrangler": r"^wrangler\.toml$",
-    "capnp": r"\.capnp$",
-    "dockerfile": r"^(Dockerfile|Containerfile|Dockerfile\..*|.*\.Dockerfile)$",
-    "gocode": r"\.go$|^go\.mod$",
-    "docs": r"(?i)\.(md|markdown|html|htm)$",
-    "ci": r"(?i)\.(yml|yaml)$",
-}
-#: Extractors that leave out every folder whose name begins with a dot.
-HIDDEN = ("gocode", "docs")
-WORKFLOWS = (".github", "workflows")
+from lodegraph.sources import tree
+from lodegraph.sources.pruning import FILES, HIDDEN, READS, SKIPS, Pruning
+
 MAP, VERIFY = tuple(e for e in READS if e != "docs"), ("gocode", "docs")
 
 
 def scan_shared(spark: SparkSession, roots: list[str], extractors: tuple[str, ...] = tuple(READS)) -> DataFrame:
-    """FILES below folders that the executors can read: listed and read by Spark's binaryFile source, any file system.
+    """FILES below folders that the executors can read, walked and read by their tasks: see `tree`.
 
     `path` is the root as given, a slash and the path below it. Only files that one of `extractors` reads are there.
     """
-    out = None
-    for k, root in enumerate(roots):
-        base = root.rstrip("/")
-        one = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-        clean = base.split(":", 1)[1].lstrip("/") if ":" in base.split("/")[0] else base.lstrip("/")
-        rel = F.regexp_replace(F.substring_index(F.concat(F.lit("/"), F.regexp_replace("path", "^[a-z]+:/+", "")), f"/{clean}/", -1), "^/+", "")
-        part = one.select(F.lit(root).alias("root"), F.lit(k).alias("root_ord"), rel.alias("rel"), F.element_at(F.split("path", "/"), -1).alias("name"), "content").filter(_read_by(extractors))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], FILES)
-    return out.select("root", "root_ord", _joined(F.col("root"), F.col("rel")).alias("path"), "rel", "name", "content")
+    return tree.read(spark, roots, extractors) if roots else spark.createDataFrame([], FILES)
 
 
 def walk(root: str, extractors: tuple[str, ...] = tuple(READS)) -> Iterator[str]:
     """Paths below `root`, in order, of files that one of `extractors` reads. Folders that all of them leave out aren't entered."""
-    names = {e: re.compile(READS[e]) for e in extractors}
-    enters = lambda e, folder, depth: depth < len(WORKFLOWS) and folder == WORKFLOWS[depth] if e == "ci" else folder not in SKIPS[e][0] and not (e in HIDDEN and folder.startswith("."))
-    base = os.path.basename(root.rstrip("/"))
-    live = {root: [e for e in extractors if e == "ci" or not SKIPS[e][1] or base in (".", "") or enters(e, base, 0)]}
-    for folder, folders, files in os.walk(root):
-        here = live.pop(folder)
-        depth = 0 if folder == root else os.path.relpath(folder, root).count("/") + 1
-        for name in sorted(files):
-            path = os.path.join(folder, name)
-            if any((e != "ci" or depth == len(WORKFLOWS)) and names[e].search(name) for e in here) and os.path.isfile(path):
-                yield path
-        below = {f: [e for e in here if enters(e, f, depth)] for f in sorted(folders)}
-        folders[:] = [f for f, some in below.items() if some]
-        live |= {os.path.join(folder, f): below[f] for f in folders}
+    pruning, place = Pruning(extractors), tree.Storage(root)
+    todo = [("", live)] if place.exists() and (live := pruning.start(root)) else []
+    while todo:
+        rel, live = todo.pop()
+        folders, names = place.entries(rel)
+        depth = rel.count("/") + 1 if rel else 0
+        for name in names:
+            if pruning.reads(live, name, depth):
+                yield os.path.join(root, rel, name)
+        below = [(os.path.join(rel, f), pruning.below(live, f, depth)) for f in folders]
+        todo += [b for b in reversed(below) if b[1]]
 
 
 def scan_local(spark: SparkSession, roots: list[str], extractors: tuple[str, ...] = tuple(READS)) -> DataFrame:
@@ -91,10 +52,6 @@ def scan_local(spark: SparkSession, roots: list[str], extractors: tuple[str, ...
     return spark.createDataFrame(rows, FILES)
 
 
-def _joined(root: Column, rel: Column) -> Column:
-    return F.when(root == ".", rel).otherwise(F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"), rel))
-
-
 def _skipped(extractor: str) -> Column:
     """Whether a file lies in a folder that `extractor` leaves out."""
     names, root_too = SKIPS[extractor]
@@ -109,11 +66,6 @@ def _skipped(extractor: str) -> Column:
     return skipped
 
 
-def _read_by(extractors: tuple[str, ...]) -> Column:
-    one = lambda e: F.col("name").rlike(READS[e]) & (F.col("rel").rlike(f"^{re.escape('/'.join(WORKFLOWS))}/[^/]+$") if e == "ci" else ~_skipped(e))
-    return reduce(or_, map(one, extractors))
-
-
 def kept_by(files: DataFrame, extractor: str) -> DataFrame:
     """Without files in the folders that `extractor` leaves out."""
     return files.filter(~_skipped(extractor))

@@ -1,0 +1,148 @@
+"""The source_tree data source against the driver's own walk."""
+
+from __future__ import annotations
+
+import json
+import os
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodegraph.plans import extract, report
+from lodegraph.sources import files, tree
+from lodegraph.sources.pruning import Pruning
+
+FILES = {
+    "go.mod": "module example.com/app\n\nrequire example.com/lib v1.0.0\n",
+    ".github/workflows/a.yml": "env:\n  IMAGE: ghcr.io/team/app\njobs:\n  b:\n    steps:\n      - run: docker pull ghcr.io/team/base:1\n",
+    ".github/other.yml": "run: no\n",
+    ".github/workflows/deep/b.yml": "run: no\n",
+    "_gen/x.go": "package gen\n\n// Made is made.\nfunc Made() {}\n",
+    "_hidden.go": "package app\n\nfunc Seen() {}\n",
+    ".config/y.go": "package no\n\nfunc No() {}\n",
+    ".config/Dockerfile": "FROM alpine:3\n",
+    "sub/app/lib.go": "package lib\n\nfunc Lib() {}\n",
+    "sub/app/app/deep.go": "package deep\n\nfunc Deep() {}\n",
+    "node_modules/p/go.mod": "module no.example/no\n",
+    "vendor/v.go": "package v\n\nfunc V() {}\n",
+    "docs/index.md": "# Title\n\n`Made` and `Lib`\n",
+    "notes.txt": "nothing reads this",
+}
+
+
+@pytest.fixture
+def app(tmp_path, monkeypatch):
+    for name, body in FILES.items():
+        path = tmp_path / "app" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(body)
+    # no worker could hold these, should one be opened
+    for name in ("node_modules/Cargo.toml", "node_modules/huge.md", "vendor/huge.go", "huge.bin", ".git/huge.go"):
+        path = tmp_path / "app" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.touch()
+        os.truncate(path, 1 << 40)
+    (tmp_path / "app" / "again").symlink_to(tmp_path / "app")
+    monkeypatch.chdir(tmp_path)
+    return tmp_path / "app"
+
+
+def rows(df):
+    return Counter((r.root, r.root_ord, r.path, r.rel, r.name, bytes(r.content)) for r in df.collect())
+
+
+@pytest.mark.parametrize("root", ["app", "{}", "{}/", "file://{}", "./app"])
+def test_same_files_as_the_local_walk(spark, app, root):
+    name = root.format(app)
+    found = rows(tree.read(spark, [name], tuple(files.READS), folders=3))
+    own = name.removeprefix("file://")
+    assert Counter({(own, *r[1:2], r[2].removeprefix("file://"), *r[3:]): n for r, n in found.items()}) == rows(files.scan_local(spark, [own]))
+    assert {r[3] for r in found} == {"go.mod", ".github/workflows/a.yml", "_gen/x.go", "_hidden.go", ".config/Dockerfile", "sub/app/lib.go", "sub/app/app/deep.go", "docs/index.md", "node_modules/p/go.mod"}
+
+
+def test_the_working_folder_and_several_roots(spark, app, monkeypatch):
+    monkeypatch.chdir(app)
+    assert rows(files.scan_shared(spark, ["."])) == rows(files.scan_local(spark, ["."]))
+    roots = ["sub", "_gen", "sub"]
+    assert rows(files.scan_shared(spark, roots, files.MAP)) == rows(files.scan_local(spark, roots, files.MAP))
+    assert files.scan_shared(spark, []).count() == 0
+    with pytest.raises(Exception, match="no such folder"):
+        files.scan_shared(spark, ["gone"]).collect()
+
+
+def test_facts_are_the_same_with_shared(spark, app):
+    def facts(scan):
+        found = extract.Registry().gather(scan(spark, [str(app)], files.MAP))
+        return Counter(map(tuple, found.facts.collect())), found.failed.count(), report.map_json(report.Graph.of(found, [str(app)]))
+
+    shared, local = facts(files.scan_shared), facts(files.scan_local)
+    assert shared == local
+    assert ("ci", "ghcr.io/team/base") in {(r[1], r[4]) for r in shared[0]} and {"sub/app/lib.go", "_gen/x.go"} <= {r[5] for r in shared[0] if r[1] == "gocode"}
+
+
+def reader(root, *extractors, folders=3):
+    return tree.TreeReader([(str(root), str(root))], extractors or tuple(files.READS), folders, 1 << 20)
+
+
+def test_pruned_folders_are_never_listed(app, monkeypatch):
+    listed, scan = [], os.scandir
+    monkeypatch.setattr(os, "scandir", lambda p: listed.append(os.path.relpath(p, app)) or scan(p))
+    without = [e for e in files.READS if e != "gocode"]
+    for extractors, left_out in ((files.READS, (".git", "again")), (without, (".git", "again", "node_modules"))):
+        listed.clear()
+        source = reader(app, *extractors)
+        for part in source.partitions():
+            list(source.read(part))
+        assert not [p for p in listed if p.split("/")[0] in left_out] and len(listed) == len(set(listed))
+        assert {".github/workflows", "sub/app/app", "_gen", ".config"} <= set(listed)
+
+
+def test_filters_are_taken_over(spark, app):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringEndsWith, StringStartsWith
+
+    source, other = reader(app), GreaterThan(("name",), "a")
+    given = [EqualTo(("name",), "lib.go"), other, StringStartsWith(("rel",), "sub/a"), StringEndsWith(("name",), ".go"), In(("name",), ("lib.go", "x.go"))]
+    assert list(source.pushFilters(given)) == [other]
+    opened = []
+    source._step = (lambda step: lambda k, rel, live: opened.append(rel) or step(k, rel, live))(source._step)
+    found = [r for part in source.partitions() for batch in source.read(part) for r in batch.column("rel").to_pylist()]
+    assert found == ["sub/app/lib.go"] and not [p for p in opened if p and not p.startswith("sub")]
+    df = files.scan_shared(spark, [str(app)]).filter("name = 'go.mod' and rel like 'g%'")
+    assert [r.rel for r in df.collect()] == ["go.mod"]
+    # Spark has no filter left above the scan
+    assert "Filter" not in df._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0]
+    assert rows(files.scan_shared(spark, [str(app)]).filter(F.col("name").rlike("go$"))) == rows(files.scan_local(spark, [str(app)]).filter(F.col("name").rlike("go$")))
+
+
+def test_partitions_cover_the_tree_once(app):
+    for folders in (1, 2, 5, 64):
+        source = reader(app, folders=folders)
+        parts = source.partitions()
+        found = Counter(r for part in parts for batch in source.read(part) for r in batch.column("rel").to_pylist())
+        assert max(found.values()) == 1 and len(found) == 9
+        assert sum(len(p.folders) for p in parts) >= min(folders, 1) or all(p.files for p in parts)
+
+
+def test_other_storage(app):
+    """Any file system of pyarrow's: here the local one, behind a scheme."""
+    from pyarrow import fs
+
+    class Elsewhere(tree.Storage):
+        def _remote(self):
+            return fs.LocalFileSystem(), self.root.removeprefix("mem://")
+
+    (app / "again").unlink()
+    there, here = Elsewhere(f"mem://{app}"), tree.Storage(str(app))
+    assert there.exists() and not Elsewhere(f"mem://{app}/gone").exists()
+    for rel in ("", ".github", "sub/app"):
+        assert there.entries(rel) == here.entries(rel)
+    assert there.read("_gen/x.go") == here.read("_gen/x.go")
+
+
+def test_pruning_by_extractor():
+    p = Pruning(("ci", "gocode", "cargo"))
+    assert p.start("vendor") == ("ci", "cargo") and p.start(".x") == ("ci", "cargo") and p.start(".") == ("ci", "gocode", "cargo")
+    assert p.below(p.start("r"), ".github", 0) == ("ci", "cargo") and p.below(("ci",), ".github", 1) == () and p.below(("ci",), "workflows", 1) == ("ci",)
+    assert p.reads(("ci",), "a.YML", 2) and not p.reads(("ci",), "a.yml", 1) and not p.reads(("cargo",), "a.go", 0)
+    assert json.loads(json.dumps(p.extractors)) == ["ci", "gocode", "cargo"]
