@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodegraph.plans import coverage, extract, report
 from lodegraph.plans.lineage import cut
+from lodegraph.plans.sinks import Report
 from lodegraph.sources import files
 
 #: Set where a release is built.
@@ -22,15 +23,23 @@ def _map(args: argparse.Namespace, spark: SparkSession) -> int:
     registry = extract.Registry(owner=args.owner, symbol_db=args.symbol_db, root_qualified=args.root_qualified)
     g = report.Graph.of(registry.gather(scan(spark, args.roots, files.MAP)), args.roots)
     if args.format == "json":
-        text = report.map_json(g)
+        told = report.map_json(g)
     elif args.format == "md":
-        text = report.markdown(g, args.group)
+        told = report.markdown(g, args.group)
     else:
-        text = report.mermaid_repos(g) if args.group == "repo" else report.mermaid(g)
-    sys.stdout.write(text)
+        told = report.mermaid_repos(g) if args.group == "repo" else report.mermaid(g)
+    _put(told, args.output)
     return 0
 
 
+def _put(told: Report, output: str | None) -> None:
+    """Streams a report to the standard output, or has executors write it below a folder."""
+    if output:
+        told.write(output)
+    else:
+        sys.stdout.writelines(told.lines())
+
+
 def docs_folder(source: str) -> str | None:
     """The first of docs and doc that is a folder in `source`."""
     return next((os.path.join(source, d) for d in ("docs", "doc") if os.path.isdir(os.path.join(source, d))), None)
@@ -58,7 +67,7 @@ def _verify(args: argparse.Namespace, spark: SparkSession) -> int:
     if args.verifier != "source":
         raise ValueError("entities of a symbol database are not available; use --verifier source")
     c = verify(spark, args.source, args.docs, args.html_docs, args.fuzzy, args.exported_only, args.shared)
-    sys.stdout.write(report.coverage_json(c) if args.format == "json" else report.coverage_text(c, args.verbose))
+    _put(report.coverage_json(c) if args.format == "json" else report.coverage_text(c, args.verbose), args.output)
     coverage.gate(c, args.max_uncovered if args.max_uncovered >= 0 else None, args.threshold)
     return 0
 
@@ -91,6 +100,8 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--shared", action="store_true", help="the folders are on storage that executors read")
     v.add_argument("--max-uncovered", type=int, default=-1)
     v.add_argument("--verifier", choices=("source", "symbol-db"), default="source")
+    for command in (m, v):
+        command.add_argument("--output", default=None, help="a folder to write the report to, as text files whose names are in order")
     sub.add_parser("version")
     return p
 

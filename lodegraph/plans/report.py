@@ -1,15 +1,15 @@
-"""Reports rendered from ordered rows: JSON, Mermaid, Markdown, text.
+"""Reports of ordered rows: JSON, Mermaid, Markdown, text.
 
-What is rendered comes to the driver in order, as text is one file; everything before
-stays distributed.
+Each report is a `sinks.Report`: rows are rendered by executors, and either written by them or
+streamed to the driver in order.
 """
 
 from __future__ import annotations
 
-import json
+import hashlib
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph import schema
@@ -18,12 +18,14 @@ from lodegraph.plans import resolve
 from lodegraph.plans.coverage import Coverage
 from lodegraph.plans.extract import Facts
 from lodegraph.plans.lineage import cut
+from lodegraph.plans.sinks import Report, Rows, json_column, json_items, json_object, json_text, quoted, quoted_column
 
 
 @dataclass
 class Graph:
     """A resolved artifact graph. `title` heads the Markdown report."""
 
+    facts: DataFrame
     edges: DataFrame
     external: DataFrame
     dangling: DataFrame
@@ -35,131 +37,140 @@ class Graph:
     @classmethod
     def of(cls, facts: Facts, roots: list[str]) -> Graph:
         f = facts.facts
-        return cls(cut(resolve.resolved_edges(f)), cut(resolve.external(f)), cut(resolve.dangling(f)), cut(facts.failed), roots, facts.skipped)
+        return cls(f, cut(resolve.resolved_edges(f)), cut(resolve.external(f)), cut(resolve.dangling(f)), cut(facts.failed), roots, facts.skipped)
 
-    def ordered_edges(self) -> DataFrame:
-        return self.edges.orderBy(*resolve.EDGE_ORDER)
+    def report(self) -> Report:
+        return Report(self.edges.sparkSession)
 
 
-def _quoted(text: str) -> str:
-    """In double quotes, with control characters, quotes and backslashes escaped."""
-    short = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\t": "\\t", "\r": "\\r", "\a": "\\a", "\b": "\\b", "\f": "\\f", "\v": "\\v"}
-    return '"' + "".join(short.get(c) or (c if c.isprintable() else f"\\x{ord(c):02x}" if ord(c) < 128 else f"\\u{ord(c):04x}" if ord(c) < 1 << 16 else f"\\U{ord(c):08x}") for c in text) + '"'
-
-
-def _dump(value: dict) -> str:
-    """Two blanks of indent, and <, > and & escaped."""
-    out = json.dumps(value, indent=2, ensure_ascii=False)
-    for c in "<>&  ":
-        out = out.replace(c, f"\\u{ord(c):04x}")
-    return out + "\n"
-
-
-def map_json(g: Graph) -> str:
+def map_json(g: Graph) -> Report:
     """artifacts, edges, and, where there are any, skipped and failed."""
-    found = resolve.artifacts(g.edges, g.external, g.dangling).orderBy("kind", "ref", "bucket")
-    artifacts = [{"kind": r["kind"], "ref": r["ref"], "bucket": r["bucket"]} for r in found.toLocalIterator()]
-    end = lambda r, s: {"ref": r[f"{s}_ref"], "provenance": {"file": r[f"{s}_file"], "line": r[f"{s}_line"]}}
-    edges = [{"kind": r["kind"], "producer": end(r, "p"), "consumer": end(r, "c"), "version_match": r["version_match"]} for r in g.ordered_edges().toLocalIterator()]
-    out: dict = {"artifacts": artifacts or None, "edges": edges}
+    text = lambda c: json_column(F.col(c))
+    artifact = json_object({c: text(c) for c in ("kind", "ref", "bucket")}, 4)
+    artifacts = json_items(Rows(resolve.artifacts(g.facts).withColumn("text", F.concat(F.lit("    "), artifact)), ("kind", "ref", "bucket")))
+    end = lambda s: {"ref": text(f"{s}_ref"), "provenance": {"file": text(f"{s}_file"), "line": F.col(f"{s}_line").cast("string")}}
+    edge = json_object({"kind": text("kind"), "producer": end("p"), "consumer": end("c"), "version_match": text("version_match")}, 4)
+    edges = json_items(Rows(g.edges.withColumn("text", F.concat(F.lit("    "), edge)), resolve.EDGE_ORDER))
+    more = {}
     if g.skipped:
-        out["skipped"] = [{"name": n, "reason": w} for n, w in sorted(g.skipped)]
+        more["skipped"] = [{"name": n, "reason": w} for n, w in sorted(g.skipped)]
     if failed := _failed(g):
-        out["failed"] = [{"extractor": e, "root": r, "error": w} for e, r, w in failed]
-    return _dump(out)
+        more["failed"] = [{"extractor": e, "root": r, "error": w} for e, r, w in failed]
+    tail = "".join(f',\n  "{name}": {json_text(value, 2)}' for name, value in more.items())
+    out = g.report().add('{\n  "artifacts": [' if artifacts else '{\n  "artifacts": null,', *artifacts)
+    between = "  ],\n" if artifacts else ""
+    if edges:
+        return out.add(between + '  "edges": [', *edges, "  ]" + tail + "\n}")
+    return out.add(between + '  "edges": []' + tail + "\n}")
 
 
 def _failed(g: Graph) -> list[tuple[str, str, str]]:
     return [tuple(r) for r in g.failed.select("extractor", "root", "error").orderBy("extractor", "root").collect()]
 
 
-def mermaid(g: Graph) -> str:
+def _labelled(kind: Column) -> Column:
+    out = kind
+    for name, label in schema.KIND_LABELS.items():
+        out = F.when(kind == name, label).otherwise(out)
+    return out
+
+
+def mermaid(g: Graph) -> Report:
     """One subgraph a kind, its artifacts by reference, and an arrow from producer to consumer for each edge."""
     kind = F.col("kind")
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, schema.KIND_ORDER)), kind), F.lit(0)), F.lit(len(schema.KIND_ORDER) + 1))
-    nodes = resolve.nodes(g.edges, g.external, g.dangling).select("kind", "ref", rank.alias("rank"), identity.node_id(kind, F.col("ref")).alias("id"), identity.kind_node_id(kind).alias("kind_id")).orderBy("rank", "kind", "ref")
-    out, at = ["graph LR\n"], None
-    for r in nodes.toLocalIterator():
-        if r["kind"] != at:
-            out += ["  end\n"] if at is not None else []
-            at = r["kind"]
-            out.append(f"  subgraph {r['kind_id']}[{_quoted(schema.KIND_LABELS.get(at, at))}]\n")
-        out.append(f"    {r['id']}[{_quoted(r['ref'])}]\n")
-    out += ["  end\n"] if at is not None else []
-    ends = g.ordered_edges().select(identity.node_id(kind, F.col("p_ref")).alias("p"), identity.node_id(kind, F.col("c_ref")).alias("c"), "version_match")
-    out += [f"  {r['p']} -->|resolved:{r['version_match']}| {r['c']}\n" for r in ends.toLocalIterator()]
-    return "".join(out)
-
-
-def mermaid_repos(g: Graph) -> str:
+    nodes = resolve.nodes(resolve.artifacts(g.facts)).select("kind", "ref", rank.alias("rank"))
+    kinds = nodes.select("kind", "rank").distinct()
+    place = lambda at: F.lit(at).alias("at")
+    heads = kinds.select("rank", "kind", place(0), F.lit("").alias("ref"), F.concat(F.lit("  subgraph "), identity.kind_node_id(kind), F.lit("["), quoted_column(_labelled(kind)), F.lit("]")).alias("text"))
+    told = nodes.select("rank", "kind", place(1), "ref", F.concat(F.lit("    "), identity.node_id(kind, F.col("ref")), F.lit("["), quoted_column("ref"), F.lit("]")).alias("text"))
+    ends = kinds.select("rank", "kind", place(2), F.lit("").alias("ref"), F.lit("  end").alias("text"))
+    arrow = F.concat(F.lit("  "), identity.node_id(kind, F.col("p_ref")), F.lit(" -->|resolved:"), "version_match", F.lit("| "), identity.node_id(kind, F.col("c_ref")))
+    return g.report().add("graph LR", Rows(heads.unionByName(told).unionByName(ends), ("rank", "kind", "at", "ref")), Rows(g.edges.withColumn("text", arrow), resolve.EDGE_ORDER))
+
+
+def mermaid_repos(g: Graph) -> Report:
     """Roots that edges touch, and arrows from consuming to producing root with how many edges; artifacts where there are no roots."""
     if not g.roots:
         return mermaid(g)
     roots = g.edges.sparkSession.createDataFrame([(r,) for r in g.roots], "root string")
-    counted = resolve.repo_edges(g.edges, roots).collect()  # at most the number of roots squared
-    out = ["graph LR\n"]
-    node = lambda label: _repo_id(g, label)
+    counted = resolve.repo_edges(g.facts, roots).collect()  # at most the number of roots squared
+    out = ["graph LR"]
+    node = lambda label: "r" + hashlib.sha1(f"repo:{label}".encode()).hexdigest()[:12]
     for label in sorted({x for r in counted for x in (r["from_label"], r["to_label"])}):
-        out.append(f"  {node(label)}[{_quoted(label)}]\n")
+        out.append(f"  {node(label)}[{quoted(label)}]")
     for r in sorted(counted, key=lambda r: (r["from_label"], r["to_label"])):
         if r["from_label"] != r["to_label"]:
             n = "1 artifact" if r["n"] == 1 else f"{r['n']} artifacts"
-            out.append(f"  {node(r['from_label'])} -->|{_quoted(n)}| {node(r['to_label'])}\n")
-    return "".join(out)
+            out.append(f"  {node(r['from_label'])} -->|{quoted(n)}| {node(r['to_label'])}")
+    return g.report().add("\n".join(out))
 
 
-def _repo_id(g: Graph, label: str) -> str:
-    import hashlib
+def markdown(g: Graph, group: str = "repo") -> Report:
+    """Counts, the diagram, and lists of what is external, dangling, skipped and failed."""
+    failed = _failed(g)
+    external, dangling = g.external.count(), g.dangling.count()
+    out = [f"# {g.title}\n", f"- Resolved edges: {g.edges.count()}", f"- External dependencies: {external}", f"- Dangling producers: {dangling}"]
+    out += [f"- Skipped extractors: {len(g.skipped)}"] if g.skipped else []
+    out += [f"- Skipped inputs (parse failures): {len(failed)}"] if failed else []
+    told = g.report().add("\n".join([*out, "\n## Graph\n", "```mermaid"]), *(mermaid(g) if group == "artifact" else mermaid_repos(g)).sections, "```")
+    for title, part, n in (("External dependencies", g.external, external), ("Dangling producers", g.dangling, dangling)):
+        if n:
+            item = F.concat(F.lit("- `"), "ref", F.lit("` ("), "kind", F.lit(") — "), identity.provenance(F.col("file"), F.col("line")))
+            told.add(f"\n## {title}\n", Rows(part.withColumn("text", item), resolve.LEFT_ORDER))
+    if g.skipped:
+        told.add("\n".join(["\n## Skipped extractors\n", *(f"- `{n}` — {w}" for n, w in sorted(g.skipped))]))
+    if failed:
+        told.add("\n".join(["\n## Skipped inputs\n", *(f"- `{e}` in `{r}` — {w}" for e, r, w in failed)]))
+    return told
 
-    return "r" + hashlib.sha1(f"repo:{label}".encode()).hexdigest()[:12]
 
+def _wide(c: str, n: int) -> Column:
+    return F.when(F.length(c) < n, F.rpad(c, n, " ")).otherwise(F.col(c))
 
-def markdown(g: Graph, group: str = "repo") -> str:
-    """Counts, the diagram, and lists of what is external, dangling, skipped and failed."""
-    failed = _failed(g)
-    out = [f"# {g.title}\n\n", f"- Resolved edges: {g.edges.count()}\n", f"- External dependencies: {g.external.count()}\n", f"- Dangling producers: {g.dangling.count()}\n"]
-    out += [f"- Skipped extractors: {len(g.skipped)}\n"] if g.skipped else []
-    out += [f"- Skipped inputs (parse failures): {len(failed)}\n"] if failed else []
-    out += ["\n## Graph\n\n", "```mermaid\n", mermaid(g) if group == "artifact" else mermaid_repos(g), "```\n"]
-    for title, part in (("External dependencies", g.external), ("Dangling producers", g.dangling)):
-        rows = part.orderBy(*resolve.LEFT_ORDER).select("ref", "kind", identity.provenance(F.col("file"), F.col("line")).alias("at"))
-        listed = [f"- `{r['ref']}` ({r['kind']}) — {r['at']}\n" for r in rows.toLocalIterator()]
-        out += [f"\n## {title}\n\n", *listed] if listed else []
-    out += ["\n## Skipped extractors\n\n", *(f"- `{n}` — {w}\n" for n, w in sorted(g.skipped))] if g.skipped else []
-    out += ["\n## Skipped inputs\n\n", *(f"- `{e}` in `{r}` — {w}\n" for e, r, w in failed)] if failed else []
-    return "".join(out)
-
-
-def coverage_text(c: Coverage, verbose: bool = False, title: str = "documentation coverage report") -> str:
+
+def coverage_text(c: Coverage, verbose: bool = False, title: str = "documentation coverage report") -> Report:
     """Counts and ratios, then uncovered entities by kind and name, stale references in order, and, if verbose, covered entities."""
     s = c.summary().first()
-    out = [f"{title}\n", "=" * len(title) + "\n\n"]
-    out += [f"Source: {s['packages']} packages, {s['entities']} exported entities\n", f"Docs:   {s['doc_files']} files, {s['refs']} code references\n\n"]
-    out += [f"Coverage:  {s['covered']}/{s['entities']} ({s['coverage'] * 100:.1f}%)\n", f"Staleness: {s['stale']}/{s['refs']} ({s['staleness'] * 100:.1f}%)\n"]
-    listed = lambda df: [f"  {r['kind']:<10} {r['name']:<30} {r['file']}\n" for r in df.orderBy("kind", "name", "ord").toLocalIterator()]
+    out = [title, "=" * len(title) + "\n"]
+    out += [f"Source: {s['packages']} packages, {s['entities']} exported entities", f"Docs:   {s['doc_files']} files, {s['refs']} code references\n"]
+    out += [f"Coverage:  {s['covered']}/{s['entities']} ({s['coverage'] * 100:.1f}%)", f"Staleness: {s['stale']}/{s['refs']} ({s['staleness'] * 100:.1f}%)"]
+    told = Report(c.uncovered.sparkSession).add("\n".join(out))
+    item = F.concat(F.lit("  "), _wide("kind", 10), F.lit(" "), _wide("name", 30), F.lit(" "), "file")
+    listed = lambda df: Rows(df.withColumn("text", item), ("kind", "name", "ord"))
     if s["entities"] > s["covered"]:
-        out += [f"\nUncovered ({s['entities'] - s['covered']}):\n", *listed(c.uncovered)]
+        told.add(f"\nUncovered ({s['entities'] - s['covered']}):", listed(c.uncovered))
     if s["stale"]:
-        out += [f"\nStale ({s['stale']}):\n", *(f"  `{r['text']}`  {r['file']}:{r['line']}\n" for r in _in_order(c.stale).toLocalIterator())]
+        told.add(f"\nStale ({s['stale']}):", _in_order(c.stale, F.concat(F.lit("  `"), "text", F.lit("`  "), "file", F.lit(":"), F.col("line").cast("string"))))
     if verbose and s["covered"]:
-        out += [f"\nCovered ({s['covered']}):\n", *listed(c.covered)]
-    return "".join(out)
+        told.add(f"\nCovered ({s['covered']}):", listed(c.covered))
+    return told
 
 
-def _in_order(refs: DataFrame) -> DataFrame:
-    return refs.orderBy(*(["source"] if "source" in refs.columns else []), "ord")
+def _in_order(refs: DataFrame, text: Column) -> Rows:
+    return Rows(refs.withColumn("text", text), ("source", "ord") if "source" in refs.columns else ("ord",))
 
 
 def _number(x: float) -> float | int:
     return int(x) if x == int(x) else x
 
 
-def coverage_json(c: Coverage) -> str:
+def coverage_json(c: Coverage) -> Report:
     """Ratios and counts, with uncovered entities and stale references where there are any."""
     s = c.summary().first()
-    out: dict = {"coverage": _number(s["coverage"]), "staleness": _number(s["staleness"]), "total_entities": s["entities"], "covered_count": s["covered"]}
+    counts = {"coverage": _number(s["coverage"]), "staleness": _number(s["staleness"]), "total_entities": s["entities"], "covered_count": s["covered"]}
+    text = lambda f: json_column(F.col(f))
+    plain = lambda f: F.col(f).cast("string")
+    lists = []
     if s["entities"] > s["covered"]:
-        out["uncovered"] = [{"Name": r["name"], "Kind": r["kind"], "Package": r["package"], "File": r["file"], "Exported": r["exported"], "DocComment": r["doc_comment"]} for r in c.uncovered.orderBy("ord").toLocalIterator()]
+        one = json_object({"Name": text("name"), "Kind": text("kind"), "Package": text("package"), "File": text("file"), "Exported": plain("exported"), "DocComment": text("doc_comment")}, 4)
+        lists.append(("uncovered", Rows(c.uncovered.withColumn("text", F.concat(F.lit("    "), one)), ("ord",))))
     if s["stale"]:
-        out["stale"] = [{"Text": r["text"], "Kind": r["kind"], "File": r["file"], "Line": r["line"]} for r in _in_order(c.stale).toLocalIterator()]
-    return _dump(out)
+        one = json_object({"Text": text("text"), "Kind": text("kind"), "File": text("file"), "Line": plain("line")}, 4)
+        lists.append(("stale", _in_order(c.stale, F.concat(F.lit("    "), one))))
+    open_ = json_text(counts).removesuffix("\n}")
+    told = Report(c.uncovered.sparkSession)
+    for name, rows in lists:
+        told.add(f'{open_},\n  "{name}": [', *json_items(rows))
+        open_ = "  ]"
+    return told.add(open_ + "\n}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import identity
 from lodegraph.functions.text import stripped
-from lodegraph.schema import CONSUMER, PRODUCER
+from lodegraph.schema import CONSUMER, DANGLING, EXTERNAL, PRODUCER, RESOLVED
 
 EDGE_ORDER = ("kind", "p_ref", "c_ref", "p_file", "p_line", "c_file", "c_line")
 LEFT_ORDER = ("kind", "ref", "file", "line")
@@ -77,23 +77,32 @@ def longest_roots(files: DataFrame, roots: DataFrame) -> DataFrame:
     return each.join(roots.select("root").distinct(), "root").groupBy("file").agg(F.max_by("root", F.octet_length("root")).alias("root"))
 
 
-def repo_edges(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(from_label, to_label, n): edges between roots, consumer to producer; edges within a root have n too, the diagram leaves them out."""
-    labels = root_labels(roots)
-    at = longest_roots(edges.select(F.col("p_file").alias("file")).unionAll(edges.select(F.col("c_file").alias("file"))), roots).join(labels, "root").select("file", "label")
-    p, c = at.select(F.col("file").alias("p_file"), F.col("label").alias("to_label")), at.select(F.col("file").alias("c_file"), F.col("label").alias("from_label"))
-    # combined by file before the joins
-    counted = edges.groupBy("p_file", "c_file").agg(F.count("*").alias("n"))
-    return counted.join(p, "p_file").join(c, "c_file").groupBy("from_label", "to_label").agg(F.sum("n").alias("n"))
+def repo_edges(facts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(from_label, to_label, n): edges between roots, consumer to producer; edges within a root have n too, the diagram leaves them out.
+
+    Facts are counted by identity and root before they are joined, so edges are not built.
+    """
+    known = canonical(facts).groupBy("role", "kind", "identity_key", "file").agg(F.count("*").alias("n"))
+    at = longest_roots(known, roots).join(root_labels(roots), "root").select("file", "label")
+    placed = known.join(at, "file").groupBy("role", "kind", "identity_key", "label").agg(F.sum("n").alias("n"))
+    side = lambda role, label, n: placed.filter(F.col("role") == role).select("kind", "identity_key", F.col("label").alias(label), F.col("n").alias(n))
+    both = side(PRODUCER, "to_label", "np").join(side(CONSUMER, "from_label", "nc"), ["kind", "identity_key"])
+    return both.groupBy("from_label", "to_label").agg(F.sum(F.col("np") * F.col("nc")).alias("n"))
 
 
-def artifacts(edges: DataFrame, outside: DataFrame, unused: DataFrame) -> DataFrame:
-    """Distinct (kind, ref, bucket)."""
-    part = lambda df, ref, bucket: df.select("kind", F.col(ref).alias("ref"), F.lit(bucket).alias("bucket"))
-    return part(edges, "p_ref", "resolved").unionAll(part(edges, "c_ref", "resolved")).unionAll(part(outside, "ref", "external")).unionAll(part(unused, "ref", "dangling")).distinct()
+def artifacts(facts: DataFrame) -> DataFrame:
+    """Distinct (kind, ref, bucket): resolved if its identity is produced and consumed, else external or dangling.
+
+    Made of distinct references and identities, not of edges.
+    """
+    has = lambda role: F.max(F.col("role") == role)
+    refs = canonical(facts).groupBy("kind", "identity_key", "ref").agg(has(PRODUCER).alias("produced"), has(CONSUMER).alias("consumed"))
+    keys = refs.groupBy("kind", "identity_key").agg(F.max("produced").alias("produced"), F.max("consumed").alias("consumed"))
+    bucket = F.when(F.col("produced") & F.col("consumed"), RESOLVED).when(F.col("consumed"), EXTERNAL).otherwise(DANGLING)
+    return refs.select("kind", "identity_key", "ref").join(keys, ["kind", "identity_key"]).select("kind", "ref", bucket.alias("bucket"))
 
 
-def nodes(edges: DataFrame, outside: DataFrame, unused: DataFrame) -> DataFrame:
-    """(kind, ref, bucket) once for each artifact; resolved wins over external over dangling."""
-    rank = F.when(F.col("bucket") == "resolved", 0).when(F.col("bucket") == "external", 1).otherwise(2)
-    return artifacts(edges, outside, unused).groupBy("kind", "ref").agg(F.min_by("bucket", rank).alias("bucket"))
+def nodes(found: DataFrame) -> DataFrame:
+    """(kind, ref, bucket) once for each of `found` (kind, ref, bucket); resolved wins over external over dangling."""
+    rank = F.when(F.col("bucket") == RESOLVED, 0).when(F.col("bucket") == EXTERNAL, 1).otherwise(2)
+    return found.groupBy("kind", "ref").agg(F.min_by("bucket", rank).alias("bucket"))

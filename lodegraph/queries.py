@@ -109,7 +109,7 @@ FROM e WHERE c_file NOT LIKE 'root4%' AND p_file NOT LIKE 'root4%' GROUP BY ALL"
 )
 def repo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = spark.createDataFrame([(r,) for r in _ROOTS], "root string")
-    return resolve.repo_edges(resolve.resolved_edges(facts(spark, sf_dir)), roots)
+    return resolve.repo_edges(facts(spark, sf_dir), roots)
 
 
 _SITES = ("https:", "https://site0.example.com", "https://site1.example.com", "https://site1.example.com/p", "https://www.example.com")
@@ -129,8 +129,7 @@ def root_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION SELECT kind, ref, 'external' FROM x UNION SELECT kind, ref, 'dangling' FROM d) SELECT * FROM a"""
 )
 def artifact_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir)
-    return resolve.artifacts(resolve.resolved_edges(f), resolve.external(f), resolve.dangling(f))
+    return resolve.artifacts(facts(spark, sf_dir))
 
 
 @_query(
@@ -138,8 +137,7 @@ def artifact_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT kind, ref, CASE min(r) WHEN 0 THEN 'resolved' WHEN 1 THEN 'external' ELSE 'dangling' END AS bucket FROM a GROUP BY kind, ref"""
 )
 def node_bucket_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir)
-    return resolve.nodes(resolve.resolved_edges(f), resolve.external(f), resolve.dangling(f))
+    return resolve.nodes(resolve.artifacts(facts(spark, sf_dir)))
 
 
 @_query(

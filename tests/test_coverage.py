@@ -53,9 +53,9 @@ def test_cascade_and_summary(spark):
     s = c.summary().first()
     assert (s["entities"], s["covered"], s["refs"], s["stale"], s["packages"], s["doc_files"]) == (5, 4, 7, 2, 4, 1)
     assert {x.name for x in c.uncovered.collect()} == {"Quux"}
-    body = report.coverage_text(c, verbose=True)
+    body = report.coverage_text(c, verbose=True).text()
     assert "Coverage:  4/5 (80.0%)" in body and "Uncovered (1):" in body and "`nothing`  d.md:5" in body
-    assert '"total_entities": 5' in report.coverage_json(c)
+    assert '"total_entities": 5' in report.coverage_json(c).text()
 
 
 def test_exact_only_without_threshold(spark):

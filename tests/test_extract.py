@@ -422,20 +422,20 @@ def test_registry_reports_and_renders(spark, tree):
     g = report.Graph.of(extract.Registry(unavailable={"gocode": "no backend"}).gather(files.scan_local(spark, [a, b])), [a, b])
     assert g.edges.count() == 1
     assert [(r.extractor, r.root) for r in g.failed.collect()] == [("ci", a)]
-    repo = report.mermaid_repos(g)
+    repo = report.mermaid_repos(g).text()
     assert repo.startswith("graph LR\n") and '-->|"1 artifact"|' in repo and '["roota"]' in repo
-    diagram = report.mermaid(g)
-    assert diagram.count("subgraph") == 1 and "resolved:exact" in diagram and diagram == report.mermaid(g)
-    body = report.markdown(g)
+    diagram = report.mermaid(g).text()
+    assert diagram.count("subgraph") == 1 and "resolved:exact" in diagram and diagram == report.mermaid(g).text()
+    body = report.markdown(g).text()
     assert "- Resolved edges: 1" in body and "- `gocode` — no backend" in body and "## Skipped inputs" in body
-    out = report.map_json(g)
+    out = report.map_json(g).text()
     assert '"bucket": "dangling"' in out and '"skipped"' in out and '"failed"' in out
 
 
 def test_empty_map(spark, tree):
     root = tree("none", **{"x.txt": ""})
     g = report.Graph.of(extract.Registry().gather(files.scan_local(spark, [root])), [root])
-    assert report.map_json(g) == '{\n  "artifacts": null,\n  "edges": []\n}\n'
+    assert report.map_json(g).text() == '{\n  "artifacts": null,\n  "edges": []\n}\n'
 
 
 def test_shared_scan_names_files_as_the_local_one(spark, tree):

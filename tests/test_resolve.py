@@ -50,11 +50,13 @@ def test_longest_root_and_labels(spark):
 def test_repo_edges(spark):
     f = _facts(spark, ROWS)
     roots = spark.createDataFrame([("a",), ("b",), ("b/sub",)], "root string")
-    found = {(r.from_label, r.to_label): r.n for r in resolve.repo_edges(resolve.resolved_edges(f), roots).collect()}
+    found = {(r.from_label, r.to_label): r.n for r in resolve.repo_edges(f, roots).collect()}
     assert found == {("b", "a"): 1, ("sub", "a"): 1}
 
 
 def test_resolved_wins_over_other_buckets(spark):
     f = _facts(spark, [("producer", "container_image", "x:1", "a", 1), ("consumer", "container_image", "x:1", "b", 1), ("consumer", "service", "q", "b", 1)])
-    nodes = {(r.kind, r.ref): r.bucket for r in resolve.nodes(resolve.resolved_edges(f), resolve.external(f), resolve.dangling(f)).collect()}
+    nodes = {(r.kind, r.ref): r.bucket for r in resolve.nodes(resolve.artifacts(f)).collect()}
     assert nodes == {("container_image", "x:1"): "resolved", ("service", "q"): "external"}
+    both = spark.createDataFrame([("k", "r", "dangling"), ("k", "r", "resolved"), ("k", "s", "dangling"), ("k", "s", "external")], "kind string, ref string, bucket string")
+    assert {(r.ref, r.bucket) for r in resolve.nodes(both).collect()} == {("r", "resolved"), ("s", "external")}

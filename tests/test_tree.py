@@ -74,7 +74,7 @@ def test_the_working_folder_and_several_roots(spark, app, monkeypatch):
 def test_facts_are_the_same_with_shared(spark, app):
     def facts(scan):
         found = extract.Registry().gather(scan(spark, [str(app)], files.MAP))
-        return Counter(map(tuple, found.facts.collect())), found.failed.count(), report.map_json(report.Graph.of(found, [str(app)]))
+        return Counter(map(tuple, found.facts.collect())), found.failed.count(), report.map_json(report.Graph.of(found, [str(app)])).text()
 
     shared, local = facts(files.scan_shared), facts(files.scan_local)
     assert shared == local
