@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodegraph.llm.byte_tokens import ByteTokens
+from lodegraph.llm.byte_tokens import worker_tokens
+from lodegraph.llm.slices import sliced
 
 BLOCK_SCHEMA = "shard int, block long, first_id long, n_ids long, bits boolean, planes array<binary>, doc_seq array<long>, doc_id array<long>, doc_ids_here array<long>"
 
@@ -37,7 +38,7 @@ class TokenFiles:
     level: int = 1
     end_id: int = 0
     shard_bytes: int = 1 << 27
-    batch_rows: int = 256
+    batch_bytes: int = 1 << 20
 
 
 def pack(ids: np.ndarray, bits: bool, level: int = 1) -> list[bytes]:
@@ -145,12 +146,11 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, p: TokenFiles, shards: i
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteTokens(tokenizer_path)
+        encoder = worker_tokens(tokenizer_path)
         blocks, seq = _Blocks(p, TaskContext.get().partitionId()), 0
         end = np.array([p.end_id], dtype=np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, p.batch_rows):
-                part = batch.slice(at, p.batch_rows)
+            for part in sliced(batch, 1, p.batch_bytes):
                 out = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     out += blocks.add(seq, doc_id, np.concatenate([ids, end]))
