@@ -74,7 +74,7 @@ def test_crc32_join(a, b):
     assert token_files.crc32_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
-@pytest.mark.parametrize("p", [token_files.TokenFiles(block_ids=7, bits=True), token_files.TokenFiles(batch_rows=2)])
+@pytest.mark.parametrize("p", [token_files.TokenFiles(block_ids=7, bits=True), token_files.TokenFiles(batch_bytes=50)])
 def test_token_files(spark, make_docs, tmp_path, p):
     rows = [(9, "the last one " * 9), (1, "hello world"), (4, None), (4, "again"), (None, "no id"), (7, "")]
     token_files.write(make_docs(rows, extra=True), f"file://{tmp_path}/t", BYTES, p, shards=3)
