@@ -38,8 +38,9 @@ class Importance:
     `bits`: n-grams of a kind go to 2**bits buckets. Counts are raised by `smoothing`, so that what is too
     rare for the sample, in a rare language too, weighs next to nothing. `keep` fixes k as a share of all rows; None takes
     as k the number of documents whose weight passes the cut that best parts labelled rows of the two classes, where the good
-    ones are a share `held` that the target model was not fitted on. `temperature` scales the Gumbel noise; at 1
-    documents are drawn with chances in proportion to their probability ratio.
+    ones are a share `held` that the target model was not fitted on. `temperature` scales the Gumbel noise: its scale is that share
+    of the distance from the cut to the median of held good rows, so at a quarter a median document is missed with chance e**-55 and one
+    at the cut with chance 1/e. Without a cut (no labels of both kinds) the scale is `temperature` itself.
     """
 
     sample: int = 20_000
@@ -47,11 +48,15 @@ class Importance:
     smoothing: float = 50.0
     keep: float | None = None
     held: float = 0.25
-    temperature: float = 1.0
+    temperature: float = 0.25
     seed: int = 17
     batch_rows: int = 256
 
 
+#: Log ratios are summed as whole multiples of 1 / UNIT.
+UNIT = 1 << 20
+
+
 def _counts(docs: DataFrame, p: Importance) -> np.ndarray:
     """n-gram counts of all rows' texts, a row a kind; what reaches the driver is one number a bucket."""
     size = 1 << p.bits
@@ -99,9 +104,9 @@ def keys_of(ids: pa.Array, texts: pa.Array) -> np.ndarray:
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray, p: Importance) -> DataFrame:
-    """`docs` with log_weight, the log ratio of each whole text, and gumbel_key, the same plus noise. Null text weighs 0."""
+    """`docs` with log_weight, the log ratio of each whole text, mean_weight, the same a word, and noise, which is standard Gumbel. Texts without words weigh 0."""
     names = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)  # 2**bits numbers a kind
+    shared = docs.sparkSession.sparkContext.broadcast(np.rint(ratios * UNIT).astype(np.int64))  # 2**bits numbers a kind
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
@@ -109,15 +114,17 @@ def weigh(docs: DataFrame, ratios: np.ndarray, p: Importance) -> DataFrame:
             for at in range(0, batch.num_rows, p.batch_rows):
                 part = batch.slice(at, p.batch_rows)
                 ids, texts = part.column(names.index("doc_id")), part.column(names.index("text"))
-                weight = np.zeros(part.num_rows)
+                total, words = np.zeros(part.num_rows, np.int64), np.ones(part.num_rows, np.int64)
                 for table, grams in zip(tables, KINDS, strict=True):
                     buckets, bounds = grams(texts, p.bits)
-                    weight += sums(table[buckets], bounds)
-                key = weight + p.temperature * gumbel(keys_of(ids, texts), p.seed)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight), pa.array(key)], names=[*names, "log_weight", "gumbel_key"])
+                    total += sums(table[buckets], bounds)
+                    if grams is shape_grams:
+                        words = np.maximum(np.diff(bounds), 1)
+                weight = total / UNIT
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight), pa.array(weight / words), pa.array(gumbel(keys_of(ids, texts), p.seed))], names=[*names, "log_weight", "mean_weight", "noise"])
 
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]
-    return docs.mapInArrow(each, T.StructType([*fields, T.StructField("log_weight", T.DoubleType()), T.StructField("gumbel_key", T.DoubleType())]))
+    return docs.mapInArrow(each, T.StructType([*fields, *(T.StructField(c, T.DoubleType()) for c in ("log_weight", "mean_weight", "noise"))]))
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
@@ -136,29 +143,34 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     return float((w[at - 1] + w[min(at, len(w) - 1)]) / 2)
 
 
+def scale_of(weights: np.ndarray, good: np.ndarray, p: Importance) -> tuple[float, float]:
+    """(cut, scale of the noise) from weights of labelled rows."""
+    cut = best_cut(weights, good)
+    return cut, p.temperature * max(float(np.median(weights[good])) - cut, 0.0) if np.isfinite(cut) else p.temperature
+
+
 def drawn(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Importance, columns: list[str], key: str) -> tuple[DataFrame, float]:
-    """`columns` of `docs` with log_weight and gumbel_key, written once, and the k-th largest key; every row is scored once. `key` is the doc_id among `columns`."""
+    """`columns` of `docs` with log_weight, mean_weight and gumbel_key, and the k-th largest key; every row is scored once. `key` is the doc_id among `columns`."""
     work = Workspace(spark, "importance")
     bucket = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1000))
     chosen = work.keep(labelled(labels, "quality", p.sample).withColumn("fitted", (F.col("label") == 1) & (bucket >= round(1000 * p.held))), "sample")
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ratios = fit(typed, chosen.filter("fitted"), p)
-    scores = work.keep(weigh(docs, ratios, p).select(*columns, "log_weight", "gumbel_key"), "scores")
-    if p.keep is not None:
-        k = round(p.keep * scores.count())
-    else:
-        # a bounded number of ids
-        held = F.broadcast(chosen.filter("not fitted").select(F.col("doc_id").alias("id"), "label"))
-        own = scores.select(F.col(key).cast("long").alias("own"), "log_weight")
-        known = own.join(held, F.col("own") == F.col("id")).select("log_weight", "label").toPandas()
-        k = scores.filter(F.col("log_weight") >= F.lit(best_cut(known["log_weight"].to_numpy(), known["label"].to_numpy() == 1))).count()
+    scores = work.keep(weigh(docs, ratios, p).select(*columns, "log_weight", "mean_weight", "noise"), "scores")
+    # a bounded number of ids
+    held = F.broadcast(chosen.filter("not fitted").select(F.col("doc_id").alias("id"), "label"))
+    own = scores.select(F.col(key).cast("long").alias("own"), "mean_weight")
+    known = own.join(held, F.col("own") == F.col("id")).select("mean_weight", "label").toPandas()
+    cut, scale = scale_of(known["mean_weight"].to_numpy(), known["label"].to_numpy() == 1, p)
+    k = scores.filter(F.col("mean_weight") >= F.lit(cut)).count() if p.keep is None else round(p.keep * scores.count())
     work.drop("sample")
+    scores = scores.withColumn("gumbel_key", F.col("mean_weight") + F.lit(scale) * F.col("noise")).drop("noise")
     least = kth_largest(scores, "gumbel_key", k)
     return scores, (np.inf if k < 1 else -np.inf) if least is None else least
 
 
 def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Importance | None = None) -> DataFrame:
-    """(doc_id, log_weight, gumbel_key, kept) for each row of `docs` (doc_id, text); kept are the k largest keys, ties at the last kept too.
+    """(doc_id, log_weight, mean_weight, gumbel_key, kept) for each row of `docs` (doc_id, text); kept are the k largest keys, ties at the last kept too.
 
     `labels`: doc_id, quality. Without labels of both kinds among `docs` every document is kept. Null and
     empty texts weigh 0, and texts of any length are scored whole. Rows that repeat have equal weights and, by doc_id, equal
@@ -166,7 +178,7 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Im
     """
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scores, least = drawn(spark, typed, labels, params or Importance(), ["doc_id"], "doc_id")
-    return scores.select("doc_id", "log_weight", "gumbel_key", (F.col("gumbel_key") >= F.lit(least)).alias("kept"))
+    return scores.select("doc_id", "log_weight", "mean_weight", "gumbel_key", (F.col("gumbel_key") >= F.lit(least)).alias("kept"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Importance | None = None) -> DataFrame:

@@ -87,6 +87,6 @@ def word_grams(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sum of each document's values."""
-    total = np.r_[0.0, np.cumsum(values, dtype=np.float64)]
+    """Sum of each document's integers, exact, so that equal documents have equal sums whatever stands beside them."""
+    total = np.r_[0, np.cumsum(values, dtype=np.int64)]
     return total[bounds[1:]] - total[bounds[:-1]]
