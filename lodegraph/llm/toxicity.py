@@ -2,7 +2,8 @@
 
 P(grade > g) = logistic(w.x - t_g) with one weight vector for all thresholds
 t_0 < t_1 < ...; the likelihood of a row of grade g is P(grade > g - 1) - P(grade > g), and expected severity
-is the sum of P(grade > g) over g. Features are the presence of words and of word beginnings.
+is the sum of P(grade > g) over g. Features are the presence of words, and that words of one beginning stand in a text
+once, twice or more often: abuse in an inflected language repeats its stems, which clean text may hold once.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ class Severity:
     """Parameters.
 
     `sample` bounds the labelled rows of each class that the model is fitted on, `features`
-    the words and beginnings (of `prefix` bytes) it uses, those that part the classes best
+    the words and beginnings (of `prefix` bytes, with up to `levels` times that they occur) it uses, those that part the classes best
     (by likelihood ratio, which must reach that of `evidence` under which rows left out in cross-validation are likeliest) and occur in `least_docs` sampled documents; rarer ones and those beyond
     `features` weigh nothing. A beginning may end inside a character of several bytes, which still names the same words.
     Labels say toxic or not; toxic rows are graded 1 to `grades` - 1, in equal parts, by the score that a binary model gives
@@ -35,10 +36,11 @@ class Severity:
     """
 
     sample: int = 6000
-    features: int = 2048
+    features: int = 1024
     least_docs: int = 3
-    evidence: tuple[float, ...] = (15.0,)
+    evidence: tuple[float, ...] = (6.0, 15.0)
     prefix: int = 5
+    levels: int = 3
     grades: int = 4
     l2: float = 1e-4
     steps: int = 250
@@ -51,13 +53,31 @@ class Severity:
 _LETTERS = letters_only()
 
 
-def presence(texts: pa.Array, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) of every word and word beginning in order, repeats included; features are 64-bit hashes."""
+_BASE = ~np.uint64(3)
+
+
+def occurrences(texts: pa.Array, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, base) of every word and word beginning, repeats included. A base is a hash whose last two bits are 0 for a word and 1 for a beginning."""
     data, offsets = text_buffer(texts)
     words, bounds = word_hashes(data, offsets, separator=_LETTERS)
     starts, _ = word_hashes(data, offsets, separator=_LETTERS, prefix=prefix)
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    return np.r_[owner, owner], np.r_[words, mix(starts + np.uint64(7))]
+    return np.r_[owner, owner], np.r_[words & _BASE, (mix(starts + np.uint64(7)) & _BASE) | np.uint64(1)]
+
+
+def presence(owner: np.ndarray, base: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) without repeats: words as they are, and beginnings for each number of times, up to `levels` (3 at most), that they occur, in their last two bits."""
+    order = np.lexsort((base, owner))
+    owner, base = owner[order], base[order]
+    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (base[1:] != base[:-1])][: len(base)])
+    times = np.diff(np.r_[first, len(base)])
+    owner, base = owner[first], base[first]
+    start = (base & ~_BASE) == 1
+    found = [(owner[~start], base[~start])]
+    for level in range(1, levels + 1):
+        often = start & (times >= level)
+        found.append((owner[often], (base[often] & _BASE) | np.uint64(level)))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def _features(docs: DataFrame, p: Severity) -> DataFrame:
@@ -67,10 +87,8 @@ def _features(docs: DataFrame, p: Severity) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, p.batch_rows):
                 part = batch.slice(at, p.batch_rows)
-                owner, feature = presence(part.column(1), p.prefix)
-                pairs = np.unique(np.rec.fromarrays([owner, feature], names="o,f"))
-                ids = part.column(0).take(pa.array(pairs["o"].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(pairs["f"].view(np.int64))], names=["doc_id", "feature"])
+                owner, feature = presence(*occurrences(part.column(1), p.prefix), p.levels)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(feature.view(np.int64))], names=["doc_id", "feature"])
 
     return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, feature long")
 
@@ -133,13 +151,15 @@ def fit_cumulative(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades:
 
 
 def decision_cut(probability: np.ndarray, toxic: np.ndarray, recall: float, false_positives: float) -> float:
-    """The largest cut up to a half that catches `recall` of the toxic rows, or the least within `false_positives` of the clean ones."""
+    """The largest cut up to a half that catches `recall` of the toxic rows, or the least that stays safely within `false_positives` of the clean ones."""
     hits, misses = np.sort(probability[toxic])[::-1], np.sort(probability[~toxic])[::-1]
     if not len(hits) or not len(misses):
         return 0.5
     wanted = hits[max(0, int(np.ceil(recall * len(hits))) - 1)]
+    # one standard deviation fewer than wanted, as few clean rows say little about a rate;
     # rows may score like the first clean one that is too many only if they are above it
-    allowed = int(false_positives * len(misses))
+    wanted_misses = false_positives * len(misses)
+    allowed = max(0, int(wanted_misses - wanted_misses**0.5))
     least = np.nextafter(misses[allowed], 1.0) if allowed < len(misses) else 0.0
     return float(min(0.5, max(wanted, least)))
 
@@ -182,7 +202,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Severity) ->
     """
     work = Workspace(spark, "severity")
     chosen = work.keep(labelled(labels, "toxic", p.sample), "sample")
-    totals = {r["label"]: r["count"] for r in labels.filter("toxic in (0, 1)").groupBy(F.col("toxic").cast("int").alias("label")).count().collect()}
+    # the classes' shares are those of the labelled rows that are among `docs`
+    told = labels.filter("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
+    totals = {r["label"]: r["count"] for r in told.join(docs.select(F.col("doc_id").cast("long").alias("id")).distinct(), "id").groupBy("label").count().collect()}
     # a bounded number of ids
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "id")), F.col("doc_id") == F.col("id"))
     rows = work.keep(_features(some, p).join(F.broadcast(chosen), "doc_id"), "features")
@@ -248,12 +270,15 @@ def severity(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Se
         known = shared.value
         maybe = np.zeros(1 << 16, dtype=bool)
         maybe[(known.features >> np.uint64(48)).astype(np.int64)] = True
+        bases = np.unique(known.features & _BASE)
         for batch in batches:
             for at in range(0, batch.num_rows, p.batch_rows):
                 part = batch.slice(at, p.batch_rows)
-                owner, feature = presence(part.column(1), p.prefix)
-                likely = maybe[(feature >> np.uint64(48)).astype(np.int64)]
-                owner, feature = owner[likely], feature[likely]
+                owner, base = occurrences(part.column(1), p.prefix)
+                likely = maybe[(base >> np.uint64(48)).astype(np.int64)]
+                owner, base = owner[likely], base[likely]
+                known_base = np.isin(base & _BASE, bases)
+                owner, feature = presence(owner[known_base], base[known_base], p.levels)
                 where = np.minimum(np.searchsorted(known.features, feature), len(known.features) - 1)
                 hit = known.features[where] == feature
                 pairs = np.unique(owner[hit] * len(known.features) + where[hit])

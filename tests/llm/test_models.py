@@ -68,6 +68,47 @@ def test_resampling_keeps_good_and_rejects_bad(spark, corpus):
     assert got.keys() == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_draws_differ_between_seeds_and_follow_the_weights(spark, corpus):
+    """On the corpus: with production parameters and with more noise, and how often documents are drawn over many seeds."""
+    docs, labels, _ = corpus
+    kept, noise_of = {}, lambda ids, seed: importance.gumbel(ids, seed)
+    for temperature in (0.25, 4.0):
+        rows = importance.resample(spark, docs, labels, importance.Importance(temperature=temperature)).collect()
+        ids, x, key = np.array([r.doc_id for r in rows]), np.array([r.mean_weight for r in rows]), np.array([r.gumbel_key for r in rows])
+        kept[temperature] = np.array([r.kept for r in rows])
+        scale = np.polyfit(noise_of(ids, 17), key - x, 1)[0]
+        assert np.allclose(x + scale * noise_of(ids, 17), key)
+        k, drawn = int(kept[temperature].sum()), []
+        for seed in range(400):
+            keys = x + scale * noise_of(ids, seed)
+            drawn.append(keys >= np.partition(keys, -k)[-k])
+        drawn = np.array(drawn)
+        assert (drawn.sum(axis=1) == k).all() and len({d.tobytes() for d in drawn}) > 1
+        often = drawn.mean(axis=0)
+        some = (often > 0) & (often < 1)
+        assert some.any()
+        if temperature < 1:
+            assert x[often == 1].mean() > x[some].mean() > x[often == 0].mean()
+        else:
+            # with many documents in doubt the k-th key varies little, so that a document's chance is that of passing it
+            level = np.mean([np.partition(x + scale * noise_of(ids, seed), -k)[-k] for seed in range(400)])
+            chance = 1 - np.exp(-np.exp(np.clip((x - level) / scale, -40, 40)))
+            assert ((chance > 0.02) & (chance < 0.98)).sum() >= 50
+            assert np.abs(often - chance).max() < 0.15 and np.abs(often - chance).mean() < 0.02
+    other = importance.resample(spark, docs, labels, importance.Importance(temperature=4.0, seed=3)).collect()
+    assert {r.doc_id for r in other if r.kept} != set(ids[kept[4.0]].tolist())
+
+
+def test_equal_rows_far_apart_have_equal_weights(spark, corpus):
+    docs, labels, _ = corpus
+    some = docs.select("doc_id", "text")
+    rows = importance.resample(spark, some.unionAll(some.orderBy("text").coalesce(1)), labels).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.doc_id, set()).add((r.log_weight, r.mean_weight, r.gumbel_key, r.kept))
+    assert len(rows) == 2 * len(found) and all(len(v) == 1 for v in found.values())
+
+
 def test_top_k_against_brute_force(spark, make_docs):
     docs = make_docs([f"Some words {k} here, and more of them." if k % 3 else f"NOISE$$ {k}%% AGAIN!! AND$$ AGAIN!! MORE%%" for k in range(60)] + [(7, "Some words 7 here."), (None, None)], extra=True)
     labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(30)], "doc_id long, quality int")
@@ -76,9 +117,10 @@ def test_top_k_against_brute_force(spark, make_docs):
     assert [r.kept for r in rows] == [r.gumbel_key >= least for r in rows]
     known = [r for r in rows if r.doc_id is not None]
     noise = importance.gumbel(np.array([r.doc_id for r in known]), 17)
-    assert np.allclose([r.gumbel_key - r.log_weight for r in known], noise)
+    scale = np.polyfit(noise, [r.gumbel_key - r.mean_weight for r in known], 1)[0]
+    assert scale > 0 and np.allclose([r.gumbel_key - r.mean_weight for r in known], scale * noise)
     # sixty short texts have too few words for the default smoothing and noise
-    kept = importance.keep_good(spark, docs, labels, importance.Importance(smoothing=1.0, temperature=0.1))
+    kept = importance.keep_good(spark, docs, labels, importance.Importance(smoothing=1.0))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect() if r.doc_id is not None} == {k for k in range(60) if k % 3}
 
 
@@ -98,7 +140,7 @@ def test_severity_on_held_out_rows(spark, corpus):
     got = {r.doc_id: r for r in toxicity.severity(spark, docs, labels).collect()}
     toxic = [got[i] for i, r in held.items() if r.toxic == 1]
     clean = [got[i] for i, r in held.items() if r.toxic == 0]
-    assert np.mean([r.toxic for r in toxic]) > 0.6 and np.mean([r.toxic for r in clean]) < 0.02
+    assert np.mean([r.toxic for r in toxic]) > 0.65 and np.mean([r.toxic for r in clean]) < 0.02
     assert np.mean([r.expected_severity for r in toxic]) > 10 * np.mean([r.expected_severity for r in clean])
     assert all(0 <= r.expected_severity <= 3 and 0 <= r.grade <= 3 for r in got.values())
 
@@ -236,3 +278,23 @@ def test_cut_catches_held_out_toxic_rows(spark):
     # held-out severity orders grades, and toxic rows above clean ones
     mean = got.groupby("grade")["expected_severity"].mean()
     assert mean.is_monotonic_increasing and got["expected_severity"][got["said"] == 1].mean() > 20 * got["expected_severity"][got["said"] == 0].mean()
+
+
+def test_features_count_beginnings():
+    texts = pa.array(["Stemming stems stemmed, and stemless", None, "and", "stem stems"])
+    owner, feature = toxicity.presence(*toxicity.occurrences(texts, 4), 3)
+    levels = lambda d: sorted(int(f & np.uint64(3)) for o, f in zip(owner, feature, strict=True) if o == d)
+    # five words; `stem` at three levels, `and` at one
+    assert levels(0) == [0] * 5 + [1, 1, 2, 3] and levels(1) == [] and levels(2) == [0, 1] and levels(3) == [0, 0, 1, 2]
+    assert len(set(zip(owner.tolist(), feature.tolist(), strict=True))) == len(owner)
+    one = lambda d, level: {int(f) for o, f in zip(owner, feature, strict=True) if o == d and f & np.uint64(3) == level}
+    assert one(3, 2) <= one(0, 2) and one(2, 0) <= one(0, 0) and one(2, 1) <= one(0, 1)
+
+
+def test_class_shares_are_those_of_the_documents_at_hand(spark, corpus):
+    """Labels of documents that are not there change nothing."""
+    docs, labels, _ = corpus
+    some = docs.filter("doc_id < 600")
+    all_ = {r.doc_id: tuple(r) for r in toxicity.severity(spark, some, labels).collect()}
+    own = {r.doc_id: tuple(r) for r in toxicity.severity(spark, some, labels.filter("doc_id < 600")).collect()}
+    assert all_ == own
