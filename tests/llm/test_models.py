@@ -265,7 +265,9 @@ def test_copies_follow_rates(spark, make_docs):
 def test_decision_cut():
     cut = lambda hits, misses, recall, fp: toxicity.decision_cut(np.array(hits + misses), np.arange(len(hits) + len(misses)) < len(hits), recall, fp)
     assert cut([0.9, 0.8, 0.3, 0.2], [0.1, 0.05], 0.75, 0.0) == 0.3 and cut([0.9, 0.8], [0.1], 1.0, 0.0) == 0.5
-    assert 0.25 < cut([0.9, 0.3, 0.2], [0.25, 0.1], 1.0, 0.0) < 0.3 and cut([0.9, 0.3, 0.2], [0.25, 0.1], 1.0, 0.5) == 0.2
+    assert 0.25 < cut([0.9, 0.3, 0.2], [0.25, 0.1], 1.0, 0.0) < 0.3 and cut([0.9, 0.3, 0.2], [0.25, 0.22, *[0.1] * 6], 1.0, 0.5) == 0.2
+    # of two clean rows none may be lost, though one would be half of them
+    assert 0.25 < cut([0.9, 0.3, 0.2], [0.25, 0.1], 1.0, 0.5) < 0.3
     assert cut([], [0.3], 1.0, 0.0) == cut([0.3], [], 1.0, 0.0) == 0.5
 
 
