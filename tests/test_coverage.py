@@ -95,3 +95,19 @@ def test_similar_pairs_against_brute_force(spark, measure, threshold):
                 if sim >= threshold:
                     want[i, j] = round(sim, 9)
     assert got == want
+
+
+def test_bitmaps_leave_few_false_candidates(spark):
+    """Names of parts at the cascade's trigram threshold: candidates with bitmaps hold all pairs, and a tenth of those that are none."""
+    from lodegraph import queries
+
+    sf = "/root/testdata/sf0.001"
+    side = lambda df, key, c: similarity._sets(similarity._members(df.select(F.col(key).alias("id"), text.trigrams(F.col(c)).alias("items"))))
+    left = side(queries.doc_refs(spark, sf).select(F.col("ord"), "text"), "ord", "text")
+    right = side(queries.entities(spark, sf), "ord", "name")
+    t = similarity._as_jaccard("dice", coverage.TRIGRAM_THRESHOLD) - 1e-9
+    all_ = {tuple(r) for r in similarity._candidates(left, right, t, bounded=False).collect()}
+    few = {tuple(r) for r in similarity._candidates(left, right, t).collect()}
+    sets = [{r.key: set(r["items"]) for r in df.collect()} for df in (left, right)]
+    near = {(a, b) for a, x in sets[0].items() for b, y in sets[1].items() if 2 * len(x & y) >= coverage.TRIGRAM_THRESHOLD * (len(x) + len(y))}
+    assert near <= few <= all_ and len(few - near) * 10 < len(all_ - near), (len(near), len(few), len(all_))
