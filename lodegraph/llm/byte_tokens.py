@@ -28,7 +28,7 @@ class ByteTokens:
     of over `long` characters, as in scripts without blanks, are not.
     """
 
-    def __init__(self, path: str, cache: int = 700_000, cache_chars: int = 9_000_000, long: int = 256):
+    def __init__(self, path: str, cache: int = 1_300_000, cache_chars: int = 14_000_000, long: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -93,10 +93,11 @@ class ByteTokens:
                 continue
             head, *rest = _CUT.split(text) if _BLANKS.search(text) else text.split(" ")
             cut.append((self._whole(head) if head else b"", rest))
-        wanted = list(dict.fromkeys(x for c in cut if isinstance(c, tuple) for x in c[1] if x not in self.known))
+        pieces = set().union(*[c[1] for c in cut if isinstance(c, tuple)])
+        wanted = list(pieces - self.known.keys())
         if len(self.known) + len(wanted) > self.cache or self.chars > self.cache_chars:
             self.known, self.chars = {}, 0
-            wanted = list(dict.fromkeys(x for c in cut if isinstance(c, tuple) for x in c[1]))
+            wanted = list(pieces)
         self._learn(wanted)
         self.chars += sum(map(len, wanted))
         known = self.known.__getitem__
