@@ -93,6 +93,24 @@ def _features(docs: DataFrame, p: Severity) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, feature long")
 
 
+def _marks(docs: DataFrame, features: np.ndarray, p: Severity, fields: list[str]) -> DataFrame:
+    """(doc_id, fields): which of the sorted `features` each row has, a bit each in 64-bit words."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, p.batch_rows):
+                part = batch.slice(at, p.batch_rows)
+                owner, feature = presence(*occurrences(part.column(1), p.prefix), p.levels)
+                where = np.minimum(np.searchsorted(features, feature), len(features) - 1)
+                hit = features[where] == feature
+                bits = np.zeros((part.num_rows, 64 * len(fields)), np.uint8)
+                bits[owner[hit], where[hit]] = 1
+                words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(words[:, k]) for k in range(len(fields)))], names=["doc_id", *fields])
+
+    return docs.select("doc_id", "text").mapInArrow(each, ", ".join(f"{c} long" for c in ("doc_id", *fields)))
+
+
 @dataclass
 class Model:
     """Sorted feature hashes with weights, the thresholds, and the cut of P(grade > 0)."""
@@ -219,17 +237,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Severity) ->
     if not len(best):
         return None
     features = np.sort(best["feature"].to_numpy(dtype=np.int64).view(np.uint64))
-    order = {int(f): k for k, f in enumerate(features.view(np.int64).tolist())}
-    wanted = spark.createDataFrame([(f, k) for f, k in order.items()], "feature long, at int")
-    # for each sampled document the places of its features, at most as many as `features`
-    held = rows.join(F.broadcast(wanted), "feature").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+    fields = [f"w{k}" for k in range(-(-len(features) // 64))]
+    held = _marks(some, features, p, fields).groupBy("doc_id").agg(*(F.bit_or(w).alias(w) for w in fields))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(p.folds)).cast("int")
-    known = some.select(F.col("id").alias("doc_id"), "label").distinct().join(held, "doc_id", "left").withColumn("fold", fold).toPandas()
+    known = held.join(F.broadcast(chosen), "doc_id").withColumn("fold", fold).toPandas()
     label = known["label"].to_numpy()
-    x = np.zeros((len(known), len(features)), dtype=np.float32)
-    for k, at in enumerate(known["at"]):
-        if at is not None:
-            x[k, np.asarray(at, dtype=np.int64)] = 1
+    words = known[fields].to_numpy(dtype="<i8")
+    x = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")[:, : len(features)].astype(np.float32)
     toxic, fold = label == 1, known["fold"].to_numpy()
     weight = np.where(toxic, totals[1] / max(1, toxic.sum()), totals[0] / max(1, (~toxic).sum()))
     binary, _ = cross_validated(x, toxic.astype(np.int64), weight, fold, 2, sorted(p.evidence)[len(p.evidence) // 2], p)
