@@ -67,7 +67,7 @@ class _Unreadable(ValueError):
 
 
 def expand(word: str, args: dict[str, str]) -> str:
-    """`word` with $NAME, ${NAME} and the forms :-, -, :+, +, :? and ? filled in from `args`, nested ones too, and quotes removed.
+    """`word` with $NAME, ${NAME} and the forms :-, -, :+, +, :? and ?, #, ##, %, %%, / and // filled in from `args`, nested ones too, and quotes removed.
 
     What no argument names is empty. A word that can't be read, or whose ? form fails, stays as it is.
     """
@@ -79,8 +79,8 @@ def expand(word: str, args: dict[str, str]) -> str:
         return word
 
 
-def _filled(word: str, at: int, end: str, args: dict[str, str]) -> tuple[str, int]:
-    """What stands from `at` up to `end`, filled in, and the place after it."""
+def _filled(word: str, at: int, end: str, args: dict[str, str], pattern: bool = False) -> tuple[str, int]:
+    """What stands from `at` up to `end`, filled in, and the place after it; a `pattern` keeps its backslashes."""
     out, quoted = "", False
     while at < len(word):
         c = word[at]
@@ -94,6 +94,8 @@ def _filled(word: str, at: int, end: str, args: dict[str, str]) -> tuple[str, in
             if close < 0:
                 raise _Unreadable
             out, at = out + word[at:close], close + 1
+        elif c == "\\" and at < len(word) and pattern:
+            out, at = out + c + word[at], at + 1
         elif c == "\\" and at < len(word):
             out, at = out + ("\\" if quoted and word[at] not in '"$\\' else "") + word[at], at + 1
         elif c == "$":
@@ -119,6 +121,8 @@ def _variable(word: str, at: int, args: dict[str, str]) -> tuple[str, int]:
         return value or "", at
     if word[at : at + 1] == "}":
         return value or "", at + 1
+    if word[at : at + 1] and word[at] in "#%/":
+        return _by_pattern(word, at, value or "", args)
     colon = word[at : at + 1] == ":"
     mark = word[at + colon : at + colon + 1]
     if not mark or mark not in "-+?":
@@ -130,6 +134,23 @@ def _variable(word: str, at: int, args: dict[str, str]) -> tuple[str, int]:
     return (other if there else "") if mark == "+" else value or "" if there else other, at
 
 
+def _by_pattern(word: str, at: int, value: str, args: dict[str, str]) -> tuple[str, int]:
+    """`value` as #, ##, %, %%, / or // at this place makes it, and the place after the closing brace: the shortest or longest beginning or end cut off, or the first or all matches replaced."""
+    mark = word[at]
+    twice = word[at + 1 : at + 2] == mark
+    pattern, at = _filled(word, at + 1 + twice, "/" if mark == "/" else "}", args, pattern=True)
+    glob = re.compile("".join(".*" if x == "*" else "." if x == "?" else re.escape(x[-1]) for x in re.findall(r"\\.|.", pattern, re.S)), re.S)
+    n = len(value)
+    if mark == "/":
+        other, at = _filled(word, at, "}", args)
+        return glob.sub(lambda m: other, value, count=0 if twice else 1), at
+    if mark == "#":
+        ends = range(n, -1, -1) if twice else range(n + 1)
+        return next((value[k:] for k in ends if glob.fullmatch(value, 0, k)), value), at
+    starts = range(n + 1) if twice else range(n, -1, -1)
+    return next((value[:k] for k in starts if glob.fullmatch(value, k)), value), at
+
+
 def references(content: str) -> list[tuple[int, str, str, str]]:
     """(line, what, image, alias) in order: `from` with the stage's name in lower case or empty, `copy` with what it copies from."""
     said = instructions(content)

@@ -3,53 +3,102 @@
 from __future__ import annotations
 
 import sqlite3
+import uuid
 from collections.abc import Iterator
+from contextlib import closing, suppress
+from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph import schema
+from lodegraph.plans.lineage import shared_folder
 
-#: What is read, and the columns of each; older files lack the views.
+#: What is read, by the names of tables and views and their columns, the first that is there; older files lack the views.
 TABLES = {
-    "defs": (("select token, node_id from v_defs", "select token, node_id from node_defs"), "token string, node_id string"),
-    "refs": (("select token, referrer_node_id from v_refs", "select token, node_id from node_refs"), "token string, node_id string"),
-    "nodes": (("select id, source_file from nodes",), "id string, source_file string"),
-    "ast": (("select node_id, start_row from _ast",), "node_id string, start_row int"),
+    "defs": ((("v_defs", "token, node_id"), ("node_defs", "token, node_id")), "token string, node_id string"),
+    "refs": ((("v_refs", "token, referrer_node_id"), ("node_refs", "token, node_id")), "token string, node_id string"),
+    "nodes": ((("nodes", "id, source_file"),), "id string, source_file string"),
+    "ast": ((("_ast", "node_id, start_row"),), "node_id string, start_row int"),
 }
 BATCH = 20_000
-
-
-def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+#: Row numbers that one task reads.
+RANGE = 500_000
+
+
+def _open(name: str) -> sqlite3.Connection:
+    """The database file of that name, which Spark brings to each executor once; it is read from disk, page by page."""
+    return sqlite3.connect(f"file:{quote(SparkFiles.get(name))}?mode=ro&immutable=1", uri=True)
+
+
+def _brought(spark: SparkSession, path: str) -> str:
+    """Has executors fetch the file at `path`, from any file system that Spark reads; its name among their files."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, name = hadoop.Path(path), f"symbols-{uuid.uuid4().hex}.db"
+    conf = spark._jsc.hadoopConfiguration()
+    target = hadoop.Path(f"{shared_folder(spark)}/{name}")
+    hadoop.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+    spark.sparkContext.addFile(target.toString())
+    return name
+
+
+def _ranges(spark: SparkSession, name: str, size: int) -> list[tuple[str, str, int | None]]:
+    """(table, query, first row number) of what tasks read: ranges of row numbers, and views and tables without those whole."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            with closing(_open(name)) as db:
+                there = dict(db.execute("select name, type from sqlite_master where type in ('table', 'view')").fetchall())
+                found = []
+                for table, (forms, _) in TABLES.items():
+                    source, columns = next(((t, c) for t, c in forms if t in there), forms[-1])
+                    low = high = None
+                    if there.get(source) == "table":
+                        # without row numbers the table is read whole
+                        with suppress(sqlite3.OperationalError):
+                            low, high = db.execute(f"select min(rowid), max(rowid) from {source}").fetchone()
+                            low, high = (0, -1) if low is None else (low, high)
+                    found.append((table, f"select {columns} from {source}", low, high))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["name", "query", "low", "high"])
+
+    told = spark.range(1, numPartitions=1).mapInArrow(look, "name string, query string, low long, high long").collect()
+    return [(r["name"], r["query"], first) for r in told for first in ([None] if r["low"] is None else range(r["low"], r["high"] + 1, size))]
+
+
+def read(spark: SparkSession, path: str, size: int = RANGE) -> dict[str, DataFrame]:
     """defs, refs, nodes and ast of the SQLite file at `path`, on any file system that Spark reads.
 
-    A task opens the file's bytes and sends each table on in batches; nothing goes through the driver.
+    Each executor fetches the file once to its disk, and tasks read ranges of row numbers from there, in
+    batches; views are one task each. Nothing goes through the driver, and no worker holds the file.
     """
-    file = spark.read.format("binaryFile").load(path).select("content")
-
-    def table(queries: tuple[str, ...], fields: str) -> DataFrame:
-        names = [f.split()[0] for f in fields.split(", ")]
-
-        def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for content in frame["content"]:
-                    db = sqlite3.connect(":memory:")
-                    db.deserialize(bytes(content))
-                    for k, query in enumerate(queries):
-                        try:
-                            rows = db.execute(query)
-                            break
-                        except sqlite3.OperationalError:
-                            if k + 1 == len(queries):
-                                raise
-                    while some := rows.fetchmany(BATCH):
-                        yield pd.DataFrame(some, columns=names)
-                    db.close()
-
-        return file.mapInPandas(each, fields)
-
-    return {name: table(*what) for name, what in TABLES.items()}
+    name = _brought(spark, path)
+    parts = _ranges(spark, name, size)
+
+    def table(which: str, fields: str) -> DataFrame:
+        own = [(query, first) for t, query, first in parts if t == which]
+        schema = pa.schema([(f.split()[0], pa.int32() if f.endswith(" int") else pa.string()) for f in fields.split(", ")])
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    query, first = own[k]
+                    with closing(_open(name)) as db:
+                        rows = db.execute(query) if first is None else db.execute(f"{query} where rowid >= ? and rowid < ?", (first, first + size))
+                        while some := rows.fetchmany(BATCH):
+                            yield pa.RecordBatch.from_arrays([pa.array([_typed(x, t) for x in c], t) for c, t in zip(zip(*some, strict=True), schema.types, strict=True)], schema=schema)
+
+        return spark.range(0, len(own), 1, max(1, len(own))).mapInArrow(each, fields)
+
+    return {which: table(which, fields) for which, (_, fields) in TABLES.items()}
+
+
+def _typed(value: object, kind: pa.DataType) -> object:
+    """SQLite's columns hold values of any type."""
+    if value is None:
+        return None
+    return int(value) if kind == pa.int32() else value.decode("utf-8", "replace") if isinstance(value, bytes) else str(value)
 
 
 def missing(spark: SparkSession, path: str) -> str | None:

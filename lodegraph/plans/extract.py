@@ -56,11 +56,18 @@ class Facts:
 
 
 def isolated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Facts and failures among `rows` (schema.FACTS, with failed ones): an extractor that fails on a root gives it no facts, and its first error is kept."""
+    """Facts and failures among `rows` (schema.FACTS, with failed ones): an extractor that fails on a root gives it no facts, and its first error is kept.
+
+    Facts of a kind that there isn't are left out, and the first of each extractor and root is listed as a failure, if nothing else failed.
+    """
+    named = F.concat(F.lit("unknown kind "), F.col("kind"), F.lit(" of "), F.col("ref"))
+    unknown = rows.filter((F.col("role") != FAILED) & ~F.col("kind").isin(*schema.KINDS)).groupBy("extractor", "root").agg(F.min_by(named, F.struct("file", "line", "ref")).alias("error"))
+    rows = rows.filter((F.col("role") == FAILED) | F.col("kind").isin(*schema.KINDS))
     failed = rows.filter(F.col("role") == FAILED).groupBy("extractor", "root").agg(F.min_by("ref", F.struct("file", "ref")).alias("error"))
     # a row at most for each extractor and root
     kept = rows.filter(F.col("role") != FAILED).join(F.broadcast(failed.select("extractor", "root")), ["extractor", "root"], "left_anti")
-    return kept.select("role", "extractor", "root", "kind", "ref", "file", "line"), failed
+    listed = failed.unionByName(unknown.join(failed, ["extractor", "root"], "left_anti"))
+    return kept.select("role", "extractor", "root", "kind", "ref", "file", "line"), listed
 
 
 @dataclass
@@ -117,6 +124,16 @@ class Registry:
             file = F.concat(base, F.lit("/"), file) if name in RELATIVE and self.backend() == "source" else F.when(F.col("root") == ".", F.concat(F.lit("./"), file)).otherwise(file)
         return rows.select("role", F.lit(name).alias("extractor"), "root", "kind", "ref", file.alias("file"), F.col("line").cast("int").alias("line"))
 
+    def create_views(self, files: DataFrame) -> list[str]:
+        """Makes each available extractor's facts over `files` a temporary view for SQL, `facts_` and its name (`-` as `_`); returns the names."""
+        skipped, names = self.skipped(files), []
+        for name, extract in self.extractors().items():
+            if name not in skipped:
+                kept, _ = isolated(self._named(name, extract(files)))
+                names.append(f"facts_{name.replace('-', '_')}")
+                kept.createOrReplaceTempView(names[-1])
+        return names
+
     def gather(self, files: DataFrame) -> Facts:
         """All extractors' facts over all roots. A root that an extractor fails on gives it no facts, and its first error is kept.
 
