@@ -1,8 +1,9 @@
 """Go declarations and imports, from lines.
 
 A small helper blanks out comments and the insides of strings, keeping lines and
-columns; declarations are then found by pattern, and declaration groups carried down
-each file by running windows.
+columns. Lines are then cut into tokens on columns, with the semicolons that ends of lines stand for, and
+declarations decided by windows over the tokens of a file: brackets' depth, the group that a bracket opens,
+and where a group's next declaration begins.
 """
 
 from __future__ import annotations
@@ -21,7 +22,13 @@ from lodegraph.plans.lineage import cut
 
 _LITERAL = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"?|`[^`]*`?|'(?:[^'\\\n]|\\.)*'?""", re.S)
 LINES = "root string, file string, line int, text string, code string, comment boolean"
-_NAMES = r"((?:[\pL_][\pL\pN_]*\s*,\s*)*[\pL_][\pL\pN_]*)"
+_IDENTIFIER = r"[\pL_][\pL\pN_]*"
+#: Names, numbers, literals (raw ones by their ends), and single characters of what else there is.
+_TOKEN = rf'{_IDENTIFIER}|[0-9][\pL\pN_.]*|"[^"]*"|\'[^\']*\'|\S'
+#: Keywords, those that may end a statement, and those that declare.
+_KEYWORDS = ("break", "case", "chan", "const", "continue", "default", "defer", "else", "fallthrough", "for", "func", "go", "goto", "if", "import", "interface", "map", "package", "range", "return", "select", "struct", "switch", "type", "var")
+_ENDING = ("break", "continue", "fallthrough", "return")
+_DECLARING = ("type", "const", "var")
 #: Order of declaration queries.
 KINDS = ("function", "method", "type", "constant", "variable")
 
@@ -60,10 +67,6 @@ def _before() -> Window:
     return _window().rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _braces(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, r"[^{(\[]", "")) - F.length(F.regexp_replace(c, r"[^})\]]", ""))
-
-
 def imports(lines: DataFrame) -> DataFrame:
     """(root, file, line, path) of every import with a double-quoted path; `lines` are LINES."""
     opens = F.col("code").rlike(r"^import\s*\(")
@@ -79,6 +82,69 @@ def packages(lines: DataFrame) -> DataFrame:
     return named.groupBy("root", "file").agg(F.min_by("package", "line").alias("package"))
 
 
+def tokens(lines: DataFrame) -> DataFrame:
+    """(root, file, line, pos, t) of `lines` (LINES): tokens in order, with a semicolon where the end of a line ends a statement.
+
+    A literal is its quotes; a raw one over several lines is a token where it begins and one where it ends.
+    """
+    raw = F.length("code") - F.length(F.replace(F.col("code"), F.lit("`"), F.lit("")))
+    open_raw = F.sum(raw).over(_upto()) % 2 == 1
+    cut_ = lines.withColumn("ts", F.regexp_extract_all("code", F.lit(f"({_TOKEN})"), 1)).withColumn("open_raw", open_raw)
+    last = F.try_element_at("ts", F.lit(-1))
+    doubled = last.isin("+", "-") & (F.try_element_at("ts", F.lit(-2)) == last)
+    word = last.rlike(rf"^{_IDENTIFIER}$")
+    ends = (word & (~last.isin(*_KEYWORDS) | last.isin(*_ENDING))) | last.rlike(r"""^[0-9"'`)\]}]""") | doubled
+    ended = F.when(F.coalesce(ends & ~F.col("open_raw"), F.lit(False)), F.array_append("ts", F.lit(";"))).otherwise(F.col("ts"))
+    return cut_.select("root", "file", "line", F.posexplode(ended).alias("pos", "t"))
+
+
+def declarations(lines: DataFrame) -> DataFrame:
+    """(root, file, line, pos, kind, own, receiver) of declarations in `lines` (LINES), in functions too; own is the bare name."""
+    file = ["root", "file"]
+    w = Window.partitionBy(*file).orderBy("line", "pos")
+    t = F.col("t")
+    opens, closes = t.isin("(", "[", "{"), t.isin(")", "]", "}")
+    depth = F.coalesce(F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = F.concat_ws(" ", *(F.lead("t", k).over(w) for k in range(1, 9)))
+    told = tokens(lines).select(*file, "line", "pos", "t", depth.alias("depth"), F.lag("t").over(w).alias("prev"), F.when(t == "func", ahead).alias("ahead"), opens.alias("opens"))
+    told = told.withColumn("level", F.col("depth") + F.col("opens").cast("int"))
+    own_group = F.when(F.col("opens"), F.when((t == "(") & F.col("prev").isin(*_DECLARING), F.col("prev")).otherwise(""))
+    within = Window.partitionBy(*file, "level").orderBy("line", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    told = told.withColumn("group", F.last(own_group, ignorenulls=True).over(within))
+    named = t.rlike(rf"^{_IDENTIFIER}$") & ~t.isin(*_KEYWORDS)
+    word = F.when(F.col("prev").isin(*_DECLARING), F.col("prev")).when((F.col("group") != "") & F.col("prev").isin("(", ";") & ~F.col("opens"), F.col("group"))
+    told = told.withColumn("named", named).withColumn("word", F.when(named, word)).withColumn("next", F.lead("t").over(w))
+    told = told.withColumn("spec", F.count("word").over(w))
+
+    statement = F.coalesce(F.col("prev") == ";", F.lit(True)) & (F.col("depth") == 0)
+    funcs = told.filter((F.col("t") == "func") & statement)
+    receiver = rf"^\( (?:{_IDENTIFIER} )?(?:\* )?({_IDENTIFIER}) (?:, )?\) ({_IDENTIFIER}) \("
+    plain, of, method = F.regexp_extract("ahead", rf"^({_IDENTIFIER}) [(\[]", 1), F.regexp_extract("ahead", receiver, 1), F.regexp_extract("ahead", receiver, 2)
+    made = funcs.select(*file, "line", "pos", F.when(plain != "", "function").otherwise("method").alias("kind"), F.when(plain != "", plain).otherwise(method).alias("own"), of.alias("receiver")).filter("own <> ''")
+
+    # a declaration's names: every other token from its start on, as long as commas stand between
+    spec = Window.partitionBy(*file, "spec").orderBy("line", "pos")
+    at = F.row_number().over(spec)
+    specs = told.filter("spec > 0").withColumn("at", at).withColumn("word", F.first("word").over(spec))
+    good = F.when(F.col("at") % 2 == 1, F.col("named")).otherwise(F.col("t") == ",")
+    listed = specs.withColumn("good", F.min(good).over(spec.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter("good and at % 2 = 1")
+    types = listed.filter("word = 'type' and at = 1 and next <> '='").withColumn("kind", F.lit("type"))
+    values = listed.filter("word <> 'type'").withColumn("kind", F.when(F.col("word") == "const", "constant").otherwise("variable"))
+    return types.unionByName(values).select(*file, "line", "pos", "kind", F.col("t").alias("own"), F.lit("").alias("receiver")).unionByName(made)
+
+
+def doc_comments(lines: DataFrame) -> DataFrame:
+    """(root, file, line, doc_comment): what stands right above each line of code, back to a gap of two lines."""
+    code = ~F.col("comment") & (stripped("code") != "")
+    # lines without code belong to the next line that has some
+    below = F.first(F.when(code, F.col("line")), ignorenulls=True).over(_window().rowsBetween(1, Window.unboundedFollowing))
+    above = lines.withColumn("below", F.when(~code, below)).filter("below is not null")
+    held = above.groupBy("root", "file", F.col("below").alias("line")).agg(F.sort_array(F.collect_list(F.struct("line", "text", "comment"))).alias("above"), F.max("comment").alias("any")).filter("any")
+    gap = F.expr("aggregate(sequence(1, greatest(1, size(above) - 1)), 0, (g, i) -> if(size(above) > 1 and not above[i - 1].comment and not above[i].comment, i, g))")
+    taken = F.expr("slice(above, gap + 1, size(above) - gap)")
+    return held.withColumn("gap", gap).select("root", "file", "line", F.regexp_replace(F.array_join(F.transform(taken, lambda x: x["text"]), "\n"), r"^\s+|\s+$", "").alias("doc_comment"))
+
+
 def entities(lines: DataFrame, exported_only: bool = True) -> DataFrame:
     """(root, file, line, pos, kind, name, package, exported, doc_comment) of declarations, by kind, line and pos within a file.
 
@@ -86,50 +152,13 @@ def entities(lines: DataFrame, exported_only: bool = True) -> DataFrame:
     aliases, and names of const and var declarations, in functions too. A function's doc
     comment is what stands right above it, with one blank line at most in between.
     """
-    level = F.coalesce(F.sum(_braces(F.col("code"))).over(_before()), F.lit(0))
-    opens = F.regexp_extract("code", r"^\s*(type|const|var)\s*\(\s*$", 1)
-    grouped = lines.withColumn("level", level).withColumn("opens", opens)
-    group = F.last(F.when(F.col("opens") != "", F.struct(F.col("opens").alias("word"), (F.col("level") + 1).alias("at"))), ignorenulls=True).over(_before())
-    placed = grouped.withColumn("group", group)
-    inside = (F.col("group.at") == F.col("level")) & ~F.col("code").rlike(r"^\s*\)")
-    last_close = F.last(F.when(F.col("code").rlike(r"^\s*\)"), F.col("line")), ignorenulls=True).over(_before())
-    last_open = F.last(F.when(F.col("opens") != "", F.col("line")), ignorenulls=True).over(_before())
-    placed = placed.withColumn("in_group", inside & (F.coalesce(last_close, F.lit(0)) < last_open))
-    word = F.when(F.col("in_group"), F.col("group.word")).otherwise(F.regexp_extract("code", r"^\s*(type|const|var)\s+[\pL_]", 1))
-    rest = F.when(F.col("in_group"), stripped("code")).otherwise(F.regexp_replace("code", r"^\s*(type|const|var)\s+", ""))
-    told = placed.withColumn("word", F.coalesce(word, F.lit(""))).withColumn("rest", rest)
-    previous = F.last(F.when(~F.col("comment") & (stripped("code") != ""), F.col("line")), ignorenulls=True).over(_before())
-    told = told.withColumn("previous", F.coalesce(previous, F.lit(0)))
-    function = F.regexp_extract("code", r"^func\s+([\pL_][\pL\pN_]*)\s*[\[(]", 1)
-    receiver = F.regexp_extract("code", r"^func\s*\(\s*(?:[\pL_][\pL\pN_]*\s+)?\*?\s*([\pL_][\pL\pN_]*)\s*\)\s*[\pL_]", 1)
-    method = F.regexp_extract("code", r"^func\s*\([^)]*\)\s*([\pL_][\pL\pN_]*)\s*\(", 1)
-    new_type = F.regexp_extract("rest", r"^([\pL_][\pL\pN_]*+)(?!\s*=)\s*[^=\s]", 1)
-    names = F.split(F.regexp_replace(F.regexp_extract("rest", rf"^{_NAMES}", 1), r"\s", ""), ",")
-    declared = lambda kind, own, of="", pos=0: F.struct(F.lit(kind).alias("kind"), own.alias("own"), (of if isinstance(of, Column) else F.lit(of)).alias("receiver"), (pos if isinstance(pos, Column) else F.lit(pos)).alias("pos"))
-    each = lambda kind: F.transform(names, lambda n, k: declared(kind, n, pos=k))
-    # a line declares one thing, or some names
-    decls = (
-        F.when(function != "", F.array(declared("function", function)))
-        .when((receiver != "") & (method != ""), F.array(declared("method", method, receiver)))
-        .when(F.col("word") == "type", F.array(declared("type", new_type)))
-        .when(F.col("word") == "const", each("constant"))
-        .when(F.col("word") == "var", each("variable"))
-    )
-    found = told.select("root", "file", "line", "previous", F.explode(decls).alias("d")).select("root", "file", "line", "previous", "d.*")
-    found = found.filter("own <> ''").withColumn("exported", exported(F.col("own")))
+    found = declarations(lines).withColumn("exported", exported(F.col("own")))
     if exported_only:
         found = found.filter("exported")
-    # the comment lines between the declaration and the code before it, back to a gap of two lines
-    above = lines.select(F.col("root").alias("r"), F.col("file").alias("f"), F.col("line").alias("l"), "text", "comment")
-    documented = found.filter("kind in ('function', 'method') and line - previous > 1").select("root", "file", "line", "previous").distinct()
-    near = documented.join(above, (F.col("root") == F.col("r")) & (F.col("file") == F.col("f")) & (F.col("l") > F.col("previous")) & (F.col("l") < F.col("line")))
-    comment = near.groupBy("root", "file", "line").agg(F.sort_array(F.collect_list(F.struct("l", "text", "comment"))).alias("above"))
-    gap = F.expr("aggregate(sequence(1, greatest(1, size(above) - 1)), 0, (g, i) -> if(size(above) > 1 and not above[i - 1].comment and not above[i].comment, i, g))")
-    taken = F.expr("slice(above, gap + 1, size(above) - gap)")
-    texts = comment.withColumn("gap", gap).select("root", "file", "line", F.regexp_replace(F.array_join(F.transform(taken, lambda x: x["text"]), "\n"), r"^\s+|\s+$", "").alias("doc_comment"))
-    named = found.join(packages(lines), ["root", "file"], "left").join(texts, ["root", "file", "line"], "left")
+    doc = F.when(F.col("kind").isin("function", "method"), F.col("doc_comment"))
+    named = found.join(packages(lines), ["root", "file"], "left").join(doc_comments(lines), ["root", "file", "line"], "left")
     name = F.when(F.col("receiver") != "", F.concat_ws(".", "receiver", "own")).otherwise(F.col("own"))
-    return named.select("root", "file", "line", "pos", "kind", name.alias("name"), F.coalesce("package", F.lit("")).alias("package"), "exported", F.coalesce("doc_comment", F.lit("")).alias("doc_comment"))
+    return named.select("root", "file", "line", "pos", "kind", name.alias("name"), F.coalesce("package", F.lit("")).alias("package"), "exported", F.coalesce(doc, F.lit("")).alias("doc_comment"))
 
 
 def module_paths(files: DataFrame) -> DataFrame:

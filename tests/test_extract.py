@@ -386,7 +386,7 @@ def test_go_facts_and_entities(spark, tree):
     found = _found(spark, [root], "gocode")
     assert [f[2] for f in found if f[0] == "consumer"] == ["example.com/q", "fmt", "os"]
     names = {f[2].removeprefix("example.com/g/sub.") for f in found if f[0] == "producer"}
-    assert names == {"Run", "Far", "Server.Start", "Server.Stop", "Server", "A", "B", "Top"}
+    assert names == {"Run", "Inner", "Far", "Server.Start", "Server.Stop", "Server", "A", "B", "Top"}
     rows = {(r.name, r.kind): r for r in extract.entities(files.scan_local(spark, [root])).collect()}
     assert rows["Run", "function"].doc_comment == "// Run runs\n// all of it."
     assert rows["Far", "function"].doc_comment == ""
