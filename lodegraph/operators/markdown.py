@@ -7,6 +7,7 @@ reference is decided on columns.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,17 +24,56 @@ _DELIMITERS = re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?
 _RUN = re.compile(r"\\[\s\S]|`+")
 
 
+#: Tags whose blocks go on to a blank line, and to their own end.
+_BLOCK_TAGS = "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul"
+_RAW_TAGS = "script pre style textarea"
+_ATTRIBUTE = r"""\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s"'=<>`]+|'[^']*'|"[^"]*"))?"""
+#: How blocks of HTML begin and what ends them; None is a blank line. The last kind begins no block within a paragraph.
+_HTML = tuple(
+    (re.compile(rf" {{0,3}}(?:{begins})", re.I), ends and re.compile(ends, re.I))
+    for begins, ends in (
+        (rf"<(?:{_RAW_TAGS.replace(' ', '|')})(?:[\s>]|$)", rf"</(?:{_RAW_TAGS.replace(' ', '|')})>"),
+        (r"<!--", r"-->"),
+        (r"<\?", r"\?>"),
+        (r"<!\[CDATA\[", r"\]\]>"),
+        (r"<![A-Za-z]", r">"),
+        (rf"</?(?:{_BLOCK_TAGS.replace(' ', '|')})(?:\s|/?>|$)", None),
+        (rf"(?:<[A-Za-z][A-Za-z0-9-]*(?:{_ATTRIBUTE})*\s*/?>|</[A-Za-z][A-Za-z0-9-]*\s*>)[ \t]*$", None),
+    )
+)
+_DEFINITION = re.compile(r""" {0,3}\[(?!\s*\])(?:[^\[\]\\]|\\.)+\]:[ \t]*\n?[ \t]*(?:<[^<>\n]*>|[^\s<]\S*)(?:(?:[ \t]+|[ \t]*\n[ \t]*)(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*(?:\n|$)""")
+_BARE_DEFINITION = re.compile(r" {0,3}\[(?!\s*\])(?:[^\[\]\\]|\\.)+\]:[ \t]*\n?[ \t]*(?:<[^<>\n]*>|[^\s<]\S*)[ \t]*(?:\n|$)")
+
+
+def html_block(line: str, in_paragraph: bool) -> tuple[bool, re.Pattern | None]:
+    """Whether a block of HTML begins at this line, and what ends it; None for a blank line."""
+    for k, (begins, ends) in enumerate(_HTML):
+        if begins.match(line) and not (in_paragraph and k == len(_HTML) - 1):
+            return True, ends
+    return False, None
+
+
+def without_definitions(block: str) -> str:
+    """A paragraph without the link definitions at its beginning, which are no text."""
+    while found := _DEFINITION.match(block) or _BARE_DEFINITION.match(block):
+        block = block[found.end() :]
+    return block
+
+
 def spans(block: str) -> list[tuple[int, str]]:
     """(place, content) of the code spans of a block: text between two runs of as many backticks."""
     out, at = [], 0
-    runs = [(m.start(), m.end()) for m in re.finditer("`+", block)]
+    runs: dict[int, list[int]] = {}
+    for m in re.finditer("`+", block):
+        runs.setdefault(len(m[0]), []).append(m.start())
     while found := _RUN.search(block, at):
         at = found.end()
         if found[0][0] == "`":
-            close = next(((a, b) for a, b in runs if a >= at and b - a == len(found[0])), None)
-            if close:
-                out.append((found.start(), block[at : close[0]]))
-                at = close[1]
+            same = runs[len(found[0])] if len(found[0]) in runs else []
+            k = bisect_left(same, at)
+            if k < len(same):
+                out.append((found.start(), block[at : same[k]]))
+                at = same[k] + len(found[0])
     return out
 
 
@@ -45,25 +85,32 @@ def cells(row: str) -> list[str]:
 def references(content: str) -> list[tuple[int, int, str, str]]:
     """(line, pos, text, kind) of headings marked by # and of code spans elsewhere, in order by line and pos.
 
-    Lines in fenced and indented code blocks and in comments don't count. A span may go over lines
-    within its paragraph or item; in a table it lies in one cell.
+    Lines in fenced and indented code blocks and in blocks of HTML, comments too, don't count, nor do link definitions.
+    A span may go over lines within its paragraph or item; in a table it lies in one cell.
     """
     out: list[tuple[int, int, str, str]] = []
     lines = [x.rstrip("\r") for x in content.split("\n")]
     held: list[str] = []
-    begun, fence, comment, table, indent, blank = 0, "", False, False, 0, True
+    begun, fence, table, indent, blank = 0, "", False, 0, True
+    html, html_end = False, None
 
     def flush() -> None:
+        nonlocal begun
         block = "\n".join(held)
         if "`" in block:
+            text_ = without_definitions(block)
+            begun += block[: len(block) - len(text_)].count("\n")
+            block = text_
             out.extend((begun + block.count("\n", 0, at), k, code, "code_span") for k, (at, code) in enumerate(spans(block)))
         held.clear()
 
     for number, raw in enumerate(lines, 1):
         line = re.sub(r"^(?: {0,3}> ?)+", "", raw)
-        if comment:
-            comment = "-->" not in line
-            continue
+        if html:
+            html = not html_end.search(line) if html_end else bool(line.strip())
+            if html or html_end:
+                blank = True
+                continue
         own = line[indent:] if not line[:indent].strip() else line
         mark = _FENCE.match(own)
         if fence:
@@ -82,8 +129,10 @@ def references(content: str) -> list[tuple[int, int, str, str]]:
             continue
         if not held and blank and re.match(r"(?: {4}| {0,3}\t)", own):
             continue
-        if re.match(r" {0,3}<!--", own) and not held:
-            comment = "-->" not in own
+        begins, html_end = html_block(own, bool(held)) if not table else (False, None)
+        if begins:
+            flush()
+            html, blank = html_end is None or not html_end.search(own), True
             continue
         heading = _HEADING.match(own)
         if heading:
