@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegraph.llm.byte_tokens import worker_tokens
@@ -139,9 +139,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def encode_blocks(docs: DataFrame, tokenizer_path: str, p: TokenFiles, shards: int) -> DataFrame:
     """Blocks (BLOCK_SCHEMA) of every row of `docs` (doc_id, text) in ascending doc_id order, null ids first.
 
-    Null text counts as empty, so its document is the end id alone. Rows with one doc_id
-    are ordered by text. Shards are ranges of doc_id and, within one doc_id, of how the text begins, so that many rows
-    without doc_id don't meet in one shard; other columns are not looked at. What follows a document's end id
+    Null text counts as empty, so its document is the end id alone. An empty table gives no blocks. Rows with one doc_id
+    are ordered by text. Shards are ranges of doc_id and, within one doc_id, of how the text begins, and short texts
+    that are alike are dealt to several, so that many rows without doc_id don't meet in one shard; other columns are not looked at. What follows a document's end id
     is the next document's first id, also from one block to the next.
     """
 
@@ -160,9 +160,14 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, p: TokenFiles, shards: i
         if blocks.held:
             yield _batch([blocks.cut()])
 
-    typed = docs.select(F.col("doc_id").cast("long"), "text")
-    ordered = typed.repartitionByRange(shards, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(each, BLOCK_SCHEMA)
+    typed = docs.select(F.col("doc_id").cast("long"), "text").withColumn("salt", spread_equal())
+    ordered = typed.repartitionByRange(shards, "doc_id", F.substring("text", 1, 32), "salt").sortWithinPartitions("doc_id", "text")
+    return ordered.select("doc_id", "text").mapInArrow(each, BLOCK_SCHEMA)
+
+
+def spread_equal() -> Column:
+    """A number that parts rows of one short text, or none, which are alike under one doc_id, so that ranges can split them; 0 for other rows."""
+    return F.when(F.length(F.coalesce("text", F.lit(""))) <= 32, F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
 
 
 def stored_bytes(docs: DataFrame) -> int:
