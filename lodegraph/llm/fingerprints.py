@@ -20,20 +20,21 @@ from pyspark.sql import functions as F
 from lodegraph.llm.components import connected_components
 from lodegraph.llm.near_dedup import NearDedup, list_links, verified_components
 from lodegraph.llm.shingles import minhash, permutations, shingle_sets, text_buffer, word_hashes
-from lodegraph.llm.token_files import stored_bytes
+from lodegraph.llm.token_files import spread_equal, stored_bytes
 from lodegraph.llm.workspace import Workspace
 
 
 @dataclass(frozen=True)
 class Fingerprints:
-    """Parameters: words in a shingle, permutations, rows of a band, the similarity that links (percent), equal values of a candidate pair.
+    """Parameters: words in a shingle, permutations, values of a band, bands that a candidate pair shares, the similarity that links (percent), equal values of a candidate pair.
 
     `range_bytes` is how much stored text one task orders.
     """
 
     words: int = 5
     permutations: int = 64
-    band_rows: int = 4
+    list_rows: int = 2
+    shared: int = 8
     percent: int = 80
     matches: int = 36
     batch_rows: int = 256
@@ -139,8 +140,8 @@ def edit_likeness(docs: DataFrame, params: Fingerprints | None = None) -> DataFr
         if begun:
             yield edge("last", ids[0], texts[0])
 
-    order = [F.col("doc_id").desc_nulls_last(), F.substring("text", 1, 32)]
-    ordered = typed.repartitionByRange(ranges, *order).sortWithinPartitions(order[0], "text")
+    order = [F.col("doc_id").desc_nulls_last(), F.substring("text", 1, 32), "salt"]
+    ordered = typed.withColumn("salt", spread_equal()).repartitionByRange(ranges, *order).sortWithinPartitions(order[0], "text").select("doc_id", "text")
     done = work.keep(ordered.mapInArrow(each, f"part int, edge string, text string, {_DIGESTS}"), "done")
     # a row a range
     parts = done.filter("edge = 'last'").select("part", "doc_id", "text")
@@ -158,20 +159,34 @@ def edit_likeness(docs: DataFrame, params: Fingerprints | None = None) -> DataFr
 
 
 def _bands(signature: Column, p: Fingerprints) -> Column:
-    """One string a band: its number and values."""
-    width = 4 * p.band_rows
-    bands = F.sequence(F.lit(0), F.lit(p.permutations // p.band_rows - 1))
+    """One number a band of `list_rows` values, from the band's place and values."""
+    width = 4 * p.list_rows
+    bands = F.sequence(F.lit(0), F.lit(p.permutations // p.list_rows - 1))
     return F.transform(bands, lambda i: F.xxhash64(i, F.substring(signature, i * width + 1, F.lit(width))))
 
 
+def _rare_bands(classes: DataFrame, p: Fingerprints) -> DataFrame:
+    """(node, posting, n): the rarest bands of each class (node, fingerprint) that other classes have too.
+
+    Two classes that share `shared` of K bands share one of any K - `shared` + 1, so that each is posted under so many of its
+    rarest ones only; bands of one class use up that number and join nothing. What stands in very many texts,
+    such as boilerplate, makes the frequent bands, which are skipped.
+    """
+    postings = classes.select("node", F.explode(_bands(F.col("fingerprint"), p)).alias("posting"))
+    lengths = postings.groupBy("posting").agg(F.count("*").alias("n")).filter("n > 1")
+    ranked = postings.join(lengths, "posting").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "posting"))).alias("lists"))
+    rare = ranked.select("node", F.explode(F.expr(f"slice(lists, 1, greatest(0, size(lists) - {p.shared - 1}))")).alias("list"))
+    return rare.select("node", F.col("list.posting").alias("posting"), F.col("list.n").alias("n"))
+
+
 def near_components(spark: SparkSession, docs: DataFrame, params: Fingerprints | None = None) -> DataFrame:
     """(doc_id, component_id): near-duplicates by banded fingerprints, verified by exact Jaccard similarity.
 
-    Texts with equal fingerprints form a class. Classes that share a band and at least `matches` of all
-    values are candidates, a band's classes being compared in blocks; components of these hold every
+    Texts with equal fingerprints form a class. Classes that share `shared` of their bands and at least `matches` of all
+    values are candidates, found under their rarest bands, whose classes are compared in blocks; components of these hold every
     such pair, and full shingle sets decide within them (see `near_dedup.verified_components`). A pair at the threshold 0.8
-    misses all of 16 bands of 4 with chance 0.0002, and 36 of 64 values with chance 2e-6. Documents without words link to
-    nothing. Rows without doc_id are left out; rows that share one have the links of all their texts. Other columns are not
+    shares fewer than 8 of 32 bands of 2 with chance 1e-6, and fewer than 36 of 64 values with chance 2e-6. Null texts and documents without words link to
+    nothing; texts of any length are read whole. Rows without doc_id are left out; rows that share one have the links of all their texts. Other columns are not
     looked at. An empty table gives no rows.
     """
     p = params or Fingerprints()
@@ -181,10 +196,10 @@ def near_components(spark: SparkSession, docs: DataFrame, params: Fingerprints |
     blank = "f" * (4 * p.permutations)
     classes = work.keep(prints.filter(F.col("fingerprint") != blank).groupBy("fingerprint").agg(F.min("doc_id").alias("node")).withColumn("class", F.xxhash64("fingerprint")), "classes")
     values = F.transform(F.sequence(F.lit(0), F.lit(p.permutations - 1)), lambda i: F.conv(F.substring("fingerprint", i * 4 + 1, F.lit(4)), 16, 10).cast("int"))
-    posted = classes.select(F.col("class").alias("node"), F.lit(1).cast("long").alias("n_shingles"), values.alias("signature"), F.explode(_bands(F.col("fingerprint"), p)).alias("posting"))
     rules = NearDedup(words=p.words, percent=p.percent, coordinates=p.permutations, matches=p.matches, batch_rows=p.batch_rows)
-    lengths = posted.groupBy("posting").agg(F.ceil(F.count("*") / rules.list_block).cast("long").alias("blocks"), F.count("*").alias("n")).filter("n > 1")
-    links = list_links(posted.join(lengths, "posting"), rules)
+    signed = classes.select(F.col("class").alias("node"), F.lit(1).cast("long").alias("n_shingles"), values.alias("signature"))
+    rare = _rare_bands(classes.select(F.col("class").alias("node"), "fingerprint"), p)
+    links = list_links(signed.join(rare, "node").withColumn("blocks", F.ceil(F.col("n") / rules.list_block).cast("long")).drop("n"), rules)
     found = connected_components(work, links, "cluster")
     clusters = found.join(classes.select(F.col("class").alias("node"), F.col("node").alias("doc")), "node").select(F.col("doc").alias("head"), F.col("component").alias("cluster"))
     # equal fingerprints need not mean equal sets, so all members are verified
