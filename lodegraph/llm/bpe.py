@@ -26,7 +26,8 @@ def _each(tokenizer_path: str, batch_rows: int, make):
 def encode_decode(docs: DataFrame, tokenizer_path: str, batch_rows: int = 256) -> DataFrame:
     """(doc_id, ids, decoded) for each row of `docs` (doc_id, text): token ids and the text they decode to.
 
-    Null text counts as empty: no ids, and the empty string. Rows may repeat; each has its result.
+    Null text counts as empty: no ids, and the empty string. Rows may repeat; each has its result, and a null doc_id
+    stays null. Texts of any length are encoded whole, one at a time. Other columns are not looked at. An empty table gives no rows.
     """
 
     def make(part: pa.RecordBatch, done: list[tuple[str, str]]) -> pa.RecordBatch:
@@ -37,7 +38,10 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, batch_rows: int = 256) -
 
 
 def digests(docs: DataFrame, tokenizer_path: str, batch_rows: int = 256) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the same, without moving ids and texts out of the task."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the same rows by the same rules, without moving ids and texts out of the task.
+
+    ids_sha256 is over the decimal ids joined by one blank, decoded_sha256 over the decoded text; of a null or empty text both are that of nothing.
+    """
 
     def sha(x: str) -> str:
         return hashlib.sha256(x.encode()).hexdigest()

@@ -265,8 +265,9 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, params: Mixing
     """(doc_id, tokens, rate, and p_<domain> for each target) for each row of `docs` (doc_id, text, and the domain column).
 
     `labels`: doc_id, quality. Null and empty texts have no tokens; their rate follows from the
-    classifier's constant alone and moves no total. Repeated rows have equal rates. Without
-    labelled texts rates are 1 and posteriors null.
+    classifier's constant alone and moves no total. Repeated rows have equal rates, and a null doc_id stays null. Texts of
+    any length are read whole. Other columns are not looked at. Without
+    labelled texts rates are 1 and posteriors null. An empty table gives no rows.
     """
     p = params or Mixing()
     fit, table = fitted(spark, docs, labels, p)
@@ -280,7 +281,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, par
     """`docs` with each row as often as its rate says: the whole part, and one more with the rest as chance, by a hash of doc_id.
 
     The columns stay as they are; equal rows are copies. Posteriors of rows that share a
-    doc_id are averaged for the purpose.
+    doc_id are averaged for the purpose; rows without doc_id count as sharing one. An empty table gives no rows.
     """
     p = params or Mixing()
     fit, table = fitted(spark, docs, labels, p)
