@@ -27,7 +27,11 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling keeps."""
+    """Documents that importance resampling keeps.
+
+    Null and empty texts weigh 0 and stay or go as such; rows that repeat stay or go together, and those without doc_id are
+    drawn by their text. An empty table gives no rows.
+    """
     return importance.keep_good(spark, docs, _labels(spark, sf_dir))
 
 
@@ -35,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more, the least doc_id.
 
     Rows that share a doc_id are one document and leave one row, that of the least text, then of the
-    least other columns. Rows without doc_id stay.
+    least other columns. Rows without doc_id, and documents without words, stay. An empty table gives no rows.
     """
     found = near_components(spark, docs, NearDedup(words=5, percent=80, matches=14))
     kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept")).distinct()
@@ -46,17 +50,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with spans of personal data replaced by their kinds."""
+    """All documents, with spans of personal data replaced by their kinds. Null texts stay null, repeated rows stay, an empty table gives no rows."""
     return pii.redact_documents(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rates say; none that is mainly of a wanted domain is left out."""
+    """Documents as often as their fitted rates say; none that is mainly of a wanted domain is left out.
+
+    Null and empty texts have the rate of the classifier's constant; repeated rows and rows without doc_id are copied alike. An
+    empty table gives no rows.
+    """
     return mixing.mixed_documents(spark, docs, _labels(spark, sf_dir), mixing.Mixing(targets=LANGUAGES, least=1.0, spare=0.02))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; null texts count as empty, a null doc_id stays null, an empty table gives no rows."""
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
