@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from lodegraph.llm.byte_tokens import worker_tokens
 from lodegraph.llm.slices import sliced
 
+#: Shards whose offsets are broadcast, some 20 bytes each.
+FEW_SHARDS = 1_000_000
 BLOCK_SCHEMA = "shard int, block long, first_id long, n_ids long, bits boolean, planes array<binary>, doc_seq array<long>, doc_id array<long>, doc_ids_here array<long>"
 
 
@@ -234,8 +236,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def join_crcs(crcs: pd.Series, lengths: pd.Series) -> pd.Series:
         return pd.Series(_join_crcs(crcs, lengths), dtype="int64")
 
-    index = spark.read.parquet(f"{path}/index").select("shard", "block", "start")
-    blocks = spark.read.parquet(f"{path}/blocks").join(index, ["shard", "block"])
+    # where each shard begins: a row a shard, so that blocks, with their planes, stay where they are read
+    begins = spark.read.parquet(f"{path}/index").groupBy("shard").agg(F.min("start").alias("begins"))
+    blocks = spark.read.parquet(f"{path}/blocks")
+    if begins.count() <= FEW_SHARDS:
+        begins = F.broadcast(begins)
+    blocks = blocks.join(begins, "shard").withColumn("start", F.col("begins") + F.col("first_id"))
     columns = ("shard", "block", "start", "n_ids", "bits", "planes", "doc_seq", "doc_id", "doc_ids_here")
     pieces = blocks.select(*columns).mapInArrow(_pieces, "shard int, seq long, block long, doc_id long, start long, n long, crc long")
     piece = F.struct("block", "n", "crc")
