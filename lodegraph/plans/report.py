@@ -43,11 +43,17 @@ class Graph:
         return Report(self.edges.sparkSession)
 
 
+def artifact_rows(facts: DataFrame) -> Rows:
+    """Artifacts (kind, ref, bucket) as items of a JSON array."""
+    columns = ("kind", "ref", "bucket")
+    item = json_object({c: json_column(F.col(c)) for c in columns}, 4)
+    return Rows(resolve.artifacts(facts).withColumn("text", F.concat(F.lit("    "), item)), columns)
+
+
 def map_json(g: Graph) -> Report:
     """artifacts, edges, and, where there are any, skipped and failed."""
     text = lambda c: json_column(F.col(c))
-    artifact = json_object({c: text(c) for c in ("kind", "ref", "bucket")}, 4)
-    artifacts = json_items(Rows(resolve.artifacts(g.facts).withColumn("text", F.concat(F.lit("    "), artifact)), ("kind", "ref", "bucket")))
+    artifacts = json_items(artifact_rows(g.facts))
     end = lambda s: {"ref": text(f"{s}_ref"), "provenance": {"file": text(f"{s}_file"), "line": F.col(f"{s}_line").cast("string")}}
     edge = json_object({"kind": text("kind"), "producer": end("p"), "consumer": end("c"), "version_match": text("version_match")}, 4)
     edges = json_items(Rows(g.edges.withColumn("text", F.concat(F.lit("    "), edge)), resolve.EDGE_ORDER))

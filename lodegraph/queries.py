@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions import identity, text
-from lodegraph.operators import capnp, html, symbol_db, workflow
+from lodegraph.operators import capnp, gomod, html, symbol_db, workflow
 from lodegraph.operators.parsing import earliest, fact
-from lodegraph.plans import coverage, extract, resolve, similarity
+from lodegraph.plans import coverage, extract, report, resolve, similarity
 from lodegraph.sources.files import FILES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +149,18 @@ def mermaid_node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("ref", identity.node_id(F.col("kind"), F.col("ref")).alias("node_id"), identity.kind_node_id(F.col("kind")).alias("kind_id"))
 
 
+_JSON_ITEM = """'    {' || chr(10) || '      "kind": "' || kind || '",' || chr(10) || '      "ref": "' || ref || '",' || chr(10) || '      "bucket": "' || bucket || '"' || chr(10) || '    }'"""
+
+
+@_query(
+    f"""WITH {_FACTS}, a AS (SELECT kind, p_ref AS ref, 'resolved' AS bucket FROM e UNION SELECT kind, c_ref, 'resolved' FROM e
+UNION SELECT kind, ref, 'external' FROM x UNION SELECT kind, ref, 'dangling' FROM d) SELECT ref, {_JSON_ITEM} AS text FROM a"""
+)
+def artifact_json_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each artifact in the JSON report."""
+    return report.artifact_rows(facts(spark, sf_dir)).df.select("ref", "text")
+
+
 @_query(f"WITH {_FACTS} SELECT p.version AS p_version, c.version AS c_version, CASE WHEN p.version = c.version THEN 'exact' WHEN p.version = '' OR c.version = '' THEN 'unknown' ELSE 'mismatch' END AS version_match, count(*) AS n FROM p JOIN c ON p.ikey = c.ikey GROUP BY ALL")
 def version_match_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = resolve.canonical(facts(spark, sf_dir)).groupBy("role", "kind", "identity_key", "version").agg(F.count("*").alias("n"))
@@ -177,6 +189,40 @@ def facts_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy("role", "kind").agg(F.count("*").alias("n"), F.count_distinct("ref").alias("refs"))
 
 
+@_query(
+    """WITH c AS (SELECT 'root' || c_nationkey AS root, CASE c_custkey % 4 WHEN 0 THEN 'service' WHEN 1 THEN 'cargo_crate' WHEN 2 THEN 'servce' ELSE 'go_modul' END AS kind, c_name AS ref, c_mktsegment AS file, c_custkey AS line FROM customer),
+u AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY file, line, ref) AS r FROM c WHERE kind IN ('servce', 'go_modul'))
+SELECT 'customers' AS extractor, root, 'unknown kind ' || kind || ' of ' || ref AS error FROM u WHERE r = 1"""
+)
+def kind_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as facts, half of them of kinds that there aren't, by roots: what the registry lists as failed."""
+    kind = F.expr("CASE c_custkey % 4 WHEN 0 THEN 'service' WHEN 1 THEN 'cargo_crate' WHEN 2 THEN 'servce' ELSE 'go_modul' END")
+
+    def customers(_: DataFrame) -> DataFrame:
+        return table(spark, sf_dir, "customer").select(F.lit("consumer").alias("role"), F.concat(F.lit("root"), "c_nationkey").alias("root"), kind.alias("kind"), F.col("c_name").alias("ref"), F.col("c_mktsegment").alias("file"), F.col("c_custkey").cast("int").alias("line"))
+
+    registry = extract.Registry(unavailable=dict.fromkeys(extract.Registry().extractors(), "no files"), extra={"customers": customers})
+    return registry.gather(spark.createDataFrame([], FILES)).failed
+
+
+_REQUIRED = """CASE p_partkey % 5 WHEN 0 THEN 'example.com/m' || p_partkey WHEN 1 THEN 'example.com/m' || p_partkey || '/v2' WHEN 2 THEN 'gopkg.in/m.v' || (p_size % 3) WHEN 3 THEN 'example.com/m/v' || (p_size % 4) ELSE 'gopkg.in/m' || p_size END AS path,
+CASE p_size % 7 WHEN 0 THEN 'v1.' || p_size || '.0' WHEN 1 THEN 'v2.0.' || p_size WHEN 2 THEN 'v0' || p_size WHEN 3 THEN 'v' || (p_size % 3) WHEN 4 THEN 'v2.1.0+incompatible' WHEN 5 THEN 'v1.2-rc' ELSE 'v0.0.0-rc.' || p_size || '+a' END AS version"""
+
+
+@_query(
+    f"""WITH q AS (SELECT p_partkey, {_REQUIRED} FROM part),
+o AS (SELECT *, CASE WHEN path LIKE 'gopkg.in/%' THEN nullif(regexp_extract(path, '\\.v(0|[1-9][0-9]*)$'), '') WHEN regexp_matches(path, '/v[0-9.]+$') AND NOT regexp_matches(path, '/v([2-9]|[1-9][0-9]+)$') THEN NULL ELSE regexp_extract(path, '/v[0-9]+$') END AS own, regexp_extract(version, '^v[0-9]+') AS major FROM q)
+SELECT p_partkey, path, version, CASE WHEN own IS NULL THEN path || ': invalid module path'
+WHEN NOT regexp_full_match(version, 'v(0|[1-9][0-9]*)([.](0|[1-9][0-9]*)([.](0|[1-9][0-9]*)(-[0-9A-Za-z-]+([.][0-9A-Za-z-]+)*)?([+][0-9A-Za-z-]+)?)?)?') THEN version || ': must be of the form v1.2.3'
+WHEN own = '' AND major NOT IN ('v0', 'v1') AND NOT suffix(version, '+incompatible') THEN path || '@' || version || ': invalid version: should be v0 or v1, not ' || major
+WHEN own <> '' AND major <> substr(own, 2) AND NOT (own = '.v1' AND starts_with(version, 'v0.0.0-')) THEN path || '@' || version || ': invalid version: should be ' || substr(own, 2) || ', not ' || major END AS fault FROM o"""
+)
+def required_version_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as required modules with versions: what a full reading of go.mod finds wrong with each."""
+    required = table(spark, sf_dir, "part").selectExpr("p_partkey", *(f"{x} AS {n}" for x, n in zip((p.rsplit(" AS ", 1)[0] for p in _REQUIRED.split(",\n")), ("path", "version"), strict=True)))
+    return required.withColumn("fault", gomod.version_fault(F.col("path"), F.col("version")))
+
+
 @_query("SELECT l_orderkey % 97 AS file, l_partkey AS ref, CAST(min(l_linenumber) AS BIGINT) AS line FROM lineitem GROUP BY ALL")
 def earliest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumns({"root": F.lit("r"), "file": F.col("l_orderkey") % 97, "line": F.col("l_linenumber"), "key": F.col("l_partkey").cast("string")})
