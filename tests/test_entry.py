@@ -22,6 +22,13 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["map", str(tmp_path), "--format", "json"], spark) == 0
     assert '"artifacts"' in capsys.readouterr().out
     assert cli.main(["version"], spark) == 0
+    capsys.readouterr()
+    # the same report written by executors, and of folders that they walk
+    assert cli.main(["verify", "--source", str(tmp_path), "--docs", str(tmp_path / "docs"), "--shared", "--format", "json"], spark) == 0
+    said = capsys.readouterr().out
+    out = tmp_path / "out"
+    assert cli.main(["verify", "--source", str(tmp_path), "--format", "json", "--output", str(out)], spark) == 0
+    assert capsys.readouterr().out == "" and "".join(f.read_text() for f in sorted(out.glob("*/part-*"))) == said and '"total_entities": 2' in said
 
 
 def test_symbol_database_verifier_refuses(spark, capsys):
