@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
@@ -28,7 +27,7 @@ class ByteTokens:
     of over `long` characters, as in scripts without blanks, are not.
     """
 
-    def __init__(self, path: str, cache: int = 1_300_000, cache_chars: int = 14_000_000, long: int = 256):
+    def __init__(self, path: str, cache: int = 1_000_000, cache_chars: int = 12_000_000, long: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -106,9 +105,3 @@ class ByteTokens:
             if len(piece) > self.long:
                 del self.known[piece]
         return out
-
-
-@lru_cache(maxsize=1)
-def worker_tokens(path: str) -> ByteTokens:
-    """A worker's own encoder, which later tasks use again with what it remembers."""
-    return ByteTokens(path)

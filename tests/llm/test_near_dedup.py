@@ -121,3 +121,45 @@ def test_marked_rows_hold_all_wanted(spark):
     assert marked(work, docs, nodes.limit(0)).count() == 0
     # beyond the bitmap's bound nothing is left out
     assert marked(work, docs, nodes, most_bits=100).count() == docs.count()
+
+
+def _exact_components(rows, words, percent, lower):
+    """component by doc_id, from all pairs of texts that share a shingle."""
+    import re
+    from collections import Counter, defaultdict
+
+    sets = {}
+    for doc_id, text in rows:
+        text = text or ""
+        if lower:
+            text = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        own = re.findall("[^\\x20\\x09-\\x0D]+", text)
+        sets[doc_id] = {tuple(own[k : k + words]) for k in range(len(own) - words + 1)} if len(own) >= words else {tuple(own)} if own else set()
+    holders, parent = defaultdict(list), {i: i for i in sets}
+    for i in sorted(sets):
+        for s in sets[i]:
+            holders[s].append(i)
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i in sorted(sets):
+        common = Counter(j for s in sets[i] for j in holders[s] if j < i)
+        for j, n in common.items():
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("name", ["op10_minhash_near_dedup", "fingerprint_components"])
+def test_no_link_is_missed_on_the_corpus(spark, name):
+    from lodegraph.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = _exact_components(rows, *((3, 85) if name.startswith("op10") else (5, 80)), lower=True)
+    got = {r.doc_id: r.component_id for r in queries.queries()[name](spark, sf).collect()}
+    assert got == want and sum(i != c for i, c in want.items()) > 20
