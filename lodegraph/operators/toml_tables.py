@@ -77,7 +77,7 @@ def one_line_tables(content: str) -> str:
 
 
 def errors(files: DataFrame) -> DataFrame:
-    """(root, file, error) of `files` (root, path, content): an error for those that are no TOML, and those in which a key or a table is given twice."""
+    """(root, file, error) of `files` (root, path, content): an error for those whose form is no TOML's; what is given twice passes."""
 
     def parse(content: str) -> list[tuple]:
         text = content.replace("\r\n", "\n")
@@ -86,10 +86,10 @@ def errors(files: DataFrame) -> DataFrame:
                 tomllib.loads(form)
                 return []
             except tomllib.TOMLDecodeError as e:
-                error = e
-                # a key or table given twice is wrong in every form
+                # manifests are read expression by expression, so that a key or a table given twice is no matter of form
                 if str(e).startswith("Cannot"):
-                    break
+                    return []
+                error = e
         raise error
 
     return per_file(files, parse, "nothing string", "path").select("root", "file", "error")
