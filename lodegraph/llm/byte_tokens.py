@@ -93,7 +93,7 @@ class ByteTokens:
             head, *rest = _CUT.split(text) if _BLANKS.search(text) else text.split(" ")
             cut.append((self._whole(head) if head else b"", rest))
         pieces = set().union(*[c[1] for c in cut if isinstance(c, tuple)])
-        wanted = list(pieces - self.known.keys())
+        wanted = list(pieces.difference(self.known))
         if len(self.known) + len(wanted) > self.cache or self.chars > self.cache_chars:
             self.known, self.chars = {}, 0
             wanted = list(pieces)
