@@ -92,11 +92,11 @@ class ByteTokens:
                 continue
             head, *rest = _CUT.split(text) if _BLANKS.search(text) else text.split(" ")
             cut.append((self._whole(head) if head else b"", rest))
-        pieces = set().union(*[c[1] for c in cut if isinstance(c, tuple)])
-        wanted = list(pieces.difference(self.known))
+        # in the text's order, in which a word mostly comes before itself with a stop
+        wanted = list(dict.fromkeys(x for c in cut if isinstance(c, tuple) for x in c[1] if x not in self.known))
         if len(self.known) + len(wanted) > self.cache or self.chars > self.cache_chars:
             self.known, self.chars = {}, 0
-            wanted = list(pieces)
+            wanted = list(dict.fromkeys(x for c in cut if isinstance(c, tuple) for x in c[1]))
         self._learn(wanted)
         self.chars += sum(map(len, wanted))
         known = self.known.__getitem__
