@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodegraph.llm.components import connected_components
+from lodegraph.llm.components import connected_components, side
 from lodegraph.llm.near_dedup import NearDedup, list_links, verified_components
 from lodegraph.llm.shingles import minhash, permutations, shingle_sets, text_buffer, word_hashes
 from lodegraph.llm.token_files import spread_equal, stored_bytes
@@ -174,7 +174,7 @@ def _rare_bands(classes: DataFrame, p: Fingerprints) -> DataFrame:
     """
     postings = classes.select("node", F.explode(_bands(F.col("fingerprint"), p)).alias("posting"))
     lengths = postings.groupBy("posting").agg(F.count("*").alias("n")).filter("n > 1")
-    ranked = postings.join(lengths, "posting").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "posting"))).alias("lists"))
+    ranked = postings.join(lengths.hint("merge"), "posting").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "posting"))).alias("lists"))
     rare = ranked.select("node", F.explode(F.expr(f"slice(lists, 1, greatest(0, size(lists) - {p.shared - 1}))")).alias("list"))
     return rare.select("node", F.col("list.posting").alias("posting"), F.col("list.n").alias("n"))
 
@@ -199,14 +199,15 @@ def near_components(spark: SparkSession, docs: DataFrame, params: Fingerprints |
     rules = NearDedup(words=p.words, percent=p.percent, coordinates=p.permutations, matches=p.matches, batch_rows=p.batch_rows)
     signed = classes.select(F.col("class").alias("node"), F.lit(1).cast("long").alias("n_shingles"), values.alias("signature"))
     rare = _rare_bands(classes.select(F.col("class").alias("node"), "fingerprint"), p)
-    links = list_links(signed.join(rare, "node").withColumn("blocks", F.ceil(F.col("n") / rules.list_block).cast("long")).drop("n"), rules)
-    found = connected_components(work, links, "cluster")
-    clusters = found.join(classes.select(F.col("class").alias("node"), F.col("node").alias("doc")), "node").select(F.col("doc").alias("head"), F.col("component").alias("cluster"))
+    links = list_links(signed.join(rare.hint("merge"), "node").withColumn("blocks", F.ceil(F.col("n") / rules.list_block).cast("long")).drop("n"), rules)
+    found = work.keep(connected_components(work, links, "cluster"), "clusters")
+    linked = found.count()
+    clusters = classes.select(F.col("class").alias("node"), F.col("node").alias("doc")).join(side(found, linked), "node").select(F.col("doc").alias("head"), F.col("component").alias("cluster"))
     # equal fingerprints need not mean equal sets, so all members are verified
-    members = prints.join(classes.select("fingerprint", F.col("node").alias("head"), "class"), "fingerprint").join(clusters, "head", "left")
+    members = prints.join(classes.select("fingerprint", F.col("node").alias("head"), "class").hint("merge"), "fingerprint").join(side(clusters, linked), "head", "left")
     members = members.select(F.col("doc_id").alias("node"), F.coalesce("cluster", "class").alias("cluster"))
     weights = docs.select(F.col("doc_id").alias("node"), (F.length("text") / 6).alias("n_shingles"))
     several = members.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").select("cluster")
-    near = members.join(several, "cluster", "left_semi").join(weights, "node").select("node", "cluster", "n_shingles")
+    near = members.join(several.hint("merge"), "cluster", "left_semi").join(weights.hint("merge"), "node").select("node", "cluster", "n_shingles")
     component = verified_components(work, docs, near, rules)
-    return prints.select("doc_id").distinct().join(component, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    return prints.select("doc_id").distinct().join(component.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

@@ -17,7 +17,8 @@ Lists beyond a block are dealt out as pairs of blocks. A cluster beyond a block
 out in parts, each with the same few members beside it, its hubs: members that link to the first hub,
 directly or through others of their part, are settled, and only the rest is compared with all. So
 a large group of copies costs one pass over its texts, no task holds an unbounded group, and
-no pair is left out. The share of truly linked pairs
+no pair is left out. Joins of tables that grow with the documents are merged; only what has few rows is
+broadcast. The share of truly linked pairs
 that step 3 misses is the binomial tail below `matches` at the threshold: 5e-7 for
 16 of 32 at 0.85.
 """
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.components import connected_components
+from lodegraph.llm.components import FEW, connected_components, side
 from lodegraph.llm.shingles import minhash, permutations, shingle_sets, text_buffer, word_hashes
 from lodegraph.llm.workspace import Workspace
 
@@ -175,10 +176,10 @@ def candidate_links(classes: DataFrame, p: NearDedup) -> DataFrame:
     value = F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
     postings = classes.select("node", F.posexplode("signature").alias("k", "v")).select("node", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(value).alias("posting"))
     lengths = postings.groupBy("posting").agg(F.count("*").alias("length")).filter("length > 1")
-    shared = postings.join(lengths, "posting").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("length", "posting"))).alias("lists"))
+    shared = postings.join(lengths.hint("merge"), "posting").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("length", "posting"))).alias("lists"))
     # of K - matches + 1 postings in the prefix, K - size(lists) are those that hold one class
     prefix = shared.select("node", F.expr(f"slice(lists, 1, greatest(0, size(lists) - {p.matches - 1}))").alias("lists")).filter("size(lists) > 0")
-    posted = prefix.join(classes, "node").select("node", "n_shingles", "signature", F.explode("lists").alias("list"))
+    posted = prefix.join(classes.hint("merge"), "node").select("node", "n_shingles", "signature", F.explode("lists").alias("list"))
     posted = posted.select("node", "n_shingles", "signature", F.col("list.posting").alias("posting"), F.ceil(F.col("list.length") / p.list_block).cast("long").alias("blocks"))
     return list_links(posted, p)
 
@@ -260,10 +261,12 @@ def _block_pairs(df: DataFrame, node: str, blocks: str) -> DataFrame:
     return df.withColumn("own", own).withColumn("other", other).withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other")).drop("own", "other")
 
 
-def _spread(members: DataFrame, clusters: DataFrame, ways: int = 16) -> DataFrame:
-    """`members` (node, cluster, ...) with the columns of their row of `clusters`, a cluster's members dealt to some tasks."""
+def _spread(members: DataFrame, clusters: DataFrame, rows: int, ways: int = 16) -> DataFrame:
+    """`members` (node, cluster, ...) with the columns of their row of `clusters` (at most `rows`), a cluster's members dealt to some tasks."""
+    if rows <= FEW:
+        return members.join(F.broadcast(clusters), "cluster")
     dealt = members.withColumn("way", F.pmod(F.xxhash64("node"), F.lit(ways)).cast("int"))
-    return dealt.join(clusters.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))), ["cluster", "way"]).drop("way")
+    return dealt.join(clusters.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))).hint("merge"), ["cluster", "way"]).drop("way")
 
 
 def _compared(dealt: DataFrame, p: NearDedup) -> DataFrame:
@@ -303,33 +306,36 @@ def verified_components(work: Workspace, docs: DataFrame, clusters: DataFrame, p
     hashes = [F.xxhash64(F.lit(k), F.col("node")) for k in (1, 2)]
     hubs = F.array_distinct(F.array(*(f("node", h) for h in hashes for f in (F.min_by, F.max_by))))
     parts = F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / p.set_block)).cast("long")
+    clusters = work.keep(clusters, "near")
+    most = clusters.count()
     sized = clusters.groupBy("cluster").agg(parts.alias("parts"), hubs.alias("hubs"))
-    placed = work.keep(_spread(clusters, sized).groupBy("node", "cluster", "parts", "hubs").agg(F.max("n_shingles").alias("n_shingles")), "placed")
+    placed = work.keep(_spread(clusters, sized, most).groupBy("node", "cluster", "parts", "hubs").agg(F.max("n_shingles").alias("n_shingles")), "placed")
     # texts of documents in no cluster stay where they are
     whole = marked(work, docs.select(F.col("doc_id").cast("long").alias("node"), "text"), placed.select("node"))
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     is_hub = (F.col("parts") > 1) & F.array_contains(F.col("hubs"), F.col("node"))
-    first = whole.join(placed, "node").select(
+    first = whole.join(side(placed, most), "node").select(
         "cluster", F.explode(F.when(is_hub, everywhere).otherwise(F.array(own))).alias("left"), F.lit(0).cast("long").alias("right"), "node", "text", (F.col("node") == F.col("hubs")[0]).alias("settled"), (F.col("parts") > 1).alias("big")
     )
     found = work.keep(_compared(first, p), "found")
     links = found.select("a", "b")
     rest = found.filter("big").groupBy("cluster", "a").agg(F.max("hit").alias("hit")).filter("not hit").select("cluster", F.col("a").alias("node"))
     rest = work.keep(rest, "rest")
-    if not rest.isEmpty():
-        weighed = rest.join(placed, ["cluster", "node"]).groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / p.set_block)).cast("long").alias("blocks"))
-        open_ = _spread(placed, weighed).join(rest.withColumn("open", F.lit(True)), ["cluster", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    left = rest.count()
+    if left:
+        weighed = placed.join(side(rest, left), ["cluster", "node"]).groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / p.set_block)).cast("long").alias("blocks"))
+        open_ = _spread(placed, weighed, left).join(side(rest.withColumn("open", F.lit(True)), left), ["cluster", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
         block = F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.col("blocks"))
         pair = lambda left, right: F.struct(left.alias("left"), right.alias("right"))
         # a block of the rest meets every part of the cluster
         as_all = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: pair(i, own))
         as_rest = F.transform(everywhere, lambda j: pair(block, j))
         at = F.explode(F.when(F.col("open"), F.array_distinct(F.concat(as_all, as_rest))).otherwise(as_all)).alias("at")
-        second = whole.join(open_, "node").select("cluster", at, "node", "text", (~F.col("open")).alias("settled")).select("cluster", "at.left", "at.right", "node", "text", "settled", F.lit(False).alias("big"))
+        second = whole.join(side(open_, most), "node").select("cluster", at, "node", "text", (~F.col("open")).alias("settled")).select("cluster", "at.left", "at.right", "node", "text", "settled", F.lit(False).alias("big"))
         links = links.unionByName(work.keep(_compared(second, p), "found2").select("a", "b"))
     out = connected_components(work, links if same is None else links.unionByName(same), "joined")
-    work.drop("placed", "rest")
+    work.drop("near", "placed", "rest")
     return out
 
 
@@ -351,12 +357,15 @@ def near_components(spark: SparkSession, docs: DataFrame, params: NearDedup | No
     links = candidate_links(classes.select(F.col("class").alias("node"), "n_shingles", "signature"), p)
     clusters = work.keep(connected_components(work, links, "cluster"), "clusters")
     members = classes.select(F.col("class").alias("id"), F.col("node").alias("doc"), "n_shingles")
-    near = clusters.join(members, F.col("node") == F.col("id")).select(F.col("doc").alias("node"), F.col("component").alias("cluster"), "n_shingles")
+    most = clusters.count()
+    near = members.join(side(clusters, most), F.col("node") == F.col("id")).select(F.col("doc").alias("node"), F.col("component").alias("cluster"), "n_shingles")
     # a doc_id with several texts belongs to all their classes
     several = full.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y")
-    same = full.join(several, "doc_id", "left_semi").join(classes.select("set_key", "node"), "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    shared = work.keep(full.join(several.hint("merge"), "doc_id", "left_semi").select("doc_id", "set_key"), "shared")
+    texts = shared.count()
+    same = classes.select("set_key", "node").join(side(shared, texts), "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b")) if texts else None
     component = verified_components(work, docs, near, p, same)
-    named = classes.select("set_key", "node").join(component, "node", "left").select(F.col("set_key").alias("key"), F.coalesce("component", "node").alias("component"))
+    named = classes.select("set_key", "node").join(side(component, most + 2 * texts), "node", "left").select(F.col("set_key").alias("key"), F.coalesce("component", "node").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.col("component"))
-    out = rows.join(named, rows["set_key"] == named["key"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id")).alias("component_id"))
+    out = rows.join(named.hint("merge"), rows["set_key"] == named["key"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

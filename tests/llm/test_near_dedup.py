@@ -110,6 +110,28 @@ def test_empty_table(spark, make_docs):
     assert near_components(spark, make_docs([]), P).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op10_minhash_near_dedup", "fingerprint_components"])
+def test_no_table_that_grows_is_broadcast(spark, make_docs, monkeypatch, tmp_path, name):
+    from lodegraph.llm import components, near_dedup, queries
+
+    make_docs(_texts(7, 160)).write.parquet(f"{tmp_path}/documents.parquet")
+    plans = []
+    keep = Workspace.keep
+
+    def seen(self, df, table):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, table)
+
+    monkeypatch.setattr(Workspace, "keep", seen)
+    for module in (components, near_dedup):
+        monkeypatch.setattr(module, "FEW", -1)
+    out = queries.queries()[name](spark, str(tmp_path))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    # the bitmap of clustered documents is bounded
+    assert len(joins) > 10 and not [x for x in joins if "Broadcast" in x and "bitmap" not in x and "piece" not in x]
+
+
 def test_marked_rows_hold_all_wanted(spark):
     from pyspark.sql import functions as F
 
