@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept")).distinct()
     # a row's own columns stay in a struct, so that no name can clash
     rows = docs.select(F.col("doc_id").alias("key"), F.struct("*").alias("row"))
-    first = rows.filter("key is not null").join(kept, F.col("key") == F.col("kept"), "left_semi").groupBy("key").agg(F.min_by("row", F.struct(F.col("row.text"), F.xxhash64("row"))).alias("row"))
+    first = rows.filter("key is not null").join(kept.hint("merge"), F.col("key") == F.col("kept"), "left_semi").groupBy("key").agg(F.min_by("row", F.struct(F.col("row.text"), F.xxhash64("row"))).alias("row"))
     return first.select("row.*").unionByName(docs.filter("doc_id is null"))
 
 

@@ -109,7 +109,7 @@ def fit_classifier(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: M
     work = Workspace(spark, "domains")
     # labels of rows that an earlier stage took out say nothing about these documents
     here = docs.select(F.col("doc_id").cast("long").alias("id")).distinct()
-    present = work.keep(labels.join(here, F.col("doc_id").cast("long") == F.col("id"), "left_semi"), "present")
+    present = work.keep(labels.join(here.hint("merge"), F.col("doc_id").cast("long") == F.col("id"), "left_semi"), "present")
     chosen = work.keep(labelled(present, "quality", p.sample), "sample")
     counted = present.filter("quality in (0, 1)").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("label"))
     totals = {r["label"]: r["count"] for r in counted.groupBy("label").count().collect()}
@@ -293,5 +293,5 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, par
     counts = table.withColumnRenamed("doc_id", "id").select("id", times.alias("n")).groupBy("id").agg(F.round(F.avg("n")).cast("int").alias("n"))
     # the row's own columns stay in a struct, so that no name can clash
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"))
-    joined = rows.join(counts, rows["key"].eqNullSafe(counts["id"])).filter("n > 0")
+    joined = rows.join(counts.hint("merge"), rows["key"].eqNullSafe(counts["id"])).filter("n > 0")
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("row.*")

@@ -43,6 +43,27 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in got.collect()} == tokens and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_stages_broadcast_bounded_tables_only(spark, sf_dir, monkeypatch):
+    from lodegraph.llm import components, near_dedup
+    from lodegraph.llm.workspace import Workspace
+
+    plans = []
+    keep = Workspace.keep
+
+    def seen(self, df, table):
+        plans.append((table, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(self, df, table)
+
+    monkeypatch.setattr(Workspace, "keep", seen)
+    for module in (components, near_dedup):
+        monkeypatch.setattr(module, "FEW", -1)
+    corpus_pipeline.run(spark, sf_dir).collect()
+    assert {t for t, _ in plans} >= {"clusters", "placed", "stage1", "present", "stage3"}
+    # the bitmap of clustered documents is bounded
+    found = [x for t, plan in plans for x in plan.splitlines() if "BroadcastHashJoin" in x and "piece" not in x and "bitmap" not in x]
+    assert not found
+
+
 def test_mixture_keeps_wanted_documents(spark, make_docs, tmp_path):
     import random
 
