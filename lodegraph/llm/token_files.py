@@ -154,7 +154,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, p: TokenFiles, shards: i
         for batch in batches:
             for part in sliced(batch, 1, p.batch_bytes):
                 out = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     out += blocks.add(seq, doc_id, np.concatenate([ids, end]))
                     seq += 1
                 if out:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 import zlib
 
 import numpy as np
@@ -43,6 +44,30 @@ def test_any_text(byte_pair, word_pair, text):
     assert word_pair[0].decode(ids) == word_pair[1].decode(ids, skip_special_tokens=False)
 
 
+def test_words_are_not_taken_up_one_by_one(byte_pair):
+    words = [a + e + b + c + d for a in ("Tre", "éan", "on") for e in "aeiouyäöüé" for b in "bcdfghjklm" for c in ("ab", "ing", "ou") for d in ("ly", "tion", "heß", "in", "ÿs")]
+    texts = ["A " + " ".join(w + stop for w in words) + f".\n{words[k]}, end\n" for k, stop in enumerate(("", ".", ",", "&&&", ")."))]
+    encoder, calls = ByteTokens(BYTES), []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        got = encoder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert [g.tolist() for g in got] == [byte_pair[1].encode(t, add_special_tokens=False).ids for t in texts]
+    # each of 4500 words in 5 forms; Python's calls, those to libraries too, are for batches of them
+    assert len(calls) < len(words)
+
+
+def test_pieces_in_one_batch(byte_pair):
+    own, library = byte_pair
+    texts = [f"{a}{x}{b}" for x in (*ODD, "word.\nNext", "é,\nñ!", "a'\nb", "x.'s", "\n", "a\n b", "a.\u2028b", "ÿ Ā", "word.'") for a in ("", "on ", "on.\n") for b in ("", ".", " on", "\nOn, ")]
+    no_such_byte = ByteTokens(BYTES)
+    no_such_byte.between = b""
+    for encoder in (own, own, no_such_byte, ByteTokens(BYTES, cache=3), ByteTokens(BYTES, long=2)):
+        assert [g.tolist() for g in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert encoder.encode([]) == []
+
+
 def test_word_bpe(word_pair):
     own, library = word_pair
     for text in ODD:
